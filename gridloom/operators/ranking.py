@@ -25,6 +25,13 @@ def hash_bucket(h: Column, buckets: int = SAMPLE_BUCKETS) -> Column:
     return F.floor(h / F.lit((1 << 32) // buckets)).cast("int")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join in which a NULL group key matches itself, so that unnamed groups are not lost."""
+    right = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(right, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def ranked(
     df: DataFrame,
     by: Sequence[str],
@@ -45,14 +52,13 @@ def ranked(
     )
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        *keys,
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
         *[F.coalesce(F.sum(f"_sum_{v}").over(before), F.lit(0)).alias(f"_off_{v}") for v in sums],
     )
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     inside = Window.partitionBy(*keys).orderBy(*order)
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(offsets, on)
+    joined = join_null_safe(rows, offsets, keys)
     return joined.select(
         *[F.col(c) for c in df.columns],
         (F.row_number().over(inside) + F.col("_off")).cast("bigint").alias(rank),

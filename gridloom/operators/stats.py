@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.functions.masks import is_finite
+from gridloom.operators.ranking import join_null_safe
 
 CUT_STEPS = 6  # 2**6 - 1 cuts: each bucket holds about 1/64 of a group's distinct values
 
@@ -47,59 +48,70 @@ def outlier_counts(px: DataFrame, by: Sequence[str], value: str = "value", db: s
     return px.groupBy(*by).agg(F.count(raw).alias("n"), *out)
 
 
-def _bucket(v: Column, cuts: Column) -> Column:
-    """Number of cuts below `v`, by an unrolled binary search over a sorted array of 2**CUT_STEPS - 1 cuts."""
-    at = F.lit(0)
+def _with_bucket(df: DataFrame, value: str, cuts: str, name: str) -> DataFrame:
+    """Number of cuts below the value, by binary search over a sorted array of 2**CUT_STEPS - 1 cuts: one projection
+    per halving, all of them inside code generation."""
+    df = df.withColumn(name, F.lit(0))
     for step in reversed(range(CUT_STEPS)):
-        at = F.transform(F.array(at), lambda i, s=step: i + F.when(v > cuts[i + ((1 << s) - 1)], 1 << s).otherwise(0))[0]
-    return at
+        half = 1 << step
+        above = F.col(value) > F.get(F.col(cuts), F.col(name) + (half - 1))
+        df = df.withColumn(name, F.col(name) + F.when(above, half).otherwise(0))
+    return df.drop(cuts)
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float], names: Sequence[str] | None = None) -> DataFrame:
-    """Exact linear-interpolation quantiles per group, for groups and value domains of any size.
+def quantile_rows(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
+    """Exact linear-interpolation quantiles as rows (group, index in `qs`, value), for groups of any size.
 
     Built-in `percentile` keeps every distinct value of a group in one buffer; use it where the domain is bounded
-    (counts out of a fixed patch area). Here values are first reduced to (group, value, count), cut into buckets along
-    the value axis, and only the few buckets that hold a wanted rank are sorted.
+    (counts out of a fixed patch area). Here values are first reduced to (group, value, count) and cut into buckets
+    along the value axis; a histogram of at most 64 entries per group tells which buckets hold a wanted rank, and only
+    those are sorted.
     """
-    names = list(names or [f"q{q:g}" for q in qs])
     by = list(by)
-    if not by:
-        return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, qs, names).drop("_all")
     v = df.select(*by, F.col(value).cast("double").alias("_v")).where(is_finite(F.col("_v")))
     counts = v.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
     n_cuts = (1 << CUT_STEPS) - 1
-    grid = [(i + 1) / (n_cuts + 1) for i in range(n_cuts)]
-    cuts = counts.groupBy(*by).agg(F.percentile_approx("_v", grid, 2000).alias("_cuts"))
-    placed = counts.join(cuts, by).select(*by, "_v", "_n", _bucket(F.col("_v"), F.col("_cuts")).alias("_b"))
-    per_bucket = placed.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn"))
-    upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    located = per_bucket.select(
-        *by,
-        "_b",
-        "_bn",
-        F.coalesce(F.sum("_bn").over(upto), F.lit(0)).alias("_off"),
-        F.sum("_bn").over(Window.partitionBy(*by)).alias("_total"),
+    cut_at = [(i + 1) / (n_cuts + 1) for i in range(n_cuts)]
+    cuts = counts.groupBy(*by).agg(F.percentile_approx("_v", cut_at, 2000).alias("_cuts"))
+    placed = _with_bucket(join_null_safe(counts, cuts, by), "_v", "_cuts", "_b").select(*by, "_b", "_v", "_n")
+    histogram = placed.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn"))
+    layout = histogram.groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct("_b", "_bn"))).alias("_h"), F.sum("_bn").alias("_total")
     )
-    rank = [(F.col("_total") - 1) * F.lit(float(q)) for q in qs]  # zero-based, fractional
-    hit = F.lit(False)
-    for p in rank:
-        for r in (F.floor(p), F.ceil(p)):
-            hit = hit | ((r >= F.col("_off")) & (r < F.col("_off") + F.col("_bn")))
-    wanted = placed.join(located.where(hit), [*by, "_b"])
+    wanted = layout.select("*", F.posexplode(F.array(*[F.lit(float(q)) for q in qs])).alias("_i", "_q"))
+    position = (F.col("_total") - 1) * F.col("_q")
+    ends = F.array(*[F.struct(F.lit(k).alias("_end"), f(position).alias("_r")) for k, f in (("lo", F.floor), ("hi", F.ceil))])
+    wanted = wanted.select("*", (position - F.floor(position)).alias("_frac"), F.inline(ends))
+    start = F.struct(F.lit(-1).alias("b"), F.lit(0).cast("bigint").alias("off"), F.lit(0).cast("bigint").alias("seen"))
+
+    def step(acc, x):
+        found = (acc["b"] < 0) & (acc["seen"] + x["_bn"] > F.col("_r"))
+        return F.struct(
+            F.when(found, x["_b"]).otherwise(acc["b"]).alias("b"),
+            F.when(found, acc["seen"]).otherwise(acc["off"]).alias("off"),
+            (acc["seen"] + x["_bn"]).alias("seen"),
+        )
+
+    wanted = wanted.withColumn("_at", F.aggregate("_h", start, step))
+    targets = wanted.select(*by, F.col("_at.b").alias("_b"), F.col("_at.off").alias("_off"), "_i", "_end", "_r", "_frac")
+    held = join_null_safe(placed, targets.select(*by, "_b", "_off").distinct(), [*by, "_b"])
     inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.col("_off") + F.sum("_n").over(inside)  # one past the last rank of this value
-    spans = wanted.select(*by, "_v", "_total", (last - F.col("_n")).alias("_from"), last.alias("_to"))
+    last = F.col("_off") + F.sum("_n").over(inside)
+    spans = held.select(*by, "_b", "_v", (last - F.col("_n")).alias("_from"), last.alias("_to"))
+    hits = join_null_safe(spans, targets, [*by, "_b"]).where("_r >= _from AND _r < _to")
+    at = lambda k: F.max(F.when(F.col("_end") == k, F.col("_v")))
+    lo, hi = at("lo"), at("hi")
+    return hits.groupBy(*by, "_i").agg((lo + (hi - lo) * F.max("_frac")).alias("quantile"))
 
-    def at(r: Column) -> Column:
-        return F.max(F.when((r >= F.col("_from")) & (r < F.col("_to")), F.col("_v")))
 
-    out = []
-    for p, name in zip(rank, names):
-        lo, hi = at(F.floor(p)), at(F.ceil(p))
-        frac = F.max(p - F.floor(p))
-        out.append((lo + (hi - lo) * frac).alias(name))
-    return spans.groupBy(*by).agg(*out)
+def quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float], names: Sequence[str] | None = None) -> DataFrame:
+    """`quantile_rows` as one row per group with a column per quantile."""
+    names = list(names or [f"q{q:g}" for q in qs])
+    if not by:
+        return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, qs, names).drop("_all")
+    rows = quantile_rows(df, by, value, qs)
+    out = [F.max(F.when(F.col("_i") == i, F.col("quantile"))).alias(n) for i, n in enumerate(names)]
+    return rows.groupBy(*by).agg(*out)
 
 
 def grouped_quantiles(df: DataFrame, by: Sequence[str], values: Sequence[str], qs: Sequence[float]) -> DataFrame:

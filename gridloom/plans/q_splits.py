@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import bins, rules
 from gridloom.operators import sampling as Sm, splits as Sp
-from gridloom.plans.fixtures import fx_city, fx_metrics, fx_patch, fx_pixel, fx_quality, fx_vec
+from gridloom.plans.fixtures import fx_metrics, fx_patch, fx_pixel, fx_quality, fx_vec
 from gridloom.plans.q_reports import rounded
 from gridloom.plans.q_scalars import METRICS, POOL_SQL, metric_args
 from gridloom.plans.registry import query
@@ -22,21 +22,21 @@ def h_sql(*keys: str, salt: str) -> str:
 
 @query(
     "assign_split",
-    """SELECT city, region, CASE WHEN city_id < 5 THEN 'test' WHEN city_id < 8 THEN 'val' ELSE 'train' END AS split, 'main' AS fold_id,
-      CASE WHEN city_id < 5 THEN 3 WHEN city_id < 8 THEN 2 ELSE 1 END AS split_role_order FROM fx_city""",
+    f"""SELECT patch_id, city, CASE WHEN city IN {tuple(TEST)} THEN 'test' WHEN city IN {tuple(VAL)} THEN 'val' ELSE 'train' END AS split, 'main' AS fold_id,
+      CASE WHEN city IN {tuple(TEST)} THEN 3 WHEN city IN {tuple(VAL)} THEN 2 ELSE 1 END AS split_role_order FROM fx_patch""",
 )
 def _(spark, d):
-    return Sp.assign_split(fx_city(spark, d), TEST, VAL).select("city", "region", "split", "fold_id", "split_role_order")
+    return Sp.assign_split(fx_patch(spark, d), TEST, VAL).select("patch_id", "city", "split", "fold_id", "split_role_order")
 
 
 @query(
     "loro_cities",
-    """WITH v AS (SELECT city FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY CASE WHEN city = 'NATION_20' AND region = 'AFRICA' THEN 1 WHEN city = 'NATION_12' AND region = 'ASIA' THEN 0 ELSE 1000 END, city) AS rn FROM fx_city) WHERE rn = 1)
+    """WITH v AS (SELECT city FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY CASE WHEN city = 'NATION_20' AND region = 'AFRICA' THEN 1 WHEN city = 'NATION_12' AND region = 'ASIA' THEN 0 ELSE 1000 END, city) AS rn FROM (SELECT DISTINCT city, region FROM fx_patch)) WHERE rn = 1)
       SELECT concat('leave_out_', replace(lower(h.region), ' ', '_')) AS fold_id, h.region AS heldout_region, c.region, c.city,
-      CASE WHEN c.region = h.region THEN 'test' WHEN c.city IN (SELECT city FROM v) THEN 'val' ELSE 'train' END AS split FROM fx_city c, (SELECT DISTINCT region FROM fx_city) h""",
+      CASE WHEN c.region = h.region THEN 'test' WHEN c.city IN (SELECT city FROM v) THEN 'val' ELSE 'train' END AS split FROM (SELECT DISTINCT city, region FROM fx_patch) c, (SELECT DISTINCT region FROM fx_patch) h""",
 )
 def _(spark, d):
-    return Sp.loro(fx_city(spark, d), PRIORITY).select("fold_id", "heldout_region", "region", "city", "split")
+    return Sp.loro(Sp.city_table(fx_patch(spark, d)), PRIORITY).select("fold_id", "heldout_region", "region", "city", "split")
 
 
 CITY_STATS = """cs AS (SELECT city, region, count(*) AS n, count(*) FILTER (label_positive_pixels > 0) AS k FROM fx_patch GROUP BY city, region),
@@ -93,7 +93,7 @@ def _(spark, d):
 
 @query(
     "region_covered_split",
-    f"""WITH p AS (SELECT * FROM fx_patch WHERE NOT (region = 'ASIA' AND city IN (SELECT city FROM fx_city WHERE region = 'ASIA' ORDER BY city OFFSET 2))),
+    f"""WITH p AS (SELECT * REPLACE (CASE WHEN region = 'ASIA' THEN concat('ASIA_', patch_id % 3 // 2) ELSE city END AS city) FROM fx_patch),
       cs AS (SELECT city, region, count(*) AS n, sum(label_positive_pixels) AS px, count(*) FILTER (label_positive_pixels > 0) AS k FROM p GROUP BY city, region),
       rk AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY px DESC, k DESC, n DESC, city) AS r, count(*) OVER (PARTITION BY region) AS m FROM cs),
       ro AS (SELECT *, CASE WHEN r = 1 THEN 'test' WHEN r = 2 AND m >= 3 THEN 'val' WHEN r = 2 THEN 'source' ELSE 'train' END AS role FROM rk),
@@ -107,10 +107,8 @@ def _(spark, d):
       FROM p JOIN ro ON p.city = ro.city""",
 )
 def _(spark, d):
-    cities = fx_city(spark, d).where("region = 'ASIA'").select("city").orderBy("city").limit(2)
-    p = fx_patch(spark, d)
-    two = p.where("region = 'ASIA'").join(cities, "city", "left_semi")
-    rows = p.where("region <> 'ASIA'").unionByName(two.select(*p.columns))
+    two = F.concat(F.lit("ASIA_"), F.floor((F.col("patch_id") % 3) / 2).cast("string"))  # a region of two cities only
+    rows = fx_patch(spark, d).withColumn("city", F.when(F.col("region") == "ASIA", two).otherwise(F.col("city")))
     return Sp.region_covered_split(rows).select("patch_id", "city", "split", "split_assignment_type")
 
 

@@ -186,7 +186,7 @@ COMPARISONS = {"sar_only_rtc_vs_snap": ("s1_snap_vv_vh", "s1_rtc_vv_vh"), "joint
 CMP = f"""WITH r AS {RUNS}, p AS ({" UNION ALL ".join(f"SELECT '{n}' AS comparison, a.fold_mode, a.probe, '{m}' AS metric, a.{m} AS x, b.{m} AS y FROM r a JOIN r b ON a.fold = b.fold AND a.fold_mode = b.fold_mode AND a.probe = b.probe AND a.modality = '{rtc}' AND b.modality = '{snap}' WHERE a.{m} IS NOT NULL AND b.{m} IS NOT NULL" for n, (snap, rtc) in COMPARISONS.items() for m in ("ap", "f1"))}),
   c AS (SELECT comparison, fold_mode, probe, metric, count(*) AS n_matched_folds, avg(x) AS rtc_mean, avg(y) AS snap_mean, avg(x) - avg(y) AS delta, CAST(count(*) FILTER (x - y > 1e-12) AS BIGINT) AS rtc_wins, CAST(count(*) FILTER (x - y < -1e-12) AS BIGINT) AS snap_wins,
     CAST(count(*) FILTER (abs(x - y) <= 1e-12) AS BIGINT) AS ties FROM p GROUP BY ALL),
-  d AS (SELECT comparison, count(*) AS n_summaries, CAST(count(*) FILTER (delta > 1e-4) AS BIGINT) AS rtc_higher, CAST(count(*) FILTER (delta < -1e-4) AS BIGINT) AS snap_higher, CAST(sum(rtc_wins) AS BIGINT) AS rtc_wins, CAST(sum(snap_wins) AS BIGINT) AS snap_wins, avg(delta) AS mean_delta FROM c WHERE metric = 'ap' GROUP BY comparison),
+  d AS (SELECT comparison, count(*) AS n_summaries, CAST(count(*) FILTER (delta > 1.5e-4) AS BIGINT) AS rtc_higher, CAST(count(*) FILTER (delta < -1.5e-4) AS BIGINT) AS snap_higher, CAST(sum(rtc_wins) AS BIGINT) AS rtc_wins, CAST(sum(snap_wins) AS BIGINT) AS snap_wins, avg(delta) AS mean_delta FROM c WHERE metric = 'ap' GROUP BY comparison),
   dd AS (SELECT *, CASE WHEN comparison = 'joint_rtc_vs_snap' THEN CASE WHEN snap_higher > rtc_higher AND snap_wins > rtc_wins THEN 'Prefer SNAP-GRD' WHEN rtc_higher > snap_higher AND rtc_wins > snap_wins THEN 'Prefer RTC' ELSE 'Mixed / inconclusive' END
     ELSE CASE WHEN snap_higher > rtc_higher AND snap_wins > rtc_wins THEN 'SNAP-GRD stronger overall' WHEN rtc_higher > snap_higher AND rtc_wins > snap_wins THEN 'RTC stronger overall' ELSE 'Very close / mixed' END END AS decision FROM d)"""
 
@@ -201,14 +201,14 @@ def runs(spark, d):
 
 
 def comparison(spark, d):
-    return D.compare_variants(runs(spark, d), COMPARISONS, ["ap", "f1"])
+    return D.compare_variants(runs(spark, d), COMPARISONS, ["ap", "f1"], min_delta=1.5e-4)
 
 
 @query(
     "compare_variants",
     CMP
     + """ SELECT comparison, fold_mode, probe, metric, n_matched_folds, round(rtc_mean, 5) AS rtc_mean, round(snap_mean, 5) AS snap_mean, rtc_wins, snap_wins, ties,
-      CASE WHEN delta > 1e-4 AND rtc_wins > snap_wins THEN 'RTC stronger' WHEN delta < -1e-4 AND snap_wins > rtc_wins THEN 'SNAP-GRD stronger' WHEN abs(delta) <= 1e-4 THEN CASE WHEN rtc_wins > snap_wins THEN 'Mixed / near tie, RTC more fold wins'
+      CASE WHEN delta > 1.5e-4 AND rtc_wins > snap_wins THEN 'RTC stronger' WHEN delta < -1.5e-4 AND snap_wins > rtc_wins THEN 'SNAP-GRD stronger' WHEN abs(delta) <= 1.5e-4 THEN CASE WHEN rtc_wins > snap_wins THEN 'Mixed / near tie, RTC more fold wins'
         WHEN snap_wins > rtc_wins THEN 'Mixed / near tie, SNAP-GRD more fold wins' ELSE 'Near tie' END WHEN delta > 0 THEN 'RTC higher mean, mixed folds' ELSE 'SNAP-GRD higher mean, mixed folds' END AS direction FROM c""",
 )
 def _(spark, d):
@@ -217,12 +217,12 @@ def _(spark, d):
 
 @query("decide", CMP + " SELECT comparison, n_summaries, rtc_higher, snap_higher, n_summaries - rtc_higher - snap_higher AS near_ties, rtc_wins, snap_wins, decision FROM dd")
 def _(spark, d):
-    return D.decide(comparison(spark, d).where("metric = 'ap'")).drop("mean_delta", "ties")
+    return D.decide(comparison(spark, d).where("metric = 'ap'"), 1.5e-4).drop("mean_delta", "ties")
 
 
 CONS = "(SELECT 'overall' AS group_type, 'all_patches' AS group_value, avg(l_tax) AS snap_mean, avg(l_discount) AS rtc_mean FROM lineitem UNION ALL SELECT 'region', l_returnflag, avg(l_tax), avg(l_discount) FROM lineitem GROUP BY l_returnflag UNION ALL SELECT 'city', l_linestatus, avg(l_tax), avg(l_discount) FROM lineitem GROUP BY l_linestatus)"
 SEP = "(SELECT CASE l_linestatus WHEN 'O' THEN 'sar_only_rtc_vs_snap' ELSE 'joint_rtc_vs_snap' END AS comparison, max(l_tax) AS snap_knn, max(l_discount) AS rtc_knn, min(l_tax) AS snap_sil, min(l_discount) AS rtc_sil FROM lineitem GROUP BY 1)"
-W = "CASE WHEN {d} > 1e-4 THEN 'RTC' WHEN {d} < -1e-4 THEN 'SNAP-GRD' ELSE 'Mixed' END"
+W = "CASE WHEN {d} > 1.5e-4 THEN 'RTC' WHEN {d} < -1.5e-4 THEN 'SNAP-GRD' ELSE 'Mixed' END"
 PRETTY_SQL = "CASE comparison WHEN 'sar_only_rtc_vs_snap' THEN 'SAR-only RTC vs SNAP-GRD' ELSE 'Joint S2+S1 RTC vs SNAP-GRD' END"
 EV = (
     CMP
@@ -243,7 +243,7 @@ def evidence_rows(spark, d):
     sep = li.groupBy(name.alias("comparison")).agg(F.max("l_tax").alias("snap_knn"), F.max("l_discount").alias("rtc_knn"), F.min("l_tax").alias("snap_sil"), F.min("l_discount").alias("rtc_sil"))
     sep = sep.withColumns({"delta_knn": F.col("rtc_knn") - F.col("snap_knn"), "delta_sil": F.col("rtc_sil") - F.col("snap_sil")})
     cmp_ = comparison(spark, d).where("metric = 'ap'")
-    return D.evidence(D.decide(cmp_), cmp_, cons, sep)
+    return D.evidence(D.decide(cmp_, 1.5e-4), cmp_, cons, sep, 1.5e-4)
 
 
 @query("evidence", EV + " SELECT criterion_rank, comparison, evidence_type, winner FROM ev")

@@ -54,19 +54,21 @@ def value_bucket(v: Column) -> Column:
     return F.floor(F.asinh(v * 1000.0) * BUCKETS_PER_E).cast("int")
 
 
-def quantile_rows(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
+def quantile_rows(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float], weight: Column | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles as rows (group, index in `qs`, value), for groups of any size.
 
     Built-in `percentile` keeps every distinct value of a group in one buffer; use it where the domain is bounded
     (counts out of a fixed patch area). Here rows are first reduced to (group, value, count). A histogram over value
-    buckets tells which buckets hold a wanted rank; only those buckets are sorted, each in its own task.
+    buckets tells which buckets hold a wanted rank; only those buckets are sorted, each in its own task. An integer
+    `weight` counts a row that many times.
     """
     by = list(by)
+    weight = F.lit(1) if weight is None else weight
     counts = (
-        df.select(*by, F.col(value).cast("double").alias("_v"))
-        .where(is_finite(F.col("_v")))
+        df.select(*by, F.col(value).cast("double").alias("_v"), weight.cast("bigint").alias("_w"))
+        .where(is_finite(F.col("_v")) & (F.col("_w") > 0))
         .groupBy(*by, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.sum("_w").alias("_n"))
         .select(*by, value_bucket(F.col("_v")).alias("_b"), "_v", "_n")
     )
     group = Window.partitionBy(*by)
@@ -93,12 +95,12 @@ def quantile_rows(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[flo
     return hits.groupBy(*by, F.col("i").alias("_i")).agg((lo + (hi - lo) * F.max(position - F.floor(position))).alias("quantile"))
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float], names: Sequence[str] | None = None) -> DataFrame:
+def quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float], names: Sequence[str] | None = None, weight: Column | None = None) -> DataFrame:
     """`quantile_rows` as one row per group with a column per quantile."""
     names = list(names or [f"q{q:g}" for q in qs])
     if not by:
-        return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, qs, names).drop("_all")
-    rows = quantile_rows(df, by, value, qs)
+        return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, qs, names, weight).drop("_all")
+    rows = quantile_rows(df, by, value, qs, weight)
     out = [F.max(F.when(F.col("_i") == i, F.col("quantile"))).alias(n) for i, n in enumerate(names)]
     return rows.groupBy(*by).agg(*out)
 

@@ -114,12 +114,12 @@ def _(spark, d):
 @query(
     "scale_reflectance",
     f"""WITH s AS (SELECT raster_id, r, c, band, CASE WHEN event_type = 'error' THEN -1 ELSE value / (1 + 99 * (raster_id % 2)) END AS v FROM {LONG}), q AS (SELECT raster_id, quantile_cont(v, 0.98) AS p98 FROM s WHERE v <> -1 GROUP BY 1)
-      SELECT s.raster_id, r, c, band, CASE WHEN p98 > 2 THEN 'divide_10000' ELSE 'keep' END AS scale_mode_used, round(CASE WHEN v = -1 THEN CASE WHEN p98 > 2 THEN -9999 ELSE -1 END WHEN p98 > 2 THEN v * (1 / 10000.0) ELSE v END, 6) AS scaled FROM s JOIN q ON s.raster_id = q.raster_id""",
+      SELECT s.raster_id, r, c, band, CASE WHEN p98 > 2 THEN 'divide_10000' ELSE 'keep' END AS scale_mode_used, round(CASE WHEN v = -1 THEN CASE WHEN p98 > 2 THEN -9999 ELSE -1 END WHEN p98 > 2 THEN v * (1 / 10000.0) ELSE v END, 9) AS scaled FROM s JOIN q ON s.raster_id = q.raster_id""",
 )
 def _(spark, d):
     v = F.when(F.col("event_type") == "error", -1.0).otherwise(F.col("value") / (1 + 99 * (F.col("raster_id") % 2)))
     out = Sc.scale_reflectance(long_px(spark, d).withColumn("value", v), nodata=-1.0)
-    return rounded(out.select("raster_id", "r", "c", "band", "scale_mode_used", "scaled"))
+    return rounded(out.select("raster_id", "r", "c", "band", "scale_mode_used", "scaled"), 9)
 
 
 @query(

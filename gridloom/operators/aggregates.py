@@ -16,7 +16,9 @@ from gridloom.functions.rules import POOLS, share
 from gridloom.functions.scalars import pct
 from gridloom.operators.stats import grouped_quantiles
 
-N = F.count(F.lit(1))
+
+def n_rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def names(c: str, sep: str = ",") -> Column:
@@ -34,7 +36,7 @@ def quality_summary(patches: DataFrame, by: Sequence[str]) -> DataFrame:
     """Patches, cities, positives, mean shares and quality share per group."""
     positive, ok = F.col("is_positive_patch"), F.col("passes_basic_quality_filter")
     return patches.groupBy(*by).agg(
-        N.alias("patch_count"),
+        n_rows().alias("patch_count"),
         n_names("city").alias("city_count"),
         F.count_if(positive).alias("positive_patch_count"),
         F.avg("label_positive_percent").alias("mean_label_positive_percent"),
@@ -43,15 +45,15 @@ def quality_summary(patches: DataFrame, by: Sequence[str]) -> DataFrame:
         F.avg("s1_nodata_percent").alias("mean_s1_nodata_percent"),
         F.avg("max_nodata_percent").alias("mean_max_nodata_percent"),
         F.count_if(ok).alias("quality_pass_count"),
-        (100.0 * F.count_if(positive) / N).alias("positive_patch_percent"),
-        (100.0 * F.count_if(ok) / N).alias("quality_pass_percent"),
+        (100.0 * F.count_if(positive) / n_rows()).alias("positive_patch_percent"),
+        (100.0 * F.count_if(ok) / n_rows()).alias("quality_pass_percent"),
     )
 
 
 def city_summary(meta: DataFrame) -> DataFrame:
     """Per-city roll-up of 224-px metadata: extremes of the validity shares."""
     return meta.groupBy("city", "region").agg(
-        N.alias("patches"),
+        n_rows().alias("patches"),
         F.count_if(F.col("label_positive_pixels") > 0).alias("positive_patches"),
         F.max("label_positive_percent").alias("max_label_positive_percent"),
         F.min(100.0 - F.col("s2_nodata_percent")).alias("min_s2_valid_percent"),
@@ -74,7 +76,7 @@ def label_distribution(patches: DataFrame, by: Sequence[str], patch_area: int) -
     sets = [[F.col(c) for c in cols] for cols in [[]] + [[c] for c in by]]
     agg = patches.groupingSets(sets, *[F.col(c) for c in by]).agg(
         F.grouping_id().alias("_gid"),
-        N.alias("n_patches"),
+        n_rows().alias("n_patches"),
         F.count_if(positive).alias("n_positive_patches"),
         F.sum("label_positive_pixels").alias("total_label_positive_pixels"),
         F.avg(p).alias("mean"), F.stddev_samp(p).alias("std"), F.min(p).alias("min"), F.max(p).alias("max"),
@@ -104,7 +106,7 @@ def label_distribution(patches: DataFrame, by: Sequence[str], patch_area: int) -
 def density_bin_rows(patches: DataFrame, bin_: Column, order: Column) -> DataFrame:
     p = F.col("label_positive_percent")
     rows = patches.groupBy(bin_.alias("density_bin")).agg(
-        N.alias("n_patches"),
+        n_rows().alias("n_patches"),
         F.count_if(F.col("label_positive_pixels") > 0).alias("n_positive_patches"),
         F.sum("label_positive_pixels").alias("total_label_positive_pixels"),
         F.avg(p).alias("mean"), F.median(p).alias("median"), F.min(p).alias("min"), F.max(p).alias("max"),
@@ -128,10 +130,10 @@ def area_distribution(
     ha = pixel_m * pixel_m / 10000.0
     total, k = F.sum(pos), F.count_if(pos >= min_pixels)
     rows = patches.groupBy(*by).agg(
-        N.alias("patch_count"), k.alias("positive_patch_count"), (N - k).alias("negative_patch_count"),
-        (100.0 * k / N).alias("positive_patch_pct"), total.alias("positive_pixels"), (N * area).alias("total_pixels"),
-        (100.0 * total / (N * area)).alias("positive_pixel_pct"), (total * ha).alias("positive_area_ha"),
-        (N * area * ha).alias("total_area_ha"), F.avg(own).alias("mean_patch_pct"), F.median(own).alias("median_patch_pct"),
+        n_rows().alias("patch_count"), k.alias("positive_patch_count"), (n_rows() - k).alias("negative_patch_count"),
+        (100.0 * k / n_rows()).alias("positive_patch_pct"), total.alias("positive_pixels"), (n_rows() * area).alias("total_pixels"),
+        (100.0 * total / (n_rows() * area)).alias("positive_pixel_pct"), (total * ha).alias("positive_area_ha"),
+        (n_rows() * area * ha).alias("total_area_ha"), F.avg(own).alias("mean_patch_pct"), F.median(own).alias("median_patch_pct"),
         F.stddev_pop(own).alias("std_patch_pct"), F.max(own).alias("max_patch_pct"),
     )
     rows = share_of(rows, "patch_count", [], "patch_share_of_dataset_pct")
@@ -144,8 +146,8 @@ def split_summary(rows: DataFrame, by: Sequence[str], bin_col: str = "label_dens
     k = F.count_if(positive)
     bins = [F.count_if(F.col(bin_col) == b).alias(f"bin_{b}") for b in ("empty", "low", "medium", "high")]
     return rows.groupBy(*by).agg(
-        N.alias("patches"), k.alias("positive_patches"), (N - k).alias("empty_patches"),
-        (100.0 * k / N).alias("positive_patch_percent"),
+        n_rows().alias("patches"), k.alias("positive_patches"), (n_rows() - k).alias("empty_patches"),
+        (100.0 * k / n_rows()).alias("positive_patch_percent"),
         F.sum("label_positive_pixels").alias("total_label_positive_pixels"),
         F.avg("label_positive_percent").alias("mean_label_positive_percent"),
         F.max("label_positive_percent").alias("max_label_positive_percent"),
@@ -166,9 +168,9 @@ def positive_pixel_pct(df: DataFrame, by: Sequence[str], pixels: str | None, tot
 def pos_weight(train: DataFrame, patch_area: int, cap: float) -> DataFrame:
     """Class weight negatives/positives, capped; 1 where there are no positives."""
     pos = F.coalesce(F.sum("label_positive_pixels"), F.lit(0)).cast("double")
-    raw = F.when(pos > 0, (N * patch_area - pos) / pos)
+    raw = F.when(pos > 0, (n_rows() * patch_area - pos) / pos)
     return train.agg(
-        N.alias("train_rows"), raw.alias("raw_pos_weight"), F.coalesce(F.least(raw, F.lit(float(cap))), F.lit(1.0)).alias("pos_weight")
+        n_rows().alias("train_rows"), raw.alias("raw_pos_weight"), F.coalesce(F.least(raw, F.lit(float(cap))), F.lit(1.0)).alias("pos_weight")
     )
 
 
@@ -186,7 +188,7 @@ def error_report(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     frac = lambda c: F.avg(F.col(c).cast("int")).alias(f"fraction_{c[3:]}")
     mean = lambda c: F.avg(c).alias(f"mean_{c}")
     base = rows.groupBy(*by).agg(
-        N.alias("n_patches"), n_names("city").alias("n_cities"), n_names("region").alias("n_regions"),
+        n_rows().alias("n_patches"), n_names("city").alias("n_cities"), n_names("region").alias("n_regions"),
         *[mean(c) for c in ("iou_pos", "dice_pos", "precision_pos", "recall_pos", "iou_neg", "macro_iou")],
         *[mean(c) for c in ("gt_pos_pct", "pred_pos_pct", "pred_minus_gt_pct", "fp_pct", "fn_pct")],
         *[frac(c) for c in ("is_good_positive", "is_hard_false_positive", "is_hard_false_negative", "is_tiny_fragment_missed")],
@@ -197,7 +199,7 @@ def error_report(rows: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def mode_counts(rows: DataFrame, by: Sequence[str], mode: str = "dominant_error_mode") -> DataFrame:
-    counts = rows.groupBy(*by, mode).agg(N.alias("n_patches"))
+    counts = rows.groupBy(*by, mode).agg(n_rows().alias("n_patches"))
     if not by:
         counts = counts.withColumn("_all", F.lit(0))
     total = F.sum("n_patches").over(Window.partitionBy(*(by or ["_all"])))
@@ -209,7 +211,7 @@ def pool_summary(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """One row per group and pool, empty pools included: every pool is a conditional aggregate of one pass, and the
     nine results are laid out as rows afterwards."""
     values = ("gt_pos_pct", "pred_pos_pct", "pred_minus_gt_pct", "iou_pos", "precision_pos", "recall_pos")
-    aggs = [N.alias("group_total_patches")]
+    aggs = [n_rows().alias("group_total_patches")]
     for p in POOLS:
         aggs.append(F.count_if(F.col(f"pool_{p}")).alias(f"n_{p}"))
         aggs += [F.avg(F.when(F.col(f"pool_{p}"), F.col(v))).alias(f"{v}_{p}") for v in values]
@@ -237,7 +239,7 @@ def upper_bound_tables(rows: DataFrame, levels: Sequence[Sequence[str]] = (("spl
         if t is not None:
             step = F.when(F.col("gt_pos_pct") > t, i).otherwise(step)
     sums = ("tp_pct", "fp_pct", "fn_pct", "tn_pct", "gt_pos_pct", "pred_pos_pct", "iou_pos", "dice_pos")
-    fine = rows.groupBy(*finest, step.alias("_step")).agg(N.alias("_n"), *[F.sum(c).alias(c) for c in sums])
+    fine = rows.groupBy(*finest, step.alias("_step")).agg(n_rows().alias("_n"), *[F.sum(c).alias(c) for c in sums])
     subset = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(n).alias("subset"), F.lit(t).cast("double").alias("gt_threshold_pct")) for i, (n, t) in enumerate(SUBSETS)])
     laid = fine.select("*", F.inline(F.filter(subset, lambda s: s["_i"] <= F.col("_step"))))
     sets = [[F.col(c) for c in [*lv, "subset", "gt_threshold_pct"]] for lv in levels]
@@ -261,12 +263,12 @@ def aggregate_folds(results: DataFrame, by: Sequence[str], metrics: Sequence[str
     """Mean, population std and median over folds; missing values are skipped. One value per fold bounds the buffer."""
     clean = [F.when(~F.isnan(F.col(m)), F.col(m)) for m in metrics]
     aggs = [f(c).alias(f"{m}_{n}") for m, c in zip(metrics, clean) for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("median", F.median))]
-    return results.groupBy(*by).agg(N.alias("n_folds"), *aggs)
+    return results.groupBy(*by).agg(n_rows().alias("n_folds"), *aggs)
 
 
 def pivot_counts(rows: DataFrame, by: Sequence[str], column: str, values: Sequence[str]) -> DataFrame:
     """Wide counts, zero where a combination does not occur; the values are given, so no extra pass finds them."""
-    return rows.groupBy(*by).pivot(column, list(values)).agg(N).fillna(0, list(values))
+    return rows.groupBy(*by).pivot(column, list(values)).agg(n_rows()).fillna(0, list(values))
 
 
 def distinct_values(rows: DataFrame, by: Sequence[str], value: str, limit: int = 20) -> DataFrame:
@@ -278,7 +280,7 @@ def distinct_values(rows: DataFrame, by: Sequence[str], value: str, limit: int =
 
     seen = top_k(rows.select(*by, value).distinct(), by, [F.col(value)], limit + 1, "_rn")
     return seen.groupBy(*by).agg(
-        F.when(N > limit, F.lit(f"more_than_{limit}_unique_values"))
+        F.when(n_rows() > limit, F.lit(f"more_than_{limit}_unique_values"))
         .otherwise(F.array_join(F.transform(F.array_sort(F.collect_list(value)), lambda v: v.cast("string")), ","))
         .alias("unique_values"),
         F.bool_and(F.col(value).isin(0, 1)).alias("binary_ok"),
@@ -288,7 +290,7 @@ def distinct_values(rows: DataFrame, by: Sequence[str], value: str, limit: int =
 def patch_threshold_counts(patches: DataFrame, by: Sequence[str], value: str, thresholds: Sequence[float] = (0, 1, 5, 25, 50)) -> DataFrame:
     """How many patches, and positive patches, reach each threshold."""
     positive = F.col("label_positive_pixels") > 0
-    out = [N.alias("patches"), F.count_if(positive).alias("positive_patches")]
+    out = [n_rows().alias("patches"), F.count_if(positive).alias("positive_patches")]
     out += [F.count_if(F.col(value) > 0).alias("patches_any"), F.count_if((F.col(value) > 0) & positive).alias("positive_patches_any")]
     for t in thresholds:
         out += [F.count_if(F.col(value) >= t).alias(f"patches_ge_{t}pct"), F.count_if((F.col(value) >= t) & positive).alias(f"positive_patches_ge_{t}pct")]
@@ -298,5 +300,5 @@ def patch_threshold_counts(patches: DataFrame, by: Sequence[str], value: str, th
 def modality_summary(manifest: DataFrame) -> DataFrame:
     k = F.count_if(F.col("label_positive_pixels") > 0)
     return manifest.groupBy("modality", "uses_s2", "uses_sar", "sar_variant").agg(
-        N.alias("rows"), k.alias("positive_rows"), (N - k).alias("empty_rows"), (100.0 * k / N).alias("positive_percent")
+        n_rows().alias("rows"), k.alias("positive_rows"), (n_rows() - k).alias("empty_rows"), (100.0 * k / n_rows()).alias("positive_percent")
     )

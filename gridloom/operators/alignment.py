@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridloom.functions import rules as R
 from gridloom.functions.masks import ZERO_TOLERANCE_RTC, all_finite, all_zero, label_positive_224
 
-N = F.count(F.lit(1))
+
+def n_rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def grid_struct() -> Column:
@@ -73,7 +75,7 @@ def rtc_city_stats(px: DataFrame, by: Sequence[str], vv: str, vh: str, label: Co
     finite, zero, pos = all_finite(bands), all_zero(bands, eps), label_positive_224(label)
     ok = finite & ~zero
     aggs = [
-        N.alias("total"), F.count_if(finite).alias("finite"), F.count_if(zero).alias("zero"), (100.0 * F.count_if(zero) / N).alias("zero_pct"),
+        n_rows().alias("total"), F.count_if(finite).alias("finite"), F.count_if(zero).alias("zero"), (100.0 * F.count_if(zero) / n_rows()).alias("zero_pct"),
         F.count_if(pos).alias("label_positive"), F.count_if(pos & zero).alias("label_on_zero"),
     ]
     for b in (vv, vh):

@@ -10,7 +10,9 @@ from gridloom.functions.products import days_from, has_polarisations, parse_prod
 from gridloom.functions.rules import weighted_candidate_score
 from gridloom.operators.ranking import best_per_key, top_k
 
-N = F.count(F.lit(1))
+
+def n_rows() -> Column:
+    return F.count(F.lit(1))
 FAR = 999999.0
 
 
@@ -63,7 +65,7 @@ def select_candidate(df: DataFrame, cities: DataFrame, manual: DataFrame | None
     else:
         scored = scored.withColumn("_manual", F.lit(None).cast("string"))
     per = scored.groupBy("city").agg(
-        N.alias("num_candidates"), F.count_if("meets_min_overlap").alias("num_meeting_min_overlap"), F.count_if("full_coverage").alias("num_full_coverage"),
+        n_rows().alias("num_candidates"), F.count_if("meets_min_overlap").alias("num_meeting_min_overlap"), F.count_if("full_coverage").alias("num_full_coverage"),
         F.min_by(F.when(ok, row), F.when(ok, strict)).alias("_ok"), F.min_by(row, loose).alias("_any"),
         F.max(F.when(F.col("item_id") == F.col("_manual"), row)).alias("_chosen"), F.max("_manual").alias("_manual"),
     )

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridloom.functions.rules import direction, first_true, winner_from_text
 from gridloom.operators.joins import pair_variants
 
-N = F.count(F.lit(1))
+
+def n_rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def compare_variants(results: DataFrame, comparisons: Mapping[str, tuple[str, str]], metrics: Sequence[str], tie: float = 1e-12, min_delta: float = 1e-4) -> DataFrame:
@@ -26,7 +28,7 @@ def compare_variants(results: DataFrame, comparisons: Mapping[str, tuple[str, st
     both = out.where(~F.isnan("rtc") & ~F.isnan("snap"))
     diff = F.col("rtc") - F.col("snap")
     g = both.groupBy("comparison", "fold_mode", "probe", "metric").agg(
-        N.alias("n_matched_folds"), F.avg("rtc").alias("rtc_mean"), F.avg("snap").alias("snap_mean"),
+        n_rows().alias("n_matched_folds"), F.avg("rtc").alias("rtc_mean"), F.avg("snap").alias("snap_mean"),
         (F.avg("rtc") - F.avg("snap")).alias("delta"), F.count_if(diff > tie).alias("rtc_wins"), F.count_if(diff < -tie).alias("snap_wins"),
         F.count_if(F.abs(diff) <= tie).alias("ties"),
     )
@@ -38,7 +40,7 @@ def decide(comparison: DataFrame, min_delta: float = 1e-4) -> DataFrame:
     comparison also need the wins to agree, and word their decision differently."""
     up, down = F.count_if(F.col("delta") > min_delta), F.count_if(F.col("delta") < -min_delta)
     g = comparison.groupBy("comparison").agg(
-        N.alias("n_summaries"), up.alias("rtc_higher"), down.alias("snap_higher"), (N - up - down).alias("near_ties"),
+        n_rows().alias("n_summaries"), up.alias("rtc_higher"), down.alias("snap_higher"), (n_rows() - up - down).alias("near_ties"),
         F.sum("rtc_wins").alias("rtc_wins"), F.sum("snap_wins").alias("snap_wins"), F.sum("ties").alias("ties"), F.avg("delta").alias("mean_delta"),
     )
     c = F.col

@@ -1,0 +1,361 @@
+"""Nodata repair: crop windows, nearest and propagated fill, merges with a fallback product, and their plans."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+
+from gridloom.functions import rules as R
+from gridloom.functions.masks import all_zero, candidate_valid
+from gridloom.functions.scalars import pct
+from gridloom.operators.components import border_components
+from gridloom.operators.windows import column_runs, nearest_valid_in_column
+from gridloom.session import cut_lineage
+
+
+def n_rows() -> Column:
+    return F.count(F.lit(1))
+
+# Fill source codes of the merged radar stack, and the fill level of a filled optical cell.
+ORIGINAL, FALLBACK, NEAREST, UNRESOLVED = 0, 1, 2, 9
+S2_FILL_LEVEL = 3
+
+
+# --- crop windows ----------------------------------------------------------------------------------------------------
+
+
+def _best_in_row(heights: np.ndarray) -> tuple[int, int, int, int]:
+    """(area, left, right, height) of the first largest rectangle standing on one row of run lengths."""
+    best, stack = (0, 0, 0, 0), []
+    for c, h in enumerate([*heights.tolist(), 0]):
+        start = c
+        while stack and stack[-1][1] > h:
+            start, top = stack.pop()
+            if top * (c - start) > best[0]:
+                best = (top * (c - start), start, c, top)
+        if h and (not stack or stack[-1][1] < h):
+            stack.append((start, h))
+    return best
+
+
+def _row_rectangles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        found = [_best_in_row(np.asarray(h)) for h in pdf["heights"]]
+        yield pdf[["raster_id", "r"]].assign(**{k: [f[i] for f in found] for i, k in enumerate(("area", "left", "right", "height"))})
+
+
+def largest_rectangle(px: DataFrame, eligible: Column) -> DataFrame:
+    """Largest window of eligible cells per raster; among equal areas the one with the lowest bottom row, then the one
+    found first from the left. Python sees one row of run lengths at a time; the best row is a mergeable aggregate."""
+    runs = column_runs(px, eligible, "run")
+    rows = runs.groupBy("raster_id", "r").agg(F.array_sort(F.collect_list(F.struct("c", F.col("run").cast("int").alias("run")))).alias("_x"))
+    kind = px.schema["raster_id"].dataType.simpleString()
+    schema = f"raster_id {kind}, r bigint, area bigint, left bigint, right bigint, height bigint"
+    per_row = rows.select("raster_id", F.col("r").cast("bigint"), F.col("_x.run").alias("heights")).mapInPandas(_row_rectangles, schema)
+    best = per_row.groupBy("raster_id").agg(F.min_by(F.struct("r", "area", "left", "right", "height"), F.struct(-F.col("area"), "r")).alias("_b"))
+    b = F.col("_b")
+    return best.select(
+        "raster_id", F.when(b["area"] > 0, b["r"] - b["height"] + 1).otherwise(0).alias("row_start"), F.when(b["area"] > 0, b["r"] + 1).otherwise(0).alias("row_stop"),
+        b["left"].alias("col_start"), b["right"].alias("col_stop"), b["area"].alias("area"),
+    )
+
+
+def trim_window(forbidden: DataFrame, sizes: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+    """Window without forbidden cells by trimming one side at a time, the side with most forbidden cells first.
+
+    Where no side touches a forbidden cell but some lie inside, the largest of the four parts around their bounds is
+    kept. All rasters advance together; the cells left inside the windows are checkpointed as windows shrink.
+    """
+    win = sizes.select("raster_id", F.lit(0).cast("bigint").alias("top"), F.col("height").cast("bigint").alias("bottom"), F.lit(0).cast("bigint").alias("left"), F.col("width").cast("bigint").alias("right"))
+    cells = cut_lineage(forbidden.select("raster_id", "r", "c"))
+    c = F.col
+    done = None
+    for _ in range(max_rounds):
+        inside = cells.join(win, "raster_id").where((c("r") >= c("top")) & (c("r") < c("bottom")) & (c("c") >= c("left")) & (c("c") < c("right")))
+        sides = {"top": c("r") == c("top"), "bottom": c("r") == c("bottom") - 1, "left": c("c") == c("left"), "right": c("c") == c("right") - 1}
+        stats = inside.groupBy("raster_id", "top", "bottom", "left", "right").agg(
+            *[F.count_if(v).alias(f"_{k}") for k, v in sides.items()], F.min("r").alias("_r0"), F.max("r").alias("_r1"), F.min("c").alias("_c0"), F.max("c").alias("_c1")
+        )
+        stats = cut_lineage(stats)
+        clean = win.join(stats.select("raster_id"), "raster_id", "left_anti")
+        done = clean if done is None else done.unionByName(clean)
+        done = cut_lineage(done)
+        if not stats.limit(1).count():
+            break
+        most = F.greatest(*[c(f"_{k}") for k in sides])
+        pick = R.first_true([(c(f"_{k}") == most, k) for k in sides], "right")
+        pick = F.when(most > 0, pick)
+        t, b, lf, rt = c("top"), c("bottom"), c("left"), c("right")
+        area = lambda a, z, x, y: F.greatest(z - a, F.lit(0)) * F.greatest(y - x, F.lit(0))
+        parts = [(c("_r1") + 1, b, lf, rt), (t, c("_r0"), lf, rt), (t, b, c("_c1") + 1, rt), (t, b, lf, c("_c0"))]
+        part = F.array(*[F.struct(area(*p).alias("area"), F.lit(-i).alias("i"), *[x.cast("bigint").alias(n) for x, n in zip(p, ("top", "bottom", "left", "right"))]) for i, p in enumerate(parts)])
+        best = F.array_max(part)
+        moved = {"top": (t, 1), "bottom": (b, -1), "left": (lf, 1), "right": (rt, -1)}
+        win = stats.select("raster_id", *[F.when(pick.isNull(), best[k]).when(pick == k, v + s).otherwise(v).cast("bigint").alias(k) for k, (v, s) in moved.items()])
+        empty = (c("top") >= c("bottom")) | (c("left") >= c("right"))
+        win = cut_lineage(win.select("raster_id", *[F.when(empty, 0).otherwise(c(k)).cast("bigint").alias(k) for k in moved]))
+    area_col = (c("bottom") - c("top")) * (c("right") - c("left"))
+    return done.select("raster_id", c("top").alias("row_start"), c("bottom").alias("row_stop"), c("left").alias("col_start"), c("right").alias("col_stop"), area_col.alias("area"))
+
+
+def crop(px: DataFrame, windows: DataFrame, key: str = "raster_id") -> DataFrame:
+    """Cells inside the raster's window, with rows and columns counted from its corner."""
+    w = windows.select(key, "row_start", "row_stop", "col_start", "col_stop")
+    c = F.col
+    inside = px.join(w, key).where((c("r") >= c("row_start")) & (c("r") < c("row_stop")) & (c("c") >= c("col_start")) & (c("c") < c("col_stop")))
+    return inside.withColumns({"r": c("r") - c("row_start"), "c": c("c") - c("col_start")}).drop("row_start", "row_stop", "col_start", "col_stop")
+
+
+def crop_impact(px: DataFrame, windows: DataFrame, positive: Column, safe: float = 0.0, tiny: float = 0.1, key: str = "raster_id") -> DataFrame:
+    """Label cells before, inside and removed by a crop, with the verdict."""
+    c = F.col
+    inside = (c("r") >= c("row_start")) & (c("r") < c("row_stop")) & (c("c") >= c("col_start")) & (c("c") < c("col_stop"))
+    g = px.join(windows.select(key, "row_start", "row_stop", "col_start", "col_stop"), key).groupBy(key).agg(
+        n_rows().alias("pixels_before"), F.count_if(inside).alias("crop_pixels"), F.count_if(positive).alias("positive_before"), F.count_if(positive & inside).alias("positive_inside")
+    )
+    removed = c("positive_before") - c("positive_inside")
+    g = g.withColumns({"positive_removed": removed, "positive_removed_percent": pct(removed, c("positive_before"))})
+    return g.withColumn("status", R.crop_label_impact(c("positive_removed"), c("positive_removed_percent"), safe, tiny))
+
+
+# --- fills -----------------------------------------------------------------------------------------------------------
+
+
+def _nearest_in_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For the holes of one raster row: nearest valid cell over all columns, from each column's nearest valid row.
+
+    Ties go to the smallest row, then the smallest column.
+    """
+    for pdf in batches:
+        out = []
+        for raster, r, cols, above, below, holes in zip(*[pdf[k] for k in ("raster_id", "r", "cols", "above", "below", "holes")]):
+            cols = np.asarray(cols, dtype=np.int64)
+            up = np.array([np.nan if v is None else v for v in above], dtype=float)
+            down = np.array([np.nan if v is None else v for v in below], dtype=float)
+            src = np.where(np.isnan(down) | (np.abs(r - up) <= np.abs(down - r)), up, down)
+            known = ~np.isnan(src)
+            cols, src = cols[known], src[known].astype(np.int64)
+            if not len(cols):
+                continue
+            order = np.lexsort((cols, src))  # so that argmin meets ties in (row, column) order
+            cols, src = cols[order], src[order]
+            drop = (src - r) ** 2
+            for c in holes:
+                i = int(np.argmin(drop + (cols - c) ** 2))
+                out.append((raster, r, c, src[i], cols[i], int(drop[i] + (cols[i] - c) ** 2)))
+        yield pd.DataFrame(out, columns=["raster_id", "r", "c", "src_r", "src_c", "dist2"])
+
+
+def nearest_source(px: DataFrame, valid: Column) -> DataFrame:
+    """(raster, r, c) of each hole with its nearest valid cell (exact Euclidean).
+
+    Separable: a window down each raster column finds the nearest valid row, then each raster row that has holes is
+    minimised over its columns. The largest group is one row or column of a raster.
+    """
+    cols = nearest_valid_in_column(px.withColumn("_ok", valid), F.col("_ok"))
+    item = F.struct("c", "valid_above", "valid_below", "_ok")
+    rows = cols.groupBy("raster_id", "r").agg(F.array_sort(F.collect_list(item)).alias("_x"), F.count_if(~F.col("_ok")).alias("_holes")).where("_holes > 0")
+    x = F.col("_x")
+    holes = F.transform(F.filter(x, lambda e: ~e["_ok"]), lambda e: e["c"])
+    packed = rows.select("raster_id", "r", x["c"].alias("cols"), x["valid_above"].alias("above"), x["valid_below"].alias("below"), holes.alias("holes"))
+    kind = px.schema["raster_id"].dataType.simpleString()
+    return packed.mapInPandas(_nearest_in_rows, f"raster_id {kind}, r bigint, c bigint, src_r bigint, src_c bigint, dist2 bigint")
+
+
+def nearest_fill(px: DataFrame, valid: Column, bands: Sequence[str], code: int = S2_FILL_LEVEL) -> DataFrame:
+    """Holes take all bands of their nearest valid cell; valid cells never change. `fill_level` is 0 or the code.
+
+    A raster without any valid cell keeps its holes.
+    """
+    src = nearest_source(px, valid)
+    values = px.select("raster_id", F.col("r").alias("src_r"), F.col("c").alias("src_c"), *[F.col(b).alias(f"_f_{b}") for b in bands])
+    found = src.join(values, ["raster_id", "src_r", "src_c"]).select("raster_id", "r", "c", F.lit(True).alias("_found"), *[f"_f_{b}" for b in bands])
+    out = px.withColumn("_ok", valid).join(found, ["raster_id", "r", "c"], "left")
+    filled = ~F.col("_ok") & F.coalesce("_found", F.lit(False))
+    new = {b: F.when(filled, F.col(f"_f_{b}")).otherwise(F.col(b)) for b in bands}
+    return out.withColumns(new | {"fill_level": F.when(filled, code).otherwise(0), "is_filled": filled}).drop("_ok", "_found", *[f"_f_{b}" for b in bands])
+
+
+# Neighbour offsets (row, column) in the order in which they may fill a hole.
+OFFSETS = ((-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (-1, 1), (1, -1), (1, 1))
+
+
+def propagate_fill(px: DataFrame, hole: Column, bands: Sequence[str], max_iter: int = 2048, max_share: float | None = None) -> tuple[DataFrame, int]:
+    """Holes filled from their neighbours, ring by ring, the first offset with a value winning. Returns (cells, rounds).
+
+    A round only joins the neighbours of the remaining holes with the cells filled in the round before (in the first
+    round: with the valid cells). Raises when the share of holes is above `max_share`, when a round fills nothing, and
+    when the iteration cap is reached.
+    """
+    cells = px.withColumn("_hole", F.coalesce(hole, F.lit(False)))
+    left = cut_lineage(cells.where("_hole").select("raster_id", "r", "c"))
+    holes = left.count()
+    if max_share is not None:
+        worst = cells.groupBy("raster_id").agg((100.0 * F.count_if("_hole") / n_rows()).alias("p")).agg(F.max("p").alias("p")).first()["p"] or 0.0
+        if worst > max_share:
+            raise ValueError(f"{worst:.4f} % of a raster would be filled, more than {max_share} %")
+    front = cells.where("NOT _hole").select("raster_id", "r", "c", *bands)
+    around = F.array(*[F.struct((F.col("r") + dr).alias("nr"), (F.col("c") + dc).alias("nc"), F.lit(i).alias("_o")) for i, (dr, dc) in enumerate(OFFSETS)])
+    filled, rounds = None, 0
+    while holes:
+        if rounds == max_iter:
+            raise ValueError(f"{holes} holes left after {max_iter} rounds")
+        near = left.select("raster_id", "r", "c", F.inline(around))
+        src = front.select("raster_id", F.col("r").alias("nr"), F.col("c").alias("nc"), *bands)
+        got = near.join(src, ["raster_id", "nr", "nc"]).groupBy("raster_id", "r", "c").agg(F.min_by(F.struct(*bands), "_o").alias("_v"))
+        front = cut_lineage(got.select("raster_id", "r", "c", *[F.col(f"_v.{b}").alias(b) for b in bands]))
+        left = cut_lineage(left.join(front, ["raster_id", "r", "c"], "left_anti"))
+        remaining = left.count()
+        if remaining == holes:
+            raise ValueError("the fill stalled: the remaining holes touch no valid cell")
+        holes, rounds = remaining, rounds + 1
+        filled = front if filled is None else filled.unionByName(front)
+    if filled is None:
+        return px.withColumn("is_filled", F.lit(False)), 0
+    new = filled.select("raster_id", "r", "c", F.lit(True).alias("is_filled"), *[F.col(b).alias(f"_f_{b}") for b in bands])
+    out = cells.drop("_hole").join(new, ["raster_id", "r", "c"], "left").withColumn("is_filled", F.coalesce("is_filled", F.lit(False)))
+    values = {b: F.when(F.col("is_filled"), F.col(f"_f_{b}")).otherwise(F.col(b)) for b in bands}
+    return out.withColumns(values).drop(*[f"_f_{b}" for b in bands]), rounds
+
+
+# --- merges ----------------------------------------------------------------------------------------------------------
+
+
+def merge_fallback(orig: DataFrame, fallback: DataFrame, tiny_percent: float = 0.5, fill_tiny: bool = True) -> DataFrame:
+    """Keep valid original cells, fill the others from the fallback, and rasters that then miss at most `tiny_percent`
+    from the nearest cell; what is left is unresolved and set to 0. The difference band is recomputed.
+
+    Both tables hold (raster_id, r, c, vv, vh, is_valid) on one grid.
+    """
+    key = ["raster_id", "r", "c"]
+    fb = fallback.select(*key, F.col("vv").alias("_vv"), F.col("vh").alias("_vh"), F.col("is_valid").alias("_ok"))
+    j = orig.join(fb, key, "left")
+    own, use = F.col("is_valid"), ~F.col("is_valid") & F.coalesce("_ok", F.lit(False))
+    merged = j.select(
+        *key, *[F.when(use, F.col(f"_{b}")).otherwise(F.col(b)).alias(b) for b in ("vv", "vh")],
+        F.when(own, ORIGINAL).when(use, FALLBACK).otherwise(UNRESOLVED).alias("fill_source"), own.alias("valid_before"),
+    )
+    if fill_tiny:
+        missing = F.col("fill_source") == UNRESOLVED
+        share = merged.groupBy("raster_id").agg((100.0 * F.count_if(missing) / n_rows()).alias("_p"), F.count_if(missing).alias("_m"))
+        small = share.where((F.col("_m") > 0) & (F.col("_p") <= tiny_percent)).select("raster_id", F.lit(True).alias("_tiny"))
+        flagged = merged.join(small, "raster_id", "left").withColumn("_tiny", F.coalesce("_tiny", F.lit(False)))
+        near = nearest_fill(flagged.where("_tiny"), F.col("fill_source") != UNRESOLVED, ["vv", "vh"])
+        near = near.withColumn("fill_source", F.when(F.col("is_filled"), NEAREST).otherwise(F.col("fill_source")))
+        merged = flagged.where("NOT _tiny").drop("_tiny").unionByName(near.drop("_tiny", "fill_level", "is_filled"))
+    ok = F.col("fill_source") != UNRESOLVED
+    zero = lambda c: F.when(ok, c).otherwise(0.0)
+    return merged.withColumns({"vv": zero(F.col("vv")), "vh": zero(F.col("vh")), "valid_after": ok}).withColumn("vv_minus_vh", zero(F.col("vv") - F.col("vh")))
+
+
+def merge_report(merged: DataFrame) -> DataFrame:
+    """Fill counts and status per raster."""
+    code = F.col("fill_source")
+    g = merged.groupBy("raster_id").agg(
+        n_rows().alias("total_pixels"), F.count_if(~F.col("valid_before")).alias("original_missing"), F.count_if(code == FALLBACK).alias("fallback_filled"),
+        F.count_if(code == NEAREST).alias("nearest_filled"), F.count_if(code == UNRESOLVED).alias("final_missing"),
+    )
+    status = R.first_true(
+        [
+            (F.col("final_missing") > 0, "s1_ready_warning_residual_nodata"), (F.col("fallback_filled") > 0, "s1_ready_fallback_merged_zero_nodata"),
+            (F.col("nearest_filled") > 0, "s1_ready_tiny_nearest_filled_zero_nodata"),
+        ],
+        "s1_ready_clean_copied_zero_nodata",
+    )
+    return g.withColumn("status", status)
+
+
+def merge_zero_pixels(current: DataFrame, candidate: DataFrame, eps: float = 1e-6, fill_value: float = -9999.0) -> DataFrame:
+    """All-zero cells take a valid candidate cell; nothing else changes."""
+    key = ["raster_id", "r", "c"]
+    cand = candidate.select(*key, F.col("vv").alias("_vv"), F.col("vh").alias("_vh"))
+    j = current.join(cand, key, "left")
+    zero = all_zero([F.col("vv"), F.col("vh")], eps)
+    use = zero & candidate_valid([F.col("_vv"), F.col("_vh")], fill_value, eps)
+    new = {b: F.when(use, F.col(f"_{b}")).otherwise(F.col(b)) for b in ("vv", "vh")}
+    return j.withColumns({"zero_before": zero, "merged": use} | new).drop("_vv", "_vh")
+
+
+def merge_zero_report(merged: DataFrame, label: Column, eps: float = 1e-6) -> DataFrame:
+    after = all_zero([F.col("vv"), F.col("vh")], eps)
+    before, pos = F.col("zero_before"), label > 0
+    return merged.groupBy("raster_id").agg(
+        n_rows().alias("total_pixels"), F.count_if(before).alias("zero_before_pixels"), F.count_if(before & pos).alias("label_zero_before"), F.count_if("merged").alias("repaired"),
+        F.count_if(F.col("merged") & pos).alias("repaired_label"), F.count_if(after).alias("zero_after_pixels"), F.count_if(after & pos).alias("label_zero_after"),
+    )
+
+
+def fillability(current: DataFrame, candidates: DataFrame, label: Column, eps: float = 1e-6, fill_value: float = -9999.0) -> DataFrame:
+    """How many zero and label-zero cells each candidate could fill. `candidates` holds candidate_id, raster_id, r, c, vv, vh."""
+    zero = all_zero([F.col("vv"), F.col("vh")], eps)
+    cur = current.select("raster_id", "r", "c", zero.alias("_zero"), (zero & (label > 0)).alias("_lz"))
+    ok = candidate_valid([F.col("vv"), F.col("vh")], fill_value, eps)
+    j = candidates.select("candidate_id", "raster_id", "r", "c", ok.alias("_ok")).join(cur, ["raster_id", "r", "c"])
+    g = j.groupBy("raster_id", "candidate_id").agg(
+        F.count_if("_ok").alias("valid_pixels"), F.count_if("_zero").alias("zero_pixels"), F.count_if("_lz").alias("label_zero_pixels"),
+        F.count_if(F.col("_ok") & F.col("_zero")).alias("fillable_zero"), F.count_if(F.col("_ok") & F.col("_lz")).alias("fillable_label_zero"),
+    )
+    c = F.col
+    return g.withColumns(
+        {
+            "fillable_zero_percent": pct(c("fillable_zero"), c("zero_pixels")), "fillable_label_zero_percent": pct(c("fillable_label_zero"), c("label_zero_pixels")),
+            "remaining_zero": c("zero_pixels") - c("fillable_zero"), "remaining_label_zero": c("label_zero_pixels") - c("fillable_label_zero"),
+        }
+    )
+
+
+# --- plans -----------------------------------------------------------------------------------------------------------
+
+
+def nodata_plan(px: DataFrame, missing: Column, height: Column, width: Column, margin: int = 128, tile: int = 256, label: Column | None = None) -> DataFrame:
+    """Missing, border-connected and internal counts and shares per raster, plus label overlap where labels are given."""
+    holes = px.where(missing)
+    border = border_components(holes, height, width, margin, tile)
+    parts = border.groupBy("raster_id").agg(F.count_if("border_connected").alias("border_pixels"), F.count_if(~F.col("border_connected")).alias("internal_pixels"))
+    pos = (label > 0) if label is not None else F.lit(False)
+    base = px.groupBy("raster_id").agg(n_rows().alias("total_pixels"), F.count_if(missing).alias("missing_pixels"), F.count_if(pos).alias("label_pixels"), F.count_if(pos & missing).alias("label_missing_pixels"))
+    j = base.join(parts, "raster_id", "left").fillna(0, ["border_pixels", "internal_pixels"])
+    c = F.col
+    return j.withColumns(
+        {
+            "missing_percent": pct(c("missing_pixels"), c("total_pixels")), "border_percent": pct(c("border_pixels"), c("total_pixels")),
+            "internal_percent": pct(c("internal_pixels"), c("total_pixels")), "border_share_percent": pct(c("border_pixels"), c("missing_pixels")),
+            "label_overlap_percent": pct(c("label_missing_pixels"), c("label_pixels")),
+        }
+    )
+
+
+def repair_plan(px: DataFrame, missing: Column, height: Column, width: Column, margin: int = 128, tile: int = 256) -> DataFrame:
+    """Optical repair action per raster."""
+    p = nodata_plan(px, missing, height, width, margin, tile)
+    return p.withColumn("recommended_action", R.s2_repair_action(F.col("missing_percent"), F.col("border_share_percent"), F.col("internal_percent")))
+
+
+def plan_s1(px: DataFrame, missing: Column, label: Column, height: Column, width: Column, margin: int = 128, tile: int = 256) -> DataFrame:
+    """Radar handling action per raster."""
+    p = nodata_plan(px, missing, height, width, margin, tile, label)
+    return p.withColumn("recommended_action", R.s1_action(F.col("missing_percent"), F.col("label_overlap_percent")))
+
+
+def crop_plan(px: DataFrame, missing: Column, height: Column, width: Column, margin: int = 128, tile: int = 256, min_retained: float = 50.0) -> DataFrame:
+    """Crop window per raster that leaves out border-connected holes, with retained share and status."""
+    c = F.col
+    border = border_components(px.where(missing), height, width, margin, tile).where("border_connected").select("raster_id", "r", "c", F.lit(True).alias("_b"))
+    cells = px.withColumn("_missing", missing).join(border, ["raster_id", "r", "c"], "left").withColumn("_b", F.coalesce("_b", F.lit(False)))
+    cells = cut_lineage(cells.select("raster_id", "r", "c", "_missing", "_b"))
+    window = largest_rectangle(cells, ~c("_b"))
+    after = crop(cells, window).groupBy("raster_id").agg(F.count_if("_missing").alias("post_missing"), F.count_if("_b").alias("post_border"))
+    total = cells.groupBy("raster_id").agg(n_rows().alias("total_pixels"))
+    j = total.join(window, "raster_id").join(after, "raster_id", "left").fillna(0, ["post_missing", "post_border"])
+    kept = pct(c("area"), c("total_pixels"))
+    status = R.first_true(
+        [
+            (c("area") <= 0, "failed_no_valid_window"), (c("post_border") > 0, "warning_original_border_nodata_remaining"), (kept < min_retained, "warning_large_crop_loss"),
+            (c("post_missing") > 0, "ok_border_removed_residual_internal_or_crop_edge_nodata"),
+        ],
+        "ok_no_s2_nodata_after_crop",
+    )
+    return j.withColumns({"retained_percent": kept, "crop_status": status})

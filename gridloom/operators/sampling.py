@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridloom.functions.arrays import AUGMENTATIONS
 from gridloom.operators.ranking import hash_bucket, hash_order, join_null_safe, ranked, sample_rank, take_sample
 
-N = F.count(F.lit(1))
+
+def n_rows() -> Column:
+    return F.count(F.lit(1))
 
 
 @dataclass(frozen=True)
@@ -77,8 +79,8 @@ def filter_set_overall(members: DataFrame) -> DataFrame:
     pos, role = F.col("label_positive_pixels") > 0, F.col("split")
     tp, tn = F.count_if(pos & (role == "train")), F.count_if(~pos & (role == "train"))
     return members.groupBy("filter_set_id").agg(
-        N.alias("total_patches"), *[F.count_if(role == r).alias(f"{r}_patches") for r in ("train", "val", "test")],
-        F.count_if(pos).alias("positive_patches"), F.count_if(~pos).alias("negative_patches"), (100.0 * F.count_if(pos) / N).alias("positive_patch_percent"),
+        n_rows().alias("total_patches"), *[F.count_if(role == r).alias(f"{r}_patches") for r in ("train", "val", "test")],
+        F.count_if(pos).alias("positive_patches"), F.count_if(~pos).alias("negative_patches"), (100.0 * F.count_if(pos) / n_rows()).alias("positive_patch_percent"),
         F.size(F.collect_set("city")).cast("bigint").alias("cities"), tp.alias("train_positive_patches"), tn.alias("train_negative_patches"),
         F.when(tp > 0, tn / tp).alias("train_negative_to_positive_ratio"),
     )
@@ -115,7 +117,7 @@ def curriculum(train: DataFrame, recipe: Mapping[str, float], n: int, key: str =
     pooled = pooled.withColumn("_key", F.concat_ws("|", "sample_pool", F.col(key).cast("string")))
     placed = sample_rank(pooled, ["sample_pool"], ["_key"], str(seed), "_pos").drop("_key")
     quota_of = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
-    sizes = placed.groupBy("sample_pool").agg(N.alias("_size"))
+    sizes = placed.groupBy("sample_pool").agg(n_rows().alias("_size"))
     rows = placed.join(sizes, "sample_pool").withColumn("_quota", quota_of[F.col("sample_pool")])
     enough = F.col("_size") >= F.col("_quota")
     plain = rows.where(enough & (F.col("_pos") <= F.col("_quota"))).withColumn("_draw", F.col("_pos"))

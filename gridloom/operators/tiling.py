@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.functions.scalars import patch_id_224
 
-N = F.count(F.lit(1))
+
+def n_rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def stride_of(size: int, stride: int | None = None, overlap: float = 0.0) -> int:
@@ -123,7 +125,7 @@ def patch_stats(px: DataFrame, meta: DataFrame, patches: DataFrame, size: int, s
     """
     values = values or {}
     blocks = with_blocks(px, meta, size, stride, raster)
-    aggs = [N.alias("total_pixels"), *[F.count_if(cond).alias(k) for k, cond in counts.items()]]
+    aggs = [n_rows().alias("total_pixels"), *[F.count_if(cond).alias(k) for k, cond in counts.items()]]
     for k, (v, ok) in values.items():
         x = F.when(ok, v.cast("double"))
         aggs += [F.count(x).alias(f"_n_{k}"), F.sum(x).alias(f"_s_{k}"), F.sum(x * x).alias(f"_q_{k}"), F.min(x).alias(f"_lo_{k}"), F.max(x).alias(f"_hi_{k}")]
@@ -139,7 +141,7 @@ def patch_stats(px: DataFrame, meta: DataFrame, patches: DataFrame, size: int, s
 
 def patch_weights(patches: DataFrame, size: int, stride: int, raster: str = "raster_id") -> DataFrame:
     """How many patches cover each block."""
-    return patch_blocks(patches, size, stride, raster).groupBy(raster, "block_row", "block_col").agg(N.alias("weight"))
+    return patch_blocks(patches, size, stride, raster).groupBy(raster, "block_row", "block_col").agg(n_rows().alias("weight"))
 
 
 def normalization_stats(long: DataFrame, meta: DataFrame, train: DataFrame, size: int, stride: int, qs: Mapping[str, float], by: Sequence[str] = ("band",), raster: str = "raster_id") -> DataFrame:

@@ -15,7 +15,9 @@ from gridloom.functions.scalars import safe_bool, safe_float, safe_int
 from gridloom.operators.ranking import top_k
 from gridloom.operators.sets import role_overlap
 
-N = F.count(F.lit(1))
+
+def n_rows() -> Column:
+    return F.count(F.lit(1))
 ERRORS_PER_CHECK = 100
 
 
@@ -53,7 +55,7 @@ def check_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
 def check_counts(df: DataFrame, expected: Mapping[str, int], positive: Column) -> DataFrame:
     """Whole-table counts against their contract."""
     observed = {
-        "total_patches": N, "city_count": F.size(F.collect_set("city")).cast("bigint"),
+        "total_patches": n_rows(), "city_count": F.size(F.collect_set("city")).cast("bigint"),
         "positive_patches": F.count_if(positive), "empty_patches": F.count_if(~positive),
     }
     agg = df.agg(*[observed[k].alias(k) for k in expected])
@@ -61,7 +63,7 @@ def check_counts(df: DataFrame, expected: Mapping[str, int], positive: Column) -
 
 
 def check_unique(df: DataFrame, keys: Sequence[str], name: str = "unique_keys") -> DataFrame:
-    dup = df.groupBy(*keys).agg(N.alias("_n")).agg(F.count_if(F.col("_n") > 1).alias("_d"))
+    dup = df.groupBy(*keys).agg(n_rows().alias("_n")).agg(F.count_if(F.col("_n") > 1).alias("_d"))
     return dup.select(_rows([(name, F.col("_d"), F.lit(0).cast("bigint"))]))
 
 
@@ -134,15 +136,15 @@ def check_splits(splits: DataFrame, by: Sequence[str] = ("fold_id",), min_positi
 
 def check_city_split(splits: DataFrame, cities: int, by: Sequence[str] = ("split_strategy", "fold_id")) -> DataFrame:
     """City-level split: row count, duplicates and roles present, per fold."""
-    g = splits.groupBy(*by).agg(N.alias("rows"), F.size(F.collect_set("city")).alias("distinct_cities"), F.size(F.collect_set("split")).alias("roles"))
+    g = splits.groupBy(*by).agg(n_rows().alias("rows"), F.size(F.collect_set("city")).alias("distinct_cities"), F.size(F.collect_set("split")).alias("roles"))
     ok = (F.col("rows") == cities) & (F.col("distinct_cities") == F.col("rows"))
     return g.withColumn("status", F.when(ok & (F.col("roles") == 3), "passed").when(ok, "missing_roles").otherwise("failed"))
 
 
 def check_index(df: DataFrame, other: DataFrame, index: str, key: str) -> DataFrame:
     """A feature index is 0..n-1 without gap or repeat, and both tables hold the same keys."""
-    n = df.agg(N.alias("_n"), F.min(index).alias("_lo"), F.max(index).alias("_hi"), F.lit(1).alias("_one"))
-    dup = df.groupBy(index).agg(N.alias("_c")).agg(F.count_if(F.col("_c") > 1).alias("_dup"), F.lit(1).alias("_one"))
+    n = df.agg(n_rows().alias("_n"), F.min(index).alias("_lo"), F.max(index).alias("_hi"), F.lit(1).alias("_one"))
+    dup = df.groupBy(index).agg(n_rows().alias("_c")).agg(F.count_if(F.col("_c") > 1).alias("_dup"), F.lit(1).alias("_one"))
     sides = df.select(key, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(other.select(key, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
     per = sides.groupBy(key).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
     keys = per.agg(
@@ -163,7 +165,7 @@ def check_cities(cities: DataFrame, n: int, regions: Sequence[str]) -> DataFrame
     zero = F.lit(0).cast("bigint")
     size = lambda c: F.size(c).cast("bigint")
     unknown = F.count_if(F.coalesce(F.col("region"), F.lit("UNKNOWN")) == "UNKNOWN")
-    agg = cities.agg(N.alias("n"), unknown.alias("u"), F.collect_set("city").alias("c"), F.collect_set("region").alias("r"))
+    agg = cities.agg(n_rows().alias("n"), unknown.alias("u"), F.collect_set("city").alias("c"), F.collect_set("region").alias("r"))
     want = F.array(*[F.lit(x) for x in regions])
     return agg.select(
         _rows([
@@ -176,7 +178,7 @@ def check_cities(cities: DataFrame, n: int, regions: Sequence[str]) -> DataFrame
 def check_manifest(manifest: DataFrame, modalities: Sequence[str], rows: int) -> DataFrame:
     """Rows per modality, and band lists that fit the modality."""
     g = manifest.where(F.col("modality").isin(*modalities)).groupBy("modality").agg(
-        N.alias("rows"), F.count_if((F.size("optical_bands") > 0) != F.col("uses_s2")).alias("bad_optical"),
+        n_rows().alias("rows"), F.count_if((F.size("optical_bands") > 0) != F.col("uses_s2")).alias("bad_optical"),
         F.count_if((F.size("sar_bands") > 0) != F.col("uses_sar")).alias("bad_sar"),
     )
     ok = (F.col("rows") == rows) & (F.col("bad_optical") == 0) & (F.col("bad_sar") == 0)
@@ -186,7 +188,7 @@ def check_manifest(manifest: DataFrame, modalities: Sequence[str], rows: int) ->
 def check_ready_stack(px: DataFrame, meta: DataFrame, s2_bad: Column, s1_bad: Column, label: Column, fill: Column, require_qa: bool = True) -> DataFrame:
     """Final status per city from its pixels (holes, label values, fill codes) and its raster table (bands, grids)."""
     g = px.groupBy("city").agg(
-        N.alias("total_pixels"), F.count_if(s2_bad).alias("s2_nodata"), F.count_if(s1_bad).alias("s1_nodata"),
+        n_rows().alias("total_pixels"), F.count_if(s2_bad).alias("s2_nodata"), F.count_if(s1_bad).alias("s1_nodata"),
         F.bool_and(label.isin(0, 1)).alias("label_binary"), F.bool_and(fill.isin(0, 1, 2, 9)).alias("fill_ok"), F.count_if(fill == 9).alias("unresolved"),
     )
     j = g.join(meta, "city")

@@ -13,35 +13,35 @@ PRODUCT_PATTERN = (
     r"^(S1[A-Z])_([A-Z0-9]+)_([A-Z0-9]+)_([A-Z0-9])([A-Z0-9])([A-Z0-9])([A-Z0-9]+)_"
     r"(\d{8}T\d{6})_(\d{8}T\d{6})_(\d+)_([A-Fa-f0-9]+)(?:_([A-Fa-f0-9]+))?(?:_(COG))?(?:\.SAFE)?(?:\.zip)?$"
 )
-PRODUCT_FIELDS = {
-    "platform": 1,
-    "acquisition_mode": 2,
-    "product_type": 3,
-    "product_class": 6,
-    "polarization_code": 7,
-    "absolute_orbit": 10,
-    "datatake": 11,
-}
+PRODUCT_HEAD = r"^S1[A-Z]_[A-Z0-9]+_[A-Z0-9]+_[A-Z0-9]+_\d{8}T\d{6}_\d{8}T\d{6}_\d+_[A-Fa-f0-9]+(_|\.|$)"
 
 
 def parse_product(c: Column) -> dict[str, Column]:
-    """Fields of a product name; NULL where the name does not have the layout."""
-
-    def part(i: int) -> Column:
-        text = F.regexp_extract(c, PRODUCT_PATTERN, i)
-        return F.when(text != "", text)
+    """Fields of a product name; NULL where the name does not have the layout.
 
+    The layout is tested once and the fields are cut at the underscores, so the pattern does not run per field.
+    """
+    fits = c.rlike(PRODUCT_PATTERN)
+    parts = F.split(c, "_")
+    part = lambda i: F.when(fits, F.get(parts, F.lit(i)))
     stamp = lambda i: F.try_to_timestamp(part(i), F.lit("yyyyMMdd'T'HHmmss"))
-    return {k: part(i) for k, i in PRODUCT_FIELDS.items()} | {
-        "acquisition_start": stamp(8),
-        "acquisition_stop": stamp(9),
+    return {
+        "platform": part(0),
+        "acquisition_mode": part(1),
+        "product_type": part(2),
+        "product_class": F.substring(part(3), 3, 1),
+        "polarization_code": F.substring(part(3), 4, 8),
+        "absolute_orbit": part(6),
+        "datatake": F.substring_index(part(7), ".", 1),
+        "acquisition_start": stamp(4),
+        "acquisition_stop": stamp(5),
     }
 
 
 def product_prefix(c: Column) -> Column:
     """The name up to the datatake: the same for a product and its re-packed copies."""
-    head = F.regexp_extract(c, r"^(S1[A-Z]_[A-Z0-9]+_[A-Z0-9]+_[A-Z0-9]+_\d{8}T\d{6}_\d{8}T\d{6}_\d+_[A-Fa-f0-9]+)", 1)
-    return F.when(head != "", head).otherwise(F.regexp_replace(c, r"(\.SAFE)?(\.zip)?$", ""))
+    bare = F.regexp_replace(c, r"(\.SAFE)?(\.zip)?$", "")
+    return F.when(c.rlike(PRODUCT_HEAD), F.substring_index(F.substring_index(c, "_", 8), ".", 1)).otherwise(bare)
 
 
 def polarisations(c: Column) -> Column:

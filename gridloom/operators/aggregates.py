@@ -62,27 +62,32 @@ def city_summary(meta: DataFrame) -> DataFrame:
 
 
 def label_distribution(patches: DataFrame, by: Sequence[str], patch_area: int) -> DataFrame:
-    """Label distribution for the whole table and for each column in `by`, in one pass over grouping sets.
+    """Label distribution for the whole table and for each column in `by`, from one pass over the patches.
 
-    Quantiles are exact: a label percentage takes one of `patch_area + 1` values, which bounds the buffer.
+    Patches are first counted per (groups, positive pixels): a pixel count takes one of `patch_area + 1` values, so
+    however many patches there are, that table is bounded. Grouping sets, moments and exact weighted quantiles then
+    work on it.
     """
-    p, positive = F.col("label_positive_percent"), F.col("label_positive_pixels") > 0
     qs = {"p01": 0.01, "p05": 0.05, "p10": 0.10, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
     pos_qs = ("p25", "median", "p75", "p95")
-    pp = F.when(positive, p)
-    all_q = F.percentile(p, F.array(*[F.lit(q) for q in qs.values()]))
-    pos_q = F.percentile(pp, F.array(*[F.lit(qs[k]) for k in pos_qs]))
+    cells = patches.groupBy(*by, "label_positive_pixels", "label_positive_percent").agg(n_rows().alias("_n"))
+    p, k = F.col("label_positive_percent"), F.col("_n")
+    positive = F.col("label_positive_pixels") > 0
     zero = lambda c: F.coalesce(c, F.lit(0.0))
+
+    def moments(rows: Column, prefix: str) -> list[Column]:
+        v, w = F.when(rows, p), F.when(rows, k)
+        n = F.sum(w)
+        mean = F.sum(v * w) / n
+        spread = F.when(n > 1, F.sqrt(F.greatest(F.sum(v * v * w) - n * mean * mean, F.lit(0.0)) / (n - 1)))
+        return [x.alias(prefix + name) for x, name in ((mean, "mean"), (spread, "std"), (F.min(v), "min"), (F.max(v), "max"))]
+
     sets = [[F.col(c) for c in cols] for cols in [[]] + [[c] for c in by]]
-    agg = patches.groupingSets(sets, *[F.col(c) for c in by]).agg(
-        F.grouping_id().alias("_gid"),
-        n_rows().alias("n_patches"),
-        F.count_if(positive).alias("n_positive_patches"),
-        F.sum("label_positive_pixels").alias("total_label_positive_pixels"),
-        F.avg(p).alias("mean"), F.stddev_samp(p).alias("std"), F.min(p).alias("min"), F.max(p).alias("max"),
-        all_q.alias("_q"),
-        F.avg(pp).alias("pos_mean"), F.stddev_samp(pp).alias("pos_std"), F.min(pp).alias("pos_min"), F.max(pp).alias("pos_max"),
-        pos_q.alias("_pq"),
+    agg = cells.groupingSets(sets, *[F.col(c) for c in by]).agg(
+        F.grouping_id().alias("_gid"), F.sum(k).alias("n_patches"), F.coalesce(F.sum(F.when(positive, k)), F.lit(0)).alias("n_positive_patches"),
+        F.sum(F.col("label_positive_pixels") * k).alias("total_label_positive_pixels"), *moments(F.lit(True), ""), *moments(positive, "pos_"),
+        F.percentile(p, F.array(*[F.lit(q) for q in qs.values()]), k).alias("_q"),
+        F.percentile(F.when(positive, p), F.array(*[F.lit(qs[q]) for q in pos_qs]), k).alias("_pq"),
     )
     whole = (1 << len(by)) - 1
     kind, value = F.lit("overall"), F.lit("all_patches")

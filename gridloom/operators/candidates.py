@@ -124,33 +124,43 @@ def search_candidates(catalogue: DataFrame, reference_time: Column, min_overlap:
 
 
 def match_products(wanted: DataFrame, products: DataFrame, minutes: int = 10, prefer_cog: bool = False) -> DataFrame:
-    """Best catalogue product for each wanted name: same prefix, or a start time within the window.
+    """Best catalogue product for each wanted name: same prefix, else a start time within the window.
 
-    Both ways are equi joins: on the prefix, and on the hour (a window of minutes touches at most two hours, so each
-    wanted name is laid out at most twice). Names match whole or by prefix before they match by time.
+    A prefix match outscores any match by time, so only names without one go to the time window. Both ways are equi
+    joins, on the prefix and on the hour (a window of minutes touches at most two hours, so a name is laid out at most
+    twice). Products are reduced to the first of those that score alike before they meet the names, and the best match
+    is a mergeable aggregate.
     """
-    w = wanted.select("name", product_prefix(F.col("name")).alias("prefix"), parse_product(F.col("name"))["acquisition_start"].alias("start"))
-    p = products.select(F.col("name").alias("product"), product_prefix(F.col("name")).alias("prefix"), parse_product(F.col("name"))["acquisition_start"].alias("p_start"))
-    by_prefix = w.select("name", "prefix").join(p.select("product", "prefix"), "prefix").select("name", "product", F.lit("prefix").alias("method"))
+    fields = ("platform", "acquisition_mode", "product_type", "polarization_code", "absolute_orbit", "datatake")
+
+    def parsed(df: DataFrame, name: str) -> DataFrame:
+        f = parse_product(F.col("name"))
+        return df.select(
+            F.col("name").alias(name), product_prefix(F.col("name")).alias("prefix"), F.unix_seconds(f["acquisition_start"]).alias("s"), *[f[k].alias(k) for k in fields]
+        )
+
+    hit = lambda cond, n: F.when(F.coalesce(cond, F.lit(False)), n).otherwise(0)
+    cog = F.contains("product", F.lit("_COG"))
+    packing = F.when(cog, 80 if prefer_cog else -20).otherwise(50)
+    parts = packing
+    for k in fields:
+        parts = parts + hit(F.contains("product", F.col(k)), 25)
+    best = lambda df, score: best_per_key(df.select("name", "product", score.alias("score")), ["name"], [-F.col("score"), F.col("product")])
+    w = parsed(wanted.distinct(), "name")
+    p = parsed(products.distinct(), "product").select("product", "prefix", "s", *[F.col(k).alias(f"_{k}") for k in fields])
+    same = F.col("product") == F.col("name")
+    whole = parts + hit(same, 1000) + hit(F.startswith("product", "prefix"), 800) + hit(F.contains("product", F.col("prefix")), 500) + F.when(same, 100).otherwise(80)
+    by_prefix = best(w.join(p.select("product", "prefix"), "prefix"), whole).withColumn("method", F.lit("prefix"))
     span = minutes * 60
     hour = lambda s: F.floor(s / 3600).cast("bigint")
-    s = F.unix_seconds("start")
-    hours = w.where("start IS NOT NULL").select("name", s.alias("s"), F.explode(F.sequence(hour(s - span), hour(s + span))).alias("hour"))
-    timed = p.where("p_start IS NOT NULL").select("product", F.unix_seconds("p_start").alias("ps"), hour(F.unix_seconds("p_start")).alias("hour"))
-    by_time = hours.join(timed, "hour").where(F.abs(F.col("ps") - F.col("s")) <= span).select("name", "product", F.lit("time_window").alias("method"))
-    found = by_prefix.unionByName(by_time).groupBy("name", "product").agg(F.min("method").alias("method"))
-    fields = parse_product(F.col("name"))
-    parts = [fields[k] for k in ("platform", "acquisition_mode", "product_type", "polarization_code", "absolute_orbit", "datatake")]
-    prefix = product_prefix(F.col("name"))
-    hit = lambda cond, n: F.when(F.coalesce(cond, F.lit(False)), n).otherwise(0)
-    score = hit(F.col("product") == F.col("name"), 1000) + hit(F.startswith("product", prefix), 800) + hit(F.contains(F.col("product"), prefix), 500)
-    for part in parts:
-        score = score + hit(F.contains(F.col("product"), part), 25)
-    cog = F.contains(F.col("product"), F.lit("_COG"))
-    score = score + F.when(cog, 80 if prefer_cog else -20).otherwise(50)
-    score = score + F.when(F.col("product") == F.col("name"), 100).when(F.col("method") == "prefix", 80).otherwise(30)
-    best = best_per_key(found.withColumn("score", score), ["name"], [-F.col("score"), F.col("product")])
-    return best.select("name", "product", "method", "score")
+    s = F.col("s")
+    left = w.where(s.isNotNull()).join(by_prefix.select("name"), "name", "left_anti")
+    left = left.select("name", *fields, s.alias("_s"), F.explode(F.sequence(hour(s - span), hour(s + span))).alias("_hour"))
+    alike = ["s", *[f"_{k}" for k in fields], "_cog"]
+    timed = p.where(s.isNotNull()).withColumn("_cog", cog).groupBy(*alike).agg(F.min("product").alias("product"))
+    near = left.join(timed.select("product", "s", hour(s).alias("_hour")), "_hour").where(F.abs(s - F.col("_s")) <= span)
+    by_time = best(near, parts + 30).withColumn("method", F.lit("time_window"))
+    return by_prefix.unionByName(by_time).select("name", "product", "method", "score")
 
 
 def match_cities(paths: DataFrame, cities: Sequence[str], path: str = "path", limit: int = 10_000) -> DataFrame:

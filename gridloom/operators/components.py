@@ -61,18 +61,19 @@ def facing_labels(labels: DataFrame, tile: int) -> DataFrame:
     return out.distinct()
 
 
-def _compress(parent: DataFrame) -> DataFrame:
-    """Point every node straight at the end of its chain."""
+def _compress(parent: DataFrame, jumps: int = 2) -> DataFrame:
+    """Point every node straight at the end of its chain. A pass makes `jumps` pointer jumps, each of which doubles
+    the distance covered, before it is checkpointed."""
     while True:
-        up = parent.select("raster_id", F.col("node").alias("parent"), F.col("parent").alias("_next"))
-        jumped = parent.join(up, ["raster_id", "parent"], "left").select(
-            "raster_id", "node", F.coalesce("_next", "parent").alias("parent"), F.col("_next").isNotNull().alias("_moved")
-        )
-        jumped = cut_lineage(jumped)
-        moved = jumped.where("_moved").limit(1).count()
-        parent = jumped.drop("_moved")
-        if not moved:
-            return parent
+        step = parent
+        for _ in range(jumps):
+            up = step.select("raster_id", F.col("node").alias("parent"), F.col("parent").alias("_next"))
+            step = step.select("raster_id", "node", "parent").join(up, ["raster_id", "parent"], "left").select(
+                "raster_id", "node", F.coalesce("_next", "parent").alias("parent"), F.col("_next").isNotNull().alias("_moved")
+            )
+        parent = cut_lineage(step)
+        if not parent.where("_moved").limit(1).count():
+            return parent.drop("_moved")
 
 
 def contract(edges: DataFrame) -> DataFrame:

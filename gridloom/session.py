@@ -27,14 +27,17 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the session names.
+    """Reliable checkpoint in the shared folder the session names (`spark.checkpoint.dir`).
 
     An iterative operator calls this between rounds, so that a lost executor re-reads the last round instead of
-    replaying all of them. Only where the session names no folder (tests, local runs) is a temporary one used.
+    replaying all of them. The rows are kept while they are written, so a round is computed once. Only where the
+    session names no folder (tests, local runs) is a temporary one used.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    kept = df.persist()
+    out = kept.checkpoint(eager=True)
+    kept.unpersist()
+    return out

@@ -105,7 +105,7 @@ def product_inventory(files: DataFrame, cities: DataFrame, selected: DataFrame)
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
     """Catalogue items, one JSON document per file, as text with its path."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("value").alias("item"), F.col("_metadata.file_path").alias("item_path"))
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("item"), F.col("_metadata.file_path").alias("item_path"))
 
 
 def manifest_from_items(items: DataFrame) -> DataFrame:

@@ -91,10 +91,12 @@ def read_candidates(spark: SparkSession, glob: str) -> DataFrame:
     """All candidate tables under a glob, with the path of each row; the best row per (city, item) is kept."""
     df = spark.read.option("header", True).csv(glob).withColumn("candidate_path", F.col("_metadata.file_path"))
     aliases = {
+        "city": ("city",),
+        "item_id": ("item_id", "product_id"),
         "overlap_percent": ("overlap_percent", "overlap_percent_of_missing_aoi"),
         "temporal_distance_days": ("temporal_distance_days", "temporal_distance_days_from_ranking_date"),
     }
-    df = resolve(df, aliases, ["city", "item_id"]) if {"city", "item_id"} <= set(df.columns) else resolve(df, aliases)
+    df = resolve(df, aliases, ["city", "item_id"])
     for name, kind in (("overlap_percent", "double"), ("temporal_distance_days", "double"), ("rank", "int")):
         df = df.withColumn(name, F.col(name).try_cast(kind) if name in df.columns else F.lit(None).cast(kind))
     order = [-F.coalesce("overlap_percent", F.lit(0.0)), F.coalesce("temporal_distance_days", F.lit(999999.0)), F.coalesce("rank", F.lit(999999))]

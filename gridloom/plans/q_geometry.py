@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import alignment as Al, geometry as G
 from gridloom.plans.fixtures import fx_pixel, table
 from gridloom.plans.q_reports import rounded
+from gridloom.plans.q_tiles import raster_meta
 from gridloom.plans.registry import query
 
 # Triangles drawn on the 50 x 50 fixture rasters, three per customer-sized table row: one polygon per supplier.
@@ -18,7 +19,7 @@ HITS = f"""hits AS (SELECT e.raster_id, e.geom_id, x.r, x.c FROM {EDGES} e JOIN
 
 def grids(spark, d):
     unit = F.array(*[F.lit(float(v)) for v in (1, 0, 0, 0, 1, 0)])
-    return fx_pixel(spark, d).select("raster_id").distinct().select("raster_id", unit.alias("transform"), F.lit(50).alias("width"), F.lit(50).alias("height"))
+    return raster_meta(fx_pixel(spark, d)).select("raster_id", unit.alias("transform"), "width", "height")
 
 
 def triangles(spark, d):
@@ -70,7 +71,7 @@ def _(spark, d):
 def dst_grid(spark, d):
     """40 x 40 cells of 1.25 source cells, shifted by a third of a cell."""
     t = F.array(*[F.lit(float(v)) for v in (1.25, 0, 0.25, 0, 1.25, -0.75)])
-    return grids(spark, d).select("raster_id", t.alias("transform"), F.lit(40).alias("width"), F.lit(40).alias("height"))
+    return grids(spark, d).select("raster_id", t.alias("transform"), F.least(F.lit(40), "width").alias("width"), F.least(F.lit(40), "height").alias("height"))
 
 
 TARGET = """t AS (SELECT raster_id, r, c, 1.25 * (c + 0.5) + 0.25 AS fc, 1.25 * (r + 0.5) - 0.75 AS fr FROM fx_pixel WHERE r < 40 AND c < 40)"""
@@ -98,7 +99,7 @@ META = """(SELECT c_custkey, concat('city', c_custkey // 3) AS city, CASE c_cust
   CASE WHEN c_custkey % 17 = 0 THEN 20.0 ELSE 10.0 END AS res, 1000 + CASE WHEN c_custkey % 23 = 0 THEN 1 ELSE 0 END AS width FROM customer WHERE NOT (c_custkey % 3 = 1 AND c_custkey % 5 = 0))"""
 
 
-def raster_meta(spark, d):
+def grid_table(spark, d):
     k = F.col("c_custkey")
     res = F.when(k % 17 == 0, 20.0).otherwise(10.0)
     t = F.array(res, F.lit(0.0), F.lit(500000.0), F.lit(0.0), -res, F.lit(7000000.0))
@@ -118,7 +119,7 @@ def raster_meta(spark, d):
       CASE WHEN lm AND s1m THEN 'OK_S2_S1_LABEL' WHEN lm AND NOT s1e THEN 'OK_S2_LABEL_S1_MISSING' WHEN lm THEN 'LABEL_OK_S1_ALIGNMENT_PROBLEM' ELSE 'ALIGNMENT_PROBLEM' END AS city_status FROM j""",
 )
 def _(spark, d):
-    q = Al.alignment_qc(raster_meta(spark, d))
+    q = Al.alignment_qc(grid_table(spark, d))
     return q.select("city", "s1_all_match", "s1_same_transform", "s1_exists", "label_all_match", "label_same_shape", "city_status")
 
 

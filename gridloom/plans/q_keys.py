@@ -127,7 +127,7 @@ def candidate_rows(spark, d):
       a AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY overlap_percent DESC, score DESC, coalesce(days, 999999), item_id) AS rn FROM s),
       k AS (SELECT city, count(*) AS n, count(*) FILTER (ok_overlap) AS n_ok, count(*) FILTER (whole) AS n_full FROM s GROUP BY city),
       j AS (SELECT f.city, k.n, k.n_ok, k.n_full, m.manual, e.item_id AS e_id, a.item_id AS a_id FROM fx_city f LEFT JOIN k USING (city) LEFT JOIN m USING (city) LEFT JOIN e ON e.city = f.city AND e.rn = 1 LEFT JOIN a ON a.city = f.city AND a.rn = 1),
-      x AS (SELECT *, CASE WHEN n IS NULL THEN 'no_candidates' WHEN manual = 'nothing' THEN 'manual_selection_not_found' WHEN manual IS NOT NULL THEN 'selected_manual' WHEN e_id IS NOT NULL THEN 'selected_auto' ELSE 'best_available_but_below_threshold' END AS st, coalesce(manual, e_id, a_id) AS sel FROM j)
+      x AS (SELECT *, CASE WHEN n IS NULL THEN 'no_candidates' WHEN manual = 'nothing' THEN 'manual_selection_not_found' WHEN manual IS NOT NULL THEN 'selected_manual' WHEN e_id IS NOT NULL THEN 'selected_auto' ELSE 'best_available_but_below_threshold' END AS st, CASE WHEN n IS NOT NULL THEN coalesce(manual, e_id, a_id) END AS sel FROM j)
       SELECT x.city, st AS selection_status, sel AS selected_item_id, s.overlap_percent, round(s.score, 6) AS selection_score, coalesce(n, 0) AS num_candidates, coalesce(n_ok, 0) AS num_meeting_min_overlap, coalesce(n_full, 0) AS num_full_coverage
       FROM x LEFT JOIN s ON s.city = x.city AND s.item_id = x.sel""",
 )

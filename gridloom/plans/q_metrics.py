@@ -105,9 +105,9 @@ def _(spark, d):
     """WITH g AS (SELECT fold, score, sum(y) AS p, sum(1 - y) AS q FROM fx_score GROUP BY fold, score),
       r AS (SELECT *, sum(p) OVER w AS tp, sum(q) OVER w AS fp FROM g WINDOW w AS (PARTITION BY fold ORDER BY score DESC)),
       m AS (SELECT fold, CAST(sum(p) AS BIGINT) AS positives, CAST(sum(q) AS BIGINT) AS negatives, sum(p * tp / (tp + fp)) / sum(p) AS ap,
-        sum((tp - p / 2.0) * q) / (CAST(sum(p) AS DOUBLE) * sum(q)) AS auc, CAST(sum(p) FILTER (score >= 0.5) AS BIGINT) AS tp, CAST(sum(q) FILTER (score >= 0.5) AS BIGINT) AS fp FROM r GROUP BY fold)
+        sum((tp - p / 2.0) * q) / (CAST(sum(p) AS DOUBLE) * sum(q)) AS auc, CAST(coalesce(sum(p) FILTER (score >= 0.5), 0) AS BIGINT) AS tp, CAST(coalesce(sum(q) FILTER (score >= 0.5), 0) AS BIGINT) AS fp FROM r GROUP BY fold)
       SELECT fold, positives, negatives, round(ap, 6) AS average_precision, round(auc, 6) AS roc_auc, tp, fp, positives - tp AS fn, negatives - fp AS tn,
-      round(2.0 * tp / (tp + fp + positives), 6) AS f1, round(tp / (tp + fp), 6) AS precision, round(tp / positives, 6) AS recall,
+      round(2.0 * tp / (tp + fp + positives), 6) AS f1, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(tp / positives, 6) AS recall,
       round(0.5 * (tp / positives + (negatives - fp) / negatives), 6) AS balanced_accuracy, round((tp + negatives - fp) / (positives + negatives), 6) AS accuracy FROM m""",
 )
 def _(spark, d):

@@ -80,7 +80,9 @@ def _(spark, d):
     "SELECT DISTINCT p.raster_id, p.r, p.c FROM fx_pixel p JOIN fx_pixel m ON m.raster_id = p.raster_id AND m.vv > 150 AND (m.r - p.r) * (m.r - p.r) + (m.c - p.c) * (m.c - p.c) <= 9",
 )
 def _(spark, d):
-    return C.dilate(fx_pixel(spark, d).where("vv > 150").select("raster_id", "r", "c"), 3, *side())
+    px = fx_pixel(spark, d)
+    wide = C.dilate(px.where("vv > 150").select("raster_id", "r", "c"), 3, *side())
+    return wide.join(px, ["raster_id", "r", "c"], "left_semi")
 
 
 RECT = """WITH hts AS (SELECT raster_id, r, c, r - coalesce(max(CASE WHEN NOT ok THEN r END) OVER (PARTITION BY raster_id, c ORDER BY r), -1) AS run FROM (SELECT *, {ok} AS ok FROM fx_pixel)),

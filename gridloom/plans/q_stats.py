@@ -216,19 +216,19 @@ def sar_stats(spark, d):
 
 @query(
     "sar_main_table",
-    f"""SELECT product, band, round(mean, 4) AS mean, round(p75 - p25, 4) AS iqr, round(mean - ref_mean, 4) AS mean_difference, round(std / ref_std, 4) AS std_ratio,
+    f"""SELECT product, band, round(mean, 8) AS mean, round(p75 - p25, 8) AS iqr, round(mean - ref_mean, 8) AS mean_difference, round(std / ref_std, 8) AS std_ratio,
       CASE WHEN abs(mean - ref_mean) <= 10 AND std BETWEEN 1 AND 12 THEN 'Broadly plausible' WHEN product = 'RTC' THEN 'Shifted high-tail distribution; inspect before primary use' ELSE 'Distribution requires inspection' END AS interpretation FROM {SARSTATS}""",
 )
 def _(spark, d):
     main, _ = D.sar_tables(sar_stats(spark, d))
-    return rounded(main.select("product", "band", "mean", "iqr", "mean_difference", "std_ratio", "interpretation"), 4)
+    return rounded(main.select("product", "band", "mean", "iqr", "mean_difference", "std_ratio", "interpretation"), 8)
 
 
 @query(
     "sar_variant_table",
-    f"""SELECT a.band, round(b.mean - a.mean, 4) AS mean_delta, round(b.p50 - a.p50, 4) AS median_delta, round(b.std / a.std, 4) AS std_ratio, round(b.db_gt_10_pct - a.db_gt_10_pct, 4) AS gt10_delta,
+    f"""SELECT a.band, round(b.mean - a.mean, 8) AS mean_delta, round(b.p50 - a.p50, 8) AS median_delta, round(b.std / a.std, 8) AS std_ratio, round(b.db_gt_10_pct - a.db_gt_10_pct, 8) AS gt10_delta,
       CASE WHEN b.mean - a.mean > 5 OR b.db_gt_10_pct - a.db_gt_10_pct > 5 THEN 'RTC much brighter with a larger high tail' ELSE 'broadly similar' END AS interpretation FROM {SARSTATS} a JOIN {SARSTATS} b ON a.band = b.band AND a.product = 'SNAP-GRD' AND b.product = 'RTC'""",
 )
 def _(spark, d):
     _, variant = D.sar_tables(sar_stats(spark, d))
-    return rounded(variant.select("band", "mean_delta", "median_delta", "std_ratio", "gt10_delta", "interpretation"), 4)
+    return rounded(variant.select("band", "mean_delta", "median_delta", "std_ratio", "gt10_delta", "interpretation"), 8)

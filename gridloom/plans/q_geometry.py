@@ -49,7 +49,7 @@ def _(spark, d):
 
 @query(
     "cell_overlap",
-    f"""WITH {HITS}, a AS (SELECT raster_id, r, c, 1 + r * 0.01 AS w FROM fx_pixel WHERE NOT is_valid), t AS (SELECT raster_id, sum(w) AS total FROM a GROUP BY 1)
+    f"""WITH {HITS}, a AS (SELECT raster_id, r, c, CAST(1 + r * 0.01 AS DOUBLE) AS w FROM fx_pixel WHERE NOT is_valid), t AS (SELECT raster_id, sum(w) AS total FROM a GROUP BY 1)
       SELECT h.raster_id, h.geom_id AS item_id, round(sum(w), 6) AS overlap_area, round(max(total), 6) AS aoi_area, round(100 * sum(w) / max(total), 6) AS overlap_percent FROM hits h JOIN a ON h.raster_id = a.raster_id AND h.r = a.r AND h.c = a.c JOIN t ON t.raster_id = h.raster_id GROUP BY ALL""",
 )
 def _(spark, d):

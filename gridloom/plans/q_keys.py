@@ -279,7 +279,7 @@ LIST_RULES = [
 
 def _lists(rules, n, name):
     return " UNION ALL ".join(
-        f"SELECT * FROM (SELECT '{k}' AS {name}, patch_id, city, row_number() OVER (ORDER BY {o}, patch_id) AS list_rank FROM {METRICS} WHERE {c}) WHERE list_rank <= {n}" for k, c, o in rules
+        f"SELECT * FROM (SELECT '{k}' AS {name}, patch_id, city, CAST(row_number() OVER (ORDER BY {o}, patch_id) AS INTEGER) AS list_rank FROM {METRICS} WHERE {c}) WHERE list_rank <= {n}" for k, c, o in rules
     )
 
 

@@ -159,8 +159,8 @@ def _(spark, d):
 
 @query(
     "output_nodata",
-    """SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 0.0 WHEN 2 THEN (CASE WHEN s_acctbal > 0 THEN -9999.0 ELSE -32768.0 END)
-       ELSE NULL END AS nodata_out FROM supplier""",
+    """SELECT s_suppkey, CAST(CASE s_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 0.0 WHEN 2 THEN (CASE WHEN s_acctbal > 0 THEN -9999.0 ELSE -32768.0 END)
+       ELSE NULL END AS DOUBLE) AS nodata_out FROM supplier""",
 )
 def _(spark, d):
     k = F.col("s_suppkey") % 4

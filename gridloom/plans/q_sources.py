@@ -55,7 +55,7 @@ def product_files(spark, d):
         c AS (SELECT DISTINCT concat('city', c_nationkey) AS city, c_nationkey % 2 = 0 AS raw FROM customer), sel AS (SELECT concat('city', (s_nationkey + 1) % 25) AS city, pid FROM p WHERE k % 10 = 4),
         m AS (SELECT c.city, q.*, own + CASE WHEN pc = c.city THEN 50 ELSE 0 END + CASE WHEN EXISTS (SELECT 1 FROM sel WHERE sel.city = c.city AND sel.pid = q.pid) THEN 180 ELSE 0 END AS score FROM c, q),
         b AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY score DESC, valid DESC, two DESC, dir DESC, path) AS rn FROM m WHERE score > 0)
-      SELECT c.city, b.pid AS product_id, b.score, CASE WHEN b.valid AND c.raw THEN 'SAFE_READY' WHEN b.valid THEN 'SAFE_FOUND_RAW_INCOMPLETE' WHEN b.pid IS NOT NULL THEN 'SAFE_FOUND_BUT_INCOMPLETE' WHEN c.raw THEN 'RAW_VV_VH_ONLY_NO_SAFE' ELSE 'MISSING_SAFE_AND_RAW_INCOMPLETE' END AS status FROM c LEFT JOIN b ON b.city = c.city AND rn = 1""",
+      SELECT c.city, b.pid AS product_id, CAST(b.score AS BIGINT) AS score, CASE WHEN b.valid AND c.raw THEN 'SAFE_READY' WHEN b.valid THEN 'SAFE_FOUND_RAW_INCOMPLETE' WHEN b.pid IS NOT NULL THEN 'SAFE_FOUND_BUT_INCOMPLETE' WHEN c.raw THEN 'RAW_VV_VH_ONLY_NO_SAFE' ELSE 'MISSING_SAFE_AND_RAW_INCOMPLETE' END AS status FROM c LEFT JOIN b ON b.city = c.city AND rn = 1""",
 )
 def _(spark, d):
     files = product_files(spark, d)
@@ -68,7 +68,7 @@ def _(spark, d):
 
 @query(
     "item_manifest",
-    """SELECT concat('item_', event_id) AS item_id, CASE WHEN event_id % 2 = 0 THEN '2022-01-01' ELSE '2022-02-02' END AS acquired_at, CASE WHEN event_type = 'view' THEN 'IW' END AS instrument_mode, 'GRD' AS product_type, concat('/a/', event_id, '/vv.tif') AS vv_href, NULL AS vh_href FROM events""",
+    """SELECT concat('item_', event_id) AS item_id, CASE WHEN event_id % 2 = 0 THEN '2022-01-01' ELSE '2022-02-02' END AS acquired_at, CASE WHEN event_type = 'view' THEN 'IW' END AS instrument_mode, 'GRD' AS product_type, concat('/a/', event_id, '/vv.tif') AS vv_href, CAST(NULL AS VARCHAR) AS vh_href FROM events""",
 )
 def _(spark, d):
     e, k = F.col("event_type"), F.col("event_id")

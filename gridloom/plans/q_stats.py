@@ -80,7 +80,7 @@ def product_px(spark, d):
 @query(
     "stats_two_level",
     f"""SELECT product, band, NULL AS city, CAST(1 AS TINYINT) AS is_global, count(*) AS valid_pixel_count, CAST(0 AS BIGINT) AS invalid_pixel_count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max FROM {PRODUCT} GROUP BY product, band
-      UNION ALL SELECT product, band, city, 0, count(*), 0, round(avg(value), 6), round(coalesce(stddev_samp(value), 0), 6), round(min(value), 6), round(max(value), 6) FROM {PRODUCT} GROUP BY product, band, city""",
+      UNION ALL SELECT product, band, city, CAST(0 AS TINYINT), count(*), 0, round(avg(value), 6), round(coalesce(stddev_samp(value), 0), 6), round(min(value), 6), round(max(value), 6) FROM {PRODUCT} GROUP BY product, band, city""",
 )
 def _(spark, d):
     return rounded(Sc.stats_two_level(product_px(spark, d)))

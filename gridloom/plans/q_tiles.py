@@ -81,7 +81,7 @@ def _(spark, d):
 
 @query(
     "tile_table",
-    "SELECT raster_id, r // 16 AS tile_row, c // 16 AS tile_col, count(*) AS cells, CAST(count(*) FILTER (is_valid) AS BIGINT) AS valid FROM fx_pixel GROUP BY ALL",
+    "SELECT raster_id, CAST(r // 16 AS INTEGER) AS tile_row, CAST(c // 16 AS INTEGER) AS tile_col, count(*) AS cells, CAST(count(*) FILTER (is_valid) AS BIGINT) AS valid FROM fx_pixel GROUP BY ALL",
 )
 def _(spark, d):
     t = Tl.pixels_to_tiles(fx_pixel(spark, d), ["vv"], F.col("is_valid"), 16)
@@ -90,7 +90,7 @@ def _(spark, d):
 
 @query(
     "join_tiles",
-    "SELECT raster_id, r // 16 AS tile_row, c // 16 AS tile_col, CAST(count(*) FILTER (is_valid AND label = 1) AS BIGINT) AS both_valid FROM fx_pixel GROUP BY ALL",
+    "SELECT raster_id, CAST(r // 16 AS INTEGER) AS tile_row, CAST(c // 16 AS INTEGER) AS tile_col, CAST(count(*) FILTER (is_valid AND label = 1) AS BIGINT) AS both_valid FROM fx_pixel GROUP BY ALL",
 )
 def _(spark, d):
     px = fx_pixel(spark, d)

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.line_dedup import dedup_lines
+from gridloom.llm.packing import pack, token_pieces
+from gridloom.session import stored
+
+TOKENIZERS = "/opt/tokenizers"  # folder of the public tokenizer files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +25,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def tokenizer_path(name: str) -> str:
+    return f"{TOKENIZERS}/{name}"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
@@ -42,3 +50,9 @@ FROM marked GROUP BY doc_id
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op2_best_fit_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = stored(token_pieces(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json")), "pieces")
+    return pack(pieces)

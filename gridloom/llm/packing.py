@@ -22,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.texts import parts
 from gridloom.session import stored
 
 FAN_IN = 8
 CLOSE_AT = (0.99, 0.8, 0.5)  # share of a sequence above which a bin is closed, by level; the last holds for all above
-SLICE_BYTES = 16 << 20  # text tokenized at once in a task
 NO_ID = -(2**63)  # stands for a NULL id inside packed members
 BIN_SCHEMA = "node long, size long, sequence_id long, closed boolean, members binary"
 
@@ -83,19 +83,6 @@ def word_ids(tokenizer, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ids, done[ends + mark]
 
 
-def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most `most` bytes of text, or of one row."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    start, total = 0, 0
-    for i, n in enumerate(sizes):
-        if i > start and total + n > most:
-            yield start, i
-            start, total = i, 0
-        total += n
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 def _pieces(tokenizer_file: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -104,22 +91,21 @@ def _pieces(tokenizer_file: str, capacity: int):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_file)
-        for batch in batches:
-            for a, b in slices(batch.column(1)):
-                keys = batch.column(0).slice(a, b - a)
-                ids, ends = word_ids(tokenizer, pc.fill_null(batch.column(1).slice(a, b - a), ""))
-                begins = np.concatenate(([0], ends[:-1]))
-                n = -(-(ends - begins) // capacity)
-                doc = np.repeat(np.arange(len(ends)), n)
-                piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-                start = piece * capacity
-                length = np.minimum(capacity, np.repeat(ends - begins, n) - start)
-                view, first = memoryview(ids.view(np.uint8)), begins[doc] + start
-                crc = [zlib.crc32(view[4 * s : 4 * (s + k)]) for s, k in zip(first.tolist(), length.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
+        for batch in parts(batches, 1):
+            keys = batch.column(0)
+            ids, ends = word_ids(tokenizer, pc.fill_null(batch.column(1), ""))
+            begins = np.concatenate(([0], ends[:-1]))
+            n = -(-(ends - begins) // capacity)
+            doc = np.repeat(np.arange(len(ends)), n)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            start = piece * capacity
+            length = np.minimum(capacity, np.repeat(ends - begins, n) - start)
+            view, first = memoryview(ids.view(np.uint8)), begins[doc] + start
+            crc = [zlib.crc32(view[4 * s : 4 * (s + k)]) for s, k in zip(first.tolist(), length.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [keys.take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
+                ["doc_id", "piece", "start", "length", "ids_crc32"],
+            )
 
     return run
 

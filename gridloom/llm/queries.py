@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.line_dedup import dedup_lines
 from gridloom.llm.packing import pack, token_pieces
+from gridloom.llm import toxicity
 from gridloom.session import stored
 
 TOKENIZERS = "/opt/tokenizers"  # folder of the public tokenizer files
@@ -56,3 +57,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = stored(token_pieces(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json")), "pieces")
     return pack(pieces)
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = toxicity.remainder(F.col("doc_id"), 3) == 1
+    out = toxicity.score(docs, toxicity.fit(docs, labels, ~held_out))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.texts import parts, word_codes
 from gridloom.session import stored
 
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 MARKS = ".,;:!?\"'()[]{}*#&%$|"
 LABEL_ACCURACY = 0.97  # where EM starts for the given labels
 
@@ -121,7 +121,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.n
     return p
 
 
-def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 15) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 0.05, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Weights and intercept of a ridge-penalised logistic regression on soft targets, by Newton steps."""
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
     w = np.zeros(x.shape[1])
@@ -152,9 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
         return ToxicModel(intercept=20.0 if 1 in size else -20.0)
     counts = sample.mapInArrow(_term_counts, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     share = {c: (F.col(n) + 0.5) / (size[c] + 1.0) for c, n in ((1, "toxic"), (0, "clean"))}
-    odds = F.log(share[1] / share[0])
+    odds = F.log(share[1] / share[0]) - 2.5 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))  # what chance hardly explains
     telling = counts.where(F.col("toxic") + F.col("clean") >= min_texts).withColumn("odds", odds).withColumn("worth", F.abs("odds") * F.sqrt(F.greatest("toxic", "clean").cast("double")))
-    terms = [r["term"] for r in telling.where(F.col("odds") > 0.7).orderBy(F.desc("worth"), "term").limit(voters).collect()]
+    terms = [r["term"] for r in telling.where(F.col("odds") > 0.5).orderBy(F.desc("worth"), "term").limit(voters).collect()]
     if not terms:
         return ToxicModel(intercept=float(np.log(size[1] / size[0])))
     rows = sample.mapInArrow(_votes(terms), "label int, votes array<int>").collect()

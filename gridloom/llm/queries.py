@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.line_dedup import dedup_lines
+from gridloom.llm.minhash import near_duplicates
 from gridloom.llm.packing import pack, token_pieces
 from gridloom.llm import toxicity
 from gridloom.session import stored
@@ -66,3 +67,26 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = toxicity.remainder(F.col("doc_id"), 3) == 1
     out = toxicity.score(docs, toxicity.fit(docs, labels, ~held_out))
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+items AS (SELECT doc_id, len(s) AS n, md5_number(unnest(s)) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.g = b.g AND a.doc_id <> b.doc_id AND 4 * a.n >= 3 * b.n AND 4 * b.n >= 3 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+found AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id,
+       doc_id <= coalesce(least, doc_id) AS kept
+FROM sets LEFT JOIN found USING (doc_id)
+"""
+
+
+@query("op7_minhash_near_dedup", NEAR_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))

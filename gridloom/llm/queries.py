@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.line_dedup import dedup_lines
 from gridloom.llm.minhash import near_duplicates
 from gridloom.llm.packing import pack, token_pieces
+from gridloom.llm.suffix_dedup import repeated_bytes
 from gridloom.llm import toxicity
 from gridloom.session import stored
 
@@ -90,3 +91,15 @@ FROM sets LEFT JOIN found USING (doc_id)
 @query("op7_minhash_near_dedup", NEAR_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
+
+
+@query("op1_suffix_array_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(documents(spark, sf_dir))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the repository top; it imports this module's settings
+
+    return corpus_pipeline.run(spark, sf_dir)

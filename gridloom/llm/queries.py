@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.kdtree import top_inner_products
 from gridloom.llm.line_dedup import dedup_lines
 from gridloom.llm.minhash import near_duplicates
+from gridloom.llm.onebit import nearest_cosine
 from gridloom.llm.packing import pack, token_pieces
 from gridloom.llm.suffix_dedup import repeated_bytes
 from gridloom.llm import toxicity
@@ -98,6 +100,32 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(documents(spark, sf_dir))
 
 
+USABLE_SQL = """
+usable AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+"""
+
+TOP_SQL = f"""
+WITH {USABLE_SQL}, whole AS (SELECT vec_id, list_transform(v, lambda x: floor(256 * x)) AS v FROM usable),
+scored AS (SELECT q.vec_id AS query_id, r.vec_id, list_inner_product(q.v, r.v)::BIGINT AS score
+           FROM whole q JOIN whole r ON q.vec_id % 50 = 0 AND r.vec_id <> q.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+
+@query("op4_exact_top_k", TOP_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return top_inner_products(rows, rows.where("vec_id % 50 = 0"))
+
+
+@query("op6_one_bit_neighbours")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return nearest_cosine(rows, rows.where("vec_id % 50 = 0"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the repository top; it imports this module's settings

@@ -20,38 +20,24 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from gridloom.llm.texts import parts
-from gridloom.session import shared_folder, stored
+from gridloom.llm.slices import MESSAGE, MIX1, ODD, Slice, Slices, U, bucket_of, by_bucket, messages, mixed, ranges, slices_in
+from gridloom.session import stored
 
 GRAM = 32  # a power of two
-SLICE_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20  # of run bytes sorted in one group
 MANY_SLICES = 2000  # a key met in more slices is handled as a hot one
 MANY_RUNS = 1000  # and so is one with more different runs
 END = 0xFF  # occurs in no UTF-8 text
-NO_ID = -(2**63)  # order of a NULL id: before all others
-U = np.uint64
-ODD, MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 RUN = np.dtype([("key", "u8"), ("c", "u8"), ("doc", "i8"), ("slice", "i8"), ("row", "i4"), ("start", "i4"), ("n", "i4"), ("hot", "i4")])
 MARK = np.dtype([("row", "i4"), ("start", "i4"), ("n", "i4")])
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> U(30))) * MIX1
-    h = (h ^ (h >> U(27))) * MIX2
-    return h ^ (h >> U(31))
-
-
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     span = 1
     while span * 2 <= width:
@@ -97,64 +83,11 @@ def runs_of(body: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     return out, inner
 
 
-class Slice:
-    """A stored slice: the original rows, their texts as bytes and the runs."""
-
-    def __init__(self, number: int, data, id_at: int, text_at: int, length: int):
-        self.number, self.length = number, length
-        self.table = pa.ipc.open_stream(data).read_all().combine_chunks()
-        texts = pc.fill_null(self.table.column(text_at), "").combine_chunks()
-        if isinstance(texts, pa.ChunkedArray):
-            texts = pa.concat_arrays(texts.chunks)
-        sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
-        self.ends = np.cumsum(sizes)
-        self.begins = self.ends - sizes
-        self.body = np.frombuffer(b"".join(texts.cast(pa.binary()).to_pylist()), np.uint8)
-        self.ids = pc.fill_null(self.table.column(id_at).cast(pa.int64()), NO_ID).to_numpy()
-
-    def runs(self) -> tuple[np.ndarray, np.ndarray]:
-        runs, inner = runs_of(self.body, self.ends, self.length)
-        runs["slice"] = self.number
-        runs["doc"] = self.ids[runs["row"]]
-        return runs, inner
-
-
-def _to_slices(columns: list[str], text_at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def packed() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            table = pa.Table.from_batches(held).combine_chunks()
-            with pa.ipc.new_stream(sink, table.schema) as writer:
-                writer.write_table(table)
-            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["slice", "data"])
-
-        for batch in parts(batches, text_at):
-            for a in range(0, batch.num_rows, 200):
-                piece = batch.slice(a, 200).rename_columns(columns)
-                size += pc.sum(pc.binary_length(piece.column(text_at))).as_py() or 0
-                held.append(piece)
-                if size >= SLICE_BYTES:
-                    yield packed()
-                    held, size, number = [], 0, number + 1
-        if held:
-            yield packed()
-
-    return run
-
-
-def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
-    return (mixed(values) % U(buckets)).astype(np.int64)
-
-
-def _by_bucket(number: int, buckets: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    order = np.argsort(buckets, kind="stable")
-    edges = np.flatnonzero(np.diff(buckets[order], prepend=-1))
-    for a, b in zip(edges.tolist(), np.append(edges[1:], len(order)).tolist()):
-        yield number, int(buckets[order[a]]), rows[order[a:b]]
+def slice_runs(part: Slice, length: int) -> tuple[np.ndarray, np.ndarray]:
+    runs, inner = runs_of(part.body, part.ends, length)
+    runs["slice"] = part.number
+    runs["doc"] = part.ids[runs["row"]]
+    return runs, inner
 
 
 def _distinct_keys(runs: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,33 +96,17 @@ def _distinct_keys(runs: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.
     return keys, (count > 1) | (np.bincount(which, inner, len(keys)) > 0)
 
 
-def _messages(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2].tobytes() for r in rows], pa.binary())],
-        ["slice", "bucket", "data"],
-    )
-
-
-MESSAGE = "slice long, bucket long, data binary"
 KEYED = np.dtype([("key", "u8"), ("twice", "u1")])
 
 
-def _slices_in(batches: Iterator[pa.RecordBatch], at: tuple[int, int], length: int) -> Iterator[tuple[Slice, list[bytes]]]:
-    """Slices of (slice, data[, replies]) rows; replies are packed arrays in any order."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            replies = batch.column(2)[i].as_py() if batch.num_columns > 2 else None
-            yield Slice(batch.column(0)[i].as_py(), batch.column(1)[i].as_buffer(), *at, length), [bytes(r) for r in replies or []]
-
-
 def _report_keys(at, length: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, _ in _slices_in(batches, at, length):
-            keys, twice = _distinct_keys(*part.runs())
+        for part, _ in slices_in(batches, at):
+            keys, twice = _distinct_keys(*slice_runs(part, length))
             rows = np.zeros(len(keys), KEYED)
             rows["key"], rows["twice"] = keys, twice
             if len(rows):
-                yield _messages(list(_by_bucket(part.number, _bucket(keys, buckets), rows)))
+                yield messages(list(by_bucket(part.number, bucket_of(keys, buckets), rows)))
 
     return run
 
@@ -229,12 +146,12 @@ def _report_runs(at, length: int, buckets: int):
     """From slices and their repeating keys: first runs by bucket, and (bucket -1) marks of runs that repeat one of the slice itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, replies in _slices_in(batches, at, length):
+        for part, replies in slices_in(batches, at):
             if not replies:
                 continue
             known = np.concatenate([np.frombuffer(r, KEYED) for r in replies])
             known = known[np.argsort(known["key"])]
-            runs, _ = part.runs()
+            runs, _ = slice_runs(part, length)
             place = np.searchsorted(known["key"], runs["key"]).clip(max=len(known) - 1)
             hit = known["key"][place] == runs["key"]
             runs, place = runs[hit], place[hit]
@@ -242,7 +159,7 @@ def _report_runs(at, length: int, buckets: int):
             runs, first = _first_in_groups(runs)
             firsts = runs[first]
             spread = np.where(firsts["hot"] > 0, firsts["c"], 0)
-            yield _messages([*_by_bucket(part.number, _bucket(firsts["key"] + spread, buckets), firsts), (part.number, -1, _marks(runs[~first]))])
+            yield messages([*by_bucket(part.number, bucket_of(firsts["key"] + spread, buckets), firsts), (part.number, -1, _marks(runs[~first]))])
 
     return run
 
@@ -261,24 +178,24 @@ def _first_runs(table: pa.Table) -> pa.Table:
     edges = np.flatnonzero(np.diff(firsts["key"], prepend=firsts["key"][0] ^ U(1)))
     count = np.diff(np.append(edges, len(firsts)))
     firsts["hot"] = np.maximum(firsts["hot"], np.repeat(count > MANY_RUNS, count))
-    out = [(s, 0, _marks(r)) for s, _, r in _by_bucket(0, runs["slice"][~first], runs[~first]) for s in [int(r["slice"][0])]]
-    out += [(int(r["slice"][0]), 1, r) for _, _, r in _by_bucket(0, firsts["slice"], firsts)]
-    return pa.table(_messages(out).rename_columns(["slice", "kind", "data"]).to_pydict(), schema=pa.schema([("slice", pa.int64()), ("kind", pa.int64()), ("data", pa.binary())]))
+    out = [(s, 0, _marks(r)) for s, _, r in by_bucket(0, runs["slice"][~first], runs[~first]) for s in [int(r["slice"][0])]]
+    out += [(int(r["slice"][0]), 1, r) for _, _, r in by_bucket(0, firsts["slice"], firsts)]
+    return pa.table(messages(out).rename_columns(["slice", "kind", "data"]).to_pydict(), schema=pa.schema([("slice", pa.int64()), ("kind", pa.int64()), ("data", pa.binary())]))
 
 
 def _send_runs(at, length: int, buckets: int):
     """From slices and the runs they have to send: (bucket, runs, bytes), bucket -1 for hot keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, replies in _slices_in(batches, at, length):
+        for part, replies in slices_in(batches, at):
             runs = np.concatenate([np.frombuffer(r, RUN) for r in replies]) if replies else np.zeros(0, RUN)
             if not len(runs):
                 continue
-            bucket = np.where(runs["hot"] > 0, -1, _bucket(runs["key"], buckets))
+            bucket = np.where(runs["hot"] > 0, -1, bucket_of(runs["key"], buckets))
             rows = []
-            for _, b, own in _by_bucket(part.number, bucket + 1, runs):
+            for _, b, own in by_bucket(part.number, bucket + 1, runs):
                 begin = part.begins[own["row"]] + own["start"]
-                rows.append((b - 1, own.tobytes(), part.body[_ranges(begin, own["n"] + (length - 1))].tobytes()))
+                rows.append((b - 1, own.tobytes(), part.body[ranges(begin, own["n"] + (length - 1))].tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "runs", "bytes"]
             )
@@ -286,13 +203,6 @@ def _send_runs(at, length: int, buckets: int):
     return run
 
 
-def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """begin, begin + 1, ... of every range, one after another."""
-    sizes = sizes.astype(np.int64)
-    ends = np.cumsum(sizes)
-    return np.repeat(begins - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
 def words_at(text: np.ndarray) -> np.ndarray:
     """The eight bytes from every position on as one number that sorts like them; the text must end in eight END bytes."""
     w, bits = text.astype(U), 8
@@ -392,7 +302,7 @@ def _repeats(length: int):
         runs, sizes = runs[place], sizes[place]
         at = np.cumsum(sizes + 1) - (sizes + 1)
         text = np.full(int((sizes + 1).sum()) + length + 16, END, np.uint8)
-        text[_ranges(at, sizes)] = data[_ranges(begins, sizes)]
+        text[ranges(at, sizes)] = data[ranges(begins, sizes)]
         words = words_at(text)
         window = np.zeros(len(text), np.int64)  # windows, and what follows one as far as a suffix is larger than its successor
         np.add.at(window, at, 1)
@@ -425,7 +335,7 @@ def marks_table(runs: np.ndarray, at: np.ndarray, repeated: np.ndarray) -> pa.Ta
     marks = np.zeros(len(edges), RUN)
     marks["slice"], marks["row"], marks["start"] = runs["slice"][of[edges]], runs["row"][of[edges]], start[edges]
     marks["n"] = np.diff(np.append(edges, len(of)))
-    rows = [(int(r["slice"][0]), _marks(r).tobytes()) for _, _, r in _by_bucket(0, marks["slice"], marks)]
+    rows = [(int(r["slice"][0]), _marks(r).tobytes()) for _, _, r in by_bucket(0, marks["slice"], marks)]
     return pa.table({"slice": pa.array([r[0] for r in rows], pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary())})
 
 
@@ -437,7 +347,7 @@ def _windows(length: int):
             for i in range(batch.num_rows):
                 runs, data = np.frombuffer(batch.column(1)[i].as_buffer(), RUN), np.frombuffer(batch.column(2)[i].as_buffer(), np.uint8)
                 sizes = runs["n"].astype(np.int64) + (length - 1)
-                begins = _ranges(np.cumsum(sizes) - sizes, runs["n"])
+                begins = ranges(np.cumsum(sizes) - sizes, runs["n"])
                 hashes = []
                 for seed in (1, 2):
                     value = mixed(np.arange(1, 257, dtype=U) * U(seed))[data]
@@ -446,7 +356,7 @@ def _windows(length: int):
                         total = total * ODD + value[begins + k]
                     hashes.append(mixed(total).view(np.int64))
                 of = np.repeat(np.arange(len(runs)), runs["n"])
-                start = runs["start"][of] + _ranges(np.zeros(len(runs), np.int64), runs["n"])
+                start = runs["start"][of] + ranges(np.zeros(len(runs), np.int64), runs["n"])
                 place = [runs["doc"][of], runs["slice"][of], runs["row"][of].astype(np.int64), start.astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*hashes, *place)], ["w1", "w2", "doc", "slice", "row", "start"])
 
@@ -459,7 +369,7 @@ def _pack_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, name in enumerate(("slice", "row", "start")):
             rows[name] = batch.column(i).to_numpy()
         rows["n"] = 1
-        out = [(int(r["slice"][0]), _marks(r).tobytes()) for _, _, r in _by_bucket(0, rows["slice"], rows)]
+        out = [(int(r["slice"][0]), _marks(r).tobytes()) for _, _, r in by_bucket(0, rows["slice"], rows)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], ["slice", "data"])
 
 
@@ -467,7 +377,7 @@ def _cut(at, length: int, columns: list[str] | None):
     """Apply the marks of a slice. columns: give back these columns with the shortened text; else the report."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, replies in _slices_in(batches, at, length):
+        for part, replies in slices_in(batches, at):
             marks = np.concatenate([np.frombuffer(r, MARK) for r in replies]) if replies else np.zeros(0, MARK)
             change = np.zeros(len(part.body) + 1, np.int64)
             begin = part.begins[marks["row"]] + marks["start"]
@@ -503,18 +413,10 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, length: int, cut: bool)
         raise ValueError(f"length must be at least {2 * GRAM}")
     at = (columns.index(id_col), columns.index(text_col))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"text_slices_{uuid.uuid4().hex}"
-    kept = StructType([StructField("slice", LongType()), StructField("data", BinaryType())])
-    packed = docs.mapInArrow(_to_slices(columns, at[1]), kept)
-    packed.write.format("parquet").option("path", f"{shared_folder(spark)}/gridloom/{name}").option("compression", "zstd").bucketBy(buckets, "slice").saveAsTable(name)
-    slices = spark.table(name)
-
-    def with_replies(replies: DataFrame) -> DataFrame:
-        """Slices with what is addressed to them; only the replies are shuffled."""
-        own = replies.groupBy("slice").agg(F.collect_list("data").alias("replies"))
-        return slices.hint("merge").join(own, "slice", "left").select("slice", "data", "replies")
-
-    keys = slices.mapInArrow(_report_keys(at, length, buckets), MESSAGE)
+    slices = Slices(docs, text_col)
+    with_replies = slices.with_replies
+
+    keys = slices.table.mapInArrow(_report_keys(at, length, buckets), MESSAGE)
     repeated = stored(keys.groupBy("bucket").applyInArrow(_repeated_keys, "slice long, data binary"), "repeated-keys")
     sent = stored(with_replies(repeated).mapInArrow(_report_runs(at, length, buckets), MESSAGE), "runs")
     sorted_out = stored(sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_first_runs, "slice long, kind long, data binary"), "first-runs")

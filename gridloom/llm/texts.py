@@ -24,10 +24,10 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         yield start, len(sizes)
 
 
-def parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+def parts(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut by the bytes of one text column."""
     for batch in batches:
-        for a, b in slices(batch.column(column)):
+        for a, b in slices(batch.column(column), most):
             yield batch.slice(a, b - a)
 
 

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from gridloom.llm import slices
 from gridloom.llm import suffix_dedup as S
 
 
@@ -39,7 +40,7 @@ def corpus(seed):
 @pytest.mark.parametrize("many", [1000, 5])
 def test_against_brute_force(spark, many, monkeypatch):
     monkeypatch.setattr(S, "MANY_RUNS", many)
-    monkeypatch.setattr(S, "SLICE_BYTES", 20_000)
+    monkeypatch.setattr(slices, "SLICE_BYTES", 20_000)
     texts = corpus(many)
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, slice int").repartition(3)
     got = S.repeated_bytes(df).orderBy("doc_id").collect()

@@ -11,7 +11,7 @@ from gridloom.llm.minhash import near_duplicates
 from gridloom.llm.onebit import nearest_cosine
 from gridloom.llm.packing import pack, token_pieces
 from gridloom.llm.suffix_dedup import repeated_bytes
-from gridloom.llm import toxicity
+from gridloom.llm import piece_fst, quality, toxicity
 from gridloom.session import stored
 
 TOKENIZERS = "/opt/tokenizers"  # folder of the public tokenizer files
@@ -126,6 +126,20 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_cosine(rows, rows.where("vec_id % 50 = 0"))
 
 
+@query("op10_sentencepiece_fst")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_fst.digest(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op3_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = quality.statistics_table(documents(spark, sf_dir))
+    held_out = toxicity.remainder(F.col("doc_id"), 4) == 2
+    model = quality.fit(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out)
+    out = quality.score(stats, model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the repository top; it imports this module's settings

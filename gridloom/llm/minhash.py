@@ -4,10 +4,12 @@ Two small collections of half keys are computed per document, each half key from
 half key of either collection, so `HALVES`^2 tables cost only 2 * HALVES * WIDTH minhashes. A pair of similarity s shares
 a table with probability (1 - (1 - s^WIDTH)^HALVES)^2: 0.9995 at 0.75, 0.99996 at 0.8.
 
-Work is kept linear. Documents with equal shingle sets are one class. Half keys that no second class has are dropped
-before they are combined. Within a table's bucket, members are compared with one member first; components of the
-confirmed links then tell which buckets still hold members that may be unconnected, and only pairs across components are
-compared there. A pair of one bucket is therefore either connected already or compared: no link that matters is lost.
+Work is kept near linear. Documents with equal shingle sets are one class. Half keys that no second class has are dropped
+before they are combined. Shingles that no other candidate has cannot be shared: they are counted and left out of the sets,
+and what remains bounds a document's similarity to any other. Within a table's bucket, members are compared with the member
+that has the largest share of shared shingles. Components of the confirmed links then tell which buckets still hold members
+that may be unconnected; there, pairs across components are compared unless what both lack of that member's set already
+rules a link out. A pair of one bucket is therefore connected, compared or ruled out exactly: no link that matters is lost.
 """
 
 from __future__ import annotations
@@ -21,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
+from gridloom.llm.slices import KEYED, MESSAGE, Slices, bucket_of, by_bucket, messages, repeated_keys, slices_in
 from gridloom.llm.texts import parts, word_codes
 from gridloom.session import stored
 
 WIDTH = 2
 HALVES = 10
-STAR_ROUNDS = 2
+BIT_WORDS = 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SHORT = 0x5851F42D4C957F2D  # seed that keeps short texts apart from shingles
 
@@ -92,34 +95,67 @@ def _sketch(size: int):
     return run
 
 
-def _sets(size: int):
+def _report_shingles(size: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches, 1):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), size)], pa.binary())], ["doc", "shingles"])
+        for part, _ in slices_in(batches, (0, 1)):
+            keys, count = np.unique(np.concatenate(shingle_sets(part.texts, size)), return_counts=True)
+            rows = np.zeros(len(keys), KEYED)
+            rows["key"], rows["twice"] = keys, count > 1
+            if len(rows):
+                yield messages(list(by_bucket(part.number, bucket_of(keys, buckets), rows)))
+
+    return run
+
+
+def _shared_sets(size: int):
+    """Of every text its number of shingles and those shingles, sorted, that another text has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, replies in slices_in(batches, (0, 1)):
+            shared = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r, KEYED)["key"] for r in replies)])
+            shared.sort()
+            sets = shingle_sets(part.texts, size)
+            flat = np.concatenate(sets)
+            hit = shared[np.searchsorted(shared, flat).clip(max=len(shared) - 1)] == flat if len(shared) else np.zeros(len(flat), bool)
+            own = [s[h] for s, h in zip(sets, np.split(hit, np.cumsum([len(s) for s in sets])[:-1]))]
+            yield pa.RecordBatch.from_arrays(
+                [part.table.column(0).combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())],
+                ["doc", "n", "u", "shingles"],
+            )
 
     return run
 
 
 def _confirm(percent: int):
+    """Of pairs with their sets: whether they are similar, how much they share, and which of b's shingles a lacks (as hashed bits)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
+            linked, shared, lacks = [], [], np.zeros((batch.num_rows, 64 * BIT_WORDS), np.uint8)
+            total = batch.column(2).to_numpy()
+            for i, (x, y) in enumerate(zip(batch.column(3), batch.column(4))):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                linked.append(100 * common >= percent * (int(total[i]) - common))
+                shared.append(common)
+                missing = y[x[np.searchsorted(x, y).clip(max=len(x) - 1)] != y] if len(x) else y
+                lacks[i, (missing >> np.uint64(17)) % np.uint64(64 * BIT_WORDS)] = 1
+            bits = np.packbits(lacks, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(shared, pa.int64()), pa.array(list(bits), pa.list_(pa.int64()))], ["a", "b", "linked", "common", "lacks"]
+            )
 
     return run
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
-    left = pairs.join(sets.withColumnsRenamed({"doc": "a", "shingles": "x"}), "a")
-    both = left.join(sets.withColumnsRenamed({"doc": "b", "shingles": "y"}), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(_confirm(percent), "a long, b long")
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with the outcome of the comparison of their sets."""
+    one = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("y"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("total"), "x", "y")
+    return both.mapInArrow(_confirm(percent), "a long, b long, linked boolean, common long, lacks array<long>")
 
 
 def _table_keys(sketches: DataFrame) -> DataFrame:
@@ -135,8 +171,9 @@ def _table_keys(sketches: DataFrame) -> DataFrame:
     return stored(keys.join(buckets, "key", "left_semi"), "bucket-members")
 
 
-def _similar_size(percent: int):
-    return 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+def _reaches(common, n, m, percent: int):
+    """Whether sets of n and m shingles can be similar when they share `common` at most."""
+    return 100 * common >= percent * (n + m - common)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -157,27 +194,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = full.join(classes.where("copies > 1").select(*prints, "rep"), prints).select(F.col("doc").alias("a"), F.col("rep").alias("b")).where("a <> b")
 
     ids = members.select("doc").distinct()
-    sets = stored(source.join(ids, "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(_sets(size), "doc long, shingles binary"), "shingles")
-    links, tried, of = None, None, members.withColumn("label", F.col("doc"))
-    for step in range(STAR_ROUNDS + 1):
-        spread = of.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min_by(F.struct("doc", "n"), F.struct("label", F.xxhash64("doc", F.lit(step)))).alias("hub"))
-        spread = stored(spread.where("least <> most").select("key", F.col("least").alias("hub_label"), F.col("hub.doc").alias("b"), F.col("hub.n").alias("m")), "mixed-buckets")
-        if step < STAR_ROUNDS:
-            pairs = of.join(spread, "key").where(F.col("label") != F.col("hub_label")).withColumnRenamed("doc", "a")
-        else:  # what is left: members of a bucket that are in different components
-            mixed = stored(of.join(spread.select("key"), "key", "left_semi"), "mixed-members")
-            other = mixed.select("key", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-            pairs = mixed.withColumnRenamed("doc", "a").join(other, "key").where("label < other")
-        pairs = pairs.where(_similar_size(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        fresh = stored(confirmed(pairs, sets, percent), "links")
-        links = fresh if links is None else links.unionByName(fresh)
-        if step < STAR_ROUNDS:
-            grouped = stored(components(links), "components")
-            of = stored(members.join(grouped.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("label")), "bucket-labels")
+    slices = Slices(source.join(ids, "doc", "left_semi").dropDuplicates(["doc"]), "text")
+    said = slices.table.mapInArrow(_report_shingles(size, slices.buckets), MESSAGE)
+    shared = stored(said.groupBy("bucket").applyInArrow(repeated_keys, "slice long, data binary"), "shared-shingles")
+    sets = stored(slices.with_replies(shared).mapInArrow(_shared_sets(size), "doc long, n long, u long, shingles binary"), "shingles")
+    able = sets.where(100 * F.col("u") >= percent * F.col("n")).select("doc", "u")
+    of = stored(members.join(able, "doc"), "able-members")
+
+    # every member of a bucket against the one with the largest share of shared shingles, which is closest to the original
+    hub = F.max_by(F.struct("doc", "n", "u"), F.struct(F.col("u") / F.col("n"), -F.col("doc")))
+    hubs = stored(of.groupBy("key").agg(hub.alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.col("h.doc").alias("b"), F.col("h.n").alias("bn"), F.col("h.u").alias("bu")), "hubs")
+    pairs = of.join(hubs, "key").where(F.col("doc") != F.col("b")).where(_reaches(F.least("u", "bu"), F.col("n"), F.col("bn"), percent))
+    pairs = stored(pairs.select(F.col("doc").alias("a"), "b").distinct(), "pairs")
+    stars = stored(compared(pairs, sets, percent), "stars")
+    links = stars.where("linked").select("a", "b")
+    grouped = stored(components(links), "components")
+
+    # buckets whose members are not all connected now: the pairs across components that may still be similar
+    of = of.join(grouped.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", "u", F.coalesce("component", "doc").alias("label"))
+    of = stored(of, "bucket-labels")
+    mixed = of.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    mixed = stored(mixed.join(hubs.select("key", "b", "bu"), "key"), "mixed-buckets")
+    known = stars.select(F.col("a").alias("doc"), "b", "common", *[F.col("lacks")[i].alias(f"l{i}") for i in range(BIT_WORDS)])
+    rest = of.join(mixed, "key").join(known, ["doc", "b"], "left")
+    own = F.col("doc") == F.col("b")
+    rest = rest.withColumn("common", F.when(own, F.col("u")).otherwise(F.coalesce("common", F.lit(0)))).fillna(0, [f"l{i}" for i in range(BIT_WORDS)])
+    rest = stored(rest.dropDuplicates(["key", "doc"]), "mixed-members")
+    other = rest.select("key", *[F.col(c).alias(f"o_{c}") for c in rest.columns if c not in ("key", "b", "bu")])
+    # a and b share at most the hub's shingles that neither lacks, and outside the hub what the poorer one has there
+    lacked = sum((F.bit_count(F.col(f"l{i}").bitwiseOR(F.col(f"o_l{i}"))) for i in range(BIT_WORDS)), F.lit(0))
+    most = F.least("u", "o_u", F.col("bu") - lacked + F.least(F.col("u") - F.col("common"), F.col("o_u") - F.col("o_common")))
+    open_pairs = rest.join(other, "key").where("label < o_label").where(_reaches(most, F.col("n"), F.col("o_n"), percent))
+    open_pairs = stored(open_pairs.select(F.col("doc").alias("a"), F.col("o_doc").alias("b")).distinct(), "pairs")
+    links = links.unionByName(compared(open_pairs, sets, percent).where("linked").select("a", "b"))
     grouped = components(links.unionByName(copies))
     out = sketch.select("doc", "n").join(grouped.withColumnRenamed("node", "doc"), "doc", "left")
     component = F.coalesce("component", "doc")

@@ -21,9 +21,11 @@ from gridloom.llm.texts import parts
 from gridloom.session import shared_folder
 
 SLICE_BYTES = 4 << 20
+MANY_SLICES = 2000  # a key met in more slices than this is marked as hot
 NO_ID = -(2**63)  # order of a NULL id: before all others
 MESSAGE = "slice long, bucket long, data binary"
 U = np.uint64
+KEYED = np.dtype([("key", "u8"), ("twice", "u1")])
 ODD, MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
 
@@ -127,3 +129,26 @@ class Slices:
         """(slice, data, replies): slices with what (slice, data) rows address to them."""
         own = replies.groupBy("slice").agg(F.collect_list("data").alias("replies"))
         return self.table.hint("merge").join(own, "slice", "left").select("slice", "data", "replies")
+
+
+def repeated_keys(table: pa.Table) -> pa.Table:
+    """One bucket of keys: per slice, 1 for a key that also occurs elsewhere, 2 if it does in very many slices."""
+    data = [np.frombuffer(x, KEYED) for x in table["data"].to_pylist()]
+    rows = np.concatenate(data)
+    order = np.argsort(rows["key"], kind="stable")
+    keys = rows["key"][order]
+    edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    count = np.diff(np.append(edges, len(keys)))
+    twice = np.maximum.reduceat(rows["twice"][order], edges) > 0
+    state = np.where(count > MANY_SLICES, 2, (count > 1) | twice).astype(np.uint8)
+    out = np.empty(len(rows), np.uint8)
+    out[order] = np.repeat(state, count)
+    cuts = np.cumsum([len(d) for d in data])[:-1]
+    found = [(s, d["key"][o > 0], o[o > 0]) for s, d, o in zip(table["slice"].to_pylist(), data, np.split(out, cuts))]
+    packed = []
+    for s, k, o in found:
+        rows = np.zeros(len(k), KEYED)
+        rows["key"], rows["twice"] = k, o
+        packed.append((s, rows.tobytes()))
+    packed = [p for p in packed if p[1]]
+    return pa.table({"slice": pa.array([p[0] for p in packed], pa.int64()), "data": pa.array([p[1] for p in packed], pa.binary())})

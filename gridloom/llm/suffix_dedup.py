@@ -26,13 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.slices import MESSAGE, MIX1, ODD, Slice, Slices, U, bucket_of, by_bucket, messages, mixed, ranges, slices_in
+from gridloom.llm.slices import KEYED, MESSAGE, MIX1, ODD, Slice, Slices, U, bucket_of, by_bucket, messages, mixed, ranges, repeated_keys, slices_in
 from gridloom.session import stored
 
 GRAM = 32  # a power of two
 BUCKET_BYTES = 8 << 20  # of run bytes sorted in one group
-MANY_SLICES = 2000  # a key met in more slices is handled as a hot one
-MANY_RUNS = 1000  # and so is one with more different runs
+MANY_RUNS = 1000  # a key with more different runs is handled as a hot one, and so is one that very many slices have
 END = 0xFF  # occurs in no UTF-8 text
 RUN = np.dtype([("key", "u8"), ("c", "u8"), ("doc", "i8"), ("slice", "i8"), ("row", "i4"), ("start", "i4"), ("n", "i4"), ("hot", "i4")])
 MARK = np.dtype([("row", "i4"), ("start", "i4"), ("n", "i4")])
@@ -96,9 +95,6 @@ def _distinct_keys(runs: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.
     return keys, (count > 1) | (np.bincount(which, inner, len(keys)) > 0)
 
 
-KEYED = np.dtype([("key", "u8"), ("twice", "u1")])
-
-
 def _report_keys(at, length: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _ in slices_in(batches, at):
@@ -111,29 +107,6 @@ def _report_keys(at, length: int, buckets: int):
     return run
 
 
-def _repeated_keys(table: pa.Table) -> pa.Table:
-    """One bucket of keys: per slice, 1 for a key that also occurs elsewhere, 2 if it does in very many slices."""
-    data = [np.frombuffer(x, KEYED) for x in table["data"].to_pylist()]
-    rows = np.concatenate(data)
-    order = np.argsort(rows["key"], kind="stable")
-    keys = rows["key"][order]
-    edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    count = np.diff(np.append(edges, len(keys)))
-    twice = np.maximum.reduceat(rows["twice"][order], edges) > 0
-    state = np.where(count > MANY_SLICES, 2, (count > 1) | twice).astype(np.uint8)
-    out = np.empty(len(rows), np.uint8)
-    out[order] = np.repeat(state, count)
-    cuts = np.cumsum([len(d) for d in data])[:-1]
-    found = [(s, d["key"][o > 0], o[o > 0]) for s, d, o in zip(table["slice"].to_pylist(), data, np.split(out, cuts))]
-    packed = []
-    for s, k, o in found:
-        rows = np.zeros(len(k), KEYED)
-        rows["key"], rows["twice"] = k, o
-        packed.append((s, rows.tobytes()))
-    packed = [p for p in packed if p[1]]
-    return pa.table({"slice": pa.array([p[0] for p in packed], pa.int64()), "data": pa.array([p[1] for p in packed], pa.binary())})
-
-
 def _first_in_groups(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs sorted by (key, bytes, place), and which of them are the first of their bytes."""
     runs = runs[np.lexsort((runs["start"], runs["row"], runs["slice"], runs["doc"], runs["c"], runs["key"]))]
@@ -417,7 +390,7 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, length: int, cut: bool)
     with_replies = slices.with_replies
 
     keys = slices.table.mapInArrow(_report_keys(at, length, buckets), MESSAGE)
-    repeated = stored(keys.groupBy("bucket").applyInArrow(_repeated_keys, "slice long, data binary"), "repeated-keys")
+    repeated = stored(keys.groupBy("bucket").applyInArrow(repeated_keys, "slice long, data binary"), "repeated-keys")
     sent = stored(with_replies(repeated).mapInArrow(_report_runs(at, length, buckets), MESSAGE), "runs")
     sorted_out = stored(sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_first_runs, "slice long, kind long, data binary"), "first-runs")
     wanted = sorted_out.where("kind = 1").select("slice", "data")

@@ -11,7 +11,7 @@ from gridloom.llm.minhash import near_duplicates
 from gridloom.llm.onebit import nearest_cosine
 from gridloom.llm.packing import pack, token_pieces
 from gridloom.llm.suffix_dedup import repeated_bytes
-from gridloom.llm import piece_fst, quality, toxicity
+from gridloom.llm import piece_fst, ppm, quality, toxicity
 from gridloom.session import stored
 
 TOKENIZERS = "/opt/tokenizers"  # folder of the public tokenizer files
@@ -140,6 +140,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@query("op5_ppm_scores")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = toxicity.remainder(F.col("doc_id"), 10) == 0
+    out = ppm.score(documents(spark, sf_dir), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the repository top; it imports this module's settings

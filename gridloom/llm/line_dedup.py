@@ -4,8 +4,8 @@ A run is a table of line keys (128-bit hashes) bucketed and sorted by key. Frequ
 frequent live in separate families of runs. A new batch of documents is reduced to one row per key (map-side sums, so a
 line that a third of all documents share is one row per task), merge-anti-joined with the frequent runs, and what is left
 becomes its own run. When a level holds `fanout` runs they are compacted into one run of the next level; keys whose sum
-has reached the threshold move to the frequent family. All runs are bucketed alike, so compactions and anti-joins are
-sort-merge joins without a shuffle.
+has reached the threshold move to the frequent family. All runs are bucketed and sorted alike, so the anti-joins with them
+need no shuffle of the runs.
 """
 
 from __future__ import annotations
@@ -62,8 +62,7 @@ class LineRuns:
     def _write(self, df: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         (
-            df.repartition(self.buckets, *KEY)
-            .write.format("parquet")
+            df.write.format("parquet")
             .option("path", f"{self.folder}/{name}")
             .bucketBy(self.buckets, *KEY)
             .sortBy(*KEY)
@@ -73,7 +72,8 @@ class LineRuns:
         return name
 
     def _union(self, names: list[str]) -> DataFrame:
-        return reduce(DataFrame.unionByName, [self.spark.table(n) for n in names])
+        """Rows of several runs, dealt by key again: a union of bucketed tables does not keep equal keys together."""
+        return reduce(DataFrame.unionByName, [self.spark.table(n) for n in names]).repartition(self.buckets, *KEY)
 
     def add(self, lines: DataFrame) -> None:
         """Take in a batch of `lines()` rows whose documents are in no earlier batch."""

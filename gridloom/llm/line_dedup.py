@@ -4,8 +4,8 @@ A run is a table of line keys (128-bit hashes) bucketed and sorted by key. Frequ
 frequent live in separate families of runs. A new batch of documents is reduced to one row per key (map-side sums, so a
 line that a third of all documents share is one row per task), merge-anti-joined with the frequent runs, and what is left
 becomes its own run. When a level holds `fanout` runs they are compacted into one run of the next level; keys whose sum
-has reached the threshold move to the frequent family. All runs are bucketed and sorted alike, so the anti-joins with them
-need no shuffle of the runs.
+has reached the threshold move to the frequent family. All runs are bucketed and sorted alike, so runs are merged and
+anti-joined by sort-merge joins that do not shuffle them.
 """
 
 from __future__ import annotations
@@ -71,9 +71,14 @@ class LineRuns:
         self.made.append(name)
         return name
 
-    def _union(self, names: list[str]) -> DataFrame:
-        """Rows of several runs, dealt by key again: a union of bucketed tables does not keep equal keys together."""
-        return reduce(DataFrame.unionByName, [self.spark.table(n) for n in names]).repartition(self.buckets, *KEY)
+    def _summed(self, names: list[str]) -> DataFrame:
+        """Runs merged into one row per key. Merge joins, because a union of bucketed tables claims a partitioning it does not have."""
+
+        def merge(one: DataFrame, two: DataFrame) -> DataFrame:
+            n = F.coalesce(one["n"], F.lit(0)) + F.coalesce(two["n"], F.lit(0))
+            return one.join(two, KEY, "full_outer").select(*KEY, n.alias("n"))
+
+        return reduce(merge, [self.spark.table(n) for n in names])
 
     def add(self, lines: DataFrame) -> None:
         """Take in a batch of `lines()` rows whose documents are in no earlier batch."""
@@ -92,7 +97,7 @@ class LineRuns:
         A key may have reached the threshold in one run after another run took it in, so a sum never counts what the
         frequent family holds already.
         """
-        total = self._union(self.levels[level]).groupBy(*KEY).agg(F.sum("n").alias("n"))
+        total = self._summed(self.levels[level])
         for name in self.frequent_runs:
             total = total.join(self.spark.table(name), KEY, "left_anti")
         summed = self._write(total)
@@ -108,7 +113,7 @@ class LineRuns:
         runs = [n for level in self.levels for n in level]
         parts = [self.spark.table(n).select(*KEY) for n in self.frequent_runs]
         if runs:
-            total = self._union(runs).groupBy(*KEY).agg(F.sum("n").alias("n")).where(F.col("n") >= self.min_docs).select(*KEY)
+            total = self._summed(runs).where(F.col("n") >= self.min_docs).select(*KEY)
             for name in self.frequent_runs:
                 total = total.join(self.spark.table(name), KEY, "left_anti")
             parts.append(total)

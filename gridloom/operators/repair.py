@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -63,7 +64,7 @@ def largest_rectangle(px: DataFrame, eligible: Column) -> DataFrame:
     )
 
 
-def trim_window(forbidden: DataFrame, sizes: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+def trim_window(forbidden: DataFrame, sizes: DataFrame) -> DataFrame:
     """Window without forbidden cells by trimming one side at a time, the side with most forbidden cells first.
 
     Where no side touches a forbidden cell but some lie inside, the largest of the four parts around their bounds is
@@ -73,7 +74,7 @@ def trim_window(forbidden: DataFrame, sizes: DataFrame, max_rounds: int = 100_00
     cells = cut_lineage(forbidden.select("raster_id", "r", "c"))
     c = F.col
     done = None
-    for _ in range(max_rounds):
+    while True:  # every round takes a line or more off each window that is not clean yet
         inside = cells.join(win, "raster_id").where((c("r") >= c("top")) & (c("r") < c("bottom")) & (c("c") >= c("left")) & (c("c") < c("right")))
         sides = {"top": c("r") == c("top"), "bottom": c("r") == c("bottom") - 1, "left": c("c") == c("left"), "right": c("c") == c("right") - 1}
         stats = inside.groupBy("raster_id", "top", "bottom", "left", "right").agg(
@@ -197,7 +198,8 @@ def propagate_fill(px: DataFrame, hole: Column, bands: Sequence[str], max_iter:
         worst = cells.groupBy("raster_id").agg((100.0 * F.count_if("_hole") / n_rows()).alias("p")).agg(F.max("p").alias("p")).first()["p"] or 0.0
         if worst > max_share:
             raise ValueError(f"{worst:.4f} % of a raster would be filled, more than {max_share} %")
-    front = cells.where("NOT _hole").select("raster_id", "r", "c", *bands)
+    finite = [F.coalesce(F.abs(F.col(b).cast("double")) < float("inf"), F.lit(False)) for b in bands]  # NULL, NaN and infinite cells are no source
+    front = cells.where(reduce(Column.__and__, finite, ~F.col("_hole"))).select("raster_id", "r", "c", *bands)
     around = F.array(*[F.struct((F.col("r") + dr).alias("nr"), (F.col("c") + dc).alias("nc"), F.lit(i).alias("_o")) for i, (dr, dc) in enumerate(OFFSETS)])
     filled, rounds = None, 0
     while holes:

@@ -18,7 +18,6 @@ from gridloom.operators.sets import role_overlap
 
 def n_rows() -> Column:
     return F.count(F.lit(1))
-ERRORS_PER_CHECK = 100
 
 
 def _rows(checks: Sequence[tuple[str, Column, Column]]) -> Column:
@@ -37,13 +36,16 @@ def _rows(checks: Sequence[tuple[str, Column, Column]]) -> Column:
     )
 
 
-def run_checks(df: DataFrame, bad: Mapping[str, Column], key: str, context: Sequence[str] = (), limit: int = ERRORS_PER_CHECK) -> tuple[DataFrame, DataFrame]:
-    """(checks, errors) of row rules; `bad` maps a check to the condition of a failing row (NULL does not fail)."""
+def run_checks(df: DataFrame, bad: Mapping[str, Column], key: str, context: Sequence[str] = (), limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(checks, errors) of row rules; `bad` maps a check to the condition of a failing row (NULL does not fail).
+
+    All failing rows are errors; with a `limit` only that many per check, the smallest keys first, numbered as error_rank.
+    """
     agg = df.agg(*[F.count_if(cond).alias(f"_{i}") for i, cond in enumerate(bad.values())])
     checks = agg.select(_rows([(name, F.col(f"_{i}"), F.lit(0).cast("bigint")) for i, name in enumerate(bad)]))
     names = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in bad.items()]))
     failing = df.select(key, *context, F.explode(names).alias("check_name"))
-    return checks, top_k(failing, ["check_name"], [F.col(key)], limit, "error_rank")
+    return checks, failing if limit is None else top_k(failing, ["check_name"], [F.col(key)], limit, "error_rank")
 
 
 def check_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
@@ -101,8 +103,8 @@ def window_rules(size: int, stride: int) -> dict[str, Column]:
 
 
 def check_city_paths(df: DataFrame, path_columns: Sequence[str]) -> DataFrame:
-    """Every city reads each product from one path."""
-    g = df.groupBy("city").agg(*[(F.min(c).eqNullSafe(F.max(c))).alias(c) for c in path_columns])
+    """Every city reads each product from one path, or has none for any of its patches."""
+    g = df.groupBy("city").agg(*[(F.min(c).eqNullSafe(F.max(c)) & F.count(c).isin(F.lit(0), n_rows())).alias(c) for c in path_columns])
     bad = g.agg(*[F.count_if(~F.col(c)).alias(c) for c in path_columns])
     return bad.select(_rows([(f"one_{c}_per_city", F.col(c), F.lit(0).cast("bigint")) for c in path_columns]))
 

@@ -215,14 +215,14 @@ GAIN = {None: "vv / 100", "gain_up": "least(vv / 100 * 1.1, 6)", "s1_gain_down":
 @query(
     "augment",
     " UNION ALL ".join(
-        f"SELECT '{n}' AS augmentation, raster_id, {GEOMETRY[Ar.split_augmentation(n)[0]][0]} AS r, {GEOMETRY[Ar.split_augmentation(n)[0]][1]} AS c, round({GAIN[Ar.split_augmentation(n)[1]]}, 7) AS vv FROM fx_pixel"
+        f"SELECT '{n}' AS augmentation, raster_id, {GEOMETRY[Ar.AUGMENTATION_PARTS[n][0]][0]} AS r, {GEOMETRY[Ar.AUGMENTATION_PARTS[n][0]][1]} AS c, round({GAIN[Ar.AUGMENTATION_PARTS[n][1]]}, 7) AS vv FROM fx_pixel"
         for n in ("rot90", "rot270", "hflip", "vflip_rot90", "hflip_rot90", "rot180", "hflip_gain_up", "s1_gain_down", "s2_gain_up")
     ),
 )
 def _(spark, d):
     px, out = fx_pixel(spark, d), None
     for name in ("rot90", "rot270", "hflip", "vflip_rot90", "hflip_rot90", "rot180", "hflip_gain_up", "s1_gain_down", "s2_gain_up"):
-        geometry, gain = Ar.split_augmentation(name)
+        geometry, gain = Ar.AUGMENTATION_PARTS[name]
         r, c = Ar.augmented_cell(F.col("r"), F.col("c"), 50, geometry)
         one = px.select(F.lit(name).alias("augmentation"), "raster_id", r.alias("r"), c.alias("c"), F.round(Ar.gained("s1_vv", F.col("vv") / 100, gain), 7).alias("vv"))
         out = one if out is None else out.unionByName(one)

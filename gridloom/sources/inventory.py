@@ -134,15 +134,21 @@ def normal_path(path: Column) -> Column:
 
 
 def raster_role(path: Column, bands: Column) -> Column:
-    """Polarisation role of a raster from its path and number of bands."""
+    """Polarisation role of a raster from its path and number of bands: of the roles whose evidence is complete, the most specific."""
     text = normal_path(path)
     stem = F.regexp_replace(F.element_at(F.split(text, "/"), -1), r"\.[^.]*$", "")
-    named = lambda b: text.rlike(rf"(^|[_./]){b}($|[_./])") | F.contains(stem, F.lit(b))
-    vv, vh, stacked = named("vv"), named("vh"), F.coalesce(bands >= 2, F.lit(False))
-    return (
-        F.when(text.rlike("|".join(DERIVED_WORDS)), "derived_ignore").when(stacked & vv & vh, "stacked_vv_vh").when(stacked & text.rlike("rtc|terrain"), "stacked_candidate")
-        .when(vv & ~vh, "vv").when(vh & ~vv, "vh").when(vv & vh, "vv_vh_name_ambiguous").otherwise("unknown")
-    )
+    has = {b: text.rlike(rf"(^|[_./]){b}($|[_./])") | F.contains(stem, F.lit(b)) for b in ("vv", "vh")}
+    several = F.coalesce(bands >= 2, F.lit(False))
+    both, one = has["vv"] & has["vh"], has["vv"] != has["vh"]
+    evidence = {  # by falling rank
+        "derived_ignore": text.rlike("|".join(DERIVED_WORDS)),
+        "stacked_vv_vh": both & several,
+        "stacked_candidate": several & text.rlike("rtc|terrain"),
+        "vv_vh_name_ambiguous": both,
+        "vv": one & has["vv"],
+        "vh": one & has["vh"],
+    }
+    return F.element_at(F.array_compact(F.array(*[F.when(found, role) for role, found in evidence.items()], F.lit("unknown"))), 1)
 
 
 def raster_inventory(meta: DataFrame, cities: Sequence[str]) -> DataFrame:

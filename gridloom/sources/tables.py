@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gridloom.functions.scalars import safe_bool
 from gridloom.operators.ranking import best_per_key
@@ -47,14 +48,18 @@ def resolve(df: DataFrame, aliases: Mapping[str, Sequence[str]], required: Seque
 
 
 def filter_modality(df: DataFrame, wanted: str, column: str = "modality") -> DataFrame:
-    """Rows of a modality: by normalised name, else by a name that holds every part of it; raises, listing the values,
-    when there is neither. The distinct names are few and are looked at first."""
-    slug = lambda v: re.sub(r"[^a-z0-9]+", "_", str(v).lower()).strip("_")
-    values = [r[0] for r in df.select(column).distinct().limit(10_000).collect()]
-    hits = [v for v in values if slug(v) == slug(wanted)] or [v for v in values if all(p in slug(v) for p in slug(wanted).split("_"))]
-    if not hits:
-        raise ValueError(f"no rows for modality {wanted!r}; values are {sorted(map(str, values))}")
-    return df.where(F.col(column).isin(*hits))
+    """Rows of a modality: by normalised name, else by a name that holds every part of it; raises when there is neither.
+
+    Which of the two holds is decided by a one-row aggregate, so any number of names will do.
+    """
+    slug = lambda v: re.sub(r"[^a-z0-9]+", "_", v.lower()).strip("_")
+    name = F.btrim(F.regexp_replace(F.lower(F.col(column).cast("string")), "[^a-z0-9]+", "_"), F.lit("_"))
+    exact = name == slug(wanted)
+    partly = reduce(Column.__and__, [F.contains(name, F.lit(p)) for p in slug(wanted).split("_")])
+    found = df.agg(F.bool_or(exact).alias("exact"), F.bool_or(partly).alias("partly")).first()
+    if not (found["exact"] or found["partly"]):
+        raise ValueError(f"no rows for modality {wanted!r} in column {column!r}")
+    return df.where(exact if found["exact"] else partly)
 
 
 def cast_to(df: DataFrame, schema: T.StructType) -> DataFrame:

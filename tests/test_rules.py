@@ -2,13 +2,14 @@
 
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import arrays, bins, masks, products, rules, scalars
 from gridloom.operators.metrics import grid
 from gridloom.operators.sampling import RECIPES, allocate
-from gridloom.operators.splits import choose_validation_cities
+from gridloom.operators.splits import greedy_validation
 from gridloom.operators.tiling import axis_starts, stride_of
 
 EDGES = [0, 0.05, 0.1, 0.5, 1, 5, 10, 20, 25, 40, 50, 60, 100]
@@ -99,8 +100,8 @@ def test_winner_from_text(spark):
 
 
 def test_greedy_validation_keeps_a_training_city():
-    cities = [{"region": r, "city": f"{r}{i}", "patches": 100 + i, "positive_patches": i} for r, n in (("a", 3), ("b", 2), ("c", 1)) for i in range(n)]
-    val = choose_validation_cities(cities, 609, 0.5, 10, 1)
+    cities = pd.DataFrame([{"region": r, "city": f"{r}{i}", "patches": 100 + i, "positive_patches": i} for r, n in (("a", 3), ("b", 2), ("c", 1)) for i in range(n)])
+    val = cities["city"][greedy_validation(cities, 0.5, 10, 1)].tolist()
     assert "c0" not in val
     for r, n in (("a", 3), ("b", 2)):
         assert sum(v.startswith(r) for v in val) < n

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gridloom.functions.metrics import segmentation_metrics
 from gridloom.functions.rules import POOLS, share
 from gridloom.functions.scalars import pct
+from gridloom.operators.ranking import join_null_safe
 from gridloom.operators.stats import grouped_quantiles
 
 
@@ -276,20 +277,11 @@ def pivot_counts(rows: DataFrame, by: Sequence[str], column: str, values: Sequen
     return rows.groupBy(*by).pivot(column, list(values)).agg(n_rows()).fillna(0, list(values))
 
 
-def distinct_values(rows: DataFrame, by: Sequence[str], value: str, limit: int = 20) -> DataFrame:
-    """Distinct values of a group as text, or a note that there are more than `limit`.
-
-    At most limit + 1 distinct values per group reach the list.
-    """
-    from gridloom.operators.ranking import top_k
-
-    seen = top_k(rows.select(*by, value).distinct(), by, [F.col(value)], limit + 1, "_rn")
-    return seen.groupBy(*by).agg(
-        F.when(n_rows() > limit, F.lit(f"more_than_{limit}_unique_values"))
-        .otherwise(F.array_join(F.transform(F.array_sort(F.collect_list(value)), lambda v: v.cast("string")), ","))
-        .alias("unique_values"),
-        F.bool_and(F.col(value).isin(0, 1)).alias("binary_ok"),
-    )
+def distinct_values(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Every distinct value of each group as a row, with the group's number of values and whether all are 0 or 1."""
+    seen = rows.select(*by, value).distinct()
+    totals = seen.groupBy(*by).agg(F.count(value).alias("unique_count"), F.bool_and(F.col(value).isin(0, 1)).alias("binary_ok"))
+    return join_null_safe(seen, totals, by)
 
 
 def patch_threshold_counts(patches: DataFrame, by: Sequence[str], value: str, thresholds: Sequence[float] = (0, 1, 5, 25, 50)) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.functions import rules as R
-from gridloom.functions.arrays import cosine, norm
+from gridloom.functions.arrays import cosine, dot, norm
 from gridloom.operators.ranking import hash_order, top_k
 
 MAX_SILHOUETTE_SAMPLE = 20_000  # rows of the sample that travels to every task
@@ -293,11 +293,34 @@ def _cluster_sums(points: np.ndarray, clusters: np.ndarray, n_clusters: int) ->
     return run
 
 
-def silhouette(emb: DataFrame, cluster: str, key: str = "patch_id", sample: int = 5000, seed: str = "42") -> DataFrame:
-    """Euclidean silhouette of each row of a seeded sample (of the whole table where it is not larger).
+def silhouette(emb: DataFrame, cluster: str, key: str = "patch_id") -> DataFrame:
+    """Silhouette of every row with squared Euclidean distances, as (id, silhouette); a row alone in its cluster has 0.
+
+    The mean squared distance to a cluster follows from its size, its sum vector and its sum of squared norms, so rows are
+    never paired: two aggregates over (cluster, component), then one pass that compares a row with each cluster. Vectors
+    are centred first, which keeps the differences of large norms exact.
+    """
+    rows = emb.select(F.col(key).alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"), F.col(cluster).cast("string").alias("_c"))
+    in_order = lambda v: F.transform(F.array_sort(F.collect_list(F.struct("i", v))), lambda p: p["v"])
+    mean = rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("v")).agg(in_order(F.col("v")).alias("_m")).withColumn("_one", F.lit(1))
+    rows = rows.withColumn("_one", F.lit(1)).join(mean, "_one").select("id", "_c", F.zip_with("x", "_m", lambda a, b: a - b).alias("x"))
+    sums = rows.select("_c", F.posexplode("x").alias("i", "v")).groupBy("_c", "i").agg(F.sum("v").alias("v")).groupBy("_c").agg(in_order(F.col("v")).alias("s"))
+    sizes = rows.groupBy("_c").agg(n_rows().alias("n"), F.sum(dot(F.col("x"), F.col("x"))).alias("q"))
+    clusters = sums.join(sizes, "_c").agg(F.collect_list(F.struct("_c", "n", "s", "q")).alias("_k")).withColumn("_one", F.lit(1))
+    far = lambda k: k["n"] * dot(F.col("x"), F.col("x")) - 2.0 * dot(F.col("x"), k["s"]) + k["q"]
+    own = lambda k: k["_c"].eqNullSafe(F.col("_c"))
+    joined = rows.withColumn("_one", F.lit(1)).join(clusters, "_one")
+    mine = F.filter("_k", own)[0]
+    a = F.greatest(far(mine), F.lit(0.0)) / (mine["n"] - 1)
+    b = F.array_min(F.transform(F.filter("_k", lambda k: ~own(k)), lambda k: F.greatest(far(k), F.lit(0.0)) / k["n"]))
+    return joined.select("id", F.when(mine["n"] > 1, (b - a) / F.greatest(a, b, F.lit(1e-300))).otherwise(0.0).alias("silhouette"))
+
+
+def silhouette_sample(emb: DataFrame, cluster: str, key: str = "patch_id", sample: int = 5000, seed: str = "42") -> DataFrame:
+    """Euclidean silhouette of each row of a seeded sample, with the number of rows that were scored in `sample_rows`.
 
     The sample size is the operator's own parameter and is checked, so the sample can travel to every task; each task
-    then scores its rows against it.
+    then scores its rows against it. `silhouette` scores whole tables.
     """
     if not 0 < sample <= MAX_SILHOUETTE_SAMPLE:
         raise ValueError(f"the silhouette sample must hold between 1 and {MAX_SILHOUETTE_SAMPLE} rows")
@@ -310,7 +333,8 @@ def silhouette(emb: DataFrame, cluster: str, key: str = "patch_id", sample: int
     number = F.create_map(*[F.lit(x) for n, i in index.items() for x in (n, i)])
     kind = emb.schema[key].dataType.simpleString()
     scored = picked.select("id", "embedding", number[F.col("_c")].alias("cluster")).repartition(emb.sparkSession.sparkContext.defaultParallelism, "id")
-    return scored.mapInPandas(_cluster_sums(_matrix(local["embedding"]), ids, len(names)), f"id {kind}, silhouette double")
+    out = scored.mapInPandas(_cluster_sums(_matrix(local["embedding"]), ids, len(names)), f"id {kind}, silhouette double")
+    return out.withColumn("sample_rows", F.lit(len(local)))
 
 
 # --- probes and model hooks ------------------------------------------------------------------------------------------

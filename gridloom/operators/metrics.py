@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridloom.functions.metrics import class_metrics, segmentation_metrics
 from gridloom.functions.scalars import safe_div
 from gridloom.operators.ranking import ranked
-
-SCORE_BUCKETS = 1024
+from gridloom.operators.stats import value_bucket
 
 
 def confusion(px: DataFrame, by: Sequence[str], score: Column, label: Column, threshold: float, valid: Column | None = None) -> DataFrame:
@@ -81,6 +80,9 @@ def multiclass_metrics(matrix: DataFrame, classes: int, eps: float = 1e-9) -> Da
     )
 
 
+SCORE_UNIT = 1e6  # buckets are logarithmic above a score of 1e-9, so those of a rare class spread as well
+
+
 def ranking_metrics(rows: DataFrame, by: Sequence[str], score: str, label: str, threshold: float | None = None) -> DataFrame:
     """Average precision, ROC AUC (ties share a rank) and threshold metrics, for scores in [0, 1].
 
@@ -89,7 +91,7 @@ def ranking_metrics(rows: DataFrame, by: Sequence[str], score: str, label: str,
     """
     pos = F.col(label) == 1
     per = rows.groupBy(*by, F.col(score).alias("_s")).agg(F.count_if(pos).alias("_p"), F.count_if(~pos).alias("_q"))
-    bucket = F.floor((1.0 - F.col("_s")) * SCORE_BUCKETS).cast("int")
+    bucket = -value_bucket(F.col("_s") * SCORE_UNIT)
     run = ranked(per, by, [F.col("_s").desc()], bucket, "_r", {"_p": "_tp", "_q": "_fp"})
     steps = run.select(*by, "_s", "_p", "_q", "_tp", "_fp")
     # AUC counts, for each score, the positives ranked above plus half of the tied ones, per negative.

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SAMPLE_BUCKETS = 64
+ROWS_PER_BUCKET = 1_000_000  # about as many rows of one group meet in a task
 
 
 def hash_order(*keys: Column, salt: str = "") -> Column:
@@ -21,8 +21,10 @@ def hash_order(*keys: Column, salt: str = "") -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
-def hash_bucket(h: Column, buckets: int = SAMPLE_BUCKETS) -> Column:
-    return F.floor(h / F.lit((1 << 32) // buckets)).cast("int")
+def hash_bucket(h: Column, n: Column) -> Column:
+    """Bucket of a row along the sample order, for a group of n rows: as many buckets as keep each near ROWS_PER_BUCKET."""
+    buckets = F.ceil(n / F.lit(ROWS_PER_BUCKET))
+    return F.floor(h * buckets / F.lit(1 << 32)).cast("bigint")
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -70,9 +72,10 @@ def sample_rank(
     df: DataFrame, by: Sequence[str], keys: Sequence[str], salt: str = "", rank: str = "sample_rank"
 ) -> DataFrame:
     """Position of each row of its group in the seeded sample order; ties broken by the keys."""
-    h = df.withColumn("_h", hash_order(*[F.col(k) for k in keys], salt=salt))
-    out = ranked(h, by, [F.col("_h"), *[F.col(k) for k in keys]], hash_bucket(F.col("_h")), rank)
-    return out.drop("_h")
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+    h = join_null_safe(df.withColumn("_h", hash_order(*[F.col(k) for k in keys], salt=salt)), sizes, by)
+    out = ranked(h, by, [F.col("_h"), *[F.col(k) for k in keys]], hash_bucket(F.col("_h"), F.col("_size")), rank)
+    return out.drop("_h", "_size")
 
 
 def take_sample(

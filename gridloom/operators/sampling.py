@@ -132,7 +132,7 @@ def curriculum(train: DataFrame, recipe: Mapping[str, float], n: int, key: str =
     again = rows.drop("_draw").join(draws, ["sample_pool", "_pos"])
     both = plain.withColumn("sampled_with_replacement", F.lit(False)).unionByName(again.withColumn("sampled_with_replacement", F.lit(True)))
     h = both.withColumn("_h", hash_order(F.col("sample_pool"), F.col("_draw"), salt=f"{seed}:order")).withColumn("_all", F.lit(0))
-    out = ranked(h, ["_all"], [F.col("_h"), F.col("sample_pool"), F.col("_draw")], hash_bucket(F.col("_h")), "_row")
+    out = ranked(h, ["_all"], [F.col("_h"), F.col("sample_pool"), F.col("_draw")], hash_bucket(F.col("_h"), F.lit(n)), "_row")
     row_id = F.format_string(f"{name}_%06d", F.col("_row") - 1)
     return out.withColumns({"curriculum_row_id": row_id, "sample_weight": F.lit(1.0)}).drop("_all", "_h", "_row", "_pos", "_draw", "_size", "_quota")
 

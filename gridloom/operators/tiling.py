@@ -118,6 +118,18 @@ def with_blocks(px: DataFrame, meta: DataFrame, size: int, stride: int, raster:
     ).drop("_h", "_w")
 
 
+def merged_moments(parts: Column) -> Column:
+    """(n, mean, m2) of a union from the (n, mean, m2) of its parts, m2 being the sum of squared deviations; no large squares cancel."""
+
+    def merge(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        d = b["mean"] - a["mean"]
+        return F.struct(n.alias("n"), (a["mean"] + d * b["n"] / n).alias("mean"), (a["m2"] + b["m2"] + d * d * a["n"] * b["n"] / n).alias("m2"))
+
+    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    return F.aggregate(parts, zero, merge)
+
+
 def patch_stats(px: DataFrame, meta: DataFrame, patches: DataFrame, size: int, stride: int, counts: Mapping[str, Column], values: Mapping[str, tuple[Column, Column]] | None = None, raster: str = "raster_id") -> DataFrame:
     """Counts of conditions and min / max / mean / population std of values per patch, in two small aggregates.
 
@@ -128,14 +140,13 @@ def patch_stats(px: DataFrame, meta: DataFrame, patches: DataFrame, size: int, s
     aggs = [n_rows().alias("total_pixels"), *[F.count_if(cond).alias(k) for k, cond in counts.items()]]
     for k, (v, ok) in values.items():
         x = F.when(ok, v.cast("double"))
-        aggs += [F.count(x).alias(f"_n_{k}"), F.sum(x).alias(f"_s_{k}"), F.sum(x * x).alias(f"_q_{k}"), F.min(x).alias(f"_lo_{k}"), F.max(x).alias(f"_hi_{k}")]
+        aggs += [F.struct(F.count(x).alias("n"), F.avg(x).alias("mean"), (F.var_pop(x) * F.count(x)).alias("m2")).alias(f"_m_{k}"), F.min(x).alias(f"_lo_{k}"), F.max(x).alias(f"_hi_{k}")]
     cells = blocks.groupBy(raster, "block_row", "block_col").agg(*aggs)
     joined = patch_blocks(patches, size, stride, raster).join(cells, [raster, "block_row", "block_col"])
     out = [F.sum("total_pixels").alias("total_pixels"), *[F.sum(k).alias(k) for k in counts]]
     for k in values:
-        n, s, q = F.sum(f"_n_{k}"), F.sum(f"_s_{k}"), F.sum(f"_q_{k}")
-        mean = F.when(n > 0, s / n)
-        out += [F.min(f"_lo_{k}").alias(f"{k}_min"), F.max(f"_hi_{k}").alias(f"{k}_max"), mean.alias(f"{k}_mean"), F.sqrt(F.greatest(q / n - mean * mean, F.lit(0.0))).alias(f"{k}_std")]
+        m = merged_moments(F.array_sort(F.collect_list(F.when(F.col(f"_m_{k}.n") > 0, F.col(f"_m_{k}")))))  # a patch has a few blocks
+        out += [F.min(f"_lo_{k}").alias(f"{k}_min"), F.max(f"_hi_{k}").alias(f"{k}_max"), F.when(m["n"] > 0, m["mean"]).alias(f"{k}_mean"), F.when(m["n"] > 0, F.sqrt(m["m2"] / m["n"])).alias(f"{k}_std")]
     return joined.groupBy("patch_id").agg(*out)
 
 
@@ -152,12 +163,15 @@ def normalization_stats(long: DataFrame, meta: DataFrame, train: DataFrame, size
     w = patch_weights(train, size, stride, raster)
     rows = with_blocks(long, meta, size, stride, raster).join(w, [raster, "block_row", "block_col"])
     v, k = F.when(F.col("is_valid"), F.col("value").cast("double")), F.col("weight")
-    n = F.sum(F.when(v.isNotNull(), k))
-    mean = F.sum(v * k) / n
-    base = rows.groupBy(*by).agg(
-        n.alias("valid_count"), (F.sum(k) - n).alias("invalid_count"), F.min(v).alias("min"), F.max(v).alias("max"), mean.alias("mean"),
-        F.sqrt(F.greatest(F.sum(v * v * k) / n - mean * mean, F.lit(0.0))).alias("std"),
-    )
+    # all cells of a block have one weight: central moments per block first, then blocks against the weighted mean
+    blocks = rows.groupBy(*by, raster, "block_row", "block_col", "weight").agg(
+        n_rows().alias("_all"), F.count(v).alias("_n"), F.avg(v).alias("_mean"), (F.var_pop(v) * F.count(v)).alias("_m2"), F.min(v).alias("_lo"), F.max(v).alias("_hi")
+    )
+    n = F.sum(F.col("_n") * k)
+    base = blocks.groupBy(*by).agg(n.alias("valid_count"), (F.sum(F.col("_all") * k) - n).alias("invalid_count"), F.min("_lo").alias("min"), F.max("_hi").alias("max"), (F.sum(F.col("_mean") * F.col("_n") * k) / n).alias("mean"))
+    off = F.col("_mean") - F.col("mean")
+    spread = blocks.join(base.select(*by, "mean"), list(by)).groupBy(*by).agg(F.sum((F.col("_m2") + F.col("_n") * off * off) * k).alias("_m2"))
+    base = base.join(spread, list(by)).withColumn("std", F.sqrt(F.col("_m2") / F.col("valid_count"))).drop("_m2")
     q = quantiles(rows.where("is_valid"), by, "value", list(qs.values()), list(qs), weight=k)
     return base.join(q, list(by), "left")
 

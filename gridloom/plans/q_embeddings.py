@@ -104,7 +104,7 @@ def _(spark, d):
 
 @query(
     "silhouette",
-    f"""WITH p AS (SELECT a.patch_id, a.region AS own, b.region AS oth, list_distance(a.e, b.e) AS dist FROM {VEC} a JOIN {VEC} b ON a.patch_id <> b.patch_id), m AS (SELECT patch_id, own, oth, avg(dist) AS m FROM p GROUP BY ALL),
+    f"""WITH p AS (SELECT a.patch_id, a.region AS own, b.region AS oth, list_distance(a.e, b.e) ** 2 AS dist FROM {VEC} a JOIN {VEC} b ON a.patch_id <> b.patch_id), m AS (SELECT patch_id, own, oth, avg(dist) AS m FROM p GROUP BY ALL),
       s AS (SELECT patch_id, max(m) FILTER (own = oth) AS a, min(m) FILTER (own <> oth) AS b FROM m GROUP BY 1) SELECT patch_id AS id, round((b - a) / greatest(a, b), 6) AS silhouette FROM s""",
 )
 def _(spark, d):

@@ -268,12 +268,12 @@ def _(spark, d):
 
 @query(
     "distinct_values",
-    """SELECT c_nationkey, CASE WHEN count(DISTINCT k) > 3 THEN 'more_than_3_unique_values' ELSE string_agg(DISTINCT CAST(k AS VARCHAR), ',' ORDER BY CAST(k AS VARCHAR)) END AS unique_values,
-      bool_and(k IN (0, 1)) AS binary_ok FROM (SELECT c_nationkey, c_custkey % (1 + c_nationkey % 5) AS k FROM customer) GROUP BY c_nationkey""",
+    """SELECT c_nationkey, k, u AS unique_count, b AS binary_ok FROM (SELECT DISTINCT c_nationkey, c_custkey % (1 + c_nationkey % 5) AS k FROM customer)
+      JOIN (SELECT c_nationkey, count(DISTINCT c_custkey % (1 + c_nationkey % 5)) AS u, bool_and(c_custkey % (1 + c_nationkey % 5) IN (0, 1)) AS b FROM customer GROUP BY 1) USING (c_nationkey)""",
 )
 def _(spark, d):
     k = (F.col("c_custkey") % (1 + F.col("c_nationkey") % 5)).alias("k")
-    return A.distinct_values(table(spark, d, "customer").select("c_nationkey", k), ["c_nationkey"], "k", 3)
+    return A.distinct_values(table(spark, d, "customer").select("c_nationkey", k), ["c_nationkey"], "k")
 
 
 @query(

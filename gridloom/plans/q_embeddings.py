@@ -132,11 +132,22 @@ def _(spark, d):
     return rounded(E.knn_scores(neighbours(spark, d)[0]))
 
 
-@query("knn_separability")
+@query(
+    "knn_separability",
+    SPLIT
+    + """, c AS (SELECT CAST(rep AS INTEGER) AS run, patch_id, y, round(sum(CASE WHEN ty = 1 THEN 1 / dist ELSE 0 END) / sum(1 / dist), 6) AS score FROM k WHERE rk <= 15 GROUP BY ALL),
+      g AS (SELECT run, score, sum(y) AS p, sum(1 - y) AS q FROM c GROUP BY run, score),
+      w AS (SELECT *, sum(p) OVER o AS tp, sum(q) OVER o AS fp FROM g WINDOW o AS (PARTITION BY run ORDER BY score DESC)),
+      m AS (SELECT run, CAST(sum(p) AS BIGINT) AS positives, CAST(sum(q) AS BIGINT) AS negatives, sum(p * tp / (tp + fp)) / sum(p) AS ap, sum((tp - p / 2.0) * q) / (CAST(sum(p) AS DOUBLE) * sum(q)) AS auc,
+        CAST(coalesce(sum(p) FILTER (score >= 0.5), 0) AS BIGINT) AS tp, CAST(coalesce(sum(q) FILTER (score >= 0.5), 0) AS BIGINT) AS fp FROM w GROUP BY run)
+      SELECT run, positives, negatives, round(ap, 6) AS average_precision, round(auc, 6) AS roc_auc, tp, fp, positives - tp AS fn, negatives - fp AS tn, round(2.0 * tp / (tp + fp + positives), 6) AS f1,
+      round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(tp / positives, 6) AS recall, round(0.5 * (tp / positives + (negatives - fp) / negatives), 6) AS balanced_accuracy,
+      round((tp + negatives - fp) / (positives + negatives), 6) AS accuracy FROM m""",
+)
 def _(spark, d):
     near, test = neighbours(spark, d)
-    scored = E.knn_scores(near).join(test.select("run", "query", "y"), ["run", "query"])
-    return M.ranking_metrics(scored, ["run"], "score", "y", 0.5)
+    scored = rounded(E.knn_scores(near)).join(test.select("run", "query", "y"), ["run", "query"])
+    return rounded(M.ranking_metrics(scored, ["run"], "score", "y", 0.5))
 
 
 @query("probe_logistic")

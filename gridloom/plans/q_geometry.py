@@ -139,7 +139,18 @@ def _(spark, d):
     return Al.pair_check(m).select("city", "same_shape", "same_crs", "same_gcp_count", "pair_ok")
 
 
-@query("patch_lonlat")
+# The inverse transverse Mercator series on WGS84, step by step; e2, q1 and p2 are the ellipsoid's constants.
+LONLAT_SQL = """WITH k AS (SELECT f * (2 - f) AS e2, f * (2 - f) / (1 - f * (2 - f)) AS p2, f / (2 - f) AS q1, 6378137.0::DOUBLE AS a FROM (SELECT 1 / 298.257223563::DOUBLE AS f)),
+  o AS (SELECT o_orderkey, 300000.0::DOUBLE + o_custkey * 10 AS x, 7400000.0::DOUBLE + o_orderkey % 1000 * 10 AS y, 22 + o_orderkey % 3 AS zone FROM orders),
+  u AS (SELECT *, (y - 10000000) / 0.9996::DOUBLE / (a * (1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256)) AS mu FROM o, k),
+  p AS (SELECT *, mu + (3 * q1 / 2 - 27 * q1 ** 3 / 32) * sin(2 * mu) + (21 * q1 ** 2 / 16 - 55 * q1 ** 4 / 32) * sin(4 * mu) + 151 * q1 ** 3 / 96 * sin(6 * mu) + 1097 * q1 ** 4 / 512 * sin(8 * mu) AS phi FROM u),
+  w AS (SELECT *, tan(phi) ** 2 AS t, p2 * cos(phi) ** 2 AS c, a / sqrt(1 - e2 * sin(phi) ** 2) AS n, a * (1 - e2) / (1 - e2 * sin(phi) ** 2) ** 1.5 AS r FROM p),
+  d AS (SELECT *, (x - 500000) / (n * 0.9996::DOUBLE) AS d FROM w)
+  SELECT o_orderkey, round(zone * 6 - 183 + degrees((d - (1 + 2 * t + c) * d ** 3 / 6 + (5 - 2 * c + 28 * t - 3 * c ** 2 + 8 * p2 + 24 * t ** 2) * d ** 5 / 120) / cos(phi)), 9) AS lon,
+  round(degrees(phi - n * tan(phi) / r * (d ** 2 / 2 - (5 + 3 * t + 10 * c - 4 * c ** 2 - 9 * p2) * d ** 4 / 24 + (61 + 90 * t + 298 * c + 45 * t ** 2 - 252 * p2 - 3 * c ** 2) * d ** 6 / 720)), 9) AS lat FROM d"""
+
+
+@query("patch_lonlat", LONLAT_SQL)
 def _(spark, d):
     o = table(spark, d, "orders")
     x, y = 300000.0 + F.col("o_custkey") * 10, 7400000.0 + F.col("o_orderkey") % 1000 * 10

@@ -8,8 +8,9 @@ Work is kept near linear. Documents with equal shingle sets are one class. Half
 before they are combined. Shingles that no other candidate has cannot be shared: they are counted and left out of the sets,
 and what remains bounds a document's similarity to any other. Within a table's bucket, members are compared with the member
 that has the largest share of shared shingles. Components of the confirmed links then tell which buckets still hold members
-that may be unconnected; there, pairs across components are compared unless what both lack of that member's set already
-rules a link out. A pair of one bucket is therefore connected, compared or ruled out exactly: no link that matters is lost.
+that may be unconnected; of all members gathered round one such set, pairs across components are compared unless what both
+lack of it already rules a link out. A pair of one bucket is therefore connected, compared or ruled out exactly: no link
+that matters is lost.
 """
 
 from __future__ import annotations
@@ -210,22 +211,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stars.where("linked").select("a", "b")
     grouped = stored(components(links), "components")
 
-    # buckets whose members are not all connected now: the pairs across components that may still be similar
+    # buckets whose members are not all connected now, gathered by their hub: the pairs across components that may still be similar
     of = of.join(grouped.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", "u", F.coalesce("component", "doc").alias("label"))
     of = stored(of, "bucket-labels")
     mixed = of.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     mixed = stored(mixed.join(hubs.select("key", "b", "bu"), "key"), "mixed-buckets")
     known = stars.select(F.col("a").alias("doc"), "b", "common", *[F.col("lacks")[i].alias(f"l{i}") for i in range(BIT_WORDS)])
-    rest = of.join(mixed, "key").join(known, ["doc", "b"], "left")
-    own = F.col("doc") == F.col("b")
-    rest = rest.withColumn("common", F.when(own, F.col("u")).otherwise(F.coalesce("common", F.lit(0)))).fillna(0, [f"l{i}" for i in range(BIT_WORDS)])
-    rest = stored(rest.dropDuplicates(["key", "doc"]), "mixed-members")
-    other = rest.select("key", *[F.col(c).alias(f"o_{c}") for c in rest.columns if c not in ("key", "b", "bu")])
-    # a and b share at most the hub's shingles that neither lacks, and outside the hub what the poorer one has there
+    family = of.join(mixed, "key").select("b", "bu", "doc", "n", "u", "label").distinct()
+    rest = family.join(known, ["doc", "b"], "left").join(family.where("doc = b").select("b", F.col("label").alias("hub_label")), "b")
+    common = F.when(F.col("doc") == F.col("b"), F.col("u")).otherwise(F.coalesce("common", F.lit(0)))
+    rest = stored(rest.withColumn("common", common).fillna(0, [f"l{i}" for i in range(BIT_WORDS)]), "mixed-members")
+    other = rest.select("b", *[F.col(c).alias(f"o_{c}") for c in rest.columns if c not in ("b", "bu", "hub_label")])
+    # two members share at most the hub's shingles that neither lacks, and outside the hub what the poorer one has there
     lacked = sum((F.bit_count(F.col(f"l{i}").bitwiseOR(F.col(f"o_l{i}"))) for i in range(BIT_WORDS)), F.lit(0))
     most = F.least("u", "o_u", F.col("bu") - lacked + F.least(F.col("u") - F.col("common"), F.col("o_u") - F.col("o_common")))
-    open_pairs = rest.join(other, "key").where("label < o_label").where(_reaches(most, F.col("n"), F.col("o_n"), percent))
-    open_pairs = stored(open_pairs.select(F.col("doc").alias("a"), F.col("o_doc").alias("b")).distinct(), "pairs")
+    once = (F.col("o_label") == F.col("hub_label")) | (F.col("label") < F.col("o_label"))
+    open_pairs = rest.where("label <> hub_label").join(other, "b").where(once & _reaches(most, F.col("n"), F.col("o_n"), percent))
+    open_pairs = stored(open_pairs.select(F.least("doc", "o_doc").alias("a"), F.greatest("doc", "o_doc").alias("b")).distinct(), "pairs")
     links = links.unionByName(compared(open_pairs, sets, percent).where("linked").select("a", "b"))
     grouped = components(links.unionByName(copies))
     out = sketch.select("doc", "n").join(grouped.withColumnRenamed("node", "doc"), "doc", "left")

@@ -244,6 +244,19 @@ def evidence_rows(spark, d):
     return D.evidence(D.decide(cmp_, 1.5e-4), cmp_, cons, sep, 1.5e-4)
 
 
+@query(
+    "separability_decisions",
+    """WITH g AS (SELECT l_suppkey, avg(l_tax) AS a, avg(l_discount) AS b, min(l_quantity) AS x, min(l_linenumber) AS y FROM lineitem GROUP BY l_suppkey),
+      m AS (SELECT l_suppkey, CASE WHEN l_suppkey % 4 = 0 THEN 0 ELSE b - a END AS k, y - x AS s FROM g)
+      SELECT l_suppkey, CASE WHEN k > 0.0050005 THEN 'RTC stronger separability' WHEN k < -0.0050005 THEN 'SNAP-GRD stronger separability' WHEN s > 0.0050005 THEN 'Near tie by kNN, RTC higher label silhouette'
+      WHEN s < -0.0050005 THEN 'Near tie by kNN, SNAP-GRD higher label silhouette' ELSE 'Near tie / mixed' END AS decision FROM m""",
+)
+def _(spark, d):
+    g = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_tax").alias("a"), F.avg("l_discount").alias("b"), F.min("l_quantity").alias("x"), F.min("l_linenumber").alias("y"))
+    knn = F.when(F.col("l_suppkey") % 4 == 0, 0.0).otherwise(F.col("b") - F.col("a"))
+    return g.select("l_suppkey", D.separability_decision(knn, F.col("y") - F.col("x"), 0.0050005).alias("decision"))
+
+
 @query("evidence", EV + " SELECT criterion_rank, comparison, evidence_type, winner FROM ev")
 def _(spark, d):
     return evidence_rows(spark, d).select("criterion_rank", "comparison", "evidence_type", "winner")

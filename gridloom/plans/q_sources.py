@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from gridloom.plans.fixtures import fx_patch, table
 from gridloom.plans.q_checks import metadata
@@ -138,3 +140,20 @@ def _(spark, d):
     return Tb.filter_modality(table(spark, d, "lineitem").withColumn("modality", name), "s2_s1_snap").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
+@query(
+    "positive_columns",
+    """SELECT 'flag' AS kind, o_orderkey, o_orderkey % 3 = 1 AS is_positive FROM orders UNION ALL SELECT 'words', o_orderkey, o_orderpriority IN ('1-URGENT', '2-HIGH') FROM orders
+      UNION ALL SELECT 'pixels', o_orderkey, o_orderkey % 7 > 2 FROM orders UNION ALL SELECT 'share', o_orderkey, o_orderkey % 5 > 2 FROM orders""",
+)
+def _(spark, d):
+    o = table(spark, d, "orders")
+    key, none = F.col("o_orderkey"), F.lit(None).cast("double")
+    urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    shapes = {
+        "flag": o.select(key, F.when(key % 3 == 1, 1.0).when(key % 3 == 2, 0.0).otherwise(none).alias("Is Positive"), F.lit(9).alias("positive_pixels")),
+        "words": o.select(key, F.when(urgent, " Positive").otherwise("none").alias("has_positive")),
+        "pixels": o.select(key, (key % 7).cast("string").alias("positive_pixel_count"), F.lit(0).alias("gt_pos_pct")),
+        "share": o.select(key, F.when(key % 5 > 0, key % 5).alias("gt_pos_pct")),
+    }
+    parts = [Tb.with_positive(df, 2.0 if kind in ("pixels", "share") else 0.0).select(F.lit(kind).alias("kind"), "o_orderkey", "is_positive") for kind, df in shapes.items()]
+    return reduce(DataFrame.unionByName, parts)

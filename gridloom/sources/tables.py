@@ -47,6 +47,26 @@ def resolve(df: DataFrame, aliases: Mapping[str, Sequence[str]], required: Seque
     return df.select(*[F.col(f"`{c}`").alias(renames.get(c, c)) for c in df.columns])
 
 
+# Words of a text flag that mark a positive patch.
+POSITIVE_WORDS = ("true", "yes", "y", "positive", "pos", "1")
+
+
+def with_positive(df: DataFrame, threshold: float = 0.0, name: str = "is_positive") -> DataFrame:
+    """Whether a patch is positive, from the best column there is: a flag, else positive pixels, else a positive share.
+
+    Numbers count as positive above the threshold, missing ones as 0. A flag column without any number is read as words;
+    a one-row aggregate decides that. Raises where no such column is known.
+    """
+    found = [find_column(df.columns, PATCH_ALIASES[k]) for k in ("label_binary", "label_positive_pixels", "label_positive_percent")]
+    column = next((c for c in found if c is not None), None)
+    if column is None:
+        raise ValueError(f"no column tells whether a patch is positive; columns are {df.columns}")
+    text = F.trim(F.col(f"`{column}`").cast("string"))
+    number = text.try_cast("double")
+    words = column == found[0] and not df.agg(F.count(number).alias("n")).first()["n"]
+    return df.withColumn(name, F.coalesce(F.lower(text).isin(*POSITIVE_WORDS) if words else number > threshold, F.lit(False)))
+
+
 def filter_modality(df: DataFrame, wanted: str, column: str = "modality") -> DataFrame:
     """Rows of a modality: by normalised name, else by a name that holds every part of it; raises when there is neither.
 

@@ -94,3 +94,13 @@ def test_greedy_roles_cover_every_fold(spark):
     assert len(out) == 18 and (out[out.heldout_region == out.region].split == "test").all()
     rest = out[out.heldout_region != out.region]
     assert (rest.groupby(["heldout_region", "region"]).split.apply(lambda s: (s == "train").any())).all() and (rest.split == "val").any()
+
+
+def test_required_columns(spark):
+    got = validation.check_columns(spark.range(1), ["id", "city"]).collect()
+    assert [(r.check_name, r.status) for r in got] == [("id", "passed"), ("city", "failed")]
+
+
+def test_no_positive_column(spark):
+    with pytest.raises(ValueError):
+        tables.with_positive(spark.range(1))

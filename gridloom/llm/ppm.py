@@ -33,6 +33,28 @@ MESSAGE = "slice long, kind long, bucket long, data binary"
 END_WORD = U(xxhash.xxh3_64_intdigest(b"\xff"))
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side: the upper ones of small numbers are zeros that any codec removes."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def from_planes(data: bytes, of) -> np.ndarray:
+    width = np.dtype(of).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(of).ravel()
+
+
+def packed(rows: np.ndarray) -> bytes:
+    """COUNTED rows in the order of their keys, as planes of key differences and of counts."""
+    return planes(np.diff(rows["key"], prepend=U(0))) + planes(np.ascontiguousarray(rows["n"]))
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    rows = np.zeros(len(data) // COUNTED.itemsize, COUNTED)
+    rows["key"] = np.cumsum(from_planes(data[: 8 * len(rows)], U), dtype=U)
+    rows["n"] = from_planes(data[8 * len(rows) :], np.uint32)
+    return rows
+
+
 def grams(body: np.ndarray, ends: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """(keys, ends): for every byte and every text's end its context, nearest byte first, and the byte itself; where texts end."""
     sizes = np.diff(ends, prepend=0)
@@ -164,12 +186,12 @@ def _report(buckets: int):
                 rows = np.zeros(len(keys), COUNTED)
                 rows["key"], rows["n"] = keys, np.bincount(which, learn[text], len(keys))
                 bucket = _gram_bucket(keys, buckets) if kind == GRAMS else bucket_of(keys, buckets)
-                out += [(part.number, kind, b, r.tobytes()) for _, b, r in by_bucket(0, bucket, rows)]
+                out += [(part.number, kind, b, packed(r)) for _, b, r in by_bucket(0, bucket, rows)]
                 if kind == GRAMS:
                     pairs, n = _grouped(((keys >> U(8 * ORDER)) << U(8)) | (keys & U(255)), rows["n"].astype(np.int64))
                     table = np.zeros(len(pairs), COUNTED)
                     table["key"], table["n"] = pairs, n
-                    out += [(part.number, FIRST, b, r.tobytes()) for _, b, r in by_bucket(0, (pairs >> U(8)).astype(np.int64), table)]
+                    out += [(part.number, FIRST, b, packed(r)) for _, b, r in by_bucket(0, (pairs >> U(8)).astype(np.int64), table)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64() if i < 3 else pa.binary()) for i in range(4)], ["slice", "kind", "bucket", "data"])
 
     return run
@@ -177,7 +199,7 @@ def _report(buckets: int):
 
 def _merged(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """The messages, their distinct keys, the training counts of those, and each sent key's number."""
-    data = [np.frombuffer(x, COUNTED) for x in table["data"].to_pylist()]
+    data = [unpacked(x) for x in table["data"].to_pylist()]
     rows = np.concatenate(data)
     keys, which = np.unique(rows["key"], return_inverse=True)
     return data, keys, np.bincount(which, rows["n"], len(keys)).astype(np.int64), which
@@ -196,7 +218,7 @@ def _answers(table: pa.Table, data: list[np.ndarray], values: np.ndarray, extra:
     """One reply per message: its kind and bucket, then the values of its keys in order."""
     head = np.array([(table["kind"][0].as_py(), table["bucket"][0].as_py())], ANSWER).tobytes()
     cuts = np.cumsum([len(d) for d in data])[:-1]
-    rows = [(s, head + v.tobytes()) for s, v in zip(table["slice"].to_pylist(), np.split(values, cuts))] + extra
+    rows = [(s, head + planes(v)) for s, v in zip(table["slice"].to_pylist(), np.split(values, cuts))] + extra
     return pa.table({"slice": pa.array([r[0] for r in rows], pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary())})
 
 
@@ -223,7 +245,7 @@ def _replied(replies: list[bytes], kind: int, keys: np.ndarray, bucket: np.ndarr
     for reply in replies:
         own_kind, b = np.frombuffer(reply, ANSWER, 1)[0]
         if own_kind == kind:
-            values = np.frombuffer(reply, of, offset=ANSWER.itemsize)
+            values = from_planes(reply[ANSWER.itemsize :], of)
             out[order[begin[int(b)] : begin[int(b)] + len(values)]] = values
     return out
 

@@ -94,20 +94,23 @@ def _votes(terms: list[str]):
     return run
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.ndarray:
+def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25, weight: np.ndarray | None = None) -> np.ndarray:
     """Posterior of the hidden truth for each row, from 0/1 votes of many voters and the given labels.
 
     A voter's log-odds count is divided by one plus the sum of its positive correlations with other voters that remain
-    when the truth is given.
+    when the truth is given. `weight` says how many rows each row stands for.
     """
+    weight = np.ones(len(labels)) if weight is None else weight
     witnesses = np.concatenate([votes, labels[:, None]], 1).astype(np.float64)
     p = np.where(labels == 1, LABEL_ACCURACY, 1 - LABEL_ACCURACY)
     for k in range(rounds):
-        yes = (p @ witnesses + 0.1) / (p.sum() + 1)
-        no = ((1 - p) @ witnesses + 0.1) / ((1 - p).sum() + 1)
-        prior = np.clip(p.mean(), 1e-4, 1 - 1e-4)
+        toxic, clean = weight * p, weight * (1 - p)
+        yes = (toxic @ witnesses + 0.1) / (toxic.sum() + 1)
+        no = (clean @ witnesses + 0.1) / (clean.sum() + 1)
+        prior = np.clip(toxic.sum() / weight.sum(), 1e-4, 1 - 1e-4)
         if k % 5 == 0:
             rest = witnesses - p[:, None] * yes - (1 - p)[:, None] * no
+            rest *= np.sqrt(weight / weight.mean())[:, None]
             scale = np.sqrt((rest**2).mean(0)) + 1e-9
             tied = np.clip((rest.T @ rest) / len(rest) / np.outer(scale, scale), 0, 1)
             np.fill_diagonal(tied, 0)
@@ -121,15 +124,16 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.n
     return p
 
 
-def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 0.05, rounds: int = 25) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a ridge-penalised logistic regression on soft targets, by Newton steps."""
+def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 0.05, rounds: int = 25, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a ridge-penalised logistic regression on soft targets, by Newton steps; `weight` by row."""
+    weight = np.ones(len(x)) if weight is None else weight
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
     w = np.zeros(x.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty), x.T @ (target - p) - penalty * w)
+        step = np.linalg.solve((x * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ x + np.diag(penalty), x.T @ (weight * (target - p)) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -139,10 +143,13 @@ def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 0.05, rounds: int
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 6000, voters: int = 384, min_texts: int = 5) -> ToxicModel:
     """Learn from the labelled rows for which `learn` (a condition on `labels`) holds.
 
-    per_class bounds the labelled documents of either class that are read, those with the smallest hash of their id.
+    per_class bounds the labelled documents of either class that are read, those with the smallest hash of their id. Each
+    counts for its share of all labelled documents of its class, so the bound does not move the prior or the scores.
     Labels other than 0 and 1 are left out; of several labels of an id the largest counts.
     """
     known = labels.where(learn & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label"))
+    known = stored(known, "toxic-labels")
+    total = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = [known.where(F.col("label") == c).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for c in (0, 1)]
     chosen = stored(chosen[0].unionByName(chosen[1]), "toxic-sample-ids")
     sample = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "_id").select("text", "label")
@@ -150,19 +157,22 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(size) < 2:
         return ToxicModel(intercept=20.0 if 1 in size else -20.0)
+    rate = {c: total[c] / min(total[c], per_class) for c in size}  # labelled documents that one of the sample stands for
+    mean = sum(rate[c] * size[c] for c in size) / sum(size.values())
     counts = sample.mapInArrow(_term_counts, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     share = {c: (F.col(n) + 0.5) / (size[c] + 1.0) for c, n in ((1, "toxic"), (0, "clean"))}
     odds = F.log(share[1] / share[0]) - 2.5 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))  # what chance hardly explains
     telling = counts.where(F.col("toxic") + F.col("clean") >= min_texts).withColumn("odds", odds).withColumn("worth", F.abs("odds") * F.sqrt(F.greatest("toxic", "clean").cast("double")))
     terms = [r["term"] for r in telling.where(F.col("odds") > 0.5).orderBy(F.desc("worth"), "term").limit(voters).collect()]
     if not terms:
-        return ToxicModel(intercept=float(np.log(size[1] / size[0])))
+        return ToxicModel(intercept=float(np.log(size[1] * rate[1] / (size[0] * rate[0]))))
     rows = sample.mapInArrow(_votes(terms), "label int, votes array<int>").collect()
     votes = np.zeros((len(rows), len(terms)), np.float32)
     for i, r in enumerate(rows):
         votes[i, r["votes"]] = 1
     given = np.array([r["label"] for r in rows])
-    weights, intercept = logistic(votes.astype(np.float64), label_model(votes, given))
+    weight = np.where(given == 1, rate[1], rate[0]) / mean  # as much evidence as rows were read
+    weights, intercept = logistic(votes.astype(np.float64), label_model(votes, given, weight=weight), weight=weight)
     return ToxicModel(dict(zip(terms, weights.tolist())), intercept)
 
 

@@ -52,6 +52,17 @@ def test_label_model_outvotes_wrong_labels():
     assert ((p > 0.5) == truth).mean() > max(0.98, (labels == truth).mean())
 
 
+def test_scores_do_not_move_with_the_bound(spark):
+    rng = np.random.default_rng(3)
+    toxic = rng.random(4000) < 0.1
+    words = [" ".join(f"{w}{k}" for k in range(12) if rng.random() < (0.35 if t == (w == "bad") else 0.1)) for t in toxic for w in ("bad", "good")]
+    rows = [(i, words[2 * i] + " " + words[2 * i + 1], int(t)) for i, t in enumerate(toxic)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    models = [toxicity.fit(docs, docs, F.lit(True), per_class=n) for n in (4000, 300)]
+    whole, cut = (1 / (1 + np.exp(-m.logits(pa.array([r[1] for r in rows])))) for m in models)
+    assert abs(whole.mean() - 0.1) < 0.03 and abs(cut.mean() - whole.mean()) < 0.02 and abs(cut - whole).mean() < 0.04
+
+
 def test_isotonic():
     x, level = quality.isotonic(np.arange(5.0), np.ones(5), np.array([0.0, 1.0, 0.0, 1.0, 1.0]))
     assert (np.diff(level) >= 0).all() and len(x) == len(level)

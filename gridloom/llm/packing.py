@@ -1,34 +1,30 @@
-"""Best-fit packing of token pieces into fixed-length sequences, by partitions and then up a tree.
+"""Best-fit packing of token pieces into fixed-length sequences: nearly full ones by partition, the rest of all partitions together.
 
 Tokenizing: words repeat, so each Arrow batch splits its texts at ASCII white space, encodes every distinct word once and
 gathers the ids by position. That gives the ids of the whole text because this tokenizer's pre-tokens never span white
-space. Packing: every partition packs its pieces best fit, longest first, and closes the bins that are nearly full. The
-others go up a tree: each node takes the open bins of `FAN_IN` nodes below as items, packs them best fit again and closes
-what is full enough for its level. The bar falls with the level; from level 2 on only bins of at most half a sequence stay
-open, of which best fit leaves one per node, so what a node receives is bounded by its fan-in.
+space. Packing: every batch of a partition packs its pieces best fit, longest first, and the bins that are nearly full are
+closed. All other pieces of the table are packed best fit together: how many there are of each length, at most `capacity`
+numbers, decides which runs of them share bins, and every piece finds its place from its rank among those of its length.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.texts import parts
 from gridloom.session import stored
 
-FAN_IN = 8
-CLOSE_AT = (0.99, 0.8, 0.5)  # share of a sequence above which a bin is closed, by level; the last holds for all above
-NO_ID = -(2**63)  # stands for a NULL id inside packed members
-BIN_SCHEMA = "node long, size long, sequence_id long, closed boolean, members binary"
+CLOSE_AT = 0.99  # share of a sequence above which a bin of one batch is closed
+TOGETHER = 1 << 60  # sequence numbers of the bins that the whole table shares start here
+PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 def best_fit(sizes: list[int], capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -120,56 +116,73 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, id_
     return source.mapInArrow(_pieces(tokenizer_file, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _bins(members: list[np.ndarray], sizes: list[int], capacity: int, level: int, node: int, last: bool) -> pd.DataFrame:
-    """Pack items (each a table of members) and return one row per bin. Members: id, piece, start, length, crc, offset."""
-    bins, offsets, fill = best_fit(sizes, capacity)
-    groups: list[list[int]] = [[] for _ in fill]
-    for i, b in enumerate(bins.tolist()):
-        groups[b].append(i)
-    rows = []
-    bar = CLOSE_AT[min(level, len(CLOSE_AT) - 1)] * capacity
-    for b, items in enumerate(groups):
-        parts = []
-        for i in items:
-            part = members[i].copy()
-            part[:, 5] += offsets[i]
-            parts.append(part)
-        rows.append((node // FAN_IN, fill[b], (level << 56) | (node << 28) | b, last or fill[b] > bar, np.concatenate(parts).tobytes()))
-    return pd.DataFrame(rows, columns=["node", "size", "sequence_id", "closed", "members"])
-
-
-def _pack_partition(capacity: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for k, frame in enumerate(frames):  # one Arrow batch at a time: memory is bounded however large the partition
-            frame = frame.assign(doc_id=frame["doc_id"].astype("Int64").fillna(NO_ID), offset=0)
-            table = frame[["doc_id", "piece", "start", "length", "ids_crc32", "offset"]].to_numpy(np.int64)
-            node = TaskContext.get().partitionId()
-            out = _bins(list(table[:, None, :]), table[:, 3].tolist(), capacity, 0, node, False)
-            out["sequence_id"] += k << 16
-            yield out
-
-    return run
+def best_fit_runs(counts: dict[int, int], capacity: int) -> np.ndarray:
+    """Best fit of `counts` items by size as rows (size, rank, bin, offset), sorted.
 
+    The items of a size from that rank to the next row's go one each into consecutive bins from `bin` on, at `offset`.
+    Bins of equal fill are kept as runs, so there are few rows however many items.
+    """
+    rows: list[tuple[int, int, int, int]] = []
+    by_rest: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+    free = 0  # bit r: some run of bins has exactly r left
+    opened = 0
+    for size in sorted(counts, reverse=True):
+        left = counts[size]
+        while left:
+            fits = free >> size
+            if fits:
+                rest = size + (fits & -fits).bit_length() - 1
+                first, n = by_rest[rest].pop()
+                take = min(n, left)
+                if take < n:
+                    by_rest[rest].append((first + take, n - take))
+                if not by_rest[rest]:
+                    free ^= 1 << rest
+            else:
+                rest, first, take = capacity, opened, max(1, left // (capacity // size))
+                opened += take
+            rows.append((size, counts[size] - left, first, capacity - rest))
+            left -= take
+            rest -= size
+            if rest:
+                by_rest[rest].append((first, take))
+                free |= 1 << rest
+    return np.array(sorted(rows), np.int64).reshape(-1, 4)
+
+
+def _pack_batches(capacity: int):
+    """Pieces in nearly full bins of one batch with their place; the others with their rank in this task among those of their length."""
 
-def _pack_node(capacity: int, level: int, last: bool):
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("sequence_id")
-        members = [np.frombuffer(m, np.int64).reshape(-1, 6) for m in frame["members"]]
-        return _bins(members, frame["size"].tolist(), capacity, level, int(key[0]), last)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        seen = np.zeros(capacity + 1, np.int64)
+        for k, batch in enumerate(batches):  # one Arrow batch at a time: memory is bounded however large the partition
+            length = batch.column(3).to_numpy()
+            bins, offsets, fill = best_fit(length.tolist(), capacity)
+            still = ~(np.array(fill) > CLOSE_AT * capacity)[bins]
+            rank = np.zeros(len(length), np.int64)
+            order = np.flatnonzero(still)[np.argsort(length[still], kind="stable")]
+            sizes, begins, n = np.unique(length[order], return_index=True, return_counts=True)
+            rank[order] = np.arange(len(order)) - np.repeat(begins - seen[sizes], n)
+            seen[sizes] += n
+            sequence = pa.array((part << 36) + (k << 16) + bins, mask=still)
+            columns = [*batch.columns, sequence, pa.array(offsets, mask=still), pa.array(np.full(len(length), part)), pa.array(rank)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "part", "rank"])
 
     return run
 
 
-def _unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        tables = [np.frombuffer(m, np.int64).reshape(-1, 6) for m in frame["members"]]
-        if not tables:
-            continue
-        table = np.concatenate(tables)
-        out = pd.DataFrame(table, columns=["doc_id", "piece", "start", "length", "ids_crc32", "offset"])
-        out["sequence_id"] = np.repeat(frame["sequence_id"].to_numpy(), [len(t) for t in tables])
-        out["doc_id"] = out["doc_id"].astype("Int64").mask(out["doc_id"] == NO_ID)
-        yield out
+def _place(runs: np.ndarray):
+    keys = (runs[:, 0] << 48) + runs[:, 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
+            at = runs[np.searchsorted(keys, (length << 48) + rank, "right") - 1].reshape(-1, 4)
+            columns = [*batch.columns[:5], pa.array(TOGETHER + at[:, 2] + rank - at[:, 1]), pa.array(at[:, 3])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    return run
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -178,15 +191,15 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     Needs doc_id, piece, start, length (1 to capacity) and ids_crc32; other columns are left out, repeated rows are packed
     as often as they come, an empty table gives an empty table. The sequence numbers are unique, not dense.
     """
-    source = pieces.select("doc_id", "piece", "start", "length", "ids_crc32")
-    levels = [stored(source.mapInPandas(_pack_partition(capacity), BIN_SCHEMA), "bins")]
-    while True:
-        still = levels[-1].where(~F.col("closed"))
-        top = still.agg(F.max("node")).first()[0]
-        if top is None:
-            break
-        packed = still.groupBy("node").applyInPandas(_pack_node(capacity, len(levels), top == 0), BIN_SCHEMA)
-        levels.append(stored(packed, "bins"))
-    closed = reduce(DataFrame.unionByName, [x.where("closed").select("sequence_id", "members") for x in levels])
-    out = closed.mapInPandas(_unpack, "doc_id long, piece int, start long, length long, ids_crc32 long, offset long, sequence_id long")
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    types = {"doc_id": "long", "piece": "int", "start": "long", "length": "long", "ids_crc32": "long"}
+    source = pieces.select(*[F.col(c).cast(t).alias(c) for c, t in types.items()])
+    dealt = stored(source.mapInArrow(_pack_batches(capacity), f"{PLACED}, part long, rank long"), "bins")
+    still = dealt.where("sequence_id IS NULL")
+    lengths = stored(still.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    counts = {r["length"]: r["n"] for r in lengths.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = lengths.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    ranked = still.join(begins, ["part", "length"]).select(*types, (F.col("begin") + F.col("rank")).alias("rank"))
+    placed = ranked.mapInArrow(_place(best_fit_runs(counts, capacity)), PLACED)
+    out = dealt.where("sequence_id IS NOT NULL").select(*types, "sequence_id", "offset").unionByName(placed)
+    return out.select(*types, "sequence_id", "offset")

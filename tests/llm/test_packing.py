@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers as P
 from tokenizers import Tokenizer
 
-from gridloom.llm.packing import best_fit, pack, token_pieces
+from gridloom.llm.packing import best_fit, best_fit_runs, pack, token_pieces
 
 FILE = P.path("word_bpe_49k.json")
 TEXTS = [None, "", " \n ", "Hello,  World. it's", "a <|endoftext|>b <|ENDOFTEXT|> c.", "é É é x. y", "ab cd " * 3000, "日本 語.\t42x", "same text", "same text", "K L. M n.,. o"]
@@ -39,6 +39,30 @@ def test_tree_merges_partitions(spark):
     assert pack(df.limit(0), 100).count() == 0
 
 
+def test_lengths_that_differ_by_partition(spark):
+    rows = [(i, 0, 0, 55 if i < 3000 else 45, 0) for i in range(6000)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 80), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = pack(df, 100).toPandas()
+    assert len(out) == out.doc_id.nunique() == 6000 and out.sequence_id.nunique() == 3000
+    for _, seq in out.sort_values("offset").groupby("sequence_id"):
+        assert seq.offset.tolist() == (seq.length.cumsum() - seq.length).tolist() and seq.length.sum() <= 100
+
+
+def test_best_fit_by_runs_is_best_fit():
+    rng = np.random.default_rng(4)
+    for top in (3, 30, 100):
+        sizes = rng.integers(1, top + 1, 3000).tolist()
+        counts = {s: sizes.count(s) for s in set(sizes)}
+        runs = best_fit_runs(counts, 100)
+        spans = {}
+        for s, r, b, o in runs.tolist():
+            ends = [x[1] for x in runs.tolist() if x[0] == s and x[1] > r] + [counts[s]]
+            for i in range(min(ends) - r):
+                spans.setdefault(b + i, []).append((o, s))
+        assert all([o for o, _ in sorted(x)] == np.cumsum([0] + [s for _, s in sorted(x)])[:-1].tolist() and sum(s for _, s in x) <= 100 for x in spans.values())
+        assert sum(map(len, spans.values())) == 3000 and len(spans) == len(best_fit(sizes, 100)[2])
+
+
 def test_best_fit_picks_the_fullest():
     bins, offsets, fill = best_fit([6, 5, 4, 4], 10)
     assert fill == [10, 9] and bins.tolist() == [0, 1, 0, 1] and offsets.tolist() == [0, 0, 6, 5]

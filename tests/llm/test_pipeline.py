@@ -1,11 +1,15 @@
 """The pipeline against its stages done plainly, and planted cases."""
 
 import random
+import zlib
 
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline as cp
+from gridloom.llm.queries import tokenizer_path
 from gridloom.session import stored
 from tests.llm.test_dedup import brute_components, drop_lines
 
@@ -62,3 +66,34 @@ def test_stages(spark, planted):
 def test_run_equals_its_stages(spark, planted):
     got = entry.queries()["pipeline"](spark, planted[0]).toPandas()
     assert got.groupby("doc_id").start.min().eq(0).all() and not got.duplicated(["doc_id", "piece"]).any()
+
+
+def without_repeats(texts, length=100):
+    """The texts without every string of `length` bytes that starts earlier already."""
+    seen, out = set(), []
+    for data in (t.encode() for t in texts):
+        gone = set()
+        for i in range(len(data) - length + 1):
+            if data[i : i + length] in seen:
+                gone.update(range(i, i + length))
+            seen.add(data[i : i + length])
+        out.append(bytes(b for i, b in enumerate(data) if i not in gone).decode())
+    return out
+
+
+def test_run_equals_plain_stages(spark, planted):
+    folder, rows, _ = planted
+    ids = sorted(i for i, _ in rows if not (i < 240 and i % 4 == 1))
+    texts = dict(rows)
+    lines = [t for _, t, _ in drop_lines([texts[i] for i in ids], 10)]
+    single = [(i, t) for i, t, (_, c) in zip(ids, lines, brute_components(lines)) if ids[c] == i]
+    tokenizer = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    want = []
+    for (i, _), text in zip(single, without_repeats([t for _, t in single])):
+        tokens = np.array(tokenizer.encode(text, add_special_tokens=False).ids + [0], "<u4")
+        cuts = range(0, len(tokens), 2048)
+        want += [(i, k, s, len(tokens[s : s + 2048]), zlib.crc32(tokens[s : s + 2048].tobytes())) for k, s in enumerate(cuts)]
+    got = entry.queries()["pipeline"](spark, folder).toPandas()
+    assert sorted(got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == sorted(want)
+    for _, seq in got.sort_values("offset").groupby("sequence_id"):
+        assert seq.offset.tolist() == (seq.length.cumsum() - seq.length).tolist() and seq.length.sum() <= 2048

@@ -11,11 +11,9 @@ from gridloom.llm.minhash import near_duplicates
 from gridloom.llm.onebit import nearest_cosine
 from gridloom.llm.packing import pack, token_pieces
 from gridloom.llm.suffix_dedup import repeated_bytes
-from gridloom.llm import piece_fst, ppm, quality, toxicity
+from gridloom.llm import bpe_lexicon, collocations, conversations, piece_fst, ppm, quality, toxicity
 from gridloom.session import stored
 
-TOKENIZERS = "/opt/tokenizers"  # folder of the public tokenizer files
-
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -31,7 +29,10 @@ def query(name: str, sql: str | None = None):
 
 
 def tokenizer_path(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+    """Where a public tokenizer file stands."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,3 +169,95 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the repository top; it imports this module's settings
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+TURN_SQL = r"""
+WITH RECURSIVE
+crc AS (SELECT list(list_reduce(range(8), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), i) ORDER BY i) AS t FROM range(256) r(i)),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT) AS b FROM conversations),
+drawn AS (SELECT conv_id, turn, role, text, xor(list_reduce(b, lambda h, x: xor(h >> 8, t[(xor(h, x) & 255) + 1]), 4294967295), 4294967295) % 20 AS k FROM keyed, crc),
+damaged AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+                   CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
+            FROM drawn WHERE k <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+                  NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut FROM damaged),
+rows AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, substr(role, 1, 1) AS r,
+                lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair FROM placed),
+faults AS (SELECT *, blank OR again AS must, CASE WHEN cut THEN 5 ELSE 0 END AS p FROM rows),
+sizes AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+                 count(*) FILTER (WHERE again AND NOT blank) AS duplicate, count(*) FILTER (WHERE cut AND NOT again AND NOT blank) AS truncated,
+                 count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id),
+-- costs to go before row i + 1 from the states: nothing yet, system, user, assistant
+togo AS (
+  SELECT conv_id, n AS i, [0, 10, 5, 0] AS v FROM sizes
+  UNION ALL
+  SELECT conv_id, i, [least(w[1], 5 + w[3], 10 + w[4]), least(w[2], 5 + w[3], 10 + w[4]), least(w[3], 5 + w[4]), least(w[4], 5 + w[3])] FROM (
+    SELECT f.conv_id, f.i - 1 AS i, CASE WHEN must THEN list_transform(v, lambda x: x + 2) ELSE [
+      least(2 + v[1], 1 + p + v[3], CASE r WHEN 's' THEN p + v[2] WHEN 'u' THEN p + v[3] ELSE 999999 END), least(2 + v[2], 1 + p + v[3], CASE r WHEN 'u' THEN p + v[3] ELSE 999999 END),
+      least(2 + v[3], 1 + p + v[4], CASE r WHEN 'a' THEN p + v[4] ELSE 999999 END), least(2 + v[4], 1 + p + v[3], CASE r WHEN 'u' THEN p + v[3] ELSE 999999 END)] END AS w
+    FROM togo t JOIN faults f ON f.conv_id IS NOT DISTINCT FROM t.conv_id AND f.i = t.i)),
+steps AS MATERIALIZED (SELECT a.conv_id, a.i, a.v AS now, b.v AS next, f.must, f.p, f.r, f.role, f.text FROM togo a
+  LEFT JOIN togo b ON b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.i = a.i + 1 LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM a.conv_id AND f.i = a.i + 1),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, 1 AS q, '' AS audit, []::VARCHAR[] AS lines FROM sizes
+  UNION ALL
+  SELECT conv_id, CASE WHEN edit = 'I' THEN i ELSE i + 1 END, CASE WHEN edit = 'D' THEN q WHEN edit = 'K' AND r = 's' THEN 2 ELSE to_q END, audit || edit,
+         CASE edit WHEN 'D' THEN lines WHEN 'I' THEN list_append(lines, given || ':') WHEN 'R' THEN list_append(lines, given || ':' || text) ELSE list_append(lines, role || ':' || text) END
+  FROM (SELECT w.*, s.r, s.role, s.text, CASE w.q WHEN 3 THEN 4 ELSE 3 END AS to_q, CASE w.q WHEN 3 THEN 'assistant' ELSE 'user' END AS given,
+          CASE WHEN s.next IS NOT NULL AND 2 + s.next[w.q] = s.now[w.q] THEN 'D' WHEN 5 + s.now[CASE w.q WHEN 3 THEN 4 ELSE 3 END] = s.now[w.q] THEN 'I'
+               WHEN s.next IS NULL THEN NULL
+               WHEN (s.r = 's' AND w.q = 1 AND s.p + s.next[2] = s.now[w.q]) OR (s.r = 'u' AND w.q <> 3 AND s.p + s.next[3] = s.now[w.q])
+                 OR (s.r = 'a' AND w.q = 3 AND s.p + s.next[4] = s.now[w.q]) THEN 'K' ELSE 'R' END AS edit
+        FROM walk w JOIN steps s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.i = w.i)
+  WHERE edit IS NOT NULL),
+ended AS (SELECT conv_id, arg_max(audit, length(audit)) AS audit, arg_max(lines, length(audit)) AS lines FROM walk GROUP BY conv_id),
+found AS (SELECT s.*, t.v[1] AS cost, e.audit, sha256(array_to_string(e.lines, chr(10))) AS repaired_sha256 FROM sizes s
+  JOIN togo t ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.i = 0 JOIN ended e ON e.conv_id IS NOT DISTINCT FROM s.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN found f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+@query("op11_conversation_repair", TURN_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return conversations.digest(rows)
+
+
+PHRASE_SQL = r"""
+WITH pieces AS (SELECT lang, row_number() OVER () AS piece, w FROM (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents)),
+one AS (SELECT lang, p, count(*) AS f FROM (SELECT lang, unnest(w) AS p FROM pieces) GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM one GROUP BY lang),
+two AS (SELECT lang, x, y, x || ' ' || y AS p, count(*) AS f FROM (SELECT lang, w[i] AS x, w[i + 1] AS y FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM pieces)) GROUP BY ALL),
+three AS (SELECT lang, x, y, z, x || ' ' || y || ' ' || z AS p, count(*) AS f
+          FROM (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM pieces)) GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (
+  SELECT t.lang, t.p AS phrase, t.f AS a, l.f AS l, r.f AS r, 1 AS k FROM two t JOIN one l ON l.lang = t.lang AND l.p = t.x JOIN one r ON r.lang = t.lang AND r.p = t.y WHERE t.f >= 10
+    AND NOT EXISTS (SELECT 1 FROM three h WHERE h.lang = t.lang AND ((h.x = t.x AND h.y = t.y) OR (h.y = t.x AND h.z = t.y)) AND 100 * h.f >= 50 * t.f)
+  UNION ALL
+  SELECT t.lang, t.p, t.f, l.f, r.f, 1 FROM three t JOIN one l ON l.lang = t.lang AND l.p = t.x JOIN two r ON r.lang = t.lang AND r.x = t.y AND r.y = t.z
+  UNION ALL
+  SELECT t.lang, t.p, t.f, l.f, r.f, 2 FROM three t JOIN two l ON l.lang = t.lang AND l.x = t.x AND l.y = t.y JOIN one r ON r.lang = t.lang AND r.p = t.z),
+scored AS (SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM least JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@query("op12_phrase_collocations", PHRASE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "text"))
+
+
+@query("op13_bpe_transducer")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    lexicon = bpe_lexicon.build(docs, tokenizer_path("byte_bpe_50k.json"))
+    coded = bpe_lexicon.decode(bpe_lexicon.encode(docs, lexicon), lexicon)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

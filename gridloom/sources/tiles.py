@@ -5,9 +5,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 TILE = 256
 
@@ -49,14 +52,65 @@ def tiles_to_pixels(tiles: DataFrame, names: Sequence[str], keys: Sequence[str]
     return cells.select(*keys, r.cast("bigint").alias("r"), c.cast("bigint").alias("c"), *[F.col("_x").getField(str(n)).alias(n) for n in names], F.col("_x").getField("is_valid").alias("is_valid"))
 
 
-def join_tiles(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("raster_id",)) -> DataFrame:
+def join_tiles(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("raster_id",), how: str = "inner", other: Sequence[str] = ("bands", "mask")) -> DataFrame:
     """Two products on one grid, tile by tile: one equi join on the tile id, cells stay packed in arrays."""
     on = [*keys, "tile_row", "tile_col"]
-    return a.join(b.select(*on, F.col("bands").alias("other_bands"), F.col("mask").alias("other_mask")), on)
+    return a.join(b.select(*on, *[F.col(c).alias(f"other_{c}") for c in other]), on, how)
 
 
-def join_pixels(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("raster_id", "r", "c"), how: str = "inner") -> DataFrame:
-    return a.join(b, list(keys), how)
+def packed_cells(px: DataFrame, values: dict[str, Column], tile: int = TILE, keys: Sequence[str] = ("raster_id",)) -> DataFrame:
+    """Pixels packed by tile: `cells`, an array of structs of the cell's place in its tile, r, c and the values, by place.
+
+    Unlike a tile table it need not hold every cell. A group is one tile, so it holds at most tile * tile cells.
+    """
+    tr, tc = tile_ids(F.col("r"), F.col("c"), tile)
+    place = ((F.col("r") % tile) * tile + F.col("c") % tile).cast("int")
+    cell = F.struct(place.alias("i"), F.col("r").cast("bigint").alias("r"), F.col("c").cast("bigint").alias("c"), F.struct(*[v.alias(n) for n, v in values.items()]).alias("v"))
+    packed = px.select(*keys, tr.alias("tile_row"), tc.alias("tile_col"), cell.alias("_cell")).groupBy(*keys, "tile_row", "tile_col")
+    return packed.agg(F.sort_array(F.collect_list("_cell")).alias("cells"))
+
+
+def tile_cells(tiles: DataFrame, names: Sequence[str], tile: int = TILE, keys: Sequence[str] = ("raster_id",)) -> DataFrame:
+    """The same form from a tile table, without a shuffle; the values are its bands and `is_valid`."""
+    zipped = F.arrays_zip(*[F.col("bands")[i].alias(n) for i, n in enumerate(names)], F.col("mask").alias("is_valid"))
+
+    def cell(x: Column, k: Column) -> Column:
+        r, c = F.floor(k / F.col("width")).cast("bigint"), (k % F.col("width")).cast("bigint")
+        own = F.struct(*[x[n].alias(n) for n in [*names, "is_valid"]]).alias("v")
+        return F.struct((r * tile + c).cast("int").alias("i"), (r + F.col("row_off")).alias("r"), (c + F.col("col_off")).alias("c"), own)
+
+    return tiles.select(*keys, "tile_row", "tile_col", F.transform(zipped, cell).alias("cells"))
+
+
+def _paired(keys: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, far = batch.column("cells"), batch.column("other_cells")
+            for k in range(batch.num_rows):
+                mine, theirs = own[k].values, far[k].values
+                place = mine.field("i").to_numpy()
+                if theirs is None or not len(theirs):
+                    other = pa.nulls(len(place), far.type.value_type.field("v").type)
+                else:
+                    there = theirs.field("i").to_numpy()
+                    at = np.searchsorted(there, place).clip(max=len(there) - 1)
+                    other = theirs.field("v").take(pa.array(at, mask=there[at] != place))
+                whole = [pa.repeat(batch.column(j)[k], len(place)) for j in range(keys)]
+                yield pa.RecordBatch.from_arrays([*whole, mine.field("r"), mine.field("c"), mine.field("v"), other], names=[*batch.schema.names[:keys], "r", "c", "v", "w"])
+
+    return run
+
+
+def pair_cells(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("raster_id",), carry: Sequence[str] = (), how: str = "left") -> DataFrame:
+    """Cells of a with those of b in the same place: keys, carry (columns of a), r, c, own values `v`, the other's values `w`.
+
+    One join on the tile id; inside a tile the two sorted arrays are matched by place, and `w` is NULL where b lacks the
+    cell. `cells` of b must hold a place once.
+    """
+    joined = join_tiles(a, b, keys, how, other=("cells",)).select(*keys, *carry, "cells", "other_cells")
+    value = lambda c: joined.schema[c].dataType.elementType["v"].dataType
+    shape = [*[joined.schema[k] for k in (*keys, *carry)], StructField("r", LongType()), StructField("c", LongType()), StructField("v", value("cells")), StructField("w", value("other_cells"))]
+    return joined.mapInArrow(_paired(len(keys) + len(carry)), StructType(shape))
 
 
 def downsample(px: DataFrame, height: Column, width: Column, longest: int = 1800) -> DataFrame:

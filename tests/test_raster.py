@@ -109,9 +109,9 @@ def test_nearest_fill(spark):
 
 def test_propagate_fill(spark):
     masks = {k: v for k, v in MASKS.items() if v.any()}
-    out, rounds = Rp.propagate_fill(cells(spark, masks), ~F.col("m"), ["v"])
+    out, report = Rp.propagate_fill(cells(spark, masks), ~F.col("m"), ["v"], tile=3)
     got = {(r["raster_id"], r["r"], r["c"]): r["v"] for r in out.collect()}
-    most = 0
+    rings = {r["raster_id"]: (r["rings"], r["status"]) for r in report.collect()}
     for name, mask in masks.items():
         value = np.add.outer(np.arange(mask.shape[0]) * 100.0, np.arange(mask.shape[1]))
         ok, n = mask.copy(), 0
@@ -124,18 +124,69 @@ def test_propagate_fill(spark):
                         new_ok[r, c], new_value[r, c] = True, value[a, b]
                         break
             ok, value, n = new_ok, new_value, n + 1
-        most = max(most, n)
+        assert rings[name] == (n, "filled" if n else "clean")
         for r in range(mask.shape[0]):
             for c in range(mask.shape[1]):
                 assert got[name, r, c] == value[r, c], (name, r, c)
-    assert rounds == most
 
 
-def test_propagate_fill_guards(spark):
-    with pytest.raises(ValueError, match="stalled"):
-        Rp.propagate_fill(cells(spark, {"none": MASKS["none"]}), ~F.col("m"), ["v"])
-    with pytest.raises(ValueError, match="more than"):
-        Rp.propagate_fill(cells(spark, {"ring": MASKS["ring"]}), ~F.col("m"), ["v"], max_share=1.0)
+def test_propagate_fill_states(spark):
+    """One raster that cannot be filled leaves the others alone."""
+    masks = {k: MASKS[k] for k in ("none", "all", "blobs")}
+    px = cells(spark, masks)
+    out, report = Rp.propagate_fill(px, ~F.col("m"), ["v"])
+    assert {r["raster_id"]: r["status"] for r in report.collect()} == {"none": "stalled", "all": "clean", "blobs": "filled"}
+    assert out.where("raster_id = 'none' AND is_filled").count() == 0
+    assert out.where("raster_id = 'blobs' AND is_filled").count() == int((~masks["blobs"]).sum())
+    _, few = Rp.propagate_fill(px, ~F.col("m"), ["v"], max_share=1.0)
+    assert {r["raster_id"]: r["status"] for r in few.collect()} == {"none": "too_many_holes", "all": "clean", "blobs": "too_many_holes"}
+    _, cap = Rp.propagate_fill(px.where("raster_id = 'blobs'"), ~F.col("m"), ["v"], max_iter=0)
+    assert [r["status"] for r in cap.collect()] == ["iteration_cap"]
+
+
+def test_propagation_rounds_count_tiles(spark, monkeypatch):
+    """A hole as deep as its tile needs one round of tiles; a snake over tiles needs one per border on its way."""
+    from gridloom.operators import propagation
+
+    made = []
+    real = propagation.stored
+    monkeypatch.setattr(propagation, "stored", lambda df, label: made.append(label) or real(df, label))
+    deep = np.ones((40, 40), bool)
+    deep[1:39, 1:39] = False
+    _, report = Rp.propagate_fill(cells(spark, {"deep": deep}), ~F.col("m"), ["v"], tile=64)
+    assert report.first()["rings"] == 19 and made.count("labels") == 1
+    made.clear()
+    snake = np.zeros((12, 12), bool)  # blocked everywhere but on one path of holes that starts at a source
+    path = [(r, c) for r in range(0, 12, 2) for c in (range(12) if r % 4 == 0 else range(11, -1, -1))]
+    path += [(r, 11 if r % 4 == 1 else 0) for r in range(1, 11, 2)]
+    rows = [("s", r, c, float(r * 100 + c) if (r, c) == (0, 0) else None, (r, c) in path and (r, c) != (0, 0)) for r in range(12) for c in range(12)]
+    px = spark.createDataFrame(rows, "raster_id string, r bigint, c bigint, v double, hole boolean")
+    out, report = Rp.propagate_fill(px, F.col("hole"), ["v"], tile=4)
+    far, front = {(0, 0): 0}, [(0, 0)]
+    for r, c in front:
+        for near in [(r + dr, c + dc) for dr, dc in Rp.OFFSETS]:
+            if near in path and near not in far:
+                far[near] = far[r, c] + 1
+                front.append(near)
+    assert report.first()["status"] == "filled" and report.first()["rings"] == max(far.values()) > 60
+    assert {r["v"] for r in out.where("is_filled").collect()} == {0.0}
+    assert made.count("labels") < len(path) / 2
+
+
+def test_nearest_fill_compares_linearly(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    cols, calls = list(range(10_000)), []
+    rows = [int(x) for x in rng.integers(0, 3000, 10_000)]
+    real = Rp.first_not_farther
+    monkeypatch.setattr(Rp, "first_not_farther", lambda a, b: calls.append(1) or real(a, b))
+    holes = cols[::3]
+    got = list(Rp.nearest_in_row(1500, cols, rows, holes))
+    assert len(calls) <= 2 * len(cols)
+    drop = (np.array(rows) - 1500) ** 2
+    for q, sr, sc, d in got[::50]:
+        dist = drop + (np.array(cols) - q) ** 2
+        best = min((int(dist[i]), rows[i], i) for i in np.flatnonzero(dist == dist.min()))
+        assert (d, sr, sc) == best
 
 
 def trimmed(bad):

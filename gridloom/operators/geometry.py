@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+from gridloom.sources.tiles import TILE, packed_cells
 
 # WGS84 ellipsoid and UTM constants.
 WGS84_A = 6378137.0
@@ -72,43 +78,125 @@ def rasterize(vertices: DataFrame, grids: DataFrame, key: Sequence[str] = ("rast
     return runs.select(*key, "r", F.explode(F.sequence("c_first", "c_last")).alias("c")).distinct()
 
 
-def resample(src: DataFrame, src_grid: DataFrame, dst_grid: DataFrame, bands: Sequence[str], valid: Column, method: str = "bilinear", key: str = "raster_id") -> DataFrame:
+def _cell_of(grid: Column, x: Column, y: Column) -> tuple[Column, Column]:
+    """Fractional (row, column) of a map point on a grid."""
+    det = grid[0] * grid[4] - grid[1] * grid[3]
+    dx, dy = x - grid[2], y - grid[5]
+    return (grid[0] * dy - grid[3] * dx) / det, (grid[4] * dx - grid[1] * dy) / det
+
+
+def _box(a: Column, b: Column, r0: Column, r1: Column, c0: Column, c1: Column) -> tuple[Column, Column, Column, Column]:
+    """Least and largest row, then column, on grid b of a rectangle of grid a (an affine map keeps corners outermost)."""
+    corners = [_cell_of(b, a[0] * c + a[1] * r + a[2], a[3] * c + a[4] * r + a[5]) for r in (r0, r1) for c in (c0, c1)]
+    rows, cols = [p[0] for p in corners], [p[1] for p in corners]
+    return F.least(*rows), F.greatest(*rows), F.least(*cols), F.greatest(*cols)
+
+
+def _resampled(tile: int, bands: Sequence[str], method: str):
+    """Cells of one target tile after another, from the source cells that were routed to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {n: batch.column(n)[k].as_py() for n in ("_tr", "_tc", "_t", "_s", "_w", "_h")}
+                r = np.arange(row["_tr"] * tile, min((row["_tr"] + 1) * tile, row["_h"]))
+                c = np.arange(row["_tc"] * tile, min((row["_tc"] + 1) * tile, row["_w"]))
+                r, c = np.repeat(r, len(c)), np.tile(c, len(r))
+                t, u = row["_t"], row["_s"]
+                x = t[0] * (c + 0.5) + t[1] * (r + 0.5) + t[2] - u[2]
+                y = t[3] * (c + 0.5) + t[4] * (r + 0.5) + t[5] - u[5]
+                det = u[0] * u[4] - u[1] * u[3]
+                fc, fr = (u[4] * x - u[1] * y) / det, (u[0] * y - u[3] * x) / det
+                cells = batch.column("_cells")[k].values
+                values = _nearest(cells, fr, fc, bands) if method == "nearest" else _bilinear(cells, fr, fc, bands)
+                names = [batch.schema.names[0], "r", "c", *bands]
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[k], len(r)), pa.array(r, pa.int64()), pa.array(c, pa.int64()), *values], names=names)
+
+    return run
+
+
+class _Places:
+    """Source cells by row and column."""
+
+    def __init__(self, cells: pa.StructArray):
+        self.cells = cells
+        key = self.key(cells.field("r").to_numpy(), cells.field("c").to_numpy())
+        self.order = np.argsort(key)
+        self.sorted = key[self.order]
+
+    @staticmethod
+    def key(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return (r.astype(np.int64) << 32) + c.astype(np.int64)
+
+    def find(self, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Index of each cell, -1 where there is none."""
+        if not len(self.sorted):
+            return np.full(len(r), -1)
+        key = self.key(r, c)
+        at = np.minimum(np.searchsorted(self.sorted, key), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == key, self.order[at], -1)
+
+
+def _nearest(cells: pa.StructArray, fr: np.ndarray, fc: np.ndarray, bands: Sequence[str]) -> list[pa.Array]:
+    at = _Places(cells).find(np.floor(fr), np.floor(fc))
+    index = pa.array(at, mask=at < 0)
+    return [cells.field("v").field(b).take(index) for b in bands]
+
+
+def _bilinear(cells: pa.StructArray, fr: np.ndarray, fc: np.ndarray, bands: Sequence[str]) -> list[pa.Array]:
+    """Mean of the four cells around, by weights that drop out where a cell is missing."""
+    places = _Places(cells)
+    own = [pc.fill_null(cells.field("v").field(b).cast(pa.float64()), 0.0).to_numpy() for b in bands]
+    r0, c0 = np.floor(fr - 0.5), np.floor(fc - 0.5)
+    wr, wc = fr - 0.5 - r0, fc - 0.5 - c0
+    sums, total = [np.zeros(len(fr)) for _ in bands], np.zeros(len(fr))
+    for dr in (0, 1):
+        for dc in (0, 1):
+            weight = (wr if dr else 1.0 - wr) * (wc if dc else 1.0 - wc)
+            at = places.find(r0 + dr, c0 + dc)
+            hit = np.flatnonzero((weight > 0) & (at >= 0))
+            total[hit] += weight[hit]
+            for out, v in zip(sums, own):
+                out[hit] += weight[hit] * v[at[hit]]
+    some = total > 0
+    return [pa.array(np.divide(v, total, out=np.zeros(len(v)), where=some), mask=~some) for v in sums]
+
+
+def resample(
+    src: DataFrame, src_grid: DataFrame, dst_grid: DataFrame, bands: Sequence[str], valid: Column, method: str = "bilinear", key: str = "raster_id", tile: int = TILE
+) -> DataFrame:
     """Source cells onto the cells of a reference grid in the same CRS, by nearest or bilinear, skipping nodata.
 
-    Both grids hold key, `transform`, `width`, `height`. Each target cell looks up one or four source cells by an equi
-    join; weights of missing cells drop out of the mean, and a target without any valid neighbour stays NULL.
+    Both grids hold key, `transform`, `width`, `height`. The unit of work is a target tile: each source tile sends it the
+    cells of its footprint and one cell around, and the task lays the tile out. Weights of missing cells drop out of the
+    mean, and a target without any valid neighbour stays NULL.
     """
-    d = dst_grid.select(key, F.col("transform").alias("_t"), F.col("width").alias("_w"), F.col("height").alias("_h"))
-    s = src_grid.select(key, F.col("transform").alias("_s"))
-    span = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n).cast("bigint") - 1)
-    target = d.join(s, key).withColumn("r", F.explode(span("_h"))).withColumn("c", F.explode(span("_w")))
-    t, u = F.col("_t"), F.col("_s")
-    x = t[0] * (F.col("c") + 0.5) + t[1] * (F.col("r") + 0.5) + t[2] - u[2]
-    y = t[3] * (F.col("c") + 0.5) + t[4] * (F.col("r") + 0.5) + t[5] - u[5]
-    det = u[0] * u[4] - u[1] * u[3]
-    fc, fr = (u[4] * x - u[1] * y) / det, (u[0] * y - u[3] * x) / det
-    place = target.select(key, "r", "c", fr.alias("_fr"), fc.alias("_fc"))
-    cells = src.where(valid).select(key, F.col("r").cast("bigint").alias("_sr"), F.col("c").cast("bigint").alias("_sc"), *bands)
-    whole = place.select(key, "r", "c")
-    if method == "nearest":
-        at = place.select(key, "r", "c", F.floor("_fr").cast("bigint").alias("_sr"), F.floor("_fc").cast("bigint").alias("_sc"))
-        return at.join(cells, [key, "_sr", "_sc"], "left").select(key, "r", "c", *bands)
-    if method != "bilinear":
+    if method not in ("nearest", "bilinear"):
         raise ValueError(f"unknown resampling {method!r}")
-    r0, c0 = F.floor(F.col("_fr") - 0.5), F.floor(F.col("_fc") - 0.5)
-    wr, wc = F.col("_fr") - 0.5 - r0, F.col("_fc") - 0.5 - c0
-    four = F.array(
-        *[
-            F.struct((r0 + dr).cast("bigint").alias("_sr"), (c0 + dc).cast("bigint").alias("_sc"), ((wr if dr else 1.0 - wr) * (wc if dc else 1.0 - wc)).alias("_wt"))
-            for dr in (0, 1)
-            for dc in (0, 1)
-        ]
+    grids = dst_grid.select(key, F.col("transform").alias("_t"), F.col("width").cast("bigint").alias("_w"), F.col("height").cast("bigint").alias("_h")).join(
+        src_grid.select(key, F.col("transform").alias("_s")), key
     )
-    near = place.select(key, "r", "c", F.inline(F.filter(four, lambda n: n["_wt"] > 0)))
-    hit = near.join(cells, [key, "_sr", "_sc"]).groupBy(key, "r", "c").agg(
-        *[(F.sum(F.col("_wt") * F.col(b)) / F.sum("_wt")).alias(b) for b in bands]
+    t, s, whole = F.col("_t"), F.col("_s"), float(tile)
+    span = lambda n: F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(n) - 1) / tile))
+    area = grids.where("_w > 0 AND _h > 0")
+    tiles = area.withColumn("_tr", F.explode(span("_h"))).withColumn("_tc", F.explode(span("_w")))
+    packed = packed_cells(src.where(valid), {b: F.col(b) for b in bands}, tile, (key,)).join(grids, key)
+    r0, c0 = F.col("tile_row") * whole, F.col("tile_col") * whole
+    low_r, high_r, low_c, high_c = _box(s, t, r0 - 1, r0 + whole + 1, c0 - 1, c0 + whole + 1)
+    last = lambda n: F.floor((F.col(n) - 1) / tile)
+    met = lambda a, b, n: F.filter(
+        F.sequence(F.greatest(F.floor(a / tile), F.lit(0).cast("bigint")), F.greatest(F.least(F.floor(b / tile), last(n)), F.lit(0).cast("bigint"))), lambda k: (k * tile <= b) & ((k + 1) * tile >= a) & (k <= last(n))
     )
-    return whole.join(hit, [key, "r", "c"], "left")
+    inside = (high_r >= 0) & (high_c >= 0) & (low_r <= F.col("_h")) & (low_c <= F.col("_w"))
+    sent = packed.where(inside).withColumn("_tr", F.explode(met(low_r, high_r, "_h"))).withColumn("_tc", F.explode(met(low_c, high_c, "_w")))
+    d0, e0 = F.col("_tr") * whole, F.col("_tc") * whole
+    a, b, c, d = _box(t, s, d0, d0 + whole, e0, e0 + whole)
+    near = F.filter("cells", lambda x: (x["r"] >= F.floor(a) - 1) & (x["r"] <= F.ceil(b) + 1) & (x["c"] >= F.floor(c) - 1) & (x["c"] <= F.ceil(d) + 1))
+    routed = sent.select(key, "_tr", "_tc", near.alias("_n")).where(F.size("_n") > 0).groupBy(key, "_tr", "_tc").agg(F.flatten(F.collect_list("_n")).alias("_cells"))
+    work = tiles.join(routed, [key, "_tr", "_tc"], "left").withColumn("_cells", F.coalesce("_cells", F.array().cast(routed.schema["_cells"].dataType)))
+    kinds = [StructField(n, src.schema[n].dataType if method == "nearest" else DoubleType()) for n in bands]
+    schema = StructType([dst_grid.schema[key], StructField("r", LongType()), StructField("c", LongType()), *kinds])
+    return work.select(key, "_tr", "_tc", "_t", "_s", "_w", "_h", "_cells").mapInArrow(_resampled(tile, list(bands), method), schema)
 
 
 def with_lonlat(df: DataFrame, x: str, y: str, epsg: str, names: Sequence[str] = ("lon", "lat")) -> DataFrame:
@@ -184,11 +272,13 @@ def cell_overlap(aoi: DataFrame, footprints: DataFrame, grids: DataFrame, weight
     w = F.lit(1.0) if weight is None else weight
     cells = aoi.select("raster_id", "r", "c", w.alias("_w"))
     runs = rasterize_runs(footprints, grids).withColumnRenamed("geom_id", "item_id")
-    # Prefix sums along each row of the area turn a run into a difference of two values.
-    line = Window.partitionBy("raster_id", "r").orderBy("c").rowsBetween(Window.unboundedPreceding, 0)
-    prefix = cells.withColumn("_p", F.sum("_w").over(line)).groupBy("raster_id", "r").agg(F.array_sort(F.collect_list(F.struct("c", "_p"))).alias("_x"))
-    upto = lambda c: F.aggregate("_x", F.lit(0.0), lambda acc, e: F.when(e["c"] <= c, e["_p"]).otherwise(acc))
-    part = runs.join(prefix, ["raster_id", "r"]).withColumn("_in", upto(F.col("c_last")) - upto(F.col("c_first") - 1))
+    # One running sum along each row over cells and run ends together: a run is the sum at its last column less the sum
+    # before its first one.
+    ends = F.array(F.struct((F.col("c_first") - 1).alias("c"), F.lit(-1.0).alias("_s")), F.struct(F.col("c_last").alias("c"), F.lit(1.0).alias("_s")))
+    marks = runs.select("raster_id", "item_id", "r", F.inline(ends)).withColumns({"_w": F.lit(0.0), "_k": F.lit(1)})
+    line = Window.partitionBy("raster_id", "r").orderBy("c", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    events = marks.unionByName(cells.withColumn("_k", F.lit(0)), allowMissingColumns=True)
+    part = events.withColumn("_p", F.sum("_w").over(line)).where("_k = 1").withColumn("_in", F.col("_s") * F.col("_p"))
     total = cells.groupBy("raster_id").agg(F.sum("_w").alias("aoi_area"))
     got = part.groupBy("raster_id", "item_id").agg(F.sum("_in").alias("overlap_area"))
     out = got.where("overlap_area > 0").join(total, "raster_id")

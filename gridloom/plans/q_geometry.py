@@ -95,18 +95,17 @@ def _(spark, d):
     return rounded(G.resample(fx_pixel(spark, d), grids(spark, d), dst_grid(spark, d), ["vv"], F.col("is_valid")), 9)
 
 
-META = """(SELECT c_custkey, concat('city', c_custkey // 3) AS city, CASE c_custkey % 3 WHEN 0 THEN 's2' WHEN 1 THEN 's1' ELSE 'label' END AS product, CASE WHEN c_custkey % 31 = 0 THEN 'EPSG:32722' ELSE 'EPSG:32723' END AS crs,
-  CASE WHEN c_custkey % 17 = 0 THEN 20.0 ELSE 10.0 END AS res, 1000 + CASE WHEN c_custkey % 23 = 0 THEN 1 ELSE 0 END AS width FROM customer WHERE NOT (c_custkey % 3 = 1 AND c_custkey % 5 = 0))"""
+META = """(SELECT c_custkey, concat('city', c_custkey // 3) AS city, CASE WHEN c_custkey % 3 = 1 AND c_custkey % 5 = 0 THEN 'archived' WHEN c_custkey % 3 = 0 THEN 's2' WHEN c_custkey % 3 = 1 THEN 's1' ELSE 'label' END AS product, CASE WHEN c_custkey % 31 = 0 THEN 'EPSG:32722' ELSE 'EPSG:32723' END AS crs,
+  CASE WHEN c_custkey % 17 = 0 THEN 20.0 ELSE 10.0 END AS res, 1000 + CASE WHEN c_custkey % 23 = 0 THEN 1 ELSE 0 END AS width FROM customer)"""
 
 
 def grid_table(spark, d):
     k = F.col("c_custkey")
     res = F.when(k % 17 == 0, 20.0).otherwise(10.0)
     t = F.array(res, F.lit(0.0), F.lit(500000.0), F.lit(0.0), -res, F.lit(7000000.0))
-    c = table(spark, d, "customer").where(~((k % 3 == 1) & (k % 5 == 0)))
-    return c.select(
+    return table(spark, d, "customer").select(
         F.concat(F.lit("r"), k.cast("string")).alias("raster_id"), F.concat(F.lit("city"), F.floor(k / 3).cast("string")).alias("city"), k.alias("k"),
-        F.when(k % 3 == 0, "s2").when(k % 3 == 1, "s1").otherwise("label").alias("product"), F.when(k % 31 == 0, "EPSG:32722").otherwise("EPSG:32723").alias("crs"),
+        F.when((k % 3 == 1) & (k % 5 == 0), "archived").when(k % 3 == 0, "s2").when(k % 3 == 1, "s1").otherwise("label").alias("product"), F.when(k % 31 == 0, "EPSG:32722").otherwise("EPSG:32723").alias("crs"),
         t.alias("transform"), (1000 + F.when(k % 23 == 0, 1).otherwise(0)).alias("width"), F.lit(900).alias("height"),
     )
 

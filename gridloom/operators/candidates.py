@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.functions.products import days_from, has_polarisations, parse_product, passes_filters, product_prefix
@@ -163,14 +164,44 @@ def match_products(wanted: DataFrame, products: DataFrame, minutes: int = 10, pr
     return by_prefix.unionByName(by_time).select("name", "product", "method", "score")
 
 
-def match_cities(paths: DataFrame, cities: Sequence[str], path: str = "path", limit: int = 10_000) -> DataFrame:
-    """Cities whose key occurs in the normalised path, as one row per (path, city).
+MOST_NAME_BYTES = 64 << 20  # city names that travel to every task
 
-    The list of cities is an argument (26 names in practice), checked for size and compiled into the expression, so
-    there is no join on a `contains` condition.
+
+def _names_in(cities: Sequence[str]) -> Callable:
+    """The names that occur in each text, in the order of the list: one automaton of all names per task, one walk per text."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        places: dict[str, list[int]] = {}
+        for i, name in enumerate(cities):
+            places.setdefault(name, []).append(i)
+        everywhere, automaton = places.pop("", []), ahocorasick.Automaton()
+        for name, at in places.items():
+            automaton.add_word(name, at)
+        automaton.make_automaton()
+        for texts in batches:
+            found = []
+            for text in texts:
+                hits = set(everywhere) if text is not None else set()
+                if text and places:
+                    for _, at in automaton.iter(text):
+                        hits.update(at)
+                found.append([cities[i] for i in sorted(hits)])
+            yield pd.Series(found)
+
+    return run
+
+
+def match_cities(paths: DataFrame, cities: Sequence[str], path: str = "path") -> DataFrame:
+    """Cities whose key occurs in the normalised path, as one row per (path, city); a NULL path has none.
+
+    The names form an automaton, so a path is read once, however many names there are. They travel to every task, which
+    their total size is checked for.
     """
-    if len(cities) > limit:
-        raise ValueError(f"{len(cities)} city names is more than the {limit} meant to be compiled into an expression")
+    size = sum(len(c.encode()) for c in cities)
+    if size > MOST_NAME_BYTES:
+        raise ValueError(f"{size} bytes of city names are more than the {MOST_NAME_BYTES} that may travel to every task")
     text = F.regexp_replace(F.regexp_replace(F.lower(path), r"[^a-z0-9_/.]+", "_"), "_+", "_")
-    hits = F.filter(F.array(*[F.lit(c) for c in cities]), lambda c: F.contains(F.col("_text"), c))
-    return paths.withColumn("_text", text).select("*", F.explode(hits).alias("city")).drop("_text")
+    found = F.pandas_udf(_names_in(list(cities)), "array<string>")
+    return paths.withColumn("city", F.explode(found(text)))

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridloom.functions.rules import direction, first_true, winner_from_text
+from gridloom.functions.rules import dense_usable, direction, first_true, winner_from_text
 from gridloom.operators.joins import pair_variants
 
 
@@ -185,3 +185,25 @@ def sar_tables(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
         }
     )
     return main, variant
+
+
+def feature_decision(arrays: DataFrame, modalities: Sequence[str]) -> DataFrame:
+    """What the stored arrays (modality, file, role) of each wanted modality allow: dense features, global vectors only, or neither."""
+    dense = dense_usable(F.col("role"))
+    any_of = lambda test: F.coalesce(F.bool_or(test), F.lit(False))
+    found = arrays.groupBy(F.col("modality").alias("target_modality")).agg(
+        F.count_distinct("file").alias("target_files"), any_of(F.col("role") == "global_patch_embedding").alias("has_global_embedding"),
+        any_of(F.col("role").startswith("dense_token")).alias("has_dense_tokens"), any_of(F.col("role").startswith("dense_feature_map")).alias("has_dense_feature_map"), any_of(dense).alias("has_usable_features"),
+    )
+    everywhere = arrays.agg(any_of(dense).alias("any_file_has_usable_features"), F.lit(1).alias("_one"))
+    wanted = arrays.sparkSession.createDataFrame([(m, 1) for m in modalities], "target_modality string, _one int")
+    j = wanted.join(everywhere, "_one").join(found, "target_modality", "left").drop("_one")
+    flags = ("has_global_embedding", "has_dense_tokens", "has_dense_feature_map", "has_usable_features")
+    j = j.withColumns({c: F.coalesce(c, F.lit(False)) for c in flags} | {"target_files": F.coalesce("target_files", F.lit(0))})
+    advice = first_true(feature_advice(F.col("target_files"), F.col("has_usable_features"), F.col("has_global_embedding")), "manual_inspection_needed")
+    return j.withColumns({"recommendation": advice, "can_proceed": (F.col("target_files") > 0) & F.col("has_usable_features")})
+
+
+def feature_advice(files: Column, usable: Column, whole: Column) -> list[tuple[Column, str]]:
+    """The recommendations, in the order in which they apply."""
+    return [(files == 0, "target_modality_file_missing"), (usable, "dense_features_available"), (whole, "global_only_extract_dense_features_next")]

@@ -209,11 +209,11 @@ def _search(k: int) -> Callable:
         for s in range(0, len(x), 1024):
             d = _distances(x[s : s + 1024], y)
             m = min(k, d.shape[1])
-            # Keep every candidate at the k-th distance, so that ties are settled by id in the final merge.
             kth = np.partition(d, m - 1, axis=1)[:, m - 1]
             rows, hits = np.nonzero(d <= kth[:, None])
             q = queries.iloc[s : s + 1024]
-            out.append(pd.DataFrame({"run": q["run"].to_numpy()[rows], "query": q["query"].to_numpy()[rows], "neighbour": ids[hits], "distance": d[rows, hits], "label": labels[hits]}))
+            near = pd.DataFrame({"run": q["run"].to_numpy()[rows], "query": q["query"].to_numpy()[rows], "neighbour": ids[hits], "distance": d[rows, hits], "label": labels[hits], "_q": rows})
+            out.append(near.sort_values(["_q", "distance", "neighbour"]).groupby("_q").head(m).drop(columns="_q"))  # ties are cut by id
         return pd.concat(out)
 
     return run
@@ -226,7 +226,8 @@ def nearest_neighbours(train: DataFrame, queries: DataFrame, k: int = 15, pivots
     assigned to the nearest of a fixed number of pivots (a seeded sample); each cell's radius and k smallest pivot
     distances bound what any query can find there, so a query is sent only to cells that may hold a neighbour. Large
     cells and large query sets are cut into chunks of bounded size, one group per (cell, chunk, query chunk), which
-    returns at most k rows per query (plus ties) for the final merge.
+    returns at most k rows per query for the final merge. Each training row is copied once per query chunk, and in many
+    dimensions most cells are visited: meant for up to some 10^10 pairs of rows, `neighbours.approximate_neighbours` for more.
     """
     query_chunks = max(1, -(-queries.count() // chunk))
     picks = train.select("id", "embedding").dropDuplicates(["id"]).withColumn("_h", hash_order(F.col("id"), salt="pivot")).orderBy("_h", "id").limit(pivots).collect()

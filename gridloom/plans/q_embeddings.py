@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gridloom.functions import arrays as Ar, rules
-from gridloom.operators import embeddings as E, metrics as M, splits as Sp
+from gridloom.operators import decisions as Dc, embeddings as E, metrics as M, neighbours as Ng, probing as Pr, splits as Sp
 from gridloom.plans.fixtures import fx_patch, fx_pixel, fx_vec, table
 from gridloom.plans.q_reports import rounded
 from gridloom.plans.q_splits import h_sql
@@ -78,12 +78,12 @@ def _(spark, d):
 
 @query(
     "metadata_agreement",
-    """WITH j AS (SELECT a.patch_id, b.patch_id AS other, a.y AS ya, CASE WHEN b.patch_id % 10 = 0 THEN 1 ELSE b.y END AS yb, a.region AS ra, b.region AS rb FROM (SELECT * FROM fx_vec) a FULL JOIN (SELECT * FROM fx_vec WHERE label <> 3) b ON a.patch_id = b.patch_id)
-      SELECT 'y' AS field, CAST(count(*) FILTER (other IS NOT NULL AND ya <> yb) AS BIGINT) AS mismatches FROM j UNION ALL SELECT 'region', CAST(count(*) FILTER (other IS NOT NULL AND ra <> rb) AS BIGINT) FROM j UNION ALL SELECT 'unpaired_keys', CAST(count(*) FILTER (other IS NULL) AS BIGINT) FROM j""",
+    """WITH j AS (SELECT a.patch_id, b.patch_id AS other, a.y AS ya, CASE WHEN b.patch_id % 10 = 0 THEN 1 ELSE b.y END AS yb, a.region AS ra, b.region AS rb FROM fx_vec a FULL JOIN (SELECT * REPLACE (CASE WHEN label = 3 THEN -patch_id - 1 ELSE patch_id END AS patch_id) FROM fx_vec) b ON a.patch_id = b.patch_id)
+      SELECT 'y' AS field, CAST(count(*) FILTER (patch_id IS NOT NULL AND other IS NOT NULL AND ya <> yb) AS BIGINT) AS mismatches FROM j UNION ALL SELECT 'region', CAST(count(*) FILTER (patch_id IS NOT NULL AND other IS NOT NULL AND ra <> rb) AS BIGINT) FROM j UNION ALL SELECT 'unpaired_keys', CAST(count(*) FILTER (patch_id IS NULL OR other IS NULL) AS BIGINT) FROM j""",
 )
 def _(spark, d):
     v = fx_vec(spark, d)
-    b = v.where("label <> 3").withColumn("y", F.when(F.col("patch_id") % 10 == 0, 1).otherwise(F.col("y")))
+    b = v.withColumns({"y": F.when(F.col("patch_id") % 10 == 0, 1).otherwise(F.col("y")), "patch_id": F.when(F.col("label") == 3, -F.col("patch_id") - 1).otherwise(F.col("patch_id"))})
     return E.metadata_agreement(v, b, ["y", "region"])
 
 
@@ -164,6 +164,58 @@ def _(spark, d):
     return M.ranking_metrics(scored, ["region"], "score", "label_binary", 0.5)
 
 
+SCORES = """s AS (SELECT l_linestatus AS modality, 'logistic_regression' AS probe, concat('fold', l_suppkey % 3) AS fold, CASE WHEN l_orderkey % 4 = 0 THEN 'test' ELSE 'train' END AS role,
+  CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, CAST((l_partkey * 7 + CASE WHEN l_returnflag = 'R' THEN 300 ELSE 0 END) % 1000 AS DOUBLE) / 1000.0 AS score FROM lineitem)"""
+
+
+def score_table(spark, d):
+    y = F.when(F.col("l_returnflag") == "R", 1).otherwise(0)
+    return table(spark, d, "lineitem").select(
+        F.col("l_linestatus").alias("modality"), F.lit("logistic_regression").alias("probe"), F.concat(F.lit("fold"), (F.col("l_suppkey") % 3).cast("string")).alias("fold"),
+        F.when(F.col("l_orderkey") % 4 == 0, "test").otherwise("train").alias("role"), y.alias("y"), (((F.col("l_partkey") * 7 + y * 300) % 1000).cast("double") / 1000.0).alias("score"),
+    )
+
+
+@query(
+    "probe_results",
+    f"""WITH {SCORES}, qs AS (SELECT modality, fold, unnest(quantile_cont(score, [0.02 + i * 0.96 / 100 FOR i IN range(101)])) AS t FROM s WHERE role = 'train' GROUP BY modality, fold),
+      ts AS (SELECT DISTINCT modality, fold, round(t, 9) AS t FROM qs),
+      f AS (SELECT s.modality, s.fold, t, 2.0 * count(*) FILTER (score >= t AND y = 1) / (count(*) FILTER (score >= t) + count(*) FILTER (y = 1)) AS f1 FROM s JOIN ts ON s.modality = ts.modality AND s.fold = ts.fold WHERE role = 'train' GROUP BY ALL),
+      cut AS (SELECT modality, fold, t, f1 FROM f QUALIFY row_number() OVER (PARTITION BY modality, fold ORDER BY f1 DESC, t) = 1),
+      c AS (SELECT s.modality, probe, s.fold, t, f1, count(*) FILTER (role = 'train') AS train_samples, count(*) FILTER (role = 'test') AS test_samples, count(*) FILTER (role = 'train' AND y = 1) AS train_positive,
+          count(*) FILTER (role = 'train' AND y = 0) AS train_negative, count(*) FILTER (role = 'test' AND y = 1) AS test_positive, count(*) FILTER (role = 'test' AND y = 0) AS test_negative,
+          count(*) FILTER (role = 'test' AND y = 1 AND score >= t) AS tp, count(*) FILTER (role = 'test' AND y = 0 AND score >= t) AS fp
+        FROM s JOIN cut ON s.modality = cut.modality AND s.fold = cut.fold GROUP BY ALL),
+      g AS (SELECT modality, fold, score, sum(y) AS p, sum(1 - y) AS q FROM s WHERE role = 'test' GROUP BY ALL),
+      w AS (SELECT *, sum(p) OVER o AS a, sum(q) OVER o AS b FROM g WINDOW o AS (PARTITION BY modality, fold ORDER BY score DESC)),
+      m AS (SELECT modality, fold, sum(p * a / (a + b)) / sum(p) AS ap, sum((a - p / 2.0) * q) / (CAST(sum(p) AS DOUBLE) * sum(q)) AS auc FROM w GROUP BY ALL)
+      SELECT c.modality, probe, c.fold, train_samples, test_samples, train_positive, train_negative, test_positive, test_negative, round(t, 6) AS threshold, round(f1, 6) AS train_best_f1, round(ap, 6) AS average_precision,
+        round(auc, 6) AS roc_auc, round(2.0 * tp / (tp + fp + test_positive), 6) AS f1, round(tp / (tp + fp), 6) AS precision, round(tp / test_positive, 6) AS recall,
+        round(0.5 * (tp / test_positive + (test_negative - fp) / test_negative), 6) AS balanced_accuracy, round((tp + test_negative - fp) / test_samples, 6) AS accuracy, tp, fp, test_positive - tp AS fn,
+        test_negative - fp AS tn, round(100.0 * test_positive / test_samples, 6) AS test_positive_percent, round(100.0 * (tp + fp) / test_samples, 6) AS pred_positive_percent
+      FROM c JOIN m ON c.modality = m.modality AND c.fold = m.fold""",
+)
+def _(spark, d):
+    return rounded(Pr.probe_results(score_table(spark, d)))
+
+
+@query("probe_evaluation")
+def _(spark, d):
+    """All folds of both linear probes on two modalities: the vectors, and their components in reverse with noise signs."""
+    v = fx_vec(spark, d)
+    both = v.select("region", "y", "embedding", F.lit("plain").alias("modality")).unionByName(v.select("region", "y", F.transform("other", lambda x: x * x).alias("embedding"), F.lit("squared").alias("modality")))
+    return rounded(Pr.evaluate_probes(both, F.col("region"), F.col("y"), F.col("modality")))
+
+
+@query("approximate_neighbours")
+def _(spark, d):
+    """All training rows of each repeat against its test rows, as `nearest_neighbours` takes them."""
+    rows = Sp.shuffle_splits(fx_vec(spark, d).select("patch_id", "embedding", "y"), "y", "patch_id", 2)
+    train = rows.where("role = 'train'").select(F.col("repeat").alias("run"), F.col("patch_id").alias("id"), "embedding", F.col("y").alias("label"))
+    test = rows.where("role = 'test'").select(F.col("repeat").alias("run"), F.col("patch_id").alias("query"), "embedding")
+    return Ng.approximate_neighbours(train, test, 15).drop("label")
+
+
 def packed(spark, d):
     px = fx_pixel(spark, d)
     t = Tl.pixels_to_tiles(px, ["vv", "vh", "label"], F.col("is_valid"), 16)
@@ -219,6 +271,28 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", role.alias("role"), rules.dense_usable(role).alias("usable"))
 
 
+ROLE_SQL = """CASE WHEN event_type = 'click' THEN 'metadata_or_label' WHEN user_id % 5 = 0 OR event_type = 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'global_patch_embedding' ELSE 'two_dimensional_array' END WHEN user_id % 5 = 1 THEN 'dense_token_sequence_n_tokens_c'
+  WHEN user_id % 5 = 2 THEN 'dense_token_sequence_n_c_tokens' WHEN user_id % 5 = 3 THEN 'dense_feature_map_n_c_h_w' ELSE 'dense_feature_map_n_h_w_c' END"""
+
+
+@query(
+    "feature_decision",
+    f"""WITH a AS (SELECT event_type AS m, user_id % 50 AS file, {ROLE_SQL} AS role FROM events),
+      g AS (SELECT m, count(DISTINCT file) AS files, bool_or(role = 'global_patch_embedding') AS gl, bool_or(role LIKE 'dense_token%') AS tk, bool_or(role LIKE 'dense_feature_map%') AS mp FROM a GROUP BY 1),
+      w AS (SELECT unnest(['purchase', 'view', 'click', 'absent']) AS m),
+      j AS (SELECT w.m, coalesce(files, 0) AS files, coalesce(gl, FALSE) AS gl, coalesce(tk, FALSE) AS tk, coalesce(mp, FALSE) AS mp FROM w LEFT JOIN g ON g.m = w.m)
+      SELECT m AS target_modality, files AS target_files, gl AS has_global_embedding, tk AS has_dense_tokens, mp AS has_dense_feature_map, tk OR mp AS has_usable_features, (SELECT bool_or(role LIKE 'dense_%') FROM a) AS any_file_has_usable_features,
+        CASE WHEN files = 0 THEN 'target_modality_file_missing' WHEN tk OR mp THEN 'dense_features_available' WHEN gl THEN 'global_only_extract_dense_features_next' ELSE 'manual_inspection_needed' END AS recommendation, tk OR mp AS can_proceed FROM j""",
+)
+def _(spark, d):
+    arr = lambda *v: F.array(*[F.lit(x) if isinstance(x, int) else x for x in v])
+    u = F.when(F.col("event_type") == "view", 0).otherwise(F.col("user_id") % 5)
+    shape = F.when(u == 0, arr(100, F.when(F.col("event_id") % 2 == 0, 768).otherwise(700))).when(u == 1, arr(100, 784, 768)).when(u == 2, arr(100, 768, 784)).when(u == 3, arr(100, 768, 28, 28)).otherwise(arr(100, 28, 28, 768))
+    role = rules.array_role(F.when(F.col("event_type") == "click", "patch_ids").otherwise("features"), shape, F.lit("float32"), 100, 768)
+    arrays = table(spark, d, "events").select(F.col("event_type").alias("modality"), (F.col("user_id") % 50).alias("file"), role.alias("role"))
+    return Dc.feature_decision(arrays, ["purchase", "view", "click", "absent"])
+
+
 GEOMETRY = {"none": ("r", "c"), "rot90": ("49 - c", "r"), "rot180": ("49 - r", "49 - c"), "rot270": ("c", "49 - r"), "hflip": ("r", "49 - c"), "vflip": ("49 - r", "c"), "hflip_rot90": ("c", "r"), "vflip_rot90": ("49 - c", "49 - r")}
 GAIN = {None: "vv / 100", "gain_up": "least(vv / 100 * 1.1, 6)", "s1_gain_down": "least(vv / 100 * 0.9, 6)", "s2_gain_up": "least(vv / 100, 6)"}
 

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.functions import bins, rules as R
-from gridloom.functions.scalars import safe_bool, safe_float, safe_int
+from gridloom.functions.scalars import pct, safe_bool, safe_float, safe_int
 from gridloom.operators.ranking import top_k
 from gridloom.operators.sets import role_overlap
 
@@ -138,7 +138,7 @@ def check_splits(splits: DataFrame, by: Sequence[str] = ("fold_id",), min_positi
 
 def check_city_split(splits: DataFrame, cities: int, by: Sequence[str] = ("split_strategy", "fold_id")) -> DataFrame:
     """City-level split: row count, duplicates and roles present, per fold."""
-    g = splits.groupBy(*by).agg(n_rows().alias("rows"), F.size(F.collect_set("city")).alias("distinct_cities"), F.size(F.collect_set("split")).alias("roles"))
+    g = splits.groupBy(*by).agg(n_rows().alias("rows"), F.count_distinct("city").alias("distinct_cities"), F.count_distinct("split").alias("roles"))
     ok = (F.col("rows") == cities) & (F.col("distinct_cities") == F.col("rows"))
     return g.withColumn("status", F.when(ok & (F.col("roles") == 3), "passed").when(ok, "missing_roles").otherwise("failed"))
 
@@ -200,3 +200,42 @@ def check_ready_stack(px: DataFrame, meta: DataFrame, s2_bad: Column, s1_bad: Co
         c("label_binary"), F.lit(True), c("fill_ok"), c("unresolved"), require_qa,
     )
     return j.withColumn("status", status)
+
+
+def check_filled_stack(
+    px: DataFrame, meta: DataFrame, s2_bad: Column, s1_bad: Column, label: Column, fill: Column, height: Column, width: Column, fill_code: int = 3, require_fill_qa: bool = True, margin: int = 128, tile: int = 256
+) -> DataFrame:
+    """Final check of rasters whose optical holes were filled: no hole may be left, radar holes may.
+
+    `meta` holds raster_id, band counts, `s1_aligned`, `label_aligned` and `fill_aligned` (NULL: there is no fill-level
+    raster). Holes are told apart by components that touch the margin; fill levels may only be 0 and the code.
+    """
+    from gridloom.operators.repair import nodata_plan
+
+    def holes(prefix: str, bad: Column) -> DataFrame:
+        plan = nodata_plan(px, bad, height, width, margin, tile)
+        kept = ("missing_pixels", "border_pixels", "internal_pixels", "missing_percent", "border_percent", "internal_percent", "border_share_percent")
+        return plan.select("raster_id", *[F.col(c).alias(f"{prefix}_{c}") for c in kept])
+
+    levels = px.groupBy("raster_id", fill.cast("string").alias("_v")).agg(n_rows().alias("_n"), F.min(label.isin(0, 1)).alias("_b"))
+    values = F.array_join(F.array_sort(F.collect_list("_v")), ",")  # as text, so that a raster of wild values stays short in the report
+    g = levels.groupBy("raster_id").agg(
+        F.sum("_n").alias("total_pixels"), F.min("_b").alias("label_binary"), F.substring(values, 1, 4000).alias("_values"),
+        F.sum(F.when(F.col("_v") == str(fill_code), F.col("_n")).otherwise(0)).alias("_filled"), F.bool_and(F.col("_v").isin("0", str(fill_code))).alias("_ok"),
+    )
+    j = g.join(holes("s2", s2_bad), "raster_id").join(holes("s1", s1_bad), "raster_id").join(meta, "raster_id")
+    c = F.col
+    there = c("fill_aligned").isNotNull()
+    fill_status = R.first_true(
+        [(~there, "missing_required" if require_fill_qa else "missing_optional"), (~c("fill_aligned"), "bad_alignment"), (~F.coalesce("_ok", F.lit(False)), "unexpected_values")], "ok"
+    )
+    j = j.withColumns(
+        {
+            "fill_level_status": fill_status, "fill_level_values": F.when(there, c("_values")), "fill_level_filled_pixels": F.when(there, c("_filled")),
+            "fill_level_filled_percent": F.when(there, pct(c("_filled"), c("total_pixels"))),
+        }
+    )
+    status = R.filled_stack_status(
+        c("s1_aligned") & c("label_aligned"), c("s2_band_count"), c("s1_band_count"), c("label_band_count"), c("label_binary"), c("s2_missing_pixels"), c("s1_missing_pixels"), c("fill_level_status"), require_fill_qa
+    )
+    return j.withColumn("status", status).drop("_values", "_filled", "_ok")

@@ -116,17 +116,75 @@ CHECK_NAMES = (
 )
 
 
+#: Four folds: one in order, one with patches and cities in two roles, one without validation and with thin roles, one whose held-out region is elsewhere as well.
+SPLITS = """x AS (SELECT 'clean' AS fold_id, patch_id, city, region, split, label_positive_pixels, NULL AS heldout_region FROM fx_patch
+  UNION ALL SELECT 'leaky', patch_id, city, region, split, label_positive_pixels, '' FROM fx_patch UNION ALL SELECT 'leaky', patch_id, city, region, 'train', label_positive_pixels, '' FROM fx_patch WHERE patch_id % 89 = 1
+  UNION ALL SELECT 'thin', patch_id, city, region, CASE split WHEN 'val' THEN 'train' ELSE split END, CASE WHEN split = 'test' AND patch_id % 1000 <> 1 THEN 0 ELSE label_positive_pixels END, NULL FROM fx_patch
+  UNION ALL SELECT 'held', patch_id, city, region, CASE WHEN region = 'ASIA' THEN 'test' ELSE split END, label_positive_pixels, 'ASIA' FROM fx_patch)"""
+
+
+def split_table(spark, d):
+    p = fx_patch(spark, d)
+    k, split, pos = F.col("patch_id"), F.col("split"), F.col("label_positive_pixels")
+
+    def fold(rows, name, role=split, positive=pos, held=None):
+        return rows.select(F.lit(name).alias("fold_id"), "patch_id", "city", "region", role.alias("split"), positive.alias("label_positive_pixels"), F.lit(held).cast("string").alias("heldout_region"))
+
+    thin = fold(p, "thin", F.when(split == "val", "train").otherwise(split), F.when((split == "test") & (k % 1000 != 1), 0).otherwise(pos))
+    leaky = fold(p, "leaky", held="").unionByName(fold(p.where(k % 89 == 1), "leaky", F.lit("train"), held=""))
+    return fold(p, "clean").unionByName(leaky).unionByName(thin).unionByName(fold(p, "held", F.when(F.col("region") == "ASIA", "test").otherwise(split), held="ASIA"))
+
+
+ROLE_PAIRS = (("train", "val"), ("train", "test"), ("val", "test"))
+
+
 @query(
     "split_checks",
-    f"""SELECT concat('fold_test_', replace(lower(r.region), ' ', '_')) AS fold_id, c AS check_name, CAST(0 AS BIGINT) AS observed, 'passed' AS status
-      FROM (SELECT DISTINCT region FROM fx_patch) r, (SELECT unnest({CHECK_NAMES}) AS c)""",
+    f"""WITH {SPLITS}, g AS (SELECT fold_id, max(heldout_region) AS held, list(DISTINCT region) FILTER (split = 'test') AS gt, list(DISTINCT region) FILTER (split <> 'test') AS gr FROM x GROUP BY 1), """
+    + ", ".join(f"{n} AS (SELECT fold_id, {key}, list(DISTINCT split) AS s FROM x GROUP BY ALL)" for n, key in (("kp", "patch_id"), ("kc", "city")))
+    + ", f AS ("
+    + " UNION ALL ".join(
+        f"SELECT fold_id, '{name}_leakage_{a}_{b}' AS check_name, count(*) FILTER (list_contains(s, '{a}') AND list_contains(s, '{b}')) AS observed FROM {t} GROUP BY 1" for t, name in (("kp", "patch"), ("kc", "city")) for a, b in ROLE_PAIRS
+    )
+    + "".join(
+        f" UNION ALL SELECT fold_id, 'missing_role_{r}', CASE WHEN count(*) FILTER (split = '{r}') = 0 THEN 1 ELSE 0 END FROM x GROUP BY 1 UNION ALL SELECT fold_id, 'too_few_positives_{r}', CASE WHEN count(*) FILTER (split = '{r}' AND label_positive_pixels > 0) < 5 THEN 1 ELSE 0 END FROM x GROUP BY 1"
+        for r in ("train", "val", "test")
+    )
+    + """ UNION ALL SELECT fold_id, 'test_outside_heldout', CASE WHEN held <> '' THEN len(list_filter(gt, lambda r: r <> held)) ELSE 0 END FROM g
+      UNION ALL SELECT fold_id, 'heldout_outside_test', CASE WHEN list_contains(gr, held) THEN 1 ELSE 0 END FROM g)
+      SELECT fold_id, check_name, CAST(coalesce(observed, 0) AS BIGINT) AS observed, CASE WHEN coalesce(observed, 0) = 0 THEN 'passed' ELSE 'failed' END AS status FROM f""",
 )
 def _(spark, d):
+    return V.check_splits(split_table(spark, d))
+
+
+@query("loro_split_checks", f"""SELECT concat('fold_test_', replace(lower(r.region), ' ', '_')) AS fold_id, c AS check_name, CAST(0 AS BIGINT) AS observed, 'passed' AS status
+      FROM (SELECT DISTINCT region FROM fx_patch) r, (SELECT unnest({CHECK_NAMES}) AS c)""")
+def _(spark, d):
+    """The folds the library makes break no rule."""
     p = fx_patch(spark, d)
     return V.check_splits(apply_roles(p, loro_patches(p)))
 
 
-@query("city_split_checks",  "SELECT 'custom' AS split_strategy, 'main' AS fold_id, count(DISTINCT city) AS rows, CAST(count(DISTINCT city) AS INTEGER) AS distinct_cities, 2 AS roles, 'missing_roles' AS status FROM fx_patch")
+CITY_FOLDS = """y AS (SELECT 'a' AS split_strategy, 'full' AS fold_id, city, split FROM (SELECT DISTINCT city, split FROM fx_patch) UNION ALL SELECT 'a', 'no_val', city, CASE split WHEN 'val' THEN 'train' ELSE split END FROM (SELECT DISTINCT city, split FROM fx_patch)
+  UNION ALL SELECT 'b', 'twice', city, split FROM (SELECT DISTINCT city, split FROM fx_patch) UNION ALL SELECT 'b', 'twice', city, 'train' FROM (SELECT DISTINCT city, split FROM fx_patch) WHERE split = 'test')"""
+
+
+@query(
+    "city_split_checks",
+    f"""WITH {CITY_FOLDS} SELECT split_strategy, fold_id, count(*) AS rows, count(DISTINCT city) AS distinct_cities, count(DISTINCT split) AS roles,
+      CASE WHEN count(*) <> 25 OR count(DISTINCT city) <> count(*) THEN 'failed' WHEN count(DISTINCT split) = 3 THEN 'passed' ELSE 'missing_roles' END AS status FROM y GROUP BY 1, 2""",
+)
+def _(spark, d):
+    c = fx_patch(spark, d).select("city", "split").distinct()
+    fold = lambda s, f, rows: rows.select(F.lit(s).alias("split_strategy"), F.lit(f).alias("fold_id"), "city", "split")
+    no_val = c.withColumn("split", F.when(F.col("split") == "val", "train").otherwise(F.col("split")))
+    again = c.where("split = 'test'").withColumn("split", F.lit("train"))
+    y = fold("a", "full", c).unionByName(fold("a", "no_val", no_val)).unionByName(fold("b", "twice", c.unionByName(again)))
+    return V.check_city_split(y, 25)
+
+
+@query("assigned_city_split", "SELECT 'custom' AS split_strategy, 'main' AS fold_id, count(DISTINCT city) AS rows, count(DISTINCT city) AS distinct_cities, 2 AS roles, 'missing_roles' AS status FROM fx_patch")
 def _(spark, d):
     return V.check_city_split(assign_split(fx_patch(spark, d).select("city", "region").distinct(), ["NATION_0"]), 25)
 
@@ -178,6 +236,38 @@ def _(spark, d):
     return out.select("city", "total_pixels", "s2_nodata", "s1_nodata", "unresolved", "status")
 
 
+FILLED = """WITH RECURSIVE z AS (SELECT raster_id, r, c, label, raster_id % 3 = 0 AND event_type = 'error' AS s2, raster_id % 2 = 1 AND NOT is_valid AS s1,
+    CASE WHEN event_type = 'click' THEN CASE WHEN raster_id % 4 = 2 THEN 7 ELSE 3 END ELSE 0 END AS fill FROM fx_pixel),
+  h AS (SELECT 's2' AS p, raster_id, r, c FROM z WHERE s2 UNION ALL SELECT 's1', raster_id, r, c FROM z WHERE s1),
+  b(p, raster_id, r, c) AS (SELECT * FROM h WHERE r < 1 OR c < 1 OR r >= 49 OR c >= 49 UNION SELECT h.p, h.raster_id, h.r, h.c FROM b, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) o(dr, dc) JOIN h ON h.p = b.p AND h.raster_id = b.raster_id AND h.r = b.r + o.dr AND h.c = b.c + o.dc),
+  n AS (SELECT raster_id, count(*) FILTER (p = 's2') AS s2_border_pixels, count(*) FILTER (p = 's1') AS s1_border_pixels FROM b GROUP BY 1),
+  g AS (SELECT raster_id, count(*) AS total_pixels, count(*) FILTER (s2) AS s2_missing_pixels, count(*) FILTER (s1) AS s1_missing_pixels, bool_and(label IN (0, 1)) AS label_binary, array_to_string(list_sort(list(DISTINCT fill)), ',') AS v,
+      count(*) FILTER (fill = 3) AS f FROM z GROUP BY 1),
+  q AS (SELECT g.*, coalesce(s2_border_pixels, 0) AS s2_border_pixels, coalesce(s1_border_pixels, 0) AS s1_border_pixels,
+      CASE WHEN raster_id % 5 = 3 THEN 'missing_required' WHEN raster_id % 5 = 1 THEN 'bad_alignment' WHEN v LIKE '%7%' THEN 'unexpected_values' ELSE 'ok' END AS fill_level_status FROM g LEFT JOIN n USING (raster_id))"""
+
+
+@query(
+    "filled_stack",
+    FILLED
+    + """ SELECT raster_id, total_pixels, s2_missing_pixels, s2_border_pixels, s2_missing_pixels - s2_border_pixels AS s2_internal_pixels, s1_missing_pixels, s1_border_pixels, s1_missing_pixels - s1_border_pixels AS s1_internal_pixels, label_binary,
+      CASE WHEN raster_id % 5 = 3 THEN NULL ELSE v END AS fill_level_values, CASE WHEN raster_id % 5 = 3 THEN NULL ELSE f END AS fill_level_filled_pixels, round(CASE WHEN raster_id % 5 <> 3 THEN 100.0 * f / total_pixels END, 6) AS fill_level_filled_percent, fill_level_status,
+      CASE WHEN raster_id % 7 = 6 THEN 'fail_alignment' WHEN s2_missing_pixels > 0 THEN 'fail_s2_filled_has_nodata' WHEN fill_level_status <> 'ok' THEN 'fail_fill_qa' WHEN s1_missing_pixels > 0 THEN 'pass_s2_clean_residual_s1_nodata' ELSE 'pass_s2_clean_all_aligned' END AS status FROM q""",
+)
+def _(spark, d):
+    px = fx_pixel(spark, d)
+    k, e = F.col("raster_id"), F.col("event_type")
+    meta = px.select("raster_id").distinct().select(
+        "raster_id", F.lit(12).alias("s2_band_count"), F.lit(3).alias("s1_band_count"), F.lit(1).alias("label_band_count"), F.lit(True).alias("s1_aligned"), (k % 7 != 6).alias("label_aligned"),
+        F.when(k % 5 == 3, None).otherwise(k % 5 != 1).alias("fill_aligned"),
+    )
+    fill = F.when(e == "click", F.when(k % 4 == 2, 7).otherwise(3)).otherwise(0)
+    size = F.lit(50)
+    out = V.check_filled_stack(px, meta, (k % 3 == 0) & (e == "error"), (k % 2 == 1) & ~F.col("is_valid"), F.col("label"), fill, size, size, margin=1, tile=16)
+    names = [f"{p}_{n}_pixels" for p in ("s2", "s1") for n in ("missing", "border", "internal")]
+    return rounded(out.select("raster_id", "total_pixels", *names, "label_binary", "fill_level_values", "fill_level_filled_pixels", "fill_level_filled_percent", "fill_level_status", "status"))
+
+
 RUNS = """(SELECT * REPLACE (CASE WHEN fold % 9 = 0 THEN NULL ELSE f1 END AS f1) FROM (SELECT l_suppkey AS fold, CASE WHEN l_partkey % 2 = 0 THEN 'leave_one_region' ELSE 'leave_one_city' END AS fold_mode, l_linestatus AS probe,
   CASE l_linenumber WHEN 1 THEN 's1_snap_vv_vh' WHEN 2 THEN 's1_rtc_vv_vh' WHEN 3 THEN 's2_s1_snap_vv_vh' WHEN 4 THEN 's2_s1_rtc_vv_vh' ELSE 's2' END AS modality, max(l_discount) AS ap, min(l_tax) AS f1 FROM lineitem GROUP BY ALL))"""
 COMPARISONS = {"sar_only_rtc_vs_snap": ("s1_snap_vv_vh", "s1_rtc_vv_vh"), "joint_rtc_vs_snap": ("s2_s1_snap_vv_vh", "s2_s1_rtc_vv_vh")}

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from gridloom.plans.fixtures import fx_patch, table
+from gridloom.operators.candidates import first_candidates
+from gridloom.plans.fixtures import fx_candidate, fx_patch, fx_pixel, table
 from gridloom.plans.q_checks import metadata
 from gridloom.plans.registry import query
-from gridloom.sources import inventory as I, tables as Tb
+from gridloom.session import shared_folder
+from gridloom.sources import inventory as I, tables as Tb, tiles as Tl
 
 NAMES = [
     "city_composite_2022.tif", "sub/a_smallholes_filled_b.tif", "z_composite_x.tif", "composite_cloudmask.tif", "run_diagnostics.json", "S1_x/VV.tif", "S1_x/aVHb.tif", "S1_y/vv_low.tif", "city_composite_2022_smallholes_filled.tif",
@@ -157,3 +160,96 @@ def _(spark, d):
     }
     parts = [Tb.with_positive(df, 2.0 if kind in ("pixels", "share") else 0.0).select(F.lit(kind).alias("kind"), "o_orderkey", "is_positive") for kind, df in shapes.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+# --- stored tables: each query writes the whole table to the shared folder and reads it back -------------------------
+
+
+def fresh(spark, name):
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "stored_csv",
+    """SELECT o_orderkey AS patch_id, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS city, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey END AS label_positive_pixels, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE round(o_totalprice, 6) END AS label_positive_percent,
+      o_orderkey % 2 = 0 AS complete FROM orders""",
+)
+def _(spark, d):
+    """CSV with other column names and odd spellings of missing values, read with aliases into a schema."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    odd = o.select(
+        k.alias("Sample-ID"), F.when(k % 7 == 0, " ").otherwise(F.col("o_orderstatus")).alias("City Name"), F.when(k % 5 == 0, "n/a").otherwise(F.col("o_custkey").cast("string")).alias("n_positive.pixels"),
+        F.when(k % 11 == 0, "NaN").otherwise(F.col("o_totalprice").cast("string")).alias("GT pos PCT"), F.when(k % 2 == 0, "yes").otherwise("0").alias("complete"),
+    )
+    path = fresh(spark, "orders-csv")
+    Tb.write_table(odd, path, format="csv")
+    schema = T.StructType([
+        T.StructField("patch_id", T.LongType()), T.StructField("city", T.StringType()), T.StructField("label_positive_pixels", T.LongType()), T.StructField("label_positive_percent", T.DoubleType()), T.StructField("complete", T.BooleanType()),
+    ])
+    return Tb.read_table(spark, path, schema, Tb.PATCH_ALIASES, required=["patch_id", "city"]).withColumn("label_positive_percent", F.round("label_positive_percent", 6))
+
+
+@query("stored_splits", "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN 'test' WHEN o_orderkey % 5 = 1 THEN 'val' ELSE 'train' END AS split, CASE WHEN o_orderkey % 5 = 0 THEN o_orderstatus END AS note FROM orders")
+def _(spark, d):
+    """One file per split, of which one has a column more."""
+    o, k = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), F.col("o_orderkey") % 5
+    paths = {}
+    for split, rows in {"test": o.where(k == 0).withColumnRenamed("o_orderstatus", "note"), "val": o.where(k == 1).drop("o_orderstatus"), "train": o.where(k > 1).drop("o_orderstatus")}.items():
+        paths[split] = fresh(spark, f"split-{split}")
+        Tb.write_table(rows, paths[split])
+    return Tb.read_splits(spark, paths, "parquet").select("o_orderkey", "o_custkey", "split", "note")
+
+
+@query("stored_json", "SELECT l_orderkey, l_linenumber, round(l_quantity, 6) AS l_quantity, l_returnflag FROM lineitem")
+def _(spark, d):
+    path = fresh(spark, "lines-json")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    Tb.write_json(rows, path)
+    return spark.read.schema(rows.schema).json(path).withColumn("l_quantity", F.round("l_quantity", 6))
+
+
+@query("stored_embeddings", "SELECT vec_id, 'label_3' AS modality, len(embedding) AS dim, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings WHERE label = 3")
+def _(spark, d):
+    """All vectors stored by modality; one modality reads its own folder only."""
+    path = fresh(spark, "embeddings")
+    Tb.write_partitioned(table(spark, d, "embeddings").withColumn("modality", F.concat(F.lit("label_"), F.col("label").cast("string"))), path, "modality")
+    got = Tb.read_embeddings(spark, path, "label_3")
+    return got.select("vec_id", "modality", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("stored_candidates", "SELECT * REPLACE (round(overlap_percent, 6) AS overlap_percent) FROM (SELECT city, item_id, max(overlap_percent) AS overlap_percent FROM fx_candidate GROUP BY 1, 2)")
+def _(spark, d):
+    """Several candidate files under one glob, with repeated items of lower overlap."""
+    c = fx_candidate(spark, d).select("city", "item_id", "overlap_percent")
+    base = fresh(spark, "candidates")
+    worse = c.withColumn("overlap_percent", F.col("overlap_percent") - 1)
+    for name, rows in {"a": c.where("item_id % 2 = 0").unionByName(worse), "b": c.where("item_id % 2 = 1").withColumnRenamed("item_id", "product_id")}.items():
+        Tb.write_table(rows, f"{base}/{name}", format="csv")
+    read = [Tb.read_candidates(spark, f"{base}/{name}/*.csv") for name in ("a", "b")]
+    both = read[0].unionByName(read[1]).drop("candidate_path")
+    return first_candidates(both).select("city", "item_id", F.round("overlap_percent", 6).alias("overlap_percent"))
+
+
+@query("stored_tiles", "SELECT raster_id, r, c, round(CAST(CAST(vh AS FLOAT) AS DOUBLE), 6) AS vh, is_valid FROM fx_pixel WHERE raster_id % 2 = 0")
+def _(spark, d):
+    """All rasters stored as tiles by raster group; half of the rasters and one band are read back as cells."""
+    path = fresh(spark, "tiles")
+    t = Tl.pixels_to_tiles(fx_pixel(spark, d), ["vv", "vh"], F.col("is_valid"), 16)
+    Tb.write_partitioned(t.withColumn("half", F.col("raster_id") % 2), path, "half")
+    got = Tl.read_tiles(spark, path, [2]).where("half = 0")
+    return Tl.tiles_to_pixels(got, ["vh"]).select("raster_id", "r", "c", F.round(F.col("vh").cast("double"), 6).alias("vh"), "is_valid")
+
+
+@query(
+    "stored_resume",
+    """SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 4 = 1 THEN 'third run' WHEN o_orderkey % 4 < 2 THEN 'first run' ELSE 'second run' END AS written FROM orders""",
+)
+def _(spark, d):
+    """Three runs of one job: the first writes two partitions and stops, the second adds what is missing, the third replaces one."""
+    path = fresh(spark, "resume")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", (F.col("o_orderkey") % 4).cast("int").alias("part"))
+    Tb.write_missing(o.where("part < 2").withColumn("written", F.lit("first run")), path, ["part"])
+    Tb.write_missing(o.withColumn("written", F.lit("second run")), path, ["part"])
+    Tb.replace_partitions(o.where("part = 1").withColumn("written", F.lit("third run")), path, ["part"])
+    return spark.read.parquet(path).select("o_orderkey", "o_orderstatus", "written")

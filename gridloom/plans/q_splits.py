@@ -86,7 +86,30 @@ def _(spark, d):
     return rows.groupBy("heldout_region", "split").agg(F.count(F.lit(1)).alias("patches"), F.sum("label_positive_pixels").alias("pixels"))
 
 
-@query("loro_greedy")
+AWAY = "abs(c.n + {p} - {goal}) - 0.1 * least(c.k + {q}, 20)"  # distance to the goal, with the bonus for positives
+
+
+@query(
+    "loro_greedy",
+    f"""WITH RECURSIVE c AS (SELECT region, city, count(*) AS n, count(*) FILTER (label_positive_pixels > 0) AS k FROM fx_patch GROUP BY 1, 2),
+      f AS (SELECT h.region AS held, sum(c.n) AS total, count(DISTINCT c.region) AS regions FROM (SELECT DISTINCT region FROM c) h JOIN c ON c.region <> h.region GROUP BY 1),
+      goal AS (SELECT held, regions, least(greatest(greatest(100, round_even(total * 0.2, 0)), 1), greatest(1, total - 1)) AS target FROM f),
+      own AS (SELECT g.held, g.target, c.*, count(*) OVER (PARTITION BY g.held, c.region) AS members, bool_or(c.k > 0) OVER (PARTITION BY g.held, c.region) AS has_pos,
+              {AWAY.format(p=0, q=0, goal="greatest(1.0, g.target / g.regions)")} AS away FROM goal g JOIN c ON c.region <> g.held),
+      firsts AS (SELECT held, region, city, n, k FROM own WHERE members > 1 AND (k > 0 OR NOT has_pos) QUALIFY row_number() OVER (PARTITION BY held, region ORDER BY away, n, city) = 1),
+      begun AS (SELECT g.held, g.target, list(p.city) FILTER (p.city IS NOT NULL) AS cities, list(p.region) FILTER (p.city IS NOT NULL) AS regions, coalesce(sum(p.n), 0) AS n, coalesce(sum(p.k), 0) AS k
+        FROM goal g LEFT JOIN firsts p ON p.held = g.held GROUP BY 1, 2),
+      grown(held, target, cities, regions, n, k) AS (
+        SELECT held, target, coalesce(cities, []), coalesce(regions, []), n::BIGINT, k::BIGINT FROM begun
+        UNION ALL
+        SELECT held, target, list_append(cities, best.city), list_append(regions, best.region), n + best.n, k + best.k FROM (
+          SELECT s.held, s.target, s.cities, s.regions, s.n, s.k, arg_min({{'city': c.city, 'region': c.region, 'n': c.n, 'k': c.k}}, {{'a': {AWAY.format(p="s.n", q="s.k", goal="s.target")}, 'n': c.n, 'c': c.city}}) AS best
+          FROM grown s JOIN (SELECT *, count(*) OVER (PARTITION BY region) AS members FROM c) c
+            ON c.region <> s.held AND NOT list_contains(s.cities, c.city) AND c.members - len(list_filter(s.regions, lambda x: x = c.region)) > 1
+          WHERE s.n < s.target OR s.k < 20 GROUP BY s.held, s.target, s.cities, s.regions, s.n, s.k)),
+      last AS (SELECT held, arg_max(cities, len(cities)) AS cities FROM grown GROUP BY 1)
+      SELECT l.held AS heldout_region, c.region, c.city, CASE WHEN c.region = l.held THEN 'test' WHEN list_contains(l.cities, c.city) THEN 'val' ELSE 'train' END AS split FROM last l CROSS JOIN c""",
+)
 def _(spark, d):
     return Sp.loro_greedy(fx_patch(spark, d))
 

@@ -6,6 +6,7 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gridloom.functions.scalars import safe_bool
@@ -147,7 +148,7 @@ def read_embeddings(spark: SparkSession, path: str, modality: str | None = None)
 def write_table(df: DataFrame, path: str, overwrite: bool = False, format: str = "parquet", partition_by: Sequence[str] = ()) -> None:
     """Parquet, CSV or JSON; fails on an existing path unless told to overwrite. Arrays become `;` lists in CSV."""
     if format == "csv":
-        flat = [F.array_join(F.transform(c, lambda v: v.cast("string")), ";").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes]
+        flat = [F.array_join(F.transform(F.col(f"`{c}`"), lambda v: v.cast("string")), ";").alias(c) if t.startswith("array") else F.col(f"`{c}`") for c, t in df.dtypes]
         df = df.select(*flat)
     writer = df.write.mode("overwrite" if overwrite else "errorifexists").partitionBy(*partition_by)
     (writer.option("header", True) if format == "csv" else writer).format(format).save(path)
@@ -166,3 +167,27 @@ def write_json(df: DataFrame, path: str, overwrite: bool = False) -> None:
 def only_missing(todo: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Work that is not written yet (resume by key)."""
     return todo.join(done.select(*keys), list(keys), "left_anti")
+
+
+def stored_keys(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame | None:
+    """Distinct keys of a stored table, or None if there is no table; partition keys are read from folder names."""
+    try:
+        return spark.read.parquet(path).select(*keys).distinct()
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def replace_partitions(df: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Write the partitions that `df` holds in place of those in the table; all other partitions stay as they are."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def write_missing(df: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Resume a partitioned table: only partitions that are not stored yet are computed and written.
+
+    A partition appears as a whole when its job commits, so one that is there is complete.
+    """
+    done = stored_keys(df.sparkSession, path, keys)
+    replace_partitions(df if done is None else only_missing(df, done.select(*[F.col(k).cast(df.schema[k].dataType) for k in keys]), keys), path, keys)

@@ -89,8 +89,8 @@ def _sketch(size: int):
                     halves[i] = keys
             prints = np.array([[_mixed(s, seed).sum() for seed in (1, 2)] for s in sets], np.uint64).view(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(halves, pa.list_(pa.int64()))],
-                ["doc", "n", "f1", "f2", "halves"],
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(halves, pa.list_(pa.int64()))],
+                ["doc", "h", "n", "f1", "f2", "halves"],
             )
 
     return run
@@ -182,20 +182,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are split at `[\\x20\\x09-\\x0D]` with A-Z lower-cased. NULL and empty texts and texts without words have no
     shingles and are linked with nothing; so are rows with a NULL id, whose component is NULL and which are kept. Rows
-    that repeat an id count as copies of one document if their texts agree and otherwise as linked by the id.
+    that repeat an id count as copies of one document if their texts agree and otherwise as linked by the id. Between
+    the first and the last step, `doc` is the number of a class of equal shingle sets.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    sketch = stored(source.mapInArrow(_sketch(size), "doc long, n long, f1 long, f2 long, halves array<long>"), "sketches")
+    text = F.col(text_col)
+    source = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"), F.xxhash64(text).alias("h"))
+    sketch = stored(source.mapInArrow(_sketch(size), "doc long, h long, n long, f1 long, f2 long, halves array<long>"), "sketches")
     full = sketch.where("n > 0 AND doc IS NOT NULL")
     prints = ["n", "f1", "f2"]
-    classes = full.groupBy(*prints).agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by("halves", "doc").alias("halves"))
-    classes = stored(classes, "classes")
-    heads = classes.select(F.col("rep").alias("doc"), "n", "halves")
+    row = F.struct("doc", "h")
+    classes = full.groupBy(*prints).agg(F.min(row).alias("rep"), F.min_by("halves", row).alias("halves"))
+    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    heads = classes.select(F.col("class").alias("doc"), "n", "halves")
     members = _table_keys(heads)
-    copies = full.join(classes.where("copies > 1").select(*prints, "rep"), prints).select(F.col("doc").alias("a"), F.col("rep").alias("b")).where("a <> b")
 
-    ids = members.select("doc").distinct()
-    slices = Slices(source.join(ids, "doc", "left_semi").dropDuplicates(["doc"]), "text")
+    wanted = members.select(F.col("doc").alias("class")).distinct().join(classes.select("class", "rep.*"), "class")
+    texts = source.join(wanted, ["doc", "h"]).select(F.col("class").alias("doc"), "text").dropDuplicates(["doc"])
+    slices = Slices(texts, "text")
     said = slices.table.mapInArrow(_report_shingles(size, slices.buckets), MESSAGE)
     shared = stored(said.groupBy("bucket").applyInArrow(repeated_keys, "slice long, data binary"), "shared-shingles")
     sets = stored(slices.with_replies(shared).mapInArrow(_shared_sets(size), "doc long, n long, u long, shingles binary"), "shingles")
@@ -229,7 +232,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_pairs = rest.where("label <> hub_label").join(other, "b").where(once & _reaches(most, F.col("n"), F.col("o_n"), percent))
     open_pairs = stored(open_pairs.select(F.least("doc", "o_doc").alias("a"), F.greatest("doc", "o_doc").alias("b")).distinct(), "pairs")
     links = links.unionByName(compared(open_pairs, sets, percent).where("linked").select("a", "b"))
-    grouped = components(links.unionByName(copies))
-    out = sketch.select("doc", "n").join(grouped.withColumnRenamed("node", "doc"), "doc", "left")
-    component = F.coalesce("component", "doc")
+    texts_of = full.groupBy("doc").agg(F.min(F.struct(*prints)).alias("x"), F.max(F.struct(*prints)).alias("y")).where("x <> y").select("doc")
+    owners = full.join(texts_of, "doc").select("doc", *prints).distinct().join(classes.select(*prints, "class"), prints).select("doc", "class")
+    same_id = owners.join(owners.groupBy("doc").agg(F.min("class").alias("b")), "doc").select(F.col("class").alias("a"), "b").where("a <> b")
+    grouped = components(links.unionByName(same_id)).withColumnRenamed("node", "class")
+    labels = stored(classes.select("class", *prints, F.col("rep.doc").alias("doc")).join(grouped, "class", "left").select(*prints, "doc", F.coalesce("component", "class").alias("label")), "labels")
+    least = labels.groupBy("label").agg(F.min("doc").alias("least"))
+    out = sketch.select("doc", *prints).join(labels.drop("doc").join(least, "label").drop("label"), prints, "left")
+    component = F.when(F.col("doc").isNotNull(), F.coalesce("least", "doc"))
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))

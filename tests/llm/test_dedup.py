@@ -91,12 +91,33 @@ def test_near_copies(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_lines_with_clashing_columns(spark):
+    names = ["_bad", "_kept", "_line_doc", "bad", "kept", "every", "row", "id", "doc", "h1", "n", "batch"]
+    rows = [(i % 11, "shared\nown %d" % i, -1, -2, *range(len(names))) for i in range(12)] + [(None, None, 0, 0, *range(len(names)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, n_dropped int, " + ", ".join(f"{n} int" for n in names))
+    out = dedup_lines(df)
+    assert out.columns == ["doc_id", "text", *names, "n_lines", "n_dropped"]
+    for r in out.collect():
+        assert [r[n] for n in names] == list(range(len(names)))
+        assert (r["n_lines"], r["n_dropped"], r["text"]) == ((1, 0, "") if r["doc_id"] is None else (2, 1, r["text"])) and "shared" not in r["text"]
+
+
 def test_repeated_and_missing_ids(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g"), (2, "A B c d e f g")]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == [("1", "1", True), ("1", "1", True), ("2", "1", False), ("None", "None", True)]
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_one_id_with_two_texts(spark, turned):
+    """Each of the texts keeps its own links, and the id joins them."""
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, one), (1, two), (2, one + " end"), (3, two + " end"), (4, "something else altogether here now"), (5, ""), (1, "")]
+    df = spark.createDataFrame(rows[::-1] if turned else rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect())
+    assert got == [(1, 0, 1, True), (1, 56, 1, True), (1, 56, 1, True), (2, 57, 1, False), (3, 57, 1, False), (4, 1, 4, True), (5, 0, 5, True)]
+
+
 def test_components_of_chains(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60) if i != 30] + [(100, 90), (100, 100), (90, 80)]

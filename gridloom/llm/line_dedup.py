@@ -131,7 +131,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """`docs` with `text_col` freed of every line whose key is found in at least min_docs documents, plus n_lines and n_dropped.
 
     NULL and empty texts are one empty line, which has no key and stays; a text of which all lines go becomes empty. An
-    id that repeats counts as one document per row. Other columns pass through, an empty table gives an empty table.
+    id that repeats counts as one document per row. Other columns pass through whatever their names; columns named n_lines
+    or n_dropped give way to the new ones. An empty table gives an empty table.
     batches: into how many batches the documents are dealt for the runs; the result does not depend on it.
     """
     spark = docs.sparkSession
@@ -139,12 +140,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = stored(runs.lines(docs, id_col, text_col).withColumn("batch", F.pmod(F.xxhash64("doc", F.lit(7)), F.lit(batches))), "lines")
     for b in range(batches):
         runs.add(lines.where(F.col("batch") == b))
-    bad = lines.join(runs.frequent(), KEY, "left_semi").groupBy("doc").agg(F.collect_set(F.struct(*KEY)).alias("_bad"))
+    bad = lines.join(runs.frequent(), KEY, "left_semi").groupBy("doc").agg(F.collect_set(F.struct(*KEY)).alias("bad"))
     runs.close()
-    out = docs.join(bad.withColumnRenamed("doc", "_line_doc"), F.col(id_col).eqNullSafe(F.col("_line_doc")), "left").drop("_line_doc")
-    every = lines_of(F.col(text_col))
-    kept = F.when(F.col("_bad").isNull(), every).otherwise(
-        F.filter(every, lambda x: ~((F.char_length(line_key(x)) >= min_chars) & F.array_contains(F.col("_bad"), key_hash(line_key(x)))))
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), lines_of(F.col(text_col)).alias("every"))
+    out = own.join(bad, F.col("id").eqNullSafe(F.col("doc")), "left")
+    kept = F.when(F.col("bad").isNull(), F.col("every")).otherwise(
+        F.filter("every", lambda x: ~((F.char_length(line_key(x)) >= min_chars) & F.array_contains(F.col("bad"), key_hash(line_key(x)))))
     )
-    out = out.withColumn("_kept", kept).withColumn("n_lines", F.size(every).cast("long"))
-    return out.withColumn("n_dropped", F.col("n_lines") - F.size("_kept")).withColumn(text_col, F.array_join("_kept", "\n")).drop("_bad", "_kept")
+    out = out.select("row", "every", kept.alias("kept"))
+    rest = [F.array_join("kept", "\n").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*rest, F.size("every").cast("long").alias("n_lines"), (F.size("every") - F.size("kept")).cast("long").alias("n_dropped"))

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
+from gridloom.llm.ppm import COUNTED, from_planes, packed, planes, unpacked
 from gridloom.llm.slices import bucket_of, by_bucket
 from gridloom.llm.texts import parts
 from gridloom.session import stored
@@ -36,12 +37,13 @@ SLICE_BYTES = 2 << 20  # text of a slice
 REACH = 2  # words a phrase goes on after its first
 DENSE = 1024  # ids of the leading square that is counted in one array
 LOW = np.uint64(6)  # a tile is 64 x 64 ids
-HELD_KEYS = 1 << 21  # keys a task holds before it sums them
-HELD_CELLS = 1 << 21  # different cells a task holds before it hands them on
+HELD_KEYS = 1 << 19  # keys a task holds before it sums them
+HELD_CELLS = 1 << 19  # different cells a task holds before it hands them on
 BUCKET_WORDS = 1 << 22  # words of the corpus per bucket of tiles
 MOST_WORDS, MOST_PAIRS = 1 << 31, 1 << 33
+CLASSES = 64  # classes of scores per doubling
 U = np.uint64
-CELL = np.dtype([("key", "u8"), ("n", "u4")])
+CELL = COUNTED  # key, n
 NUMBERED = np.dtype([("key", "u8"), ("id", "i8")])
 
 WORD, BLANK, END = 0, 1, 2
@@ -191,11 +193,23 @@ class Tiles:
         out["n"] = np.append(self.square[place], self.n)
         self.square[:] = 0
         self.key, self.n = np.zeros(0, U), np.zeros(0, np.int64)
-        return out
+        return out[np.argsort(out["key"])]
+
+
+def numbered(rows: np.ndarray) -> bytes:
+    """NUMBERED rows in the order of their keys, as planes of key differences and of ids."""
+    return planes(np.diff(rows["key"], prepend=U(0))) + planes(np.ascontiguousarray(rows["id"]))
+
+
+def from_numbered(data: bytes) -> np.ndarray:
+    rows = np.zeros(len(data) // NUMBERED.itemsize, NUMBERED)
+    rows["key"] = np.cumsum(from_planes(data[: 8 * len(rows)], U), dtype=U)
+    rows["id"] = from_planes(data[8 * len(rows) :], np.int64)
+    return rows
 
 
 def _message(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary())], names=["bucket", "data"])
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([packed(r[1]) for r in rows], pa.binary())], names=["bucket", "data"])
 
 
 def pair_places(codes: np.ndarray) -> np.ndarray:
@@ -247,7 +261,7 @@ def _merged(least: int):
                     yield frequent()
                     held, key, n = [], np.zeros(0, U), np.zeros(0, np.int64)
                 bucket = b
-                held.append(np.frombuffer(data, CELL))
+                held.append(unpacked(data))
                 if sum(map(len, held)) > max(len(key), 1 << 18):
                     key, n = add()
                     held = []
@@ -273,7 +287,7 @@ def _requests(buckets: int):
                 key = np.unique(cell_keys(codes[at], codes[at + 1]))
                 rows = list(by_bucket(number, tile_bucket(key, buckets), key))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[1] for r in rows], pa.int64()), pa.array([number] * len(rows), pa.int64()), pa.array([r[2].tobytes() for r in rows], pa.binary())],
+                    [pa.array([r[1] for r in rows], pa.int64()), pa.array([number] * len(rows), pa.int64()), pa.array([planes(np.diff(r[2], prepend=U(0))) for r in rows], pa.binary())],
                     names=["bucket", "slice", "data"],
                 )
 
@@ -286,9 +300,10 @@ def _numbered(buckets: int):
             rows = np.empty(batch.num_rows, NUMBERED)
             rows["key"] = cell_keys(batch.column(0).to_numpy(), batch.column(1).to_numpy())
             rows["id"] = batch.column(2).to_numpy()
+            rows = rows[np.argsort(rows["key"])]
             found = list(by_bucket(0, tile_bucket(rows["key"], buckets), rows))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[1] for r in found], pa.int64()), pa.nulls(len(found), pa.int64()), pa.array([r[2].tobytes() for r in found], pa.binary())], names=["bucket", "slice", "data"]
+                [pa.array([r[1] for r in found], pa.int64()), pa.nulls(len(found), pa.int64()), pa.array([numbered(r[2]) for r in found], pa.binary())], names=["bucket", "slice", "data"]
             )
 
     return run
@@ -303,18 +318,18 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if b != bucket:
                 bucket, held, known = b, [], None
             if number is None:
-                held.append(np.frombuffer(data, NUMBERED))
+                held.append(from_numbered(data))
                 continue
             if known is None:
                 known = np.concatenate([np.zeros(0, NUMBERED), *held])
                 known, held = known[np.argsort(known["key"])], []
-            key = np.frombuffer(data, U)
+            key = np.cumsum(from_planes(data, U), dtype=U)
             if len(known):
                 at = np.minimum(np.searchsorted(known["key"], key), len(known) - 1)
                 hits = known[at[known["key"][at] == key]]
                 if len(hits):
                     slices.append(number)
-                    found.append(hits.tobytes())
+                    found.append(numbered(hits))
         yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int64()), pa.array(found, pa.binary())], names=["slice", "data"])
 
 
@@ -324,7 +339,7 @@ def _count_triples(buckets: int):
         for batch in batches:
             for own, data, replies in zip(*(batch.column(c).to_pylist() for c in ("own", "codes", "replies"))):
                 codes = np.frombuffer(data, np.int32).astype(np.int64)
-                pairs = np.concatenate([np.frombuffer(r, NUMBERED) for r in replies])
+                pairs = np.concatenate([from_numbered(r) for r in replies])
                 pairs = pairs[np.argsort(pairs["key"])]
                 at = pair_places(codes)
                 key = cell_keys(codes[at], codes[at + 1])
@@ -393,6 +408,15 @@ def score(a: str, left: str, right: str) -> F.Column:
     return F.expr(f"(cast(1000000 as decimal(7,0)) * cast(cast({a} as {d}) * cast({a} as {d}) as decimal(31,0))) div (cast({left} as {d}) * cast({right} as {d}))")
 
 
+def leading(rows: DataFrame, classes: dict[str, F.Column], top: int) -> DataFrame:
+    """Rows of each language down to the class that holds its rank `top`; classes fall along the ranking. Keeps the last
+    sort of a language small: only counts per class meet before it."""
+    marked, names = rows.withColumns(classes), list(classes)
+    above = Window.partitionBy("lang").orderBy(*[F.col(n).desc() for n in names]).rowsBetween(Window.unboundedPreceding, -1)
+    counts = marked.groupBy("lang", *names).count().withColumn("before", F.coalesce(F.sum("count").over(above), F.lit(0)))
+    return marked.join(counts.where(F.col("before") < top).select("lang", *names), ["lang", *names]).drop(*names)
+
+
 def ranked_phrases(words: DataFrame, pairs: DataFrame, triples: DataFrame, totals: DataFrame, share: int, top: int) -> DataFrame:
     """Scores, containment and ranks of words (id, lang, word, n), pairs (id, l, r, n) and triples (l: pair, r: word, n)."""
 
@@ -414,6 +438,9 @@ def ranked_phrases(words: DataFrame, pairs: DataFrame, triples: DataFrame, total
         "lang", F.concat_ws(" ", "i_word", "j_word", "k_word").alias("phrase"), "a", F.when(early, F.col("i_n")).otherwise(F.col("ij_n")).alias("l"),
         F.when(early, F.col("jk_n")).otherwise(F.col("k_n")).alias("r"), F.least("cut1", "cut2").alias("score"),
     )
+    scored = stored(two.unionByName(three), "phrases")
+    rows = leading(scored, {"_s": F.floor(F.log2(F.col("score") + 1) * CLASSES)}, top)
+    rows = leading(rows, {"_s": F.col("score"), "_a": F.floor(F.log2("a") * CLASSES)}, top)
     best = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc())
-    ranked = two.unionByName(three).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    ranked = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").cast("long").alias("n"), "score")

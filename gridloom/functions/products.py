@@ -44,6 +44,12 @@ def product_prefix(c: Column) -> Column:
     return F.when(c.rlike(PRODUCT_HEAD), F.substring_index(F.substring_index(c, "_", 8), ".", 1)).otherwise(bare)
 
 
+def product_inside(c: Column) -> Column:
+    """The first product name up to the datatake that stands anywhere in a longer name; NULL if there is none."""
+    found = F.regexp_extract(c, PRODUCT_HEAD.removeprefix("^").removesuffix(r"(_|\.|$)"), 0)
+    return F.when(found != "", found)
+
+
 def polarisations(c: Column) -> Column:
     """"VV,VH", "VV/VH" or "vv vh" to a set of upper-case names."""
     return F.array_distinct(F.filter(F.split(F.upper(c), r"[,/ ]+"), lambda p: p != ""))

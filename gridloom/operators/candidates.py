@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridloom.functions.products import days_from, has_polarisations, parse_product, passes_filters, product_prefix
+from gridloom.functions.products import days_from, has_polarisations, parse_product, passes_filters, product_inside, product_prefix
 from gridloom.functions.rules import weighted_candidate_score
 from gridloom.operators.ranking import best_per_key, top_k
 
@@ -125,10 +125,11 @@ def search_candidates(catalogue: DataFrame, reference_time: Column, min_overlap:
 
 
 def match_products(wanted: DataFrame, products: DataFrame, minutes: int = 10, prefer_cog: bool = False) -> DataFrame:
-    """Best catalogue product for each wanted name: same prefix, else a start time within the window.
+    """Best catalogue product for each wanted name: same prefix, else a name that holds the prefix, else a start time within the window.
 
-    A prefix match outscores any match by time, so only names without one go to the time window. Both ways are equi
-    joins, on the prefix and on the hour (a window of minutes touches at most two hours, so a name is laid out at most
+    Either match by prefix outscores any match by time, and one at the start outscores one inside, so only names without
+    the better match go on to the next. All ways are equi joins, on the prefix, on the product name that stands inside a
+    longer one (a copy, a path), and on the hour (a window of minutes touches at most two hours, so a name is laid out at most
     twice). Products are reduced to the first of those that score alike before they meet the names, and the best match
     is a mergeable aggregate.
     """
@@ -152,16 +153,20 @@ def match_products(wanted: DataFrame, products: DataFrame, minutes: int = 10, pr
     same = F.col("product") == F.col("name")
     whole = parts + hit(same, 1000) + hit(F.startswith("product", "prefix"), 800) + hit(F.contains("product", F.col("prefix")), 500) + F.when(same, 100).otherwise(80)
     by_prefix = best(w.join(p.select("product", "prefix"), "prefix"), whole).withColumn("method", F.lit("prefix"))
+    inside = p.select("product", product_inside(F.col("product")).alias("prefix"), F.col("prefix").alias("_own")).where("prefix IS NOT NULL AND prefix <> _own")
+    held = hit(F.contains("product", F.col("prefix")), 500) + 80
+    by_part = best(w.join(by_prefix.select("name"), "name", "left_anti").join(inside.drop("_own"), "prefix"), parts + held).withColumn("method", F.lit("contains"))
+    by_name = by_prefix.unionByName(by_part)
     span = minutes * 60
     hour = lambda s: F.floor(s / 3600).cast("bigint")
     s = F.col("s")
-    left = w.where(s.isNotNull()).join(by_prefix.select("name"), "name", "left_anti")
+    left = w.where(s.isNotNull()).join(by_name.select("name"), "name", "left_anti")
     left = left.select("name", *fields, s.alias("_s"), F.explode(F.sequence(hour(s - span), hour(s + span))).alias("_hour"))
     alike = ["s", *[f"_{k}" for k in fields], "_cog"]
     timed = p.where(s.isNotNull()).withColumn("_cog", cog).groupBy(*alike).agg(F.min("product").alias("product"))
     near = left.join(timed.select("product", "s", hour(s).alias("_hour")), "_hour").where(F.abs(s - F.col("_s")) <= span)
     by_time = best(near, parts + 30).withColumn("method", F.lit("time_window"))
-    return by_prefix.unionByName(by_time).select("name", "product", "method", "score")
+    return by_name.unionByName(by_time).select("name", "product", "method", "score")
 
 
 MOST_NAME_BYTES = 64 << 20  # city names that travel to every task

@@ -239,3 +239,15 @@ def check_filled_stack(
         c("s1_aligned") & c("label_aligned"), c("s2_band_count"), c("s1_band_count"), c("label_band_count"), c("label_binary"), c("s2_missing_pixels"), c("s1_missing_pixels"), c("fill_level_status"), require_fill_qa
     )
     return j.withColumn("status", status).drop("_values", "_filled", "_ok")
+
+
+def check_stack(meta: DataFrame, reference: str = "s2", others: Sequence[str] = ("s1", "label"), tol: float = 0.0) -> DataFrame:
+    """Stack alignment as check rows: for every other product, how many cities lack it or differ from the reference in its grid."""
+    from gridloom.operators.alignment import alignment_qc
+
+    q = alignment_qc(meta, reference, others, tol)
+    kinds = ("same_crs", "same_transform", "same_shape", "same_resolution", "all_match")
+    counts = {f"{o}_missing": F.count_if(~F.col(f"{o}_exists")) for o in others}
+    counts |= {f"{o}_not_{k}": F.count_if(F.col(f"{o}_exists") & ~F.col(f"{o}_{k}")) for o in others for k in kinds}
+    agg = q.agg(*[v.alias(k) for k, v in counts.items()])
+    return agg.select(_rows([(k, F.col(k), F.lit(0).cast("bigint")) for k in counts]))

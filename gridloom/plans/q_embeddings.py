@@ -305,13 +305,9 @@ GAIN = {None: "vv / 100", "gain_up": "least(vv / 100 * 1.1, 6)", "s1_gain_down":
     ),
 )
 def _(spark, d):
-    px, out = fx_pixel(spark, d), None
-    for name in ("rot90", "rot270", "hflip", "vflip_rot90", "hflip_rot90", "rot180", "hflip_gain_up", "s1_gain_down", "s2_gain_up"):
-        geometry, gain = Ar.AUGMENTATION_PARTS[name]
-        r, c = Ar.augmented_cell(F.col("r"), F.col("c"), 50, geometry)
-        one = px.select(F.lit(name).alias("augmentation"), "raster_id", r.alias("r"), c.alias("c"), F.round(Ar.gained("s1_vv", F.col("vv") / 100, gain), 7).alias("vv"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    names = ("rot90", "rot270", "hflip", "vflip_rot90", "hflip_rot90", "rot180", "hflip_gain_up", "s1_gain_down", "s2_gain_up")
+    px = fx_pixel(spark, d).withColumn("vv", F.col("vv") / 100)
+    return Ar.augmented(px, names, 50, {"s1_vv": "vv"}).select("augmentation", "raster_id", "r", "c", F.round("vv", 7).alias("vv"))
 
 
 @query("feature_index_join", "SELECT p.patch_id, v.vec_id AS dense_index, v.vec_id IS NULL AS missing FROM fx_patch p LEFT JOIN embeddings v ON p.patch_id = v.vec_id")

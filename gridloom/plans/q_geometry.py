@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import alignment as Al, geometry as G
+from gridloom.operators import alignment as Al, geometry as G, validation as Va
 from gridloom.plans.fixtures import fx_pixel, table
 from gridloom.plans.q_reports import rounded
 from gridloom.plans.q_tiles import raster_meta
@@ -122,6 +122,25 @@ def _(spark, d):
     return q.select("city", "s1_all_match", "s1_same_transform", "s1_exists", "label_all_match", "label_same_shape", "city_status")
 
 
+STACK_PARTS = {"same_crs": "a.crs = o.crs", "same_transform": "a.res = o.res", "same_shape": "a.width = o.width", "same_resolution": "a.res = o.res", "all_match": "a.crs = o.crs AND a.res = o.res AND a.width = o.width"}
+
+
+@query(
+    "stack_checks",
+    f"WITH m AS {META}, c AS (SELECT DISTINCT city FROM m), f AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{p}_missing' AS check_name, count(*) FILTER (o.city IS NULL) AS n FROM c LEFT JOIN m o ON o.city = c.city AND o.product = '{p}' UNION ALL "
+        + " UNION ALL ".join(
+            f"SELECT '{p}_not_{k}', count(*) FILTER (o.city IS NOT NULL AND NOT coalesce({test}, FALSE)) FROM c LEFT JOIN m o ON o.city = c.city AND o.product = '{p}' LEFT JOIN m a ON a.city = c.city AND a.product = 's2'" for k, test in STACK_PARTS.items()
+        )
+        for p in ("s1", "label")
+    )
+    + ") SELECT check_name, CASE WHEN n = 0 THEN 'passed' ELSE 'failed' END AS status, CAST(n AS VARCHAR) AS observed, '0' AS expected FROM f",
+)
+def _(spark, d):
+    return Va.check_stack(grid_table(spark, d))
+
+
 @query(
     "pair_check",
     """WITH m AS (SELECT c_custkey // 2 AS city, c_custkey % 2 = 0 AS vv, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE 'EPSG:32723' END AS crs, CASE WHEN c_custkey % 5 = 0 THEN 10 ELSE 2 END AS gcps, c_custkey % 23 = 0 AS wide FROM customer),

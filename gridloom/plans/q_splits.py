@@ -203,10 +203,20 @@ def _(spark, d):
     return m.groupBy("sample_pool", "sampled_with_replacement").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("curriculum_unique")
+@query(
+    "curriculum_unique",
+    f"""WITH q(pool, quota) AS (VALUES {", ".join(f"('{p}', {q})" for p, q in Sm.allocate(5000, Sm.RECIPES["v2_conservative"]).items())}),
+      a AS ({" UNION ALL ".join(f"SELECT '{n}' AS pool, split, region, city, patch_id FROM {METRICS} WHERE split = 'train' AND ({c})" for n, c in zip(rules.POOLS, POOL_SQL))}),
+      p AS (SELECT a.*, quota, row_number() OVER (PARTITION BY a.pool ORDER BY {h_sql("concat_ws('|', a.pool, patch_id)", salt="42")}, concat_ws('|', a.pool, patch_id)) AS pos, count(*) OVER (PARTITION BY a.pool) AS n FROM a JOIN q ON a.pool = q.pool),
+      d AS (SELECT s.pool, i AS draw, {h_sql("s.pool", "i", salt="42")} % n + 1 AS pos FROM (SELECT DISTINCT pool, quota, n, unnest(range(1, quota + 1)) AS i FROM p WHERE n < quota) s),
+      b AS (SELECT split, region, city, patch_id, pool, pos AS draw, FALSE AS again FROM p WHERE n >= quota AND pos <= quota UNION ALL SELECT split, region, city, patch_id, p.pool, d.draw, TRUE FROM d JOIN p ON p.pool = d.pool AND p.pos = d.pos),
+      m AS (SELECT *, printf('v2_conservative_%06d', row_number() OVER (ORDER BY {h_sql("pool", "draw", salt="42:order")}, pool, draw) - 1) AS id FROM b)
+      SELECT split, region, city, patch_id, arg_min(pool, id) AS sample_pool, arg_min(again, id) AS sampled_with_replacement, min(id) AS curriculum_row_id FROM m GROUP BY ALL""",
+)
 def _(spark, d):
     m = Sm.curriculum(pooled(spark, d), Sm.RECIPES["v2_conservative"], 5000, name="v2_conservative")
-    return Sm.unique_manifest(m, ["split", "region", "city", "patch_id"], "curriculum_row_id")
+    one = Sm.unique_manifest(m, ["split", "region", "city", "patch_id"], "curriculum_row_id")
+    return one.select("split", "region", "city", "patch_id", "sample_pool", "sampled_with_replacement", "curriculum_row_id")
 
 
 @query(

@@ -1,10 +1,13 @@
-"""Best-fit packing of token pieces into fixed-length sequences: nearly full ones by partition, the rest of all partitions together.
+"""Best-fit packing of token pieces into fixed-length sequences: by partition first, then up a tree of merge rounds.
 
-Tokenizing: words repeat, so each Arrow batch splits its texts at ASCII white space, encodes every distinct word once and
+Tokenizing: words repeat, so each Arrow batch splits its texts at ASCII white space, encodes every new word once and
 gathers the ids by position. That gives the ids of the whole text because this tokenizer's pre-tokens never span white
 space. Packing: every batch of a partition packs its pieces best fit, longest first, and the bins that are nearly full are
-closed. All other pieces of the table are packed best fit together: how many there are of each length, at most `capacity`
-numbers, decides which runs of them share bins, and every piece finds its place from its rank among those of its length.
+emitted. A bin of at most half becomes one item of its fill; a fuller one that missed the bar is taken apart again, as its
+items may still find partners that fill a sequence. A merge round deals the items to an eighth of the nodes of the round
+before, by a hash so that every node meets all sizes, packs them best fit, emits what is nearly full by the same bar, and
+hands its underfull bins on as items. A node takes `NODE_ITEMS` on average; when the nodes cannot become fewer, what the
+tree leaves is placed by how many items there are of each fill, at most `capacity` numbers.
 """
 
 from __future__ import annotations
@@ -22,7 +25,11 @@ from pyspark.sql import functions as F
 from gridloom.llm.texts import parts
 from gridloom.session import stored
 
-CLOSE_AT = 0.99  # share of a sequence above which a bin of one batch is closed
+CLOSE_AT = 0.99  # share of a sequence above which a bin is emitted, at every level
+FAN_IN = 8  # nodes that become one in a merge round
+NODE_ITEMS = 1 << 18  # items of a node, on average
+BATCH_BYTES = 16 << 20  # text tokenized at once
+KNOWN_WORDS = 1 << 18  # words whose ids a task keeps
 TOGETHER = 1 << 60  # sequence numbers of the bins that the whole table shares start here
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -53,7 +60,39 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[np.ndarray, np.ndarray, l
     return bins, offsets, fill
 
 
-def word_ids(tokenizer, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+class WordIds:
+    """Ids of words, kept from batch to batch of a task; a full store starts anew."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, "<u4"), 1  # the first entry is the end mark, id 0
+        self.starts, self.lengths = [0], [1]
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The place of every word in `starts` and `lengths`; new words are encoded."""
+        if len(self.known) > KNOWN_WORDS:
+            self.clear()
+        known = self.known
+        fresh = [w for w in words if w not in known]
+        if fresh:
+            tokens = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+            for w, ids in zip(fresh, tokens):
+                known[w] = len(self.starts)
+                self.starts.append(self.used)
+                self.lengths.append(len(ids))
+                self.used += len(ids)
+            if self.used > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), self.used), "<u4")])
+            n = sum(map(len, tokens))
+            self.flat[self.used - n : self.used] = np.fromiter((t for ids in tokens for t in ids), "<u4", n)
+        return np.fromiter((known[w] for w in words), np.int64, len(words))
+
+
+def word_ids(words_of: WordIds, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(ids, ends): the ids of all texts one after another, each text followed by id 0, and where each text ends."""
     special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
     low = pc.ascii_lower(pc.if_else(pa.array(special), "", texts))  # the normaliser lower-cases anyway; added tokens match before it
@@ -61,21 +100,18 @@ def word_ids(tokenizer, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     split = pc.ascii_split_whitespace(low)
     words = split.values.dictionary_encode()
     texts_direct = texts.filter(pa.array(special)).to_pylist()
-    distinct = words.dictionary.to_pylist() + texts_direct
-    tokens = [e.ids for e in tokenizer.encode_batch_fast(distinct, add_special_tokens=False)] + [[0]]
-    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    flat = np.fromiter((t for ids in tokens for t in ids), "<u4", int(lengths.sum()))
-    starts = np.cumsum(lengths) - lengths
+    numbers = np.append(words_of.numbers(words.dictionary.to_pylist() + texts_direct), 0)
+    starts, lengths = np.array(words_of.starts)[numbers], np.array(words_of.lengths)[numbers]
     ends = split.offsets.to_numpy()[1:].astype(np.int64)
     at = np.repeat(ends, 1 + special)  # before its end mark, a text with added tokens is one "word"
-    extra = np.full(len(at), len(tokens) - 1, np.int64)
+    extra = np.full(len(at), len(numbers) - 1, np.int64)
     mark = np.cumsum(1 + special) - 1
     direct = np.flatnonzero(special)
     extra[mark[direct] - 1] = len(words.dictionary) + np.arange(len(direct))
     index = np.insert(words.indices.to_numpy().astype(np.int64), at, extra)
     counts = lengths[index]
     done = np.cumsum(counts)
-    ids = flat[np.repeat(starts[index] - (done - counts), counts) + np.arange(int(counts.sum()))]
+    ids = words_of.flat[np.repeat(starts[index] - (done - counts), counts) + np.arange(int(counts.sum()))]
     return ids, done[ends + mark]
 
 
@@ -86,10 +122,10 @@ def _pieces(tokenizer_file: str, capacity: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        for batch in parts(batches, 1):
+        words_of = WordIds(Tokenizer.from_file(tokenizer_file))
+        for batch in parts(batches, 1, BATCH_BYTES):
             keys = batch.column(0)
-            ids, ends = word_ids(tokenizer, pc.fill_null(batch.column(1), ""))
+            ids, ends = word_ids(words_of, pc.fill_null(batch.column(1), ""))
             begins = np.concatenate(([0], ends[:-1]))
             n = -(-(ends - begins) // capacity)
             doc = np.repeat(np.arange(len(ends)), n)
@@ -150,24 +186,66 @@ def best_fit_runs(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
+def settled(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bin, offset and the bin's fill of every item after best fit, with bins between a half and the bar taken apart."""
+    bins, offsets, fill = best_fit(sizes.tolist(), capacity)
+    fills = np.array(fill, np.int64)[bins]
+    apart = np.flatnonzero((fills > capacity / 2) & (fills <= CLOSE_AT * capacity))
+    bins[apart], offsets[apart], fills[apart] = len(fill) + np.arange(len(apart)), 0, sizes[apart]
+    return bins, offsets, fills
+
+
 def _pack_batches(capacity: int):
-    """Pieces in nearly full bins of one batch with their place; the others with their rank in this task among those of their length."""
+    """Pieces with their bin of one batch, its fill and their place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        seen = np.zeros(capacity + 1, np.int64)
         for k, batch in enumerate(batches):  # one Arrow batch at a time: memory is bounded however large the partition
-            length = batch.column(3).to_numpy()
-            bins, offsets, fill = best_fit(length.tolist(), capacity)
-            still = ~(np.array(fill) > CLOSE_AT * capacity)[bins]
-            rank = np.zeros(len(length), np.int64)
-            order = np.flatnonzero(still)[np.argsort(length[still], kind="stable")]
-            sizes, begins, n = np.unique(length[order], return_index=True, return_counts=True)
-            rank[order] = np.arange(len(order)) - np.repeat(begins - seen[sizes], n)
+            bins, offsets, fills = settled(batch.column(3).to_numpy(), capacity)
+            columns = [*batch.columns, pa.array((part << 36) + (k << 17) + bins), pa.array(offsets), pa.array(fills)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill"])
+
+    return run
+
+
+def _merge(capacity: int, level: int):
+    """One merge round at a node: (item, parent, offset in the parent, the parent's fill)."""
+
+    def packed(items: np.ndarray, fills: np.ndarray, first: int) -> pa.RecordBatch:
+        order = np.argsort(items)  # the same bins in whatever order the rows arrive
+        bins, offsets, parents = settled(fills[order], capacity)
+        return pa.RecordBatch.from_arrays([pa.array(items[order]), pa.array(first + bins), pa.array(offsets), pa.array(parents)], names=["item", "parent", "offset", "fill"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = (level << 56) + (TaskContext.get().partitionId() << 36)
+        held: list[pa.RecordBatch] = []
+        made = 0
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= 4 * NODE_ITEMS:
+                table = pa.Table.from_batches(held)
+                yield packed(table["item"].to_numpy(), table["fill"].to_numpy(), base + made)
+                held, made = [], made + 2 * len(table)  # more numbers than bins and single items
+        if held:
+            table = pa.Table.from_batches(held)
+            yield packed(table["item"].to_numpy(), table["fill"].to_numpy(), base + made)
+
+    return run
+
+
+def _ranked(capacity: int):
+    """Items with this task's number and their rank in it among those of their fill."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for batch in batches:
+            fill = batch.column(1).to_numpy()
+            order = np.argsort(fill, kind="stable")
+            sizes, begins, n = np.unique(fill[order], return_index=True, return_counts=True)
+            rank = np.zeros(len(fill), np.int64)
+            rank[order] = np.arange(len(fill)) - np.repeat(begins - seen[sizes], n)
             seen[sizes] += n
-            sequence = pa.array((part << 36) + (k << 16) + bins, mask=still)
-            columns = [*batch.columns, sequence, pa.array(offsets, mask=still), pa.array(np.full(len(length), part)), pa.array(rank)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "part", "rank"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(fill), part)), pa.array(rank)], names=["item", "fill", "part", "rank"])
 
     return run
 
@@ -177,14 +255,51 @@ def _place(runs: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
-            at = runs[np.searchsorted(keys, (length << 48) + rank, "right") - 1].reshape(-1, 4)
-            columns = [*batch.columns[:5], pa.array(TOGETHER + at[:, 2] + rank - at[:, 1]), pa.array(at[:, 3])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            fill, rank = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            at = runs[np.searchsorted(keys, (fill << 48) + rank, "right") - 1].reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(TOGETHER + at[:, 2] + rank - at[:, 1]), pa.array(at[:, 3])], names=["item", "parent", "offset"])
 
     return run
 
 
+def _by_fill(items: DataFrame, capacity: int) -> DataFrame:
+    """(item, parent, offset) of items packed together by how many there are of each fill; at most `capacity` counts reach the driver."""
+    ranked = stored(items.select("item", "fill").mapInArrow(_ranked(capacity), "item long, fill long, part long, rank long"), "ranked-bins")
+    counted = stored(ranked.groupBy("part", "fill").agg(F.count(F.lit(1)).alias("n")), "fills")
+    counts = {r["fill"]: r["n"] for r in counted.groupBy("fill").agg(F.sum("n").alias("n")).collect()}
+    before = Window.partitionBy("fill").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counted.select("part", "fill", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    whole = ranked.join(begins, ["part", "fill"]).select("item", "fill", (F.col("begin") + F.col("rank")).alias("rank"))
+    return whole.mapInArrow(_place(best_fit_runs(counts, capacity)), "item long, parent long, offset long")
+
+
+def merge_rounds(items: DataFrame, capacity: int, nodes: int) -> DataFrame:
+    """(item, sequence, offset) of underfull bins (item, fill): rounds of fewer and fewer nodes, then one placement by fills."""
+    bar = F.lit(CLOSE_AT * capacity)
+    left, level = items, 0
+    where = items.select("item", F.col("item").alias("now"), F.lit(0).cast("long").alias("offset"))  # of every first bin: the bin that holds it now
+    done = None
+    while True:
+        n = left.count()
+        fewer = max(-(-nodes // FAN_IN), -(-n // NODE_ITEMS), 1)
+        if not n or fewer >= nodes and level:
+            break
+        nodes, level = fewer, level + 1
+        dealt = left.repartition(nodes, F.xxhash64("item", F.lit(level)))
+        made = stored(dealt.mapInArrow(_merge(capacity, level), "item long, parent long, offset long, fill long"), "merged-bins")
+        step = made.select(F.col("item").alias("now"), "parent", F.col("offset").alias("_more"), "fill")
+        moved = stored(where.join(step, "now").select("item", F.col("parent").alias("now"), (F.col("offset") + F.col("_more")).alias("offset"), "fill"), "placed-bins")
+        full = moved.where(F.col("fill") > bar).select("item", F.col("now").alias("sequence"), "offset")
+        done = full if done is None else done.unionByName(full)
+        where = moved.where(F.col("fill") <= bar).drop("fill")
+        left = made.where(F.col("fill") <= bar).select(F.col("parent").alias("item"), "fill").distinct()
+        if nodes == 1:
+            break
+    last = _by_fill(left, capacity).select(F.col("item").alias("now"), F.col("parent").alias("sequence"), F.col("offset").alias("_more"))
+    rest = where.join(last, "now").select("item", "sequence", (F.col("offset") + F.col("_more")).alias("offset"))
+    return rest if done is None else done.unionByName(rest)
+
+
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """`pieces` with sequence_id and the gapless offset of each piece in its sequence of at most `capacity`.
 
@@ -193,13 +308,13 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """
     types = {"doc_id": "long", "piece": "int", "start": "long", "length": "long", "ids_crc32": "long"}
     source = pieces.select(*[F.col(c).cast(t).alias(c) for c, t in types.items()])
-    dealt = stored(source.mapInArrow(_pack_batches(capacity), f"{PLACED}, part long, rank long"), "bins")
-    still = dealt.where("sequence_id IS NULL")
-    lengths = stored(still.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
-    counts = {r["length"]: r["n"] for r in lengths.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    begins = lengths.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
-    ranked = still.join(begins, ["part", "length"]).select(*types, (F.col("begin") + F.col("rank")).alias("rank"))
-    placed = ranked.mapInArrow(_place(best_fit_runs(counts, capacity)), PLACED)
-    out = dealt.where("sequence_id IS NOT NULL").select(*types, "sequence_id", "offset").unionByName(placed)
+    dealt = stored(source.mapInArrow(_pack_batches(capacity), f"{PLACED}, fill long"), "bins")
+    still = dealt.where(F.col("fill") <= CLOSE_AT * capacity)
+    bins = still.groupBy(F.col("sequence_id").alias("item")).agg(F.first("fill").alias("fill"), F.min(F.shiftright("sequence_id", 36)).alias("part"))
+    bins = stored(bins, "underfull-bins")
+    nodes = bins.agg(F.count_distinct("part")).first()[0]
+    merged = merge_rounds(bins.select("item", "fill"), capacity, max(1, nodes))
+    placed = still.join(merged.select(F.col("item").alias("sequence_id"), "sequence", F.col("offset").alias("_more")), "sequence_id")
+    placed = placed.select(*types, F.col("sequence").alias("sequence_id"), (F.col("offset") + F.col("_more")).alias("offset"))
+    out = dealt.where(F.col("fill") > CLOSE_AT * capacity).select(*types, "sequence_id", "offset").unionByName(placed)
     return out.select(*types, "sequence_id", "offset")

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers as P
 from tokenizers import Tokenizer
 
+from gridloom.llm import packing
 from gridloom.llm.packing import best_fit, best_fit_runs, pack, token_pieces
 
 FILE = P.path("word_bpe_49k.json")
@@ -39,6 +40,35 @@ def test_tree_merges_partitions(spark):
     assert pack(df.limit(0), 100).count() == 0
 
 
+def test_underfull_bins_are_merged_in_rounds(spark, monkeypatch):
+    """Partitions of one length each: the tree brings complements together, by one bar at every level."""
+    made = []
+    real = packing.stored
+    monkeypatch.setattr(packing, "stored", lambda df, label: made.append(label) or real(df, label))
+    rows = [(i, 0, 0, 55 if i < 3000 else 45, 0) for i in range(6000)] + [(i, 0, 0, 35, 0) for i in range(6000, 6100)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 80), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = pack(df, 100).toPandas()
+    assert made.count("merged-bins") == 3  # 80 nodes, 10, 2, 1
+    assert len(out) == 6100 and out.sequence_id.nunique() == 3000 + 50
+    fills = out.groupby("sequence_id").length.sum()
+    early = fills[fills.index < packing.TOGETHER]
+    assert (early > packing.CLOSE_AT * 100).all() and (early.index.to_numpy() >> 56 > 0).sum() > 2000  # most pairs were made in the tree
+    for _, seq in out.sort_values("offset").groupby("sequence_id"):
+        assert seq.offset.tolist() == (seq.length.cumsum() - seq.length).tolist() and seq.length.sum() <= 100
+
+
+def test_words_are_forgotten_and_encoded_again(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 3)
+    words = packing.WordIds(Tokenizer.from_file(FILE))
+    tok = Tokenizer.from_file(FILE)
+    for texts in (["a b c d", "d e"], ["x y z a b"], [""], ["a b unseenword", "<|endoftext|> q"]):
+        ids, ends = packing.word_ids(words, pa.array(texts))
+        want = [tok.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+        assert ids.tolist() == sum(want, []) and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+
+
 def test_lengths_that_differ_by_partition(spark):
     rows = [(i, 0, 0, 55 if i < 3000 else 45, 0) for i in range(6000)]
     df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 80), "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -31,6 +31,7 @@ from gridloom.session import stored
 
 GRAM = 32  # a power of two
 BUCKET_BYTES = 8 << 20  # of run bytes sorted in one group
+WINDOW = 256 << 10  # places whose runs are found at once
 MANY_RUNS = 1000  # a key with more different runs is handled as a hot one, and so is one that very many slices have
 END = 0xFF  # occurs in no UTF-8 text
 RUN = np.dtype([("key", "u8"), ("c", "u8"), ("doc", "i8"), ("slice", "i8"), ("row", "i4"), ("start", "i4"), ("n", "i4"), ("hot", "i4")])
@@ -45,8 +46,38 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[: -(width - span)], values[width - span :]) if span < width else values
 
 
-def runs_of(body: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of all texts in `body` (RUN without doc and slice), and whether a run may hold equal windows itself."""
+def runs_of(body: np.ndarray, ends: np.ndarray, length: int, window: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of all texts in `body` (RUN without doc and slice), and whether a run may hold equal windows itself.
+
+    The bytes are walked by windows of WINDOW starts, so working memory does not depend on the size of the slice or of a
+    text; a run that a window cuts off is left to the next one, which begins with it, and a run longer than a window makes
+    that window longer.
+    """
+    begins = np.concatenate(([0], ends[:-1]))
+    found, inner = [np.zeros(0, RUN)], [np.zeros(0, bool)]
+    start, size = 0, window or WINDOW
+    while start + length <= len(body):
+        end = min(len(body), start + size + length - 1)
+        first = int(np.searchsorted(ends, start, side="right"))
+        last = int(np.searchsorted(ends, end, side="left")) + 1
+        runs, twice = _window_runs(body[start:end], np.minimum(ends[first:last], end) - start, length)
+        at = begins[first:last][runs["row"]].clip(min=start) + runs["start"]  # place in the body
+        following = end - length + 1
+        if end < len(body) and len(at) and at[-1] + runs["n"][-1] == following and ends[first + runs["row"][-1]] > end:
+            if at[-1] == start:
+                size *= 2
+                continue
+            following, runs, twice, at = int(at[-1]), runs[:-1], twice[:-1], at[:-1]
+        runs["row"] += first
+        runs["start"] = at - begins[runs["row"]]
+        found.append(runs)
+        inner.append(twice)
+        start, size = following, window or WINDOW
+    return np.concatenate(found), np.concatenate(inner)
+
+
+def _window_runs(body: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of one window; rows and starts are counted in it."""
     if len(body) < length:
         return np.zeros(0, RUN), np.zeros(0, bool)
     base = mixed(np.arange(1, 257, dtype=U))[body]

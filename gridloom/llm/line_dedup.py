@@ -142,8 +142,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         runs.add(lines.where(F.col("batch") == b))
     bad = lines.join(runs.frequent(), KEY, "left_semi").groupBy("doc").agg(F.collect_set(F.struct(*KEY)).alias("bad"))
     runs.close()
-    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), lines_of(F.col(text_col)).alias("every"))
-    out = own.join(bad, F.col("id").eqNullSafe(F.col("doc")), "left")
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    out = own.join(bad, F.col("row")[id_col].eqNullSafe(F.col("doc")), "left").withColumn("every", lines_of(F.col("row")[text_col]))
     kept = F.when(F.col("bad").isNull(), F.col("every")).otherwise(
         F.filter("every", lambda x: ~((F.char_length(line_key(x)) >= min_chars) & F.array_contains(F.col("bad"), key_hash(line_key(x)))))
     )

@@ -57,18 +57,6 @@ def test_underfull_bins_are_merged_in_rounds(spark, monkeypatch):
         assert seq.offset.tolist() == (seq.length.cumsum() - seq.length).tolist() and seq.length.sum() <= 100
 
 
-def test_words_are_forgotten_and_encoded_again(monkeypatch):
-    import pyarrow as pa
-
-    monkeypatch.setattr(packing, "KNOWN_WORDS", 3)
-    words = packing.WordIds(Tokenizer.from_file(FILE))
-    tok = Tokenizer.from_file(FILE)
-    for texts in (["a b c d", "d e"], ["x y z a b"], [""], ["a b unseenword", "<|endoftext|> q"]):
-        ids, ends = packing.word_ids(words, pa.array(texts))
-        want = [tok.encode(t, add_special_tokens=False).ids + [0] for t in texts]
-        assert ids.tolist() == sum(want, []) and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
-
-
 def test_lengths_that_differ_by_partition(spark):
     rows = [(i, 0, 0, 55 if i < 3000 else 45, 0) for i in range(6000)]
     df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 80), "doc_id long, piece int, start long, length long, ids_crc32 long")

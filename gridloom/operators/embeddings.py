@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -18,6 +19,8 @@ from gridloom.functions.arrays import cosine, dot, norm
 from gridloom.operators.ranking import hash_order, top_k
 
 MAX_SILHOUETTE_SAMPLE = 20_000  # rows of the sample that travels to every task
+GROUP_ROWS = 1 << 15  # training rows of a cell that meet in one task
+SEARCH_CELLS = 1 << 22  # distances a task computes at once
 
 
 def n_rows() -> Column:
@@ -175,9 +178,9 @@ def _assign(pivots: np.ndarray) -> Callable:
     return run
 
 
-def _route(pivots: np.ndarray, bounds: dict[int, tuple[float, float, list[float], int]], k: int, qchunks: int) -> Callable:
-    """Cells each query must visit: those whose lower distance bound does not exceed an upper bound of its k-th
-    neighbour. Both bounds follow from the triangle inequality, so no true neighbour is ever skipped."""
+def _route(pivots: np.ndarray, bounds: dict[int, tuple[float, float, list[float]]], k: int) -> Callable:
+    """Cells each query must visit, as a list: those whose lower distance bound does not exceed an upper bound of its
+    k-th neighbour. Both bounds follow from the triangle inequality, so no true neighbour is ever skipped."""
     cells = sorted(bounds)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,11 +192,75 @@ def _route(pivots: np.ndarray, bounds: dict[int, tuple[float, float, list[float]
             hi = np.asarray([bounds[c][1] for c in cells])
             lower = np.maximum(np.maximum(d - hi, lo - d), 0.0)
             visit = lower <= kth[:, None] * (1 + 1e-9) + 1e-9
-            rows, cols = np.nonzero(visit)
-            parts = [(r, cells[i], part) for r, i in zip(rows, cols) for part in range(bounds[cells[i]][3])]
-            idx = [p[0] for p in parts]
-            out = pdf.iloc[idx][["run", "query", "embedding"]].reset_index(drop=True)
-            yield out.assign(cell=[p[1] for p in parts], part=[p[2] for p in parts], qpart=(np.arange(len(idx)) % qchunks))
+            yield pdf.assign(cells=[np.asarray(cells, dtype="int32")[row] for row in visit])
+
+    return run
+
+
+def _vectors(col: pa.Array) -> np.ndarray:
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
+
+
+def _first_copies(y: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the rows without those that follow k copies of themselves, which no query can need."""
+    _, number = np.unique(np.ascontiguousarray(y + 0.0).view(f"V{y.shape[1] * 8}").ravel(), return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(number[order]) != 0])
+    place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+    return np.sort(order[place < k])
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, distance) of the k nearest rows of y, ties to the smaller row. The matrix product only picks
+    what may be among them; distances are those of the differences, so copies of a vector are equally far."""
+    m = min(k, len(y))
+    yy = (y * y).sum(1)
+    xx = (x * x).sum(1)[:, None]
+    d = xx + yy[None, :] - 2.0 * (x @ y.T)
+    kth = np.partition(d, m - 1, axis=1)[:, [m - 1]]
+    rows, hits = np.nonzero(d <= kth + 1e-12 * (xx + yy.max()))
+    step = max(1, SEARCH_CELLS // y.shape[1])
+    exact = [np.sqrt(((x[rows[s : s + step]] - y[hits[s : s + step]]) ** 2).sum(1)) for s in range(0, len(rows), step)]
+    distance = np.concatenate(exact) if exact else np.zeros(0)
+    order = np.lexsort((hits, distance, rows))
+    starts = np.searchsorted(rows, np.arange(len(x)))  # np.nonzero gives the rows in order, and so does the sort
+    kept = order[np.arange(len(order)) - starts[rows[order]] < m]
+    return rows[kept], hits[kept], distance[kept]
+
+
+def _stream(k: int, chunk: int) -> Callable:
+    """Rows come ordered by group, training rows before queries and those by id: a group's training rows are held, its
+    queries pass by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, y = None, [], np.zeros((0, 0))
+        for batch in batches:
+            numbers = batch.column("group").to_numpy()
+            kinds = batch.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
+            cuts = np.flatnonzero((np.diff(numbers) != 0) | (np.diff(kinds) != 0)) + 1
+            for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(numbers)]):
+                if e == s:
+                    continue
+                part = batch.slice(s, e - s)
+                if numbers[s] != group:
+                    group, held, y = numbers[s], [], np.zeros((0, 0))
+                if not kinds[s]:
+                    held.append(part.select(["id", "label", "embedding"]))
+                    continue
+                if not held:
+                    continue
+                if not len(y):
+                    train = pa.Table.from_batches(held).combine_chunks()
+                    y = _vectors(train.column("embedding").combine_chunks())
+                    first = _first_copies(y, k)
+                    y, ids, labels = y[first], train.column("id").take(first).combine_chunks(), train.column("label").take(first).combine_chunks()
+                    del train
+                step = max(1, min(chunk, SEARCH_CELLS // len(y)))
+                for q in range(0, len(part), step):
+                    block = part.slice(q, step)
+                    rows, hits, distance = _nearest(_vectors(block.column("embedding")), y, k)
+                    out = [block.column("run").take(pa.array(rows)), block.column("query").take(pa.array(rows)), ids.take(pa.array(hits)), pa.array(distance), labels.take(pa.array(hits))]
+                    yield pa.RecordBatch.from_arrays(out, ["run", "query", "neighbour", "distance", "label"])
 
     return run
 
@@ -224,12 +291,12 @@ def nearest_neighbours(train: DataFrame, queries: DataFrame, k: int = 15, pivots
 
     `train` holds run, id, embedding, label; `queries` holds run, query, embedding; `run` keeps repeats apart. Rows are
     assigned to the nearest of a fixed number of pivots (a seeded sample); each cell's radius and k smallest pivot
-    distances bound what any query can find there, so a query is sent only to cells that may hold a neighbour. Large
-    cells and large query sets are cut into chunks of bounded size, one group per (cell, chunk, query chunk), which
-    returns at most k rows per query for the final merge. Each training row is copied once per query chunk, and in many
-    dimensions most cells are visited: meant for up to some 10^10 pairs of rows, `neighbours.approximate_neighbours` for more.
+    distances bound what any query can find there, so a query is sent only to cells that may hold a neighbour. A cell is
+    cut into groups of some GROUP_ROWS training rows. A training row goes to one group, a query to every group it must
+    visit; a task holds the training rows of a group and lets the queries pass by, at most `chunk` at once, so its memory
+    does not depend on their number. In many dimensions most cells are visited: meant for up to some 10^10 pairs of rows,
+    `neighbours.approximate_neighbours` for more.
     """
-    query_chunks = max(1, -(-queries.count() // chunk))
     picks = train.select("id", "embedding").dropDuplicates(["id"]).withColumn("_h", hash_order(F.col("id"), salt="pivot")).orderBy("_h", "id").limit(pivots).collect()
     points = np.array([np.asarray(r["embedding"], dtype=np.float64) for r in picks])
     kinds = {c: train.schema[c].dataType.simpleString() for c in ("run", "id", "label")}
@@ -240,27 +307,35 @@ def nearest_neighbours(train: DataFrame, queries: DataFrame, k: int = 15, pivots
     # One row per (run, cell): radii, k smallest pivot distances and size. The rank limit keeps k rows per task.
     near = top_k(placed.select("run", "cell", "pd"), ["run", "cell"], [F.col("pd")], k, "_rn").groupBy("run", "cell").agg(F.collect_list("pd").alias("near"))
     stats = placed.groupBy("run", "cell").agg(F.min("pd").alias("lo"), F.max("pd").alias("hi"), n_rows().alias("n")).join(near, ["run", "cell"]).collect()
+    out = f"run {kinds['run']}, query {qkind}, neighbour {kinds['id']}, distance double, label {kinds['label']}"
+    if not stats:
+        return train.sparkSession.createDataFrame([], out + ", rank int")
     # Every run sees the same pivots; the loosest bounds over the runs hold for each of them.
-    bounds: dict[int, tuple[float, float, list[float], int]] = {}
+    bounds: dict[int, tuple[float, float, list[float]]] = {}
     for r in stats:
-        lo, hi, ds, parts = bounds.get(r["cell"], (np.inf, 0.0, [], 1))
+        lo, hi, ds = bounds.get(r["cell"], (np.inf, 0.0, []))
         mine = sorted(r["near"]) + [np.inf] * (k - len(r["near"]))
         ds = [max(a, b) for a, b in zip(ds, mine)] if ds else mine
-        bounds[r["cell"]] = (min(lo, r["lo"]), max(hi, r["hi"]), ds, max(parts, -(-r["n"] // chunk)))
+        bounds[r["cell"]] = (min(lo, r["lo"]), max(hi, r["hi"]), ds)
     runs = {r["run"] for r in stats}
     for c in bounds:  # a cell that some run does not have promises nothing to that run
         if len({r["run"] for r in stats if r["cell"] == c}) < len(runs):
-            bounds[c] = (bounds[c][0], bounds[c][1], [np.inf] * k, bounds[c][3])
-    routed = queries.select("run", "query", dbl).mapInPandas(
-        _route(points, bounds, k, query_chunks), f"run {kinds['run']}, query {qkind}, embedding array<double>, cell int, part int, qpart int"
-    )
-    parts_of = F.create_map(*[F.lit(x) for c, b in bounds.items() for x in (c, b[3])])
-    part = (hash_order(F.col("id"), salt="part") % parts_of[F.col("cell")]).cast("int")
-    spread = placed.withColumn("part", part).withColumn("qpart", F.explode(F.sequence(F.lit(0), F.lit(query_chunks - 1))))
-    keys = ["run", "cell", "part", "qpart"]
-    found = routed.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(
-        _search(k), f"run {kinds['run']}, query {qkind}, neighbour {kinds['id']}, distance double, label {kinds['label']}"
-    )
+            bounds[c] = (bounds[c][0], bounds[c][1], [np.inf] * k)
+    groups, entries = 0, []
+    for r in sorted(stats, key=lambda r: (r["cell"], str(r["run"]))):
+        parts = -(-r["n"] // GROUP_ROWS)
+        cell = F.struct(F.lit(r["run"]).cast(kinds["run"]).alias("run"), F.lit(r["cell"]).alias("cell"))
+        entries += [cell, F.struct(F.lit(groups).alias("first"), F.lit(parts).alias("parts"))]
+        groups += parts
+    at = F.create_map(*entries)[F.struct(F.col("run").alias("run"), F.col("cell").alias("cell"))]
+    part = (hash_order(F.col("id"), salt="part") % F.col("_at.parts")).cast("int")
+    null = lambda kind: F.lit(None).cast(kind)
+    held = placed.withColumn("_at", at).select((F.col("_at.first") + part).alias("group"), F.lit(False).alias("is_query"), "run", "id", "label", null(qkind).alias("query"), "embedding")
+    routed = queries.select("run", "query", dbl).mapInPandas(_route(points, bounds, k), f"run {kinds['run']}, query {qkind}, embedding array<double>, cells array<int>")
+    sent = routed.withColumn("cell", F.explode("cells")).withColumn("_at", at).where("_at IS NOT NULL")
+    sent = sent.select(F.explode(F.expr("sequence(_at.first, _at.first + _at.parts - 1)")).alias("group"), F.lit(True).alias("is_query"), "run", null(kinds["id"]).alias("id"), null(kinds["label"]).alias("label"), "query", "embedding")
+    met = held.unionByName(sent).repartitionById(groups, F.col("group")).sortWithinPartitions("group", "is_query", "id")
+    found = met.mapInArrow(_stream(k, chunk), out).repartition("run", "query")
     return top_k(found, ["run", "query"], [F.col("distance"), F.col("neighbour")], k, "rank")
 
 

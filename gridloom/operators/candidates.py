@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridloom.functions.products import days_from, has_polarisations, parse_product, passes_filters, product_inside, product_prefix
 from gridloom.functions.rules import weighted_candidate_score
 from gridloom.operators.ranking import best_per_key, top_k
+from gridloom.session import stored
 
 
 def n_rows() -> Column:
@@ -124,14 +126,54 @@ def search_candidates(catalogue: DataFrame, reference_time: Column, min_overlap:
     return rank_candidates(rows, k)
 
 
+def _pieces(text: Column, kind: str, lengths: Sequence[int]) -> Column:
+    """Distinct substrings of the given lengths that consist of characters of a class, such as `[0-9]`."""
+
+    def of_length(n: int) -> Column:
+        runs = F.regexp_extract_all(text, F.lit(f"({kind}{{{n},}})"), F.lit(1))
+        return F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - n + 1), lambda i: F.substr(r, i, F.lit(n)))))
+
+    return F.array_distinct(F.concat(*[of_length(n) for n in lengths]))
+
+
+def _timed_pairs(names: DataFrame, products: DataFrame, hour: Callable[[Column], Column]) -> DataFrame:
+    """Pairs of a name and a product of its hours, among them the best of each name; not all pairs, which grow with the square
+    of the names of an hour.
+
+    A product is its head (platform to polarisation), its two times and its tail. Platform, mode, type and polarisation
+    of a name can only stand in the head or the times, the orbit and the datatake (digits, hexadecimal digits) in the times or the
+    tail. So the best product is the first of its head and times, or holds the orbit in its tail, or is the first of its head and
+    times to hold the datatake there; the last two meet by equality with the pieces of a tail. A name whose platform,
+    mode, type or polarisation might stand in a tail is compared with every product of its hours.
+    """
+    short = [F.col(k) for k in ("platform", "acquisition_mode", "product_type", "polarization_code")]
+    odd = reduce(Column.__or__, [c.rlike("^[0-9A-Fa-f]*$") | F.contains(F.lit("_COG.SAFE.zip"), c) for c in short])
+    lengths = names.agg(*[F.sort_array(F.collect_set(F.length(c))).alias(c) for c in ("absolute_orbit", "datatake")]).first()
+    p = products.withColumn("_hour", hour(F.col("s")))
+    if not lengths["datatake"]:
+        return names.join(p, "_hour")
+    upto = lambda n: F.substring_index("product", "_", n)
+    alike = {"_head": upto(4), "_times": F.substring_index(upto(6), "_", -2), "_tail": F.substr("product", F.length(upto(6)) + 2)}
+    cut = p.withColumns(alike)
+    by = ["_hour", "s", "_head", "_times", "_cog"]
+    first = cut.groupBy(*by).agg(F.min("product").alias("product"))
+    orbit = cut.withColumn("absolute_orbit", F.explode(_pieces(F.col("_tail"), "[0-9]", lengths["absolute_orbit"])))
+    take = cut.withColumn("datatake", F.explode(_pieces(F.col("_tail"), "[0-9A-Fa-f]", lengths["datatake"]))).groupBy(*by, "datatake").agg(F.min("product").alias("product"))
+    plain = names.where(~odd)
+    pairs = plain.join(first, "_hour").select(*names.columns, "s", "product")
+    for key, side in (("absolute_orbit", orbit), ("datatake", take)):
+        pairs = pairs.unionByName(plain.join(side.select("_hour", key, "s", "product"), ["_hour", key]).select(*names.columns, "s", "product"))
+    return pairs.unionByName(names.where(odd).join(p, "_hour").select(*names.columns, "s", "product"))
+
+
 def match_products(wanted: DataFrame, products: DataFrame, minutes: int = 10, prefer_cog: bool = False) -> DataFrame:
     """Best catalogue product for each wanted name: same prefix, else a name that holds the prefix, else a start time within the window.
 
     Either match by prefix outscores any match by time, and one at the start outscores one inside, so only names without
     the better match go on to the next. All ways are equi joins, on the prefix, on the product name that stands inside a
     longer one (a copy, a path), and on the hour (a window of minutes touches at most two hours, so a name is laid out at most
-    twice). Products are reduced to the first of those that score alike before they meet the names, and the best match
-    is a mergeable aggregate.
+    twice). Products are reduced to the first of those that score alike before they meet the names (`_timed_pairs`), and the
+    best match is a mergeable aggregate.
     """
     fields = ("platform", "acquisition_mode", "product_type", "polarization_code", "absolute_orbit", "datatake")
 
@@ -160,11 +202,11 @@ def match_products(wanted: DataFrame, products: DataFrame, minutes: int = 10, pr
     span = minutes * 60
     hour = lambda s: F.floor(s / 3600).cast("bigint")
     s = F.col("s")
-    left = w.where(s.isNotNull()).join(by_name.select("name"), "name", "left_anti")
-    left = left.select("name", *fields, s.alias("_s"), F.explode(F.sequence(hour(s - span), hour(s + span))).alias("_hour"))
-    alike = ["s", *[f"_{k}" for k in fields], "_cog"]
-    timed = p.where(s.isNotNull()).withColumn("_cog", cog).groupBy(*alike).agg(F.min("product").alias("product"))
-    near = left.join(timed.select("product", "s", hour(s).alias("_hour")), "_hour").where(F.abs(s - F.col("_s")) <= span)
+    by_name = stored(by_name, "products-by-name")
+    left = stored(w.where(s.isNotNull()).join(by_name.select("name"), "name", "left_anti").select("name", *fields, s.alias("_s")), "names-left")
+    timed = stored(p.where(s.isNotNull()).select("product", "s", cog.alias("_cog")), "timed-products")
+    pairs = _timed_pairs(left.withColumn("_hour", F.explode(F.sequence(hour(F.col("_s") - span), hour(F.col("_s") + span)))), timed, hour)
+    near = pairs.where(F.abs(s - F.col("_s")) <= span)
     by_time = best(near, parts + 30).withColumn("method", F.lit("time_window"))
     return by_name.unionByName(by_time).select("name", "product", "method", "score")
 

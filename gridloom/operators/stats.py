@@ -157,5 +157,6 @@ def mask_bbox(px: DataFrame, by: Sequence[str], mask: Column, height: Column, wi
         F.least(F.max(r) + buffer + 1, F.max(height)).alias("row_stop"),
         F.greatest(F.min(c) - buffer, F.lit(0)).alias("col_start"),
         F.least(F.max(c) + buffer + 1, F.max(width)).alias("col_stop"),
+        F.min(r).isNotNull().alias("_any"),
     )
-    return box.where(F.col("row_start").isNotNull())
+    return box.where("_any").drop("_any")  # greatest() skips NULL, so the window itself does not tell

@@ -54,7 +54,8 @@ def score_candidates(
 def select_candidate(df: DataFrame, cities: DataFrame, manual: DataFrame | None = None, min_overlap: float = 95.0) -> DataFrame:
     """One product per city: the manual choice, else the best that passes all tests, else the best at hand, flagged.
 
-    Counts and the best rows are mergeable aggregates, so a city with most of the candidates needs no large sort.
+    Counts and the best rows are mergeable aggregates, so a city with most of the candidates needs no large sort. The set of
+    a city's manual choices makes Catalyst hash the cities; with `max` in its place it would sort the candidates by city.
     """
     scored = score_candidates(df, min_overlap)
     ok = F.col("meets_min_overlap") & F.col("polarizations_ok") & F.col("instrument_mode_ok") & F.col("product_type_ok")
@@ -70,7 +71,7 @@ def select_candidate(df: DataFrame, cities: DataFrame, manual: DataFrame | None
     per = scored.groupBy("city").agg(
         n_rows().alias("num_candidates"), F.count_if("meets_min_overlap").alias("num_meeting_min_overlap"), F.count_if("full_coverage").alias("num_full_coverage"),
         F.min_by(F.when(ok, row), F.when(ok, strict)).alias("_ok"), F.min_by(row, loose).alias("_any"),
-        F.max(F.when(F.col("item_id") == F.col("_manual"), row)).alias("_chosen"), F.max("_manual").alias("_manual"),
+        F.max(F.when(F.col("item_id") == F.col("_manual"), row)).alias("_chosen"), F.array_max(F.collect_set("_manual")).alias("_manual"),
     )
     wanted = F.col("_manual").isNotNull()
     best = F.when(wanted, F.col("_chosen")).otherwise(F.coalesce("_ok", "_any"))

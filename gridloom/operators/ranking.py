@@ -85,6 +85,13 @@ def take_sample(
     return sample_rank(df, by, keys, salt, "_rank").where(F.col("_rank") <= quota).drop("_rank")
 
 
+def spread(df: DataFrame, by: Sequence[str | Column], n: int) -> DataFrame:
+    """The n rows dealt by key into as many partitions as keep each near ROWS_PER_BUCKET, where the session's number of
+    shuffle partitions would not; an aggregate by that key needs no other shuffle."""
+    parts = -(-n // ROWS_PER_BUCKET)
+    return df.repartition(parts, *by) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """First k rows per group. The filter on the rank lets Catalyst keep at most k rows per group and task before
     the shuffle, so a hot group costs k rows per task, not its whole size."""

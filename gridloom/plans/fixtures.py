@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gridloom.operators.ranking import spread
+
 PATCH_AREA = 50176  # 224 x 224
 
 
@@ -136,7 +138,8 @@ def fx_score(spark, d) -> DataFrame:
 def fx_candidate(spark, d) -> DataFrame:
     li, s = table(spark, d, "lineitem"), table(spark, d, "supplier")
     joined = li.join(s, li.l_suppkey == s.s_suppkey).join(fx_city(spark, d), F.col("s_nationkey") == F.col("city_id"))
-    return joined.groupBy("city", F.col("l_orderkey").cast("string").alias("item_id")).agg(
+    rows = joined.select("city", F.col("l_orderkey").cast("string").alias("item_id"), "l_quantity", "l_shipdate")
+    return spread(rows, ["city", "item_id"], li.count()).groupBy("city", "item_id").agg(
         (F.max("l_quantity") * 2).alias("overlap_percent"), F.min("l_shipdate").alias("acquired_at")
     )
 

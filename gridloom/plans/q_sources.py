@@ -8,10 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from gridloom.operators.candidates import first_candidates
+from gridloom.operators.ranking import spread
 from gridloom.plans.fixtures import fx_candidate, fx_patch, fx_pixel, table
 from gridloom.plans.q_checks import metadata
 from gridloom.plans.registry import query
-from gridloom.session import shared_folder
+from gridloom.session import shared_folder, stored
 from gridloom.sources import inventory as I, tables as Tb, tiles as Tl
 
 NAMES = [
@@ -227,8 +228,8 @@ def _(spark, d):
     for name, rows in {"a": c.where("item_id % 2 = 0").unionByName(worse), "b": c.where("item_id % 2 = 1").withColumnRenamed("item_id", "product_id")}.items():
         Tb.write_table(rows, f"{base}/{name}", format="csv")
     read = [Tb.read_candidates(spark, f"{base}/{name}/*.csv") for name in ("a", "b")]
-    both = read[0].unionByName(read[1]).drop("candidate_path")
-    return first_candidates(both).select("city", "item_id", F.round("overlap_percent", 6).alias("overlap_percent"))
+    both = stored(read[0].unionByName(read[1]).drop("candidate_path"), "candidates")
+    return first_candidates(spread(both, ["city", "item_id"], both.count())).select("city", "item_id", F.round("overlap_percent", 6).alias("overlap_percent"))
 
 
 @query("stored_tiles", "SELECT raster_id, r, c, round(CAST(CAST(vh AS FLOAT) AS DOUBLE), 6) AS vh, is_valid FROM fx_pixel WHERE raster_id % 2 = 0")

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gridloom.functions.scalars import safe_bool
-from gridloom.operators.ranking import best_per_key
+from gridloom.operators.ranking import best_per_key, spread
 
 # Names under which the columns of a patch table are met.
 PATCH_ALIASES = {
@@ -126,7 +126,7 @@ def read_candidates(spark: SparkSession, glob: str) -> DataFrame:
     for name, kind in (("overlap_percent", "double"), ("temporal_distance_days", "double"), ("rank", "int")):
         df = df.withColumn(name, F.col(name).try_cast(kind) if name in df.columns else F.lit(None).cast(kind))
     order = [-F.coalesce("overlap_percent", F.lit(0.0)), F.coalesce("temporal_distance_days", F.lit(999999.0)), F.coalesce("rank", F.lit(999999))]
-    return best_per_key(df, ["city", "item_id"], order)
+    return best_per_key(spread(df, ["city", "item_id"], df.count()), ["city", "item_id"], order)
 
 
 def read_splits(spark: SparkSession, paths: Mapping[str, str], format: str = "csv") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
 from gridloom.llm.slices import KEYED, MESSAGE, Slices, bucket_of, by_bucket, messages, repeated_keys, slices_in
-from gridloom.llm.texts import parts, word_codes
+from gridloom.llm.texts import lean, parts, word_codes
 from gridloom.session import stored
 
 WIDTH = 2
@@ -156,7 +156,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("x"))
     two = sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("y"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("total"), "x", "y")
-    return both.mapInArrow(_confirm(percent), "a long, b long, linked boolean, common long, lacks array<long>")
+    return both.mapInArrow(lean(_confirm(percent)), "a long, b long, linked boolean, common long, lacks array<long>")
 
 
 def _table_keys(sketches: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     text = F.col(text_col)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"), F.xxhash64(text).alias("h"))
-    sketch = stored(source.mapInArrow(_sketch(size), "doc long, h long, n long, f1 long, f2 long, halves array<long>"), "sketches")
+    sketch = stored(source.mapInArrow(lean(_sketch(size)), "doc long, h long, n long, f1 long, f2 long, halves array<long>"), "sketches")
     full = sketch.where("n > 0 AND doc IS NOT NULL")
     prints = ["n", "f1", "f2"]
     row = F.struct("doc", "h")
@@ -199,9 +199,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = members.select(F.col("doc").alias("class")).distinct().join(classes.select("class", "rep.*"), "class")
     texts = source.join(wanted, ["doc", "h"]).select(F.col("class").alias("doc"), "text").dropDuplicates(["doc"])
     slices = Slices(texts, "text")
-    said = slices.table.mapInArrow(_report_shingles(size, slices.buckets), MESSAGE)
+    said = slices.table.mapInArrow(lean(_report_shingles(size, slices.buckets)), MESSAGE)
     shared = stored(said.groupBy("bucket").applyInArrow(repeated_keys, "slice long, data binary"), "shared-shingles")
-    sets = stored(slices.with_replies(shared).mapInArrow(_shared_sets(size), "doc long, n long, u long, shingles binary"), "shingles")
+    sets = stored(slices.with_replies(shared).mapInArrow(lean(_shared_sets(size)), "doc long, n long, u long, shingles binary"), "shingles")
     able = sets.where(100 * F.col("u") >= percent * F.col("n")).select("doc", "u")
     of = stored(members.join(able, "doc"), "able-members")
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.texts import parts
+from gridloom.llm.texts import lean, parts
 from gridloom.session import stored
 
 CLOSE_AT = 0.99  # share of a sequence above which a bin is emitted, at every level
 FAN_IN = 8  # nodes that become one in a merge round
 NODE_ITEMS = 1 << 18  # items of a node, on average
 BATCH_BYTES = 16 << 20  # text tokenized at once
+WORDS_AT_ONCE = 1 << 12  # distinct words given to the tokenizer in one call, whose answer is far larger than their ids
+PLACES_AT_ONCE = 1 << 18  # words whose ids are gathered in one step
 TOGETHER = 1 << 60  # sequence numbers of the bins that the whole table shares start here
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -59,6 +62,16 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[np.ndarray, np.ndarray, l
     return bins, offsets, fill
 
 
+def _encoded(tokenizer, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, lengths): the ids of all strings one after another, and how many each has."""
+    ids, lengths = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+    for a in range(0, len(words), WORDS_AT_ONCE):
+        own = [e.ids for e in tokenizer.encode_batch_fast(words.slice(a, WORDS_AT_ONCE).to_pylist(), add_special_tokens=False)]
+        lengths.append(np.fromiter(map(len, own), np.int64, len(own)))
+        ids.append(np.fromiter(chain.from_iterable(own), "<u4", int(lengths[-1].sum())))
+    return np.concatenate(ids), np.concatenate(lengths)
+
+
 def word_ids(tokenizer, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(ids, ends): the ids of all texts one after another, each text followed by id 0, and where each text ends."""
     special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
@@ -66,22 +79,24 @@ def word_ids(tokenizer, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     low = pc.replace_substring_regex(low, r"([a-z])([.,])(\s)", r"\1 \2\3")  # a mark between letter and space is a pre-token of its own
     split = pc.ascii_split_whitespace(low)
     words = split.values.dictionary_encode()
-    texts_direct = texts.filter(pa.array(special)).to_pylist()
-    distinct = words.dictionary.to_pylist() + texts_direct
-    tokens = [e.ids for e in tokenizer.encode_batch_fast(distinct, add_special_tokens=False)] + [[0]]
-    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    flat = np.fromiter((t for ids in tokens for t in ids), "<u4", int(lengths.sum()))
+    coded = [_encoded(tokenizer, words.dictionary), _encoded(tokenizer, texts.filter(pa.array(special)))]
+    flat = np.concatenate([*(ids for ids, _ in coded), np.zeros(1, "<u4")])
+    lengths = np.concatenate([*(n for _, n in coded), np.ones(1, np.int64)])
     starts = np.cumsum(lengths) - lengths
     ends = split.offsets.to_numpy()[1:].astype(np.int64)
     at = np.repeat(ends, 1 + special)  # before its end mark, a text with added tokens is one "word"
-    extra = np.full(len(at), len(tokens) - 1, np.int64)
+    extra = np.full(len(at), len(lengths) - 1, np.int64)
     mark = np.cumsum(1 + special) - 1
     direct = np.flatnonzero(special)
     extra[mark[direct] - 1] = len(words.dictionary) + np.arange(len(direct))
     index = np.insert(words.indices.to_numpy().astype(np.int64), at, extra)
     counts = lengths[index]
     done = np.cumsum(counts)
-    ids = flat[np.repeat(starts[index] - (done - counts), counts) + np.arange(int(counts.sum()))]
+    ids = np.empty(int(counts.sum()), "<u4")
+    for a in range(0, len(index), PLACES_AT_ONCE):
+        b = slice(a, a + PLACES_AT_ONCE)
+        begins = done[b] - counts[b]
+        ids[begins[0] : done[b][-1]] = flat[np.repeat(starts[index[b]] - begins, counts[b]) + np.arange(begins[0], done[b][-1])]
     return ids, done[ends + mark]
 
 
@@ -119,7 +134,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, id_
     library does by default.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(_pieces(tokenizer_file, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return source.mapInArrow(lean(_pieces(tokenizer_file, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit_runs(counts: dict[int, int], capacity: int) -> np.ndarray:
@@ -256,7 +271,7 @@ def merge_rounds(items: DataFrame, capacity: int, nodes: int) -> DataFrame:
             break
         nodes, level = fewer, level + 1
         dealt = left.repartition(nodes, F.xxhash64("item", F.lit(level)))
-        made = stored(dealt.mapInArrow(_merge(capacity, level), "item long, parent long, offset long, fill long"), "merged-bins")
+        made = stored(dealt.mapInArrow(lean(_merge(capacity, level)), "item long, parent long, offset long, fill long"), "merged-bins")
         step = made.select(F.col("item").alias("now"), "parent", F.col("offset").alias("_more"), "fill")
         moved = stored(where.join(step, "now").select("item", F.col("parent").alias("now"), (F.col("offset") + F.col("_more")).alias("offset"), "fill"), "placed-bins")
         full = moved.where(F.col("fill") > bar).select("item", F.col("now").alias("sequence"), "offset")
@@ -278,7 +293,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """
     types = {"doc_id": "long", "piece": "int", "start": "long", "length": "long", "ids_crc32": "long"}
     source = pieces.select(*[F.col(c).cast(t).alias(c) for c, t in types.items()])
-    dealt = stored(source.mapInArrow(_pack_batches(capacity), f"{PLACED}, fill long"), "bins")
+    dealt = stored(source.mapInArrow(lean(_pack_batches(capacity)), f"{PLACED}, fill long"), "bins")
     still = dealt.where(F.col("fill") <= CLOSE_AT * capacity)
     bins = still.groupBy(F.col("sequence_id").alias("item")).agg(F.first("fill").alias("fill"), F.min(F.shiftright("sequence_id", 36)).alias("part"))
     bins = stored(bins, "underfull-bins")

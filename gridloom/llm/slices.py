@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from gridloom.llm.texts import parts
+from gridloom.llm.texts import lean, parts
 from gridloom.session import shared_folder
 
 SLICE_BYTES = 4 << 20
@@ -120,7 +120,7 @@ class Slices:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         name = f"text_slices_{uuid.uuid4().hex}"
         kept = StructType([StructField("slice", LongType()), StructField("data", BinaryType())])
-        packed = docs.mapInArrow(_to_slices(columns, columns.index(text_col), most or SLICE_BYTES), kept)
+        packed = docs.mapInArrow(lean(_to_slices(columns, columns.index(text_col), most or SLICE_BYTES)), kept)
         place = f"{shared_folder(spark)}/gridloom/{name}"
         packed.write.format("parquet").option("path", place).option("compression", "zstd").bucketBy(self.buckets, "slice").saveAsTable(name)
         self.table = spark.table(name)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.slices import KEYED, MESSAGE, MIX1, ODD, Slice, Slices, U, bucket_of, by_bucket, messages, mixed, ranges, repeated_keys, slices_in
+from gridloom.llm.texts import lean
 from gridloom.session import stored
 
 GRAM = 32  # a power of two
@@ -420,23 +421,23 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, length: int, cut: bool)
     slices = Slices(docs, text_col)
     with_replies = slices.with_replies
 
-    keys = slices.table.mapInArrow(_report_keys(at, length, buckets), MESSAGE)
+    keys = slices.table.mapInArrow(lean(_report_keys(at, length, buckets)), MESSAGE)
     repeated = stored(keys.groupBy("bucket").applyInArrow(repeated_keys, "slice long, data binary"), "repeated-keys")
-    sent = stored(with_replies(repeated).mapInArrow(_report_runs(at, length, buckets), MESSAGE), "runs")
+    sent = stored(with_replies(repeated).mapInArrow(lean(_report_runs(at, length, buckets)), MESSAGE), "runs")
     sorted_out = stored(sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_first_runs, "slice long, kind long, data binary"), "first-runs")
     wanted = sorted_out.where("kind = 1").select("slice", "data")
     total = wanted.agg(F.sum(F.octet_length("data"))).first()[0] or 0  # of descriptions; a run has about three times as many bytes
     groups = max(buckets, -(-3 * total // BUCKET_BYTES))
-    runs = stored(with_replies(wanted).mapInArrow(_send_runs(at, length, groups), "bucket long, runs binary, bytes binary"), "run-bytes")
+    runs = stored(with_replies(wanted).mapInArrow(lean(_send_runs(at, length, groups)), "bucket long, runs binary, bytes binary"), "run-bytes")
     found = runs.where("bucket >= 0").groupBy("bucket").applyInArrow(_repeats(length), "slice long, data binary")
-    windows = stored(runs.where("bucket < 0").mapInArrow(_windows(length), "w1 long, w2 long, doc long, slice long, row long, start long"), "hot-windows")
+    windows = stored(runs.where("bucket < 0").mapInArrow(lean(_windows(length)), "w1 long, w2 long, doc long, slice long, row long, start long"), "hot-windows")
     place = F.struct("doc", "slice", "row", "start")
     firsts = stored(windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "hot-firsts")
-    hot = windows.join(firsts, ["w1", "w2"]).where(place != F.col("first")).select("slice", "row", "start").mapInArrow(_pack_marks, "slice long, data binary")
+    hot = windows.join(firsts, ["w1", "w2"]).where(place != F.col("first")).select("slice", "row", "start").mapInArrow(lean(_pack_marks), "slice long, data binary")
     marks = sent.where("bucket < 0").select("slice", "data").unionByName(sorted_out.where("kind = 0").select("slice", "data"))
     marks = stored(marks.unionByName(found).unionByName(hot), "marks")
     schema = docs.schema if cut else "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return with_replies(marks).mapInArrow(_cut(at, length, columns if cut else None), schema)
+    return with_replies(marks).mapInArrow(lean(_cut(at, length, columns if cut else None)), schema)
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,24 @@ def parts(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTE
             yield batch.slice(a, b - a)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, which the C library and Arrow else keep for later; where they cannot, nothing happens."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for `mapInArrow`, after which a worker is no larger than before: Spark keeps workers for the tasks of all later steps."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def word_codes(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(distinct words, code of every word in order, row of every word): white space as `[\\x20\\x09-\\x0D]`, A-Z lower-cased."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.texts import parts, word_codes
+from gridloom.llm.texts import lean, parts, word_codes
 from gridloom.session import stored
 
 PREFIXES = (4, 5, 6, 7, 8)
@@ -159,14 +159,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
         return ToxicModel(intercept=20.0 if 1 in size else -20.0)
     rate = {c: total[c] / min(total[c], per_class) for c in size}  # labelled documents that one of the sample stands for
     mean = sum(rate[c] * size[c] for c in size) / sum(size.values())
-    counts = sample.mapInArrow(_term_counts, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = sample.mapInArrow(lean(_term_counts), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     share = {c: (F.col(n) + 0.5) / (size[c] + 1.0) for c, n in ((1, "toxic"), (0, "clean"))}
     odds = F.log(share[1] / share[0]) - 2.5 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))  # what chance hardly explains
     telling = counts.where(F.col("toxic") + F.col("clean") >= min_texts).withColumn("odds", odds).withColumn("worth", F.abs("odds") * F.sqrt(F.greatest("toxic", "clean").cast("double")))
     terms = [r["term"] for r in telling.where(F.col("odds") > 0.5).orderBy(F.desc("worth"), "term").limit(voters).collect()]
     if not terms:
         return ToxicModel(intercept=float(np.log(size[1] * rate[1] / (size[0] * rate[0]))))
-    rows = sample.mapInArrow(_votes(terms), "label int, votes array<int>").collect()
+    rows = sample.mapInArrow(lean(_votes(terms)), "label int, votes array<int>").collect()
     votes = np.zeros((len(rows), len(terms)), np.float32)
     for i, r in enumerate(rows):
         votes[i, r["votes"]] = 1
@@ -187,7 +187,7 @@ def _scores(model: ToxicModel):
 
 def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every document, 0 to 1. NULL and empty texts score as texts without any term; repeated rows are scored alike."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scores(model), "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(_scores(model)), "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -200,4 +200,4 @@ def drop_toxic(docs: DataFrame, model: ToxicModel, text_col: str = "text", thres
             scores = 1 / (1 + np.exp(-np.clip(model.logits(batch.column(docs_text)), -30, 30)))
             yield batch.filter(pa.array(scores < threshold)).rename_columns(columns)
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(lean(kept), docs.schema)

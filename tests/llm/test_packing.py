@@ -1,12 +1,18 @@
 """Packing against the tokenizer library and a plain best-fit bound."""
 
+import ctypes
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
 from gridloom.llm import packing
+from gridloom.llm import texts as texts_module
 from gridloom.llm.packing import best_fit, best_fit_runs, pack, token_pieces
 
 FILE = P.path("word_bpe_49k.json")
@@ -84,3 +90,48 @@ def test_best_fit_by_runs_is_best_fit():
 def test_best_fit_picks_the_fullest():
     bins, offsets, fill = best_fit([6, 5, 4, 4], 10)
     assert fill == [10, 9] and bins.tolist() == [0, 1, 0, 1] and offsets.tolist() == [0, 0, 6, 5]
+
+
+def test_tokenizer_gets_few_words_at_once():
+    tok, asked = Tokenizer.from_file(FILE), []
+
+    class Counting:
+        def encode_batch_fast(self, words, **options):
+            asked.append(len(words))
+            return tok.encode_batch_fast(words, **options)
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(300)) for i in range(60)] + ["", "a <|endoftext|>b"]
+    ids, ends = packing.word_ids(Counting(), pa.array(texts))
+    assert sum(asked) >= 18000 and max(asked) <= packing.WORDS_AT_ONCE
+    for text, own in zip(texts, np.split(ids, ends[:-1])):
+        assert own.tolist() == [*tok.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_gathering_in_steps_changes_nothing(monkeypatch):
+    tok = Tokenizer.from_file(FILE)
+    texts = pa.array([t or "" for t in TEXTS])
+    whole = packing.word_ids(tok, texts)
+    monkeypatch.setattr(packing, "PLACES_AT_ONCE", 7)
+    monkeypatch.setattr(packing, "WORDS_AT_ONCE", 3)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, packing.word_ids(tok, texts)))
+
+
+def anonymous_mb():
+    return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="needs a C library that can be asked for its free memory")
+def test_a_finished_task_gives_its_memory_back():
+    pinned = []
+
+    def run(batches):
+        for batch in batches:
+            held = [bytes([i % 256]) * 1000 for i in range(200_000)]
+            pinned.extend(held[::2000])  # what stays is spread over all of it
+            yield batch
+
+    list(run([None]))
+    kept, before = anonymous_mb(), anonymous_mb()
+    pinned.clear()
+    list(texts_module.lean(run)([None]))
+    assert kept > 150 and anonymous_mb() < before - 100

@@ -7,7 +7,8 @@ other tiles as sorted coordinates with counts; both leave as packed messages by
 falling frequency in turn and meet the word behind them in a plane of (pair, word), which counts the phrases of three.
 
 Nothing is counted by text: a slice asks for the ids of its own words (a join) and pairs (packed keys by tile, answered
-from a sorted stream), so neither vocabulary nor pairs are ever held as a whole.
+from a sorted stream), so neither vocabulary nor pairs are ever held as a whole. Codes are stored in short parts, in as few
+bytes each as the largest needs, and meet their answers in a sorted stream, so that no row of Spark's is large.
 
 Rules for odd rows: a NULL text is empty and has no words; a NULL language is `und`; repeated rows count as often as they
 stand there; ids are not read, so NULL and repeated ones are harmless; other columns are ignored. A text of any length is
@@ -26,15 +27,17 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from gridloom.llm.ppm import COUNTED, from_planes, packed, planes, unpacked
 from gridloom.llm.slices import bucket_of, by_bucket
-from gridloom.llm.texts import parts
+from gridloom.llm.texts import lean, parts
 from gridloom.session import stored
 
 SLICE_BYTES = 2 << 20  # text of a slice
 REACH = 2  # words a phrase goes on after its first
+PART_CODES = 1 << 14  # codes of a slice in one row
+HELD_WORDS = 1 << 19  # answered words a task holds before it hands them on
 DENSE = 1024  # ids of the leading square that is counted in one array
 LOW = np.uint64(6)  # a tile is 64 x 64 ids
 HELD_KEYS = 1 << 19  # keys a task holds before it sums them
@@ -86,32 +89,56 @@ def sequence(body: bytes, own: int, ends: np.ndarray, langs: list[str]) -> dict:
     lang = rows[np.searchsorted(ends, starts, side="right")]
     both, codes = np.unique(words.indices.to_numpy().astype(np.int64) * max(1, len(names)) + lang, return_inverse=True)
     counts = np.bincount(codes[starts < own], minlength=len(both))
-    breaks = np.diff(np.append(0, np.cumsum(kind == END)[starts])) > 0 if len(starts) else np.zeros(0, bool)
+    breaks = np.diff(np.append(0, np.cumsum(kind == END, dtype=np.int32)[starts])) > 0 if len(starts) else np.zeros(0, bool)
     place = np.arange(len(starts)) + np.cumsum(breaks)
     out = np.full(int(place[-1]) + 1 if len(place) else 0, -1, np.int32)
     out[place] = codes
     owned = int((starts < own).sum())
     return {
-        "codes": out.tobytes(), "own": int(place[owned - 1]) + 1 if owned else 0,
-        "word": words.dictionary.take(pa.array(both // max(1, len(names)))).cast(pa.string()), "lang": [names[k] for k in both % max(1, len(names))], "n": counts,
+        "codes": out, "own": int(place[owned - 1]) + 1 if owned else 0, "n": counts,
+        "word": words.dictionary.take(pa.array(both // max(1, len(names)))).cast(pa.string()), "lang": pa.array(names.tolist(), pa.string()).take(pa.array(both % max(1, len(names)))),
     }
 
 
+def narrow(values: np.ndarray) -> bytes:
+    """Numbers from -1 on, one more of each, as planes of as many bytes as the largest needs; their count of planes first."""
+    up = (values + 1).astype("<u4")
+    width = max(1, (int(up.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + up.view(np.uint8).reshape(-1, 4).T[:width].tobytes()
+
+
+def from_narrow(data: bytes) -> np.ndarray:
+    out = np.full((len(data) - 1) // data[0], -1, np.int64)
+    for k, plane in enumerate(np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)):
+        out += plane.astype(np.int64) << (8 * k)
+    return out
+
+
+def code_parts(codes: np.ndarray, own: int) -> list[tuple[int, bytes]]:
+    """(how many codes are its own, they and those a phrase may reach behind them) for every part of a slice."""
+    return [(min(PART_CODES, own - a), narrow(codes[a : min(a + PART_CODES, own) + REACH])) for a in range(0, own, PART_CODES)]
+
+
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every slice its parts, `at` their number, and its words, `at` their code."""
     number = TaskContext.get().partitionId() << 32
     for batch in parts(batches, 1, SLICE_BYTES):
         langs = pc.fill_null(batch.column(0), "und").to_pylist()
         for body, own, ends in text_windows(batch.column(1)):
             s = sequence(body, own, ends, langs)
-            columns = [pa.array([number]), pa.array([s["own"]], pa.int32()), pa.array([s["codes"]], pa.binary())]
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(s["n"])], pa.int32()), pa.array(s[c], t)) for c, t in (("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*columns, *lists], names=["slice", "own", "codes", "lang", "word", "n"])
+            found = code_parts(s["codes"], s["own"])
+            k, m = len(found), len(s["n"])
+            stretches = [pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.binary()), pa.nulls(k, pa.string()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64())]
+            words = [pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), s["lang"], s["word"], pa.array(s["n"], pa.int64())]
+            for size, columns in ((k, stretches), (m, words)):
+                places = [pa.array(np.full(size, number)), pa.array(np.arange(size, dtype=np.int32))]
+                yield pa.RecordBatch.from_arrays([*places, *columns], names=["slice", "at", "own", "codes", "lang", "word", "n"])
             number += 1
 
 
 SEQUENCE = StructType([
-    StructField("slice", LongType()), StructField("own", IntegerType()), StructField("codes", BinaryType()),
-    StructField("lang", ArrayType(StringType())), StructField("word", ArrayType(StringType())), StructField("n", ArrayType(LongType())),
+    StructField("slice", LongType()), StructField("at", IntegerType()), StructField("own", IntegerType()), StructField("codes", BinaryType()),
+    StructField("lang", StringType()), StructField("word", StringType()), StructField("n", LongType()),
 ])
 
 
@@ -165,16 +192,20 @@ class Tiles:
     def __init__(self):
         self.square = np.zeros(DENSE * DENSE, np.int64)
         self.pending: list[np.ndarray] = []
+        self.places: list[np.ndarray] = []  # in the square, not yet counted
         self.key, self.n = np.zeros(0, U), np.zeros(0, np.int64)
 
     def add(self, left: np.ndarray, right: np.ndarray) -> None:
         leading = (left < DENSE) & (right < DENSE)
-        self.square += np.bincount(left[leading] * DENSE + right[leading], minlength=DENSE * DENSE)
+        self.places.append((left[leading] * DENSE + right[leading]).astype(np.int32))
         self.pending.append(cell_keys(left[~leading], right[~leading]))
-        if sum(map(len, self.pending)) >= HELD_KEYS:
+        if sum(map(len, self.pending)) >= HELD_KEYS or sum(map(len, self.places)) >= HELD_KEYS:
             self.sum_up()
 
     def sum_up(self) -> None:
+        if self.places:
+            self.square += np.bincount(np.concatenate(self.places), minlength=DENSE * DENSE)
+            self.places = []
         key = np.sort(np.concatenate([np.zeros(0, U), *self.pending]))
         edges = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         n = np.diff(np.append(edges, len(key)))
@@ -218,17 +249,32 @@ def pair_places(codes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(known[:-1] & known[1:])
 
 
+PART = "slice long, at int, own int, data binary"
+
+
+def part_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int | None, int | None, bytes]]:
+    """The PART rows of batches one by one."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            yield tuple(column[row].as_py() for column in batch.columns)
+
+
+def answered(parts_: DataFrame, answers: DataFrame, partitions: int) -> DataFrame:
+    """PART rows by slice: its answers first, which have no `at`, then its parts."""
+    both = parts_.unionByName(answers.select("slice", F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("own"), "data"))
+    return both.repartition(partitions, "slice").sortWithinPartitions("slice", F.col("at").asc_nulls_first())
+
+
 def _count_pairs(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tiles = Tiles()
-        for batch in batches:
-            for own, data in zip(batch.column("own").to_pylist(), batch.column("codes").to_pylist()):
-                codes = np.frombuffer(data, np.int32).astype(np.int64)
-                at = pair_places(codes)
-                at = at[at < own]
-                tiles.add(codes[at], codes[at + 1])
-                if tiles.full():
-                    yield _dealt(tiles, buckets)
+        for _, _, own, data in part_rows(batches):
+            codes = from_narrow(data)
+            at = pair_places(codes)
+            at = at[at < own]
+            tiles.add(codes[at], codes[at + 1])
+            if tiles.full():
+                yield _dealt(tiles, buckets)
         yield _dealt(tiles, buckets)
 
     return run
@@ -262,7 +308,7 @@ def _merged(least: int):
                     held, key, n = [], np.zeros(0, U), np.zeros(0, np.int64)
                 bucket = b
                 held.append(unpacked(data))
-                if sum(map(len, held)) > max(len(key), 1 << 18):
+                if sum(map(len, held)) > max(len(key) // 2, 1 << 18):
                     key, n = add()
                     held = []
         if bucket is not None:
@@ -275,21 +321,30 @@ def _merged(least: int):
 def frequent_cells(messages: DataFrame, partitions: int, least: int) -> DataFrame:
     """(l, r, n) of all cells counted `least` times or more, from (bucket, data) messages."""
     ordered = messages.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return ordered.mapInArrow(_merged(least), "l long, r long, n long")
+    return ordered.mapInArrow(lean(_merged(least)), "l long, r long, n long")
 
 
 def _requests(buckets: int):
+    def asked(number: int, keys: list[np.ndarray]) -> pa.RecordBatch:
+        key = np.unique(np.concatenate(keys))
+        rows = list(by_bucket(number, tile_bucket(key, buckets), key))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[1] for r in rows], pa.int64()), pa.array([number] * len(rows), pa.int64()), pa.array([planes(np.diff(r[2], prepend=U(0))) for r in rows], pa.binary())],
+            names=["bucket", "slice", "data"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, data in zip(batch.column("slice").to_pylist(), batch.column("codes").to_pylist()):
-                codes = np.frombuffer(data, np.int32).astype(np.int64)
-                at = pair_places(codes)
-                key = np.unique(cell_keys(codes[at], codes[at + 1]))
-                rows = list(by_bucket(number, tile_bucket(key, buckets), key))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[1] for r in rows], pa.int64()), pa.array([number] * len(rows), pa.int64()), pa.array([planes(np.diff(r[2], prepend=U(0))) for r in rows], pa.binary())],
-                    names=["bucket", "slice", "data"],
-                )
+        current, keys = None, []
+        for number, _, _, data in part_rows(batches):
+            if number != current and keys:
+                yield asked(current, keys)
+                keys = []
+            codes = from_narrow(data)
+            at = pair_places(codes)
+            current = number
+            keys.append(np.unique(cell_keys(codes[at], codes[at + 1])))
+        if keys:
+            yield asked(current, keys)
 
     return run
 
@@ -336,36 +391,74 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _count_triples(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tiles = Tiles()
-        for batch in batches:
-            for own, data, replies in zip(*(batch.column(c).to_pylist() for c in ("own", "codes", "replies"))):
-                codes = np.frombuffer(data, np.int32).astype(np.int64)
-                pairs = np.concatenate([from_numbered(r) for r in replies])
-                pairs = pairs[np.argsort(pairs["key"])]
-                at = pair_places(codes)
-                key = cell_keys(codes[at], codes[at + 1])
-                place = np.minimum(np.searchsorted(pairs["key"], key), len(pairs) - 1)
-                number = np.full(len(codes) + 1, -1, np.int64)
-                number[at] = np.where(pairs["key"][place] == key, pairs["id"][place], -1)
-                begin = np.flatnonzero((number[:-1] >= 0) & (number[1:] >= 0))
-                begin = begin[begin < own]
-                tiles.add(number[begin], codes[begin + 2])
-                if tiles.full():
-                    yield _dealt(tiles, buckets)
+        current, held, pairs = None, [], None
+        for slice_, part, own, data in part_rows(batches):
+            if slice_ != current:
+                current, held, pairs = slice_, [], None
+            if part is None:
+                held.append(from_numbered(data))
+                continue
+            if pairs is None:
+                pairs = np.concatenate([np.zeros(0, NUMBERED), *held])
+                pairs, held = pairs[np.argsort(pairs["key"])], []
+            if not len(pairs):
+                continue
+            codes = from_narrow(data)
+            at = pair_places(codes)
+            key = cell_keys(codes[at], codes[at + 1])
+            place = np.minimum(np.searchsorted(pairs["key"], key), len(pairs) - 1)
+            number = np.full(len(codes) + 1, -1, np.int64)
+            number[at] = np.where(pairs["key"][place] == key, pairs["id"][place], -1)
+            begin = np.flatnonzero((number[:-1] >= 0) & (number[1:] >= 0))
+            begin = begin[begin < own]
+            tiles.add(number[begin], codes[begin + 2])
+            if tiles.full():
+                yield _dealt(tiles, buckets)
         yield _dealt(tiles, buckets)
 
     return run
 
 
+def _word_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slice, code, id) rows in any order as one message per slice: planes of code differences, then of ids."""
+    held, size = [], 0
+
+    def handed() -> pa.RecordBatch:
+        number, code, ids = (np.concatenate([h[k] for h in held]) for k in range(3))
+        order = np.lexsort((code, number))
+        number, code, ids = number[order], code[order], ids[order]
+        edges = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+        data = [planes(np.diff(code[a:b], prepend=np.int32(0))) + planes(ids[a:b]) for a, b in zip(edges, np.append(edges[1:], len(number)))]
+        return pa.RecordBatch.from_arrays([pa.array(number[edges]), pa.array(data, pa.binary())], names=["slice", "data"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append([column.to_numpy() for column in batch.columns])
+            size += batch.num_rows
+        if size >= HELD_WORDS:
+            yield handed()
+            held, size = [], 0
+    if held:
+        yield handed()
+
+
 def _recoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Local codes replaced by ids; -1 for rare words and ends of pieces."""
-    for batch in batches:
-        out = []
-        for data, size, found in zip(batch.column("codes").to_pylist(), batch.column("size").to_pylist(), batch.column("found")):
-            table = np.full(size + 1, -1, np.int32)  # the last place serves code -1
-            if found.is_valid:
-                table[found.values.field("code").to_numpy()] = found.values.field("id").to_numpy()
-            out.append(table[np.frombuffer(data, np.int32)].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("slice"), batch.column("own"), pa.array(out, pa.binary())], names=["slice", "own", "codes"])
+    current, held, table = None, [], None
+    for slice_, part, own, data in part_rows(batches):
+        if slice_ != current:
+            current, held, table = slice_, [], None
+        if part is None:
+            half = len(data) // 2
+            held.append((np.cumsum(from_planes(data[:half], np.int32)), from_planes(data[half:], np.int32)))
+            continue
+        if table is None:
+            table = np.full(max((int(code[-1]) for code, _ in held), default=-1) + 2, -1, np.int64)  # the last place serves code -1 and all beyond
+            for code, ids in held:
+                table[code] = ids
+            held = []
+        ids = table[np.minimum(from_narrow(data), len(table) - 1)]
+        yield pa.RecordBatch.from_arrays([pa.array([slice_]), pa.array([part], pa.int32()), pa.array([own], pa.int32()), pa.array([narrow(ids)], pa.binary())], names=["slice", "at", "own", "data"])
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10, share: int = 50, top: int = 2000) -> DataFrame:
@@ -377,27 +470,26 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sequences = stored(texts.mapInArrow(_sequences, SEQUENCE), "sequences")
-    entries = sequences.select("slice", F.posexplode(F.arrays_zip("lang", "word", "n")).alias("code", "x"))
-    entries = entries.select("slice", "code", F.col("x.lang").alias("lang"), F.col("x.word").alias("word"), F.col("x.n").alias("n"))
-    totals = stored(sequences.select(F.explode(F.arrays_zip("lang", "n")).alias("x")).groupBy("x.lang").agg(F.sum("x.n").alias("total")), "totals")
+    sequences = stored(texts.mapInArrow(lean(_sequences), SEQUENCE), "sequences")
+    entries = sequences.where("own is null").select("slice", F.col("at").alias("code"), "lang", "word", "n")
+    totals = stored(entries.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
     words_in_all = totals.agg(F.sum("total")).first()[0] or 0
     buckets = max(partitions, -(-int(words_in_all) // BUCKET_WORDS))
 
     counted = entries.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     words = frequent_ids(counted, [F.col("n").desc(), F.col("lang").asc(), F.col("word").asc()], MOST_WORDS)
     own_ids = entries.select("slice", "code", "lang", "word").join(words.select("lang", "word", F.col("id").cast("int").alias("id")), ["lang", "word"])
-    replies = own_ids.groupBy("slice").agg(F.collect_list(F.struct("code", "id")).alias("found"))
-    asked = sequences.select("slice", "own", "codes", F.size("word").alias("size")).join(replies, "slice", "left")
-    coded = stored(asked.mapInArrow(_recoded, "slice long, own int, codes binary"), "coded")
+    replies = own_ids.select("slice", "code", "id").mapInArrow(lean(_word_answers), "slice long, data binary")
+    asked = answered(sequences.where("own is not null").select("slice", "at", "own", F.col("codes").alias("data")), replies, partitions)
+    coded = stored(asked.mapInArrow(lean(_recoded), PART), "coded")
 
-    cells = frequent_cells(coded.mapInArrow(_count_pairs(buckets), "bucket long, data binary"), partitions, least)
+    cells = frequent_cells(coded.mapInArrow(lean(_count_pairs(buckets)), "bucket long, data binary"), partitions, least)
     pairs = frequent_ids(cells, [F.col("n").desc(), F.col("l").asc(), F.col("r").asc()], MOST_PAIRS)
     message = "bucket long, slice long, data binary"
-    requests = coded.mapInArrow(_requests(buckets), message).unionByName(pairs.select("l", "r", "id").mapInArrow(_numbered(buckets), message))
+    requests = coded.mapInArrow(lean(_requests(buckets)), message).unionByName(pairs.select("l", "r", "id").mapInArrow(lean(_numbered(buckets)), message))
     ordered = requests.repartition(partitions, "bucket").sortWithinPartitions("bucket", F.col("slice").asc_nulls_first())
-    answers = ordered.mapInArrow(_answers, "slice long, data binary").groupBy("slice").agg(F.collect_list("data").alias("replies"))
-    threes = coded.join(answers, "slice").mapInArrow(_count_triples(buckets), "bucket long, data binary")
+    answers = ordered.mapInArrow(lean(_answers), "slice long, data binary")
+    threes = answered(coded, answers, partitions).mapInArrow(lean(_count_triples(buckets)), "bucket long, data binary")
     triples = stored(frequent_cells(threes, partitions, least), "triples")
     return ranked_phrases(words, pairs, triples, totals, share, top)
 

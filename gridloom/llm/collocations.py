@@ -342,7 +342,7 @@ def _requests(buckets: int):
             codes = from_narrow(data)
             at = pair_places(codes)
             current = number
-            keys.append(np.unique(cell_keys(codes[at], codes[at + 1])))
+            keys.append(cell_keys(codes[at], codes[at + 1]))
         if keys:
             yield asked(current, keys)
 
@@ -483,7 +483,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     asked = answered(sequences.where("own is not null").select("slice", "at", "own", F.col("codes").alias("data")), replies, partitions)
     coded = stored(asked.mapInArrow(lean(_recoded), PART), "coded")
 
-    cells = frequent_cells(coded.mapInArrow(lean(_count_pairs(buckets)), "bucket long, data binary"), partitions, least)
+    # stored, as placing them by rank reads them twice
+    cells = stored(frequent_cells(coded.mapInArrow(lean(_count_pairs(buckets)), "bucket long, data binary"), partitions, least), "cells")
     pairs = frequent_ids(cells, [F.col("n").desc(), F.col("l").asc(), F.col("r").asc()], MOST_PAIRS)
     message = "bucket long, slice long, data binary"
     requests = coded.mapInArrow(lean(_requests(buckets)), message).unionByName(pairs.select("l", "r", "id").mapInArrow(lean(_numbered(buckets)), message))
